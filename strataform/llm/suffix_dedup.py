@@ -16,18 +16,17 @@ hold is sent once a chunk and no task receives its occurrences.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataform.llm._shared import cut, mix, partitions, shared_dir, slices
+from strataform.llm._exchange import BACK, DEALT, back, chunk_table, deal, marked, read, runs, short, wide
+from strataform.llm._shared import cut, mix, slices
 
 LENGTH = 50
-#: Text in a chunk, and chunks' text in a bucket of the text table, about.
-CHUNK, BUCKET = 4 << 20, 16 << 20
+#: Text in a chunk, about.
+CHUNK = 4 << 20
 _MASK = np.uint64((1 << 20) - 1)
 _BASE = 0xD6E8FEB86659FD93
 
@@ -109,41 +108,6 @@ _WINDOW = np.dtype([("a", "<u8"), ("doc", "<i8")])
 _FOUND = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("many", "?")])
 
 
-def _deal(ranks: np.ndarray, records: np.ndarray, buckets: int, chunk: int) -> pa.Table:
-    """Rows (bucket, chunk, records): the records of each bucket that has any."""
-    bucket = (ranks % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    records, edges = records[order], np.flatnonzero(np.diff(bucket[order], prepend=-1))
-    ends = [*edges[1:], len(order)]
-    return pa.table({"bucket": pa.array(bucket[order][edges], pa.int32()), "chunk": pa.array([chunk] * len(edges), pa.int32()), "records": pa.array([records[a:b].tobytes() for a, b in zip(edges, ends)], pa.binary())})
-
-
-def _five(x: np.ndarray) -> np.ndarray:
-    """The upper 40 bits as five bytes each."""
-    return np.ascontiguousarray((x >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
-
-
-def _wide(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
-    out[:, :5] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
-def _read(table: pa.Table, kind) -> tuple[np.ndarray, np.ndarray]:
-    """The records of all rows and the chunk that each came from."""
-    parts = [np.frombuffer(x.as_buffer(), dtype=kind) for x in table.column("records")]
-    return (np.concatenate(parts) if parts else np.empty(0, kind)), np.repeat(table.column("chunk").to_numpy(), [len(x) for x in parts])
-
-
-def _runs(*keys: np.ndarray) -> np.ndarray:
-    """Where a new value begins in keys that are in order."""
-    new = np.zeros(len(keys[0]), dtype=bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return new
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary) of every row.
 
@@ -152,15 +116,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
     is null is neither cut nor compared; rows with the same doc_id aren't smaller than each other. whole_characters:
     bytes left of a character that was cut go as well (from kept alone). Other columns are ignored.
     """
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("text"))
-    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_chunks, n_buckets = max(1, total // CHUNK), max(partitions(spark), total // BUCKET)
-    name = f"strataform_{uuid.uuid4().hex}"
-    dealt = own.filter(F.col("doc_id").isNotNull()).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).cast("int"))
-    dealt.repartition(n_buckets, "chunk").write.option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").bucketBy(n_buckets, "chunk").saveAsTable(name)
-    texts = spark.table(name)
+    texts, n_buckets = chunk_table(own.filter(F.col("doc_id").isNotNull()), CHUNK)
 
     def parts(table: pa.Table):
         """Slices of a chunk: (first row, doc_ids, blocks)."""
@@ -175,39 +133,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
         names, owner = np.concatenate(names), np.concatenate(owner)
         order = np.lexsort((owner, names))
         names, owner = names[order], owner[order]
-        new = _runs(names)
+        new = runs(names)
         many = np.zeros(len(names), dtype=bool)
         many[1:] = ~new[1:] & (owner[1:] != owner[:-1])
         group = np.cumsum(new) - 1
         several = np.bincount(group[many], minlength=group[-1] + 1 if len(group) else 0) > 0
         names = names[new]
         # one copy if one document of the chunk has the rank, two if several have
-        return _deal(np.repeat(names, 1 + several), _five(np.repeat(names, 1 + several)), buckets=n_buckets, chunk=key[0].as_py())
+        return deal(np.repeat(names, 1 + several), short(np.repeat(names, 1 + several)), n_buckets, key[0].as_py())
 
     def met_twice(table):
-        rows = table.column("records").to_pylist()
-        names, chunks = [_wide(x) for x in rows], np.repeat(table.column("chunk").to_numpy(), [len(x) // 5 for x in rows])
-        names = np.concatenate(names)
+        got, chunks = read(table, np.dtype(("u1", 5)))
+        names = wide(got) | np.uint64(table.column("bucket")[0].as_py())
         order = np.argsort(names, kind="stable")
         names, chunks = names[order], chunks[order]
-        new = _runs(names)
-        group = np.cumsum(new) - 1
-        keep = (np.bincount(group) > 1)[group] & _runs(names, chunks)
-        names, chunks = names[keep], chunks[keep]
-        bucket = table.column("bucket")[0].as_py()
-        return _back(chunks, (names << np.uint64(24)) | np.uint64(bucket), "<u8")
-
-    def _back(chunks: np.ndarray, records: np.ndarray, kind) -> pa.Table:
-        order = np.argsort(chunks, kind="stable")
-        chunks, records = chunks[order], records[order].astype(kind)
-        edges = np.flatnonzero(np.diff(chunks, prepend=-1))
-        return pa.table({"chunk": pa.array(chunks[edges], pa.int32()), "records": pa.array([records[a:b].tobytes() for a, b in zip(edges, [*edges[1:], len(chunks)])], pa.binary())})
+        keep = (np.bincount(np.cumsum(runs(names)) - 1) > 1)[np.cumsum(runs(names)) - 1] & runs(names, chunks)
+        return back(chunks[keep], names[keep].astype("<u8"))
 
     def second_ranks(key, table, found):
         known = np.sort(np.concatenate([np.empty(0, "<u8"), *(np.frombuffer(x.as_buffer(), "<u8") for x in found.column("records"))]))
         out = [np.empty(0, _RECORD)]
         for _, ids, _, blocks in parts(table) if len(known) else ():
-            mark = (blocks.anchor >> np.uint64(24) << np.uint64(24)) | (blocks.anchor % np.uint64(n_buckets))
+            mark = marked(blocks.anchor, n_buckets)
             at = np.minimum(np.searchsorted(known, mark), len(known) - 1)
             on = np.flatnonzero(known[at] == mark)
             got = np.empty(len(on), _RECORD)
@@ -215,19 +162,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
             out.append(got)
         got = np.concatenate(out)
         got = got[np.lexsort((got["doc"], got["b"], got["a"]))]
-        got = got[_runs(got["a"], got["b"])]
-        return _deal(got["a"], got, n_buckets, key[0].as_py())
+        got = got[runs(got["a"], got["b"])]
+        return deal(got["a"], got, n_buckets, key[0].as_py())
 
     def first_block(table):
-        got, chunks = _read(table, _RECORD)
+        got, chunks = read(table, _RECORD)
         order = np.lexsort((got["doc"], got["b"], got["a"]))
         got, chunks = got[order], chunks[order]
-        new, anchor = _runs(got["a"], got["b"]), _runs(got["a"])
+        new, anchor = runs(got["a"], got["b"]), runs(got["a"])
         per_anchor = np.add.reduceat(new.astype(np.int64), np.flatnonzero(anchor)) if len(got) else np.empty(0, np.int64)
         out = np.empty(len(got), _FOUND)
         out["a"], out["b"], out["doc"] = got["a"], got["b"], got["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
         out["many"] = (per_anchor > 1)[np.cumsum(anchor) - 1]
-        return _back(chunks, out, _FOUND)
+        return back(chunks, out)
 
     def settle(found: pa.Table):
         known = np.concatenate([np.empty(0, _FOUND), *(np.frombuffer(x.as_buffer(), _FOUND) for x in found.column("records"))])
@@ -255,23 +202,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
                 out.append(rows)
         got = np.concatenate(out)
         got = got[np.lexsort((got["doc"], got["a"]))]
-        got = got[_runs(got["a"], got["doc"])]
-        new = _runs(got["a"])
+        got = got[runs(got["a"], got["doc"])]
+        new = runs(got["a"])
         new[1:] |= new[:-1]  # the two smallest documents: one alone is no match
         got = got[new]
-        return _deal(got["a"], got, n_buckets, key[0].as_py())
+        return deal(got["a"], got, n_buckets, key[0].as_py())
 
     def first_window(table):
-        got, chunks = _read(table, _WINDOW)
+        got, chunks = read(table, _WINDOW)
         order = np.lexsort((got["doc"], got["a"]))
         got, chunks = got[order], chunks[order]
-        new = _runs(got["a"])
+        new = runs(got["a"])
         group = np.cumsum(new) - 1
         first = got["doc"][np.flatnonzero(new)][group]
         keep = (np.bincount(group) > 1)[group]
         out = got[keep].copy()
         out["doc"] = first[keep]
-        return _back(chunks[keep], out, _WINDOW)
+        return back(chunks[keep], out)
 
     def remove(key, table, found):
         single = np.array(found.column("single").to_pylist(), dtype=bool)
@@ -303,11 +250,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
                 kept.append(rest.decode("utf-8", "ignore").encode() if whole_characters and n_removed[-1] else rest)
         return pa.table({"doc_id": table.column("doc_id"), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
-    dealt_kind, back_kind = "bucket int, chunk int, records binary", "chunk int, records binary"
     by_chunk = texts.groupBy("chunk")
-    shared = cut(by_chunk.applyInArrow(first_ranks, dealt_kind).groupBy("bucket").applyInArrow(met_twice, back_kind))
-    blocks = cut(by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(second_ranks, dealt_kind).groupBy("bucket").applyInArrow(first_block, back_kind))
-    windows = cut(by_chunk.cogroup(blocks.groupBy("chunk")).applyInArrow(third_ranks, dealt_kind).groupBy("bucket").applyInArrow(first_window, back_kind))
+    shared = cut(by_chunk.applyInArrow(first_ranks, DEALT).groupBy("bucket").applyInArrow(met_twice, BACK))
+    blocks = cut(by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(second_ranks, DEALT).groupBy("bucket").applyInArrow(first_block, BACK))
+    windows = cut(by_chunk.cogroup(blocks.groupBy("chunk")).applyInArrow(third_ranks, DEALT).groupBy("bucket").applyInArrow(first_window, BACK))
     found = blocks.withColumn("single", F.lit(False)).unionByName(windows.withColumn("single", F.lit(True)))
     cleared = by_chunk.cogroup(found.groupBy("chunk")).applyInArrow(remove, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     aside = own.filter(F.col("doc_id").isNull()).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").alias("kept"))

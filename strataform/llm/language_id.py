@@ -94,8 +94,8 @@ def train(docs: DataFrame) -> dict[str, list[int]]:
     return profiles
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id") -> DataFrame:
-    """docs' columns, lang_pred and score: 1 less the text's out-of-place distance to the nearest profile, as a share of the largest possible one.
+def predict(docs: DataFrame, profiles: dict[str, list[int]], keep_text: bool = False) -> DataFrame:
+    """docs' columns (without text, unless it is kept), lang_pred and score: 1 less the text's out-of-place distance to the nearest profile, as a share of the largest possible one.
 
     `und` and 0 if the text is null or has no letter, or nothing was learned. Of languages as near, the first by name.
     """
@@ -120,19 +120,30 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_
                     far = np.minimum(np.abs(places[where] - np.arange(len(own))[:, None]), TOP).sum(axis=0)
                     k = int(np.argmin(far))
                     pred.append(langs[k]), score.append(float(1 - far[k] / (TOP * len(own))))
-            rest = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"]
-            names = [x for x in batch.schema.names if x != "text"]
+            names = [x for x in batch.schema.names if keep_text or x != "text"]
+            rest = [batch.column(x) for x in names]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
-    kind = T.StructType([f for f in docs.schema if f.name != "text"]).add("lang_pred", "string").add("score", "double")
+    kind = T.StructType([f for f in docs.schema if keep_text or f.name != "text"]).add("lang_pred", "string").add("score", "double")
     return docs.mapInArrow(guess, kind)
 
 
+def in_fold(doc_id, folds: int, held: int):
+    """Whether crc32 of the id as text leaves `held` of folds; true for a null id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == held, F.lit(True))
+
+
+def with_language(docs: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
+    """docs (doc_id, text, lang, ...) with lang_pred and score; repeated column names aren't allowed, others pass through."""
+    learned = docs.filter(~in_fold(F.col("doc_id"), folds, held)).select("text", "lang")
+    return predict(docs, train(learned), keep_text=True)
+
+
 def language_id(docs: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id") -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document; profiles learned from the rows not held out.
 
     A row is held out if crc32(doc_id as text) mod folds is `held`; one with a null doc_id is held out as well.
     Rows without text or lang teach nothing; repeated rows count as often as they come. Other columns are ignored.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), "text", "lang").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(True)))
+    own = docs.select(F.col(id_col).alias("doc_id"), "text", "lang").withColumn("held_out", in_fold(F.col("doc_id"), folds, held))
     return predict(own.select("doc_id", "held_out", "text"), train(own.filter(~F.col("held_out"))))

@@ -108,16 +108,17 @@ _WINDOW = np.dtype([("a", "<u8"), ("doc", "<i8")])
 _FOUND = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("many", "?")])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool = False, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary) of every row.
 
     A byte goes if it lies in a string of `length` bytes that also starts in a document with a smaller doc_id, as the
     input stands. Texts are taken as UTF-8, null as empty; texts under `length` bytes lose nothing. A row whose doc_id
     is null is neither cut nor compared; rows with the same doc_id aren't smaller than each other. whole_characters:
-    bytes left of a character that was cut go as well (from kept alone). Other columns are ignored.
+    bytes left of a character that was cut go as well (from kept alone). carry: columns of docs that are returned as
+    they are, in a struct `rest`; others are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("text"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("text"), *([F.struct(*carry).alias("rest")] if carry else []))
     texts, n_buckets = chunk_table(own.filter(F.col("doc_id").isNotNull()), CHUNK)
 
     def parts(table: pa.Table):
@@ -248,13 +249,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
                 n_spans.append(int(off[:1].sum() + (off[1:] & ~off[:-1]).sum()))
                 rest = flat[a:b][~off].tobytes() if n_removed[-1] else text
                 kept.append(rest.decode("utf-8", "ignore").encode() if whole_characters and n_removed[-1] else rest)
-        return pa.table({"doc_id": table.column("doc_id"), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
+        return pa.table({x: table.column(x) for x in front} | {"n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
     by_chunk = texts.groupBy("chunk")
     shared = cut(by_chunk.applyInArrow(first_ranks, DEALT).groupBy("bucket").applyInArrow(met_twice, BACK))
     blocks = cut(by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(second_ranks, DEALT).groupBy("bucket").applyInArrow(first_block, BACK))
     windows = cut(by_chunk.cogroup(blocks.groupBy("chunk")).applyInArrow(third_ranks, DEALT).groupBy("bucket").applyInArrow(first_window, BACK))
     found = blocks.withColumn("single", F.lit(False)).unionByName(windows.withColumn("single", F.lit(True)))
-    cleared = by_chunk.cogroup(found.groupBy("chunk")).applyInArrow(remove, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
-    aside = own.filter(F.col("doc_id").isNull()).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").alias("kept"))
+    front = {"doc_id": kind} | ({"rest": own.schema["rest"].dataType.simpleString()} if carry else {})
+    cleared = by_chunk.cogroup(found.groupBy("chunk")).applyInArrow(remove, f"{', '.join(f'{k} {v}' for k, v in front.items())}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    aside = own.filter(F.col("doc_id").isNull()).select(*front, F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").alias("kept"))
     return cleared.unionByName(aside)

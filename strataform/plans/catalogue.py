@@ -1,4 +1,11 @@
 """Every query of the library by name, and the SQL that it equals."""
 
+from __future__ import annotations
+
+from strataform.plans import graphs, relations, series, spaces, vectors
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+for _part in (relations, series, vectors, spaces, graphs):
+    QUERIES |= _part.QUERIES
+    ORACLE |= _part.ORACLE

@@ -105,3 +105,17 @@ def fused(parts: list[tuple[DataFrame, float]], k: int) -> DataFrame:
         rows = rows.unionByName(d)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
     return rows.groupBy("query_id", "row_id").agg(F.sum("score").alias("score")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def failure_rank(cosines: DataFrame, outcomes: DataFrame, edges: DataFrame, sims: DataFrame, target_stress: float, k: int) -> DataFrame:
+    """(query_id, row_id, score, rank) of failed outcomes: half the cosine, three tenths for a stress near the target, two tenths for the defect rate.
+
+    cosines: (query_id, row_id, score); outcomes: (row_id, passed, defect_rate), null passed counts as passed; edges:
+    (to_id, from_id, position) causal; sims: (from_id, stress). Of an outcome's simulations the first by position counts.
+    """
+    first = edges.join(sims, "from_id").groupBy(F.col("to_id").alias("row_id")).agg(F.min_by("stress", "position").alias("stress"))
+    own = cosines.join(outcomes.filter(F.coalesce("passed", F.lit(1)) == 0), "row_id").join(first, "row_id", "left")
+    near = F.coalesce(1 / (1 + F.abs(F.col("stress") - target_stress) / 100), F.lit(0.0))
+    score = 0.5 * F.col("score") + 0.3 * near + 0.2 * F.least(F.lit(1.0), F.coalesce("defect_rate", F.lit(0.0)))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
+    return own.select("query_id", "row_id", score.alias("score")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataform.operators import recurrent, telemetry
+from strataform.operators import maintenance, recurrent, simulation, telemetry
 from strataform.plans.base import registry, table
 
 QUERIES, ORACLE, query = registry()
@@ -180,3 +180,28 @@ def guard_events(spark, d):
 def federated_round(spark, d):
     e = table(spark, d, "events").select("event_type", (F.col("value") / 100).alias("x"), (F.col("value") > 50).cast("double").alias("y"))
     return recurrent.local_models(e, "event_type", ["x"], "y", [0.0, 0.0])
+
+
+@query(None)
+def maintenance_risk(spark, d):
+    e = table(spark, d, "events").filter("value IS NOT NULL").select("user_id", F.col("event_id").cast("double").alias("t"), F.array("value").alias("vector"))
+    return maintenance.risk_series(e, "user_id", "t", "vector")
+
+
+@query("""
+WITH r AS (SELECT user_id, event_id, value, row_number() OVER w AS n, first_value(value) OVER w AS f, lag(value, 1) OVER w AS a, lag(value, 2) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT event_id, coalesce(b, CASE WHEN n = 1 THEN f ELSE a END) AS x0, coalesce(a, f) AS x1, value AS x2 FROM r
+""")
+def temporal_stacking(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", F.array("value").alias("vector"))
+    return maintenance.stacked(e, "user_id", "event_id", "vector", 3).select("event_id", *(F.col("stack")[i].alias(f"x{i}") for i in range(3)))
+
+
+@query("""
+WITH f AS (SELECT o_orderkey, 100 + o_orderkey % 1000 AS n, 1 + o_custkey % 3 AS s, 5.0::DOUBLE + o_orderkey % 20 AS r FROM orders)
+SELECT o_orderkey, round((n * 22 + n * least(n - 1, greatest(1, (n - 1) * pi() * r * r / 921600)) * 30 + n * 36 + n * 72) * s, 4) AS flops FROM f
+""")
+def step_cost(spark, d):
+    k = F.col("o_orderkey")
+    own = table(spark, d, "orders").select("o_orderkey", (100 + k % 1000).alias("particles"), (1 + F.col("o_custkey") % 3).alias("substeps"), F.lit("verlet").alias("integrator"), (5.0 + k % 20).alias("radius"), F.lit(True).alias("grid"), F.lit(2).alias("edges_per_node"), F.lit(3).alias("constraint_iters"), F.lit(0).alias("ensemble"), F.lit(0).alias("field_ops"))
+    return simulation.step_flops(own).select("o_orderkey", F.round("flops", 4).alias("flops"))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from strataform.functions import scalars
 from strataform.functions.expressions import ExpressionError, compile_field
-from strataform.operators import decision, graph, mesh, recurrent, relational, spatial, stats, structural, telemetry
-from strataform.sources import readers
+from strataform.operators import calibration, decision, graph, maintenance, mesh, recurrent, relational, similarity, simulation, spatial, stats, structural, telemetry
+from strataform.sources import readers, writers
 from strataform.streaming import live
 
 
@@ -226,3 +226,50 @@ def test_rows_and_flags(spark):
             relational.single(bad)
     r = decision.feasible_first(spark.createDataFrame([(1, True, 0.2), (2, False, 0.9), (3, True, 0.5)], "id int, f boolean, s double"), "f", "s", "id")
     assert [x["id"] for x in r.orderBy("rank").collect()] == [3, 1, 2]
+
+
+def test_maintenance(spark):
+    rows = [(a, float(t), [50.0 + (0 if a == "calm" or t < 60 else (t - 60) * 2.0) + (t % 3) * 0.1, 1.0]) for a in ("calm", "loud") for t in range(100)]
+    df = spark.createDataFrame(rows, "asset string, t double, v array<double>")
+    out = maintenance.risk_series(df, "asset", "t", "v", failures={"loud": [[130.0, 1.0]] * 8}, optimal={"loud": [[50.0, 1.0]], "calm": [[50.0, 1.0]]})
+    risk = {(r["asset"], r["t"]): r["risk"] for r in out.collect()}
+    assert risk["loud", 99.0] > risk["loud", 50.0] and len(risk) == 200
+    assert [r["asset"] for r in maintenance.queue(out, "asset", "t").collect()] == ["loud", "calm"]
+    packed = maintenance.pack(spark.createDataFrame([("a", 1.0, {"x": 2.0}), ("a", 2.0, {"x": float("nan"), "y": 3.0})], "asset string, t double, r map<string,double>"), "asset", "t", "r", ["x", "y"])
+    assert [r["vector"] for r in packed.orderBy("t").collect()] == [[2.0, 0.0], [2.0, 3.0]]
+    assert [r["stack"] for r in maintenance.stacked(packed, "asset", "t", "vector", 2).orderBy("t").collect()] == [[2.0, 0.0, 2.0, 0.0], [2.0, 0.0, 2.0, 3.0]]
+
+
+def test_routes_and_costs(spark):
+    kinds = "id int, domain string, regime string, latent array<double>"
+    solved = spark.createDataFrame([(1, "heat", "s", [0.0, 0.0]), (2, "flow", "s", [9.0, 9.0])], kinds)
+    asked = spark.createDataFrame([(10, "heat", "s", [0.1, 0.0], True, 0.1, 0.9), (11, "heat", "s", [0.9, 0.0], True, 0.1, 0.9), (12, "heat", "s", [5.0, 0.0], True, 0.1, 0.9), (13, "heat", "s", [0.1, 0.0], True, 0.1, 0.1), (14, "none", "s", [0.0, 0.0], True, 0.1, 0.9)], kinds + ", spd boolean, nonlinearity double, mesh_score double")
+    assert {r["id"]: r["stage"] for r in simulation.route(asked, solved).collect()} == {10: "cache", 11: "rom", 12: "full", 13: "full", 14: "full"}
+    f = simulation.step_flops(spark.createDataFrame([(100, 2, "euler", 10.0, False, 2, 3, 0, 0)], "particles int, substeps int, integrator string, radius double, grid boolean, edges_per_node int, constraint_iters int, ensemble int, field_ops int")).first()["flops"]
+    assert f == 2 * (1200 + 100 * 99 * 15 + 100 * 2 * 18 + 100 * 2 * 3 * 12)
+    assert simulation.gate(spark.range(30).select(F.col("id").alias("seq"), F.lit(0.01).alias("error"), F.lit(10.0).alias("full_ms"), F.lit(5.0).alias("routed_ms"))).first()["ready"]
+
+
+def test_calibration(spark):
+    t = np.linspace(0, 4, 120)
+    y = calibration.oscillator(np.array([40.0, 0.4, 1.0, 1.5]), t)
+    df = spark.createDataFrame([("a", float(a), float(b)) for a, b in zip(t, y)] + [("b", 0.0, 1.0)], "s string, t double, y double")
+    got = {r["s"]: r for r in calibration.calibrate(df, "s").collect()}
+    assert got["a"]["r2"] > 0.99 and got["b"]["rss"] is None
+
+
+def test_files_of_meshes_and_reports(spark, tmp_path):
+    tets, verts, _ = cube(spark)
+    writers.write_lines(writers.obj_lines(tets, verts), str(tmp_path / "m"))
+    lines = [x for p in sorted((tmp_path / "m").glob("part-*")) for x in p.read_text().splitlines()]
+    assert len(lines) == 27 + 192 and lines[0] == "v 0.0 0.0 0.0" and lines[27].startswith("f ")
+    assert [r["body"] for r in writers.report({"n": spark.range(2)}).collect()] == ['[{"id":0},{"id":1}]']
+
+
+def test_failure_rank(spark):
+    cos = spark.createDataFrame([(0, 1, 0.5), (0, 2, 0.9), (0, 3, 0.5)], "query_id int, row_id int, score double")
+    out = spark.createDataFrame([(1, 0, 2.0), (2, 1, 0.5), (3, 0, None)], "row_id int, passed int, defect_rate double")
+    edges = spark.createDataFrame([(1, 8, 1), (1, 7, 0)], "to_id int, from_id int, position int")
+    sims = spark.createDataFrame([(7, 100.0), (8, 900.0)], "from_id int, stress double")
+    got = [(r["row_id"], round(r["score"], 6)) for r in similarity.failure_rank(cos, out, edges, sims, 200.0, 5).orderBy("rank").collect()]
+    assert got == [(1, 0.6), (3, 0.25)]

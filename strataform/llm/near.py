@@ -24,7 +24,7 @@ from strataform.llm._shared import cut, drop, mix, partitions, slices, words
 WORDS = 5
 THRESHOLD = 0.8
 #: Classes in a block.
-BLOCK = 128
+BLOCK = 256
 
 
 def band_plan(threshold: float, recall: float, rows: int) -> int:
@@ -88,8 +88,8 @@ def near_classes(sigs: DataFrame, fetch: Callable[[DataFrame], DataFrame], thres
     """(key, component, links) of every class that has a link.
 
     sigs: (key binary: name of the shingle set, n int: its size, bands array<long>), one row an item, already a table
-    that can be read again. fetch: from (key, block, n, size) to the same with the sets: `shingles`, little-endian
-    unsigned 64-bit integers in order; may hold a key twice. component is the smallest key that links lead to; links
+    that can be read again. fetch: from rows with key, and other columns, to the same with the sets: `shingles`,
+    little-endian unsigned 64-bit integers in order; may give a key twice. component is the smallest key that links lead to; links
     counts the items, copies included, of the other classes that are at least as similar as the threshold.
     """
     spark = sigs.sparkSession
@@ -111,12 +111,15 @@ def near_classes(sigs: DataFrame, fetch: Callable[[DataFrame], DataFrame], thres
     ordered = labels.repartitionByRange(partitions(spark), "label", "key").sortWithinPartitions("label", "key").drop("label")
     blocks = cut(ordered.mapInArrow(deal, "uid bigint, key binary, n int, size bigint, block bigint"))
     drop(classes)
-    met = shared.select("uid", "bucket").join(blocks.select("uid", "block"), "uid").groupBy("bucket").agg(F.collect_set("block").alias("met"))
-    a = met.select("met", F.explode("met").alias("a"))
-    cells = cut(a.select("a", F.explode(F.filter("met", lambda x: x >= F.col("a"))).alias("b")).distinct())
-    drop(shared)
-    ends = cells.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
-    items = fetch(blocks.drop("uid")).join(ends, "block")
+    # A class goes to the cell of two blocks if a bucket holds it and a class of the other block.
+    members = shared.select("uid", "bucket").join(blocks.select("uid", "block"), "uid")
+    met = cut(members.groupBy("bucket", "block").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.collect_list(F.struct("block", "n")).alias("met")).filter((F.size("met") > 1) | (F.col("met")[0]["n"] > 1)))
+    others = members.join(met, "bucket").select("uid", "block", F.explode("met").alias("other")).filter((F.col("other.block") != F.col("block")) | (F.col("other.n") > 1))
+    cells = cut(others.select("uid", F.least("block", "other.block").alias("a"), F.greatest("block", "other.block").alias("b")).distinct())
+    drop(shared), drop(met)
+    # Each class once, with the cells it goes to: sets are made before they are sent out.
+    sent = blocks.join(cells.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("cells")), "uid").drop("uid")
+    items = fetch(sent).withColumn("cell", F.explode("cells")).select("key", "n", "size", "block", "shingles", "cell.a", "cell.b")
 
     def compare(table: pa.Table) -> pa.Table:
         frame = table.select(["key", "n", "size", "block", "a", "b", "shingles"]).to_pandas().drop_duplicates("key")

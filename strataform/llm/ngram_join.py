@@ -46,9 +46,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
 
     def fetch(blocks: DataFrame) -> DataFrame:
         wanted = blocks.join(firsts.select("key", "copy_id"), "key")
-        found = own.join(wanted, own.doc_id == wanted.copy_id).select("key", "block", F.col("n").alias("n"), "size", "text")
-        kind = blocks.select("key", "block", "n", "size").schema.add("shingles", "binary")
-        return found.mapInArrow(sets, kind)
+        return own.join(wanted, own.doc_id == wanted.copy_id).select(*blocks.columns, "text").mapInArrow(sets, blocks.schema.add("shingles", "binary"))
 
     near = near_classes(sigs.select("key", "n", "bands"), fetch, threshold)
     classes = firsts.join(near, "key", "left")

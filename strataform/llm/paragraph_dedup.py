@@ -41,24 +41,26 @@ def paragraph_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: floa
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "paragraph")
     firsts = sigs.groupBy("key").agg(F.min(place).alias("first"))
 
-    def sets(batches):
-        for batch in batches:
-            out: dict[str, list] = {x: [] for x in ("key", "block", "n", "size", "shingles")}
-            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
-                lines = text.split(b"\n")
-                for w in wanted:
-                    if w["paragraph"] < len(lines):
-                        got = np.unique(shingles([lines[w["paragraph"]]])[0])
-                        if set_name(got) == w["key"]:
-                            for x in ("key", "block", "n", "size"):
-                                out[x].append(w[x])
-                            out["shingles"].append(got.tobytes())
-            types = {"key": pa.binary(), "block": pa.int64(), "n": pa.int32(), "size": pa.int64(), "shingles": pa.binary()}
-            yield pa.RecordBatch.from_arrays([pa.array(v, types[k]) for k, v in out.items()], list(out))
-
     def fetch(blocks: DataFrame) -> DataFrame:
-        wanted = blocks.join(firsts, "key").groupBy(F.col("first.doc_id").alias("id")).agg(F.collect_list(F.struct(F.col("first.paragraph").alias("paragraph"), "key", "block", "n", "size")).alias("wanted"))
-        return own.join(wanted, own.doc_id.eqNullSafe(wanted.id)).select("text", "wanted").mapInArrow(sets, "key binary, block bigint, n int, size bigint, shingles binary")
+        rest = [x for x in blocks.columns if x != "key"]
+        wanted = blocks.join(firsts, "key").groupBy(F.col("first.doc_id").alias("id")).agg(F.collect_list(F.struct(F.col("first.paragraph").alias("paragraph"), "key", *rest)).alias("wanted"))
+
+        def sets(batches):
+            for batch in batches:
+                wanted = batch.column("wanted")
+                each = pa.RecordBatch.from_struct_array(wanted.flatten())
+                row = np.repeat(np.arange(batch.num_rows), np.diff(wanted.offsets.to_numpy()))
+                numbers, keys = each.column("paragraph").to_pylist(), each.column("key").to_pylist()
+                lines = [x.split(b"\n") for x in batch.column("text").to_pylist()]
+                got, keep = [], []
+                for r, k, name in zip(row.tolist(), numbers, keys):
+                    own = np.unique(shingles([lines[r][k]])[0]) if k < len(lines[r]) else np.empty(0, np.uint64)
+                    keep.append(len(own) > 0 and set_name(own) == name)  # another row of that id may have another text
+                    got.append(own.tobytes())
+                yield each.drop_columns(["paragraph"]).append_column("shingles", pa.array(got, pa.binary())).filter(pa.array(keep))
+
+        found = own.join(wanted, own.doc_id.eqNullSafe(wanted.id)).select("text", "wanted")
+        return found.mapInArrow(sets, blocks.select("key", *rest).schema.add("shingles", "binary"))
 
     near = near_classes(sigs.select("key", "n", "bands"), fetch, threshold)
     classes = firsts.join(near, "key", "left").select("key", "first", F.coalesce("component", "key").alias("component"))

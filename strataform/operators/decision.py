@@ -54,7 +54,8 @@ def pareto_front(df: DataFrame, objectives: list[str]) -> DataFrame:
             yield from held.combine_chunks().to_batches()
 
     rows = df.dropna(subset=objectives).mapInArrow(local, df.schema)
-    for n in (32, 1):
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    for n in [*([tasks // 16] if tasks >= 64 else []), 1]:
         rows = rows.repartition(n).mapInArrow(local, df.schema)
     return rows
 
@@ -112,7 +113,7 @@ def recommend(df: DataFrame, row_id: str, checks: dict[str, Column], weights: di
         "sustainability": clamp(1 - c("co2") / F.greatest(F.lit(0.5), c("_co2"))),
         "fatigue": clamp(c("fatigue_limit") / F.greatest(F.lit(1.0), stress * 2)),
     }
-    own = own.withColumn("violations", violations(checks)).withColumn("feasible", F.size("violations") == 0).withColumn("score", F.round(weighted(parts, weights), 9))
+    own = own.withColumn("violations", violations(checks)).withColumn("feasible", F.size("violations") == 0).withColumn("score", weighted(parts, weights))
     return own.drop("_cost", "_co2", "_density", "_stiff")
 
 

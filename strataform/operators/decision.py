@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strataform.functions.scalars import clamp, ratio
+from strataform.tables import cut
 
 
 def violations(checks: dict[str, Column]) -> Column:
@@ -60,6 +61,19 @@ def pareto_front(df: DataFrame, objectives: list[str]) -> DataFrame:
     return rows
 
 
+def front_ranks(df: DataFrame, row_id: str, objectives: list[str], most: int = 50) -> DataFrame:
+    """(row_id, front): fronts peeled off one after another, from 0; rows beyond `most` fronts have -1. Each round writes what is left."""
+    left, out = cut(df.dropna(subset=objectives).select(row_id, *objectives)), None
+    for n in range(most):
+        front = cut(pareto_front(left, objectives).select(row_id))
+        part = front.withColumn("front", F.lit(n))
+        out = part if out is None else out.unionByName(part)
+        left = cut(left.join(front, row_id, "left_anti"))
+        if left.isEmpty():
+            return out
+    return out.unionByName(left.select(row_id, F.lit(-1).alias("front")))
+
+
 def crowding(front: DataFrame, row_id: str, objectives: list[str]) -> DataFrame:
     """(row_id, crowding): the gaps between each row's neighbours by every objective, as shares of its range; ends have infinity."""
     parts = []

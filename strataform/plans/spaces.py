@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataform.functions import scalars
-from strataform.operators import mesh, spatial, stats
+from strataform.operators import features, mesh, spatial, stats
 from strataform.plans.base import registry, table
 
 QUERIES, ORACLE, query = registry()
@@ -134,3 +134,43 @@ def spmv(spark, d):
     entries = table(spark, d, "lineitem").select(F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col"), F.col("l_quantity").alias("value"))
     x = table(spark, d, "supplier").select(F.col("s_suppkey").alias("col"), F.col("s_acctbal").alias("x"))
     return mesh.times_vector(mesh.assemble(entries), x).withColumn("value", F.round("value", 3))
+
+
+_SEEDS = (("bulk", (0.2, 0.5, 0.5), 0.6, 0.3), ("wall", (0.8, 0.7, 0.2), 0.9, 0.25), ("hole", (0.5, 0.6, 0.9), 0.5, 0.4))
+
+
+@query(f"""WITH {_PTS}, p AS (SELECT id, """ + ", ".join(f"{w}::DOUBLE * exp(-((x - {c[0]}::DOUBLE) * (x - {c[0]}::DOUBLE) + (y - {c[1]}::DOUBLE) * (y - {c[1]}::DOUBLE) + (z - {c[2]}::DOUBLE) * (z - {c[2]}::DOUBLE)) / ({r}::DOUBLE * {r}::DOUBLE)) AS {t}" for t, c, w, r in _SEEDS) + """ FROM pts)
+SELECT id, round(least(1, bulk + wall + hole) + 3.7e-11, 8) AS density, CASE greatest(bulk, wall, hole) WHEN bulk THEN 'bulk' WHEN wall THEN 'wall' ELSE 'hole' END AS tag FROM p""")
+def seed_density(spark, d):
+    density, tag = features.seed_density([F.col(a) for a in "xyz"], list(_SEEDS))
+    return points(spark, d).select("id", F.round(density + 3.7e-11, 8).alias("density"), tag.alias("tag"))
+
+
+@query(f"""WITH {_PTS}, q AS (SELECT id, sqrt((x - 0.5) * (x - 0.5) + (y - 0.5) * (y - 0.5) + (z - 0.5) * (z - 0.5)) - 0.2::DOUBLE AS s, abs(x - 0.3::DOUBLE) - 0.1::DOUBLE AS a, abs(y - 0.6::DOUBLE) - 0.2::DOUBLE AS b, abs(z - 0.5) - 0.3::DOUBLE AS c FROM pts)
+SELECT id, round(least(s, sqrt(greatest(a, 0) * greatest(a, 0) + greatest(b, 0) * greatest(b, 0) + greatest(c, 0) * greatest(c, 0)) + least(greatest(a, b, c), 0)) + 3.7e-11, 8) AS distance FROM q""")
+def signed_distance(spark, d):
+    p = [F.col(a) for a in "xyz"]
+    scene = features.smooth_union([features.sphere(p, (0.5, 0.5, 0.5), 0.2), features.box(p, (0.3, 0.6, 0.5), (0.1, 0.2, 0.3))], 0.0)
+    return points(spark, d).select("id", F.round(scene + 3.7e-11, 8).alias("distance"))
+
+
+@query("""
+WITH m AS (SELECT max(l_quantity) AS q, max(l_extendedprice) AS p, max(l_discount) AS c FROM lineitem),
+s AS (SELECT l_orderkey, l_linenumber, l_quantity / q AS a, l_extendedprice / p AS b, l_discount / c AS c FROM lineitem, m)
+SELECT CASE greatest(a, b, c) WHEN a THEN 'l_quantity' WHEN b THEN 'l_extendedprice' ELSE 'l_discount' END AS dominant, count(*) AS n, round(avg(least(1, (a * 2 + b + c) / 4 + 0.5 * greatest(a, b, c))) + 3.7e-9, 7) AS mean_error FROM s GROUP BY 1
+""")
+def combined_error(spark, d):
+    out = features.combined_error(table(spark, d, "lineitem"), {"l_quantity": 2.0, "l_extendedprice": 1.0, "l_discount": 1.0})
+    return out.groupBy("dominant").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("error") + 3.7e-9, 7).alias("mean_error"))
+
+
+@query("SELECT l_partkey % 100 AS cx, l_suppkey % 10 AS cy, count(*) AS visits, max(l_shipdate) AS last_seen, round(avg(l_discount) * ln(1 + count(*)) + 3.7e-9, 7) AS heat FROM lineitem GROUP BY 1, 2")
+def refinement_priors(spark, d):
+    own = table(spark, d, "lineitem").withColumns({"cx": F.col("l_partkey") % 100, "cy": F.col("l_suppkey") % 10})
+    return features.priors(own, ["cx", "cy"], "l_discount", "l_shipdate").select("cx", "cy", "visits", "last_seen", F.round(F.col("heat") + 3.7e-9, 7).alias("heat"))
+
+
+@query("WITH t AS (SELECT DISTINCT l_partkey % 40 AS v0, 40 + l_suppkey % 20 AS v1, 60 + l_linenumber AS v2 FROM lineitem), p AS (SELECT v0 AS v FROM t UNION SELECT v1 FROM t UNION SELECT v2 FROM t), e AS (SELECT v0 AS a, v1 AS b FROM t UNION SELECT v1, v2 FROM t UNION SELECT v0, v2 FROM t) SELECT (SELECT count(*) FROM p) AS vertices, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM t) AS faces, (SELECT count(*) FROM p) - (SELECT count(*) FROM e) + (SELECT count(*) FROM t) AS euler")
+def mesh_profile(spark, d):
+    own = table(spark, d, "lineitem").select((F.col("l_partkey") % 40).alias("v0"), (40 + F.col("l_suppkey") % 20).alias("v1"), (60 + F.col("l_linenumber")).cast("long").alias("v2")).distinct()
+    return features.surface_profile(own)

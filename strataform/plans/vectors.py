@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataform.functions import scalars
-from strataform.operators import similarity, stats
+from strataform.operators import features, similarity, stats
 from strataform.plans.base import registry, table
 
 QUERIES, ORACLE, query = registry()
@@ -109,3 +109,23 @@ def pca_latent(spark, d):
 def kmeans_clusters(spark, d):
     own = table(spark, d, "part").select("p_partkey", (F.col("p_size") / 50).alias("x"), (F.col("p_retailprice") / 2000).alias("y"))
     return stats.kmeans(own, ["x", "y"], [[0.1, 0.5], [0.5, 0.7], [0.9, 0.9]])[1]
+
+
+@query(f"""
+WITH n AS (SELECT user_id, event_type, ln(1 + count(*)) AS x FROM events GROUP BY 1, 2), h AS (SELECT *, {_FNV.format(x="event_type")} AS h FROM n),
+s AS (SELECT user_id, h % 32 AS d, sum(CASE WHEN (h >> 31) % 2 = 0 THEN x ELSE -x END) AS x FROM h GROUP BY 1, 2), l AS (SELECT user_id, sqrt(sum(x * x)) AS n FROM s GROUP BY 1)
+SELECT user_id, d, round(x / CASE WHEN n > 0 THEN n ELSE 1 END + 3.7e-10, 8) AS x FROM s JOIN l USING (user_id) WHERE x <> 0
+""")
+def type_counts_embedding(spark, d):
+    out = features.type_counts_embedding(table(spark, d, "events"), "user_id", "event_type").select("user_id", F.posexplode("vector").alias("p", "x"))
+    return out.filter("x <> 0").select("user_id", F.col("p").cast("long").alias("d"), F.round(F.col("x") + 3.7e-10, 8).alias("x"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, unnest(['part', 'size:' || CASE WHEN p_size < 0.5 THEN 'xs' WHEN p_size < 2 THEN 's' WHEN p_size < 10 THEN 'm' WHEN p_size < 100 THEN 'l' ELSE 'xl' END, 'brand:' || lower(p_brand)]) AS token FROM part
+  UNION SELECT p_partkey, 'tok:' || unnest(list_filter(regexp_split_to_array(lower(p_name), '[-_\\s/]+'), lambda w: w <> '')) FROM part)
+SELECT token, count(DISTINCT p_partkey) AS n FROM p GROUP BY 1
+""")
+def topology_tokens(spark, d):
+    own = table(spark, d, "part").select("p_partkey", features.topology_tokens(F.lit("part"), F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("brand"), F.col("p_brand")), F.col("p_name")).alias("tokens"))
+    return own.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))

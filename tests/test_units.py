@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strataform.functions import scalars
 from strataform.functions.expressions import ExpressionError, compile_field
-from strataform.operators import calibration, decision, graph, maintenance, mesh, recurrent, relational, similarity, simulation, spatial, stats, structural, telemetry
+from strataform.operators import calibration, decision, features, graph, maintenance, mesh, recurrent, relational, similarity, simulation, spatial, stats, structural, telemetry
 from strataform.sources import readers, writers
 from strataform.streaming import live
 
@@ -273,3 +273,32 @@ def test_failure_rank(spark):
     sims = spark.createDataFrame([(7, 100.0), (8, 900.0)], "from_id int, stress double")
     got = [(r["row_id"], round(r["score"], 6)) for r in similarity.failure_rank(cos, out, edges, sims, 200.0, 5).orderBy("rank").collect()]
     assert got == [(1, 0.6), (3, 0.25)]
+
+
+def test_fronts_peeled_off(spark):
+    rng = random.Random(3)
+    pts = [(i, float(rng.randrange(8)), float(rng.randrange(8))) for i in range(60)]
+    left, want, n = {i: p for i, *p in pts}, {}, 0
+    while left:
+        front = [i for i, p in left.items() if not any(q[0] <= p[0] and q[1] <= p[1] and q != p for q in left.values())]
+        want |= dict.fromkeys(front, n)
+        left = {i: p for i, p in left.items() if i not in want}
+        n += 1
+    got = decision.front_ranks(spark.createDataFrame(pts, "id int, a double, b double"), "id", ["a", "b"])
+    assert {r["id"]: r["front"] for r in got.collect()} == want
+    assert {r["front"] for r in decision.front_ranks(spark.createDataFrame(pts, "id int, a double, b double"), "id", ["a", "b"], 1).collect()} == {0, -1}
+
+
+def test_features(spark):
+    df = spark.createDataFrame([({"s1": {"a": 1.0}}, {"t": 5.0})], "stations map<string,map<string,double>>, ambient map<string,double>")
+    v = df.select(features.packed_frame(F.col("stations"), ["s1", "s2"], ["a", "b"], F.col("ambient"), ["t", "u"]).alias("v")).first()["v"]
+    assert v == [1.0, 0.0, 0.0, 0.0, 5.0, 0.0]
+    lit = [F.lit(x) for x in (0.5, 2.0, 3.0, 100.0, 0.2, 10.0, 100.0)]
+    assert one(spark, features.fab_problems(*lit)) == ["wall", "aspect", "hole-width"]
+    b = features.mirror_balance(spark.createDataFrame([(0.0, 0.0), (1.0, 0.1), (0.9, 1.0)], "x double, y double"), ["x", "y"], F.lit(1.0))
+    assert {r["axis"]: r["balance"] for r in b.collect()} == {"x": 0.5, "y": 0.5}
+    p = features.refinement_plan(spark.createDataFrame([(i, i / 10) for i in range(11)], "id int, error double"), "id", 0.7, 0.1, 2)
+    assert sorted(tuple(r) for r in p.collect()) == [(0, "merge"), (1, "merge"), (9, "split"), (10, "split")]
+    assert math.isclose(one(spark, features.smooth_union([F.lit(0.1), F.lit(0.1)], 0.2)), 0.05)
+    assert one(spark, F.size(features.log_axes([]))) == 0
+    assert features.last_by(spark.range(5).withColumn("k", F.lit(1)), "k", "id").first()["id"] == 4

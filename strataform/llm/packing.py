@@ -20,8 +20,9 @@ from pyspark.sql.window import Window
 from strataform.llm._shared import cut, partitions
 
 LENGTH = 1024
-#: Size groups for the large pieces, and the longest piece that counts as small.
-GROUPS, SMALL = 384, 48
+#: Size groups for the large pieces, and the longest piece that counts as small. With this many groups a common length
+#: is a group of its own, and only rare lengths are rounded up.
+GROUPS, SMALL = 1024, 48
 
 
 @cache

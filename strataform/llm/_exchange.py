@@ -21,14 +21,19 @@ DEALT, BACK = "bucket int, chunk int, records binary", "chunk int, records binar
 
 
 def chunk_table(own: DataFrame, chunk: int) -> tuple[DataFrame, int]:
-    """own (doc_id, text binary, ...) with `chunk`, about that many bytes each, as a table bucketed by chunk: grouping by chunk doesn't shuffle it again. And its number of buckets."""
+    """own (doc_id, text binary, ...) with `chunk`, about that many bytes each, as a table bucketed by chunk: grouping by chunk doesn't shuffle it again. And its number of buckets. Rows of one doc_id are in one chunk."""
     spark = own.sparkSession
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(partitions(spark), total // BUCKET)
     dealt = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // chunk))).cast("int"))
+    return bucketed(dealt, n), n
+
+
+def bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    """df written as a table bucketed by chunk, which later groupings and joins by chunk don't shuffle."""
     name = f"strataform_{uuid.uuid4().hex}"
-    dealt.repartition(n, "chunk").write.option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").bucketBy(n, "chunk").saveAsTable(name)
-    return spark.table(name), n
+    df.repartition(buckets, "chunk").write.option("path", f"{shared_dir(df.sparkSession)}/{name}").option("compression", "zstd").bucketBy(buckets, "chunk").saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def runs(*keys: np.ndarray) -> np.ndarray:
@@ -63,6 +68,17 @@ def read(table: pa.Table, kind) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.empty(0, kind)), np.repeat(table.column("chunk").to_numpy(), [len(x) for x in parts])
 
 
+def met_twice(table):
+    """Of a bucket's short names those that were sent twice or more, back to the chunks that sent them."""
+    got, chunks = read(table, np.dtype(("u1", 5)))
+    names = wide(got) | np.uint64(table.column("bucket")[0].as_py())
+    order = np.argsort(names, kind="stable")
+    names, chunks = names[order], chunks[order]
+    group = np.cumsum(runs(names)) - 1
+    keep = (np.bincount(group) > 1)[group] & runs(names, chunks)
+    return back(chunks[keep], names[keep].astype("<u8"))
+
+
 def short(x: np.ndarray) -> np.ndarray:
     """The upper 40 bits of names as five bytes each; the bucket stands for the rest."""
     return np.ascontiguousarray((x >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])

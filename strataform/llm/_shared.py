@@ -1,41 +1,11 @@
-"""What the operators of this subpackage share: tables cut from their lineage, and word hashes."""
+"""What the operators of this subpackage share: hashes of words, and slices of bounded size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
-
-
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="spark-"))
-    return _own[0]
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read again, so that a lost executor costs no more than the stage it was in."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from pyspark.sql import SparkSession
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table that cut() wrote and that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for name in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        path.getFileSystem(conf).delete(path, True)
+from strataform.tables import cut, drop, shared_dir  # noqa: F401
 
 
 def partitions(spark: SparkSession) -> int:

@@ -8,7 +8,6 @@ few cells rather than to each partner, and every pair is seen in just one cell.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Callable
 from functools import cache
@@ -19,7 +18,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataform.llm._shared import cut, drop, mix, partitions, slices, words
+from strataform.llm._shared import mix, partitions, words
+from strataform.operators.graph import components
+from strataform.tables import cut, drop
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -55,33 +56,49 @@ def shingles(texts: list[bytes], n: int = WORDS) -> tuple[np.ndarray, np.ndarray
     return out, starts
 
 
+_OTHER = np.uint64(0xA0761D6478BD642F)
+
+
 def set_name(distinct: np.ndarray) -> bytes | None:
-    """128 bits that name a set of hashes, given in order; None for the empty set."""
-    return hashlib.blake2b(distinct.tobytes(), digest_size=16).digest() if len(distinct) else None
+    """128 bits that name a set of hashes; None for the empty set."""
+    return np.array([mix(distinct).sum(), mix(distinct ^ _OTHER).sum()], dtype="<u8").tobytes() if len(distinct) else None
 
 
-def signature_batches(texts: list[bytes], bands: int, rows: int):
-    """For each text: number of distinct shingles, 128-bit name of their set (None if empty), band keys."""
+def signatures(texts: list[bytes], bands: int, rows: int, whole_under: int = 0) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """For each text: number of distinct shingles, name of their set (null if empty), band keys.
+
+    A set of under `whole_under` shingles has its own name as its only band key: right where no other set can be
+    similar enough.
+    """
     seeds = _seeds(bands * rows)
-    for at, to in slices(np.array([len(x) for x in texts])):
-        hashes, starts = shingles(texts[at:to])
-        some = np.flatnonzero(np.diff(starts))
-        keys = np.zeros((bands, len(some)), dtype=np.uint64)
-        if len(some):
-            for k in range(bands * rows):
-                mixed = (hashes ^ seeds[k]) * seeds[k - 1]
-                mixed ^= mixed >> np.uint64(29)
-                least = np.minimum.reduceat(mixed * np.uint64(0x9FB21C651E98DF25), starts[:-1][some])
-                keys[k // rows] = mix(keys[k // rows] ^ least) + least
-        names, sizes = [], []
-        for a, b in zip(starts[:-1], starts[1:]):
-            own = np.unique(hashes[a:b])
-            sizes.append(len(own))
-            names.append(set_name(own))
-        band_rows: list = [[]] * (to - at)
-        for place, column in zip(some.tolist(), keys.T.astype(np.int64)):
-            band_rows[place] = column
-        yield at, to, sizes, names, band_rows
+    hashes, starts = shingles(texts)
+    owner = np.repeat(np.arange(len(texts)), np.diff(starts))
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    hashes, sizes = hashes[new], np.bincount(owner[new], minlength=len(texts))
+    some = np.flatnonzero(sizes)
+    at = np.cumsum(sizes[some]) - sizes[some]
+    names = np.empty((len(some), 2), dtype="<u8")
+    keys = np.zeros((len(some), bands), dtype=np.uint64)
+    if len(some):
+        names[:, 0], names[:, 1] = np.add.reduceat(mix(hashes), at), np.add.reduceat(mix(hashes ^ _OTHER), at)
+        for k in range(bands * rows):
+            mixed = (hashes ^ seeds[k]) * seeds[k - 1]
+            mixed ^= mixed >> np.uint64(29)
+            least = np.minimum.reduceat(mixed * np.uint64(0x9FB21C651E98DF25), at)
+            keys[:, k // rows] = mix(keys[:, k // rows] ^ least) + least
+    per = np.where(sizes[some] < whole_under, 1, bands)
+    keys[per == 1, 0] = names[per == 1, 0] if bands > 1 else keys[per == 1, 0]
+    flat = keys[np.arange(bands)[None, :] < per[:, None]].astype(np.int64)
+    lengths = np.zeros(len(texts), dtype=np.int64)
+    lengths[some] = per
+    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    place = np.full(len(texts), -1)
+    place[some] = np.arange(len(some))
+    named = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(some), [None, pa.py_buffer(names.tobytes())]).cast(pa.binary())
+    return sizes.astype(np.int32), named.take(pa.array(place, pa.int64(), mask=place < 0)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
 def near_classes(sigs: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD) -> DataFrame:
@@ -114,11 +131,12 @@ def near_classes(sigs: DataFrame, fetch: Callable[[DataFrame], DataFrame], thres
     # A class goes to the cell of two blocks if a bucket holds it and a class of the other block.
     members = shared.select("uid", "bucket").join(blocks.select("uid", "block"), "uid")
     met = cut(members.groupBy("bucket", "block").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.collect_list(F.struct("block", "n")).alias("met")).filter((F.size("met") > 1) | (F.col("met")[0]["n"] > 1)))
-    others = members.join(met, "bucket").select("uid", "block", F.explode("met").alias("other")).filter((F.col("other.block") != F.col("block")) | (F.col("other.n") > 1))
-    cells = cut(others.select("uid", F.least("block", "other.block").alias("a"), F.greatest("block", "other.block").alias("b")).distinct())
+    # Blocks are gathered for each class before they become rows, as a class meets the same ones in many buckets.
+    others = members.join(met, "bucket").select("uid", "block", F.transform(F.filter("met", lambda x: (x["block"] != F.col("block")) | (x["n"] > 1)), lambda x: x["block"]).alias("other"))
+    gathered = others.groupBy("uid", "block").agg(F.array_distinct(F.flatten(F.collect_list("other"))).alias("other"))
+    cells = cut(gathered.select("uid", F.transform("other", lambda o: F.struct(F.least("block", o).alias("a"), F.greatest("block", o).alias("b"))).alias("cells")).filter(F.size("cells") > 0))
     drop(shared), drop(met)
-    # Each class once, with the cells it goes to: sets are made before they are sent out.
-    sent = blocks.join(cells.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("cells")), "uid").drop("uid")
+    sent = blocks.join(cells, "uid").drop("uid")  # each class once, with its cells: sets are made before they are sent out
     items = fetch(sent).withColumn("cell", F.explode("cells")).select("key", "n", "size", "block", "shingles", "cell.a", "cell.b")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -175,19 +193,3 @@ def _links(frame, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         root = root[root]
         if (root == before).all():
             return links, root
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(key, component) of all ends of edges (a, b): the smallest end that can be reached. Labels spread along edges and then jump to their label's label, so the rounds follow the logarithm of the longest path."""
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(both.groupBy(F.col("a").alias("key")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
-    while True:
-        near = both.join(labels.select(F.col("key").alias("b"), F.col("component").alias("other")), "b").groupBy(F.col("a").alias("key")).agg(F.min("other").alias("other"))
-        step = cut(labels.join(near, "key").select("key", F.col("component").alias("old"), F.least("component", "other").alias("component")))
-        jump = step.select(F.col("key").alias("component"), F.col("component").alias("far"))
-        new = cut(step.join(jump, "component", "left").select("key", "old", F.coalesce("far", "component").alias("component")))
-        drop(step), drop(labels)
-        if new.filter(F.col("old") != F.col("component")).isEmpty():
-            drop(both)
-            return new.select("key", "component")
-        labels = new.select("key", "component")

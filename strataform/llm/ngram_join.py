@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataform.llm._shared import cut, slices
-from strataform.llm.near import THRESHOLD, band_plan, near_classes, set_name, shingles, signature_batches
+from strataform.llm.near import THRESHOLD, band_plan, near_classes, set_name, shingles, signatures
 
 #: Hashes in a band, and the share of pairs at the threshold that must meet in a bucket.
 ROWS, RECALL = 5, 0.9999
@@ -29,8 +29,10 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     def sign(batches):
         for batch in batches:
             ids = batch.column(0)
-            for at, to, sizes, names, keys in signature_batches(batch.column(1).to_pylist(), bands, ROWS):
-                yield pa.RecordBatch.from_arrays([ids.slice(at, to - at), pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "key", "n", "bands"])
+            texts = batch.column(1).to_pylist()
+            for at, to in slices(np.array([len(x) for x in texts])):
+                sizes, names, keys = signatures(texts[at:to], bands, ROWS)
+                yield pa.RecordBatch.from_arrays([ids.slice(at, to - at), names, pa.array(sizes), keys], ["doc_id", "key", "n", "bands"])
 
     def sets(batches):
         for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataform.llm._exchange import BACK, DEALT, back, chunk_table, deal, marked, read, runs, short, wide
+from strataform.llm._exchange import BACK, DEALT, back, chunk_table, deal, marked, met_twice, read, runs, short
 from strataform.llm._shared import cut, mix, slices
 
 LENGTH = 50
@@ -143,14 +143,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
         # one copy if one document of the chunk has the rank, two if several have
         return deal(np.repeat(names, 1 + several), short(np.repeat(names, 1 + several)), n_buckets, key[0].as_py())
 
-    def met_twice(table):
-        got, chunks = read(table, np.dtype(("u1", 5)))
-        names = wide(got) | np.uint64(table.column("bucket")[0].as_py())
-        order = np.argsort(names, kind="stable")
-        names, chunks = names[order], chunks[order]
-        keep = (np.bincount(np.cumsum(runs(names)) - 1) > 1)[np.cumsum(runs(names)) - 1] & runs(names, chunks)
-        return back(chunks[keep], names[keep].astype("<u8"))
-
     def second_ranks(key, table, found):
         known = np.sort(np.concatenate([np.empty(0, "<u8"), *(np.frombuffer(x.as_buffer(), "<u8") for x in found.column("records"))]))
         out = [np.empty(0, _RECORD)]

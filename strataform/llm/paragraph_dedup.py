@@ -1,84 +1,157 @@
-"""Substring deduplication by paragraphs: MinHash banding, exact Jaccard, and one paragraph of each component kept."""
+"""Substring deduplication by paragraphs: MinHash banding, exact Jaccard, and one paragraph of each component kept.
+
+A paragraph is a run of sentences within a line. It ends with the line, or after a sentence whose checksum is larger
+than the next one's: borders follow from the sentences around them alone, so a passage that was put into the middle of
+another text has the same paragraphs there as anywhere, but for its first and last.
+
+The band keys of all paragraphs are looked up first, through the packed exchange: only paragraphs that share a key
+with another go on to be signed, joined and verified.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import re
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataform.llm._shared import cut
-from strataform.llm.near import THRESHOLD, WORDS, band_plan, near_classes, set_name, shingles, signature_batches
+from strataform.llm._exchange import BACK, DEALT, chunk_table, deal, marked, met_twice, short
+from strataform.llm._shared import mix, slices
+from strataform.llm.near import THRESHOLD, WORDS, band_plan, near_classes, set_name, shingles, signatures
+from strataform.tables import cut
 
 #: Short bands, as paragraphs that aren't near copies share almost no shingle, so high recall costs few false meetings.
 ROWS, RECALL = 2, 0.999
 MIN_WORDS = WORDS
-
-
-def paragraph_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, paragraph, keep_doc, keep_paragraph) of every paragraph to remove: a near copy of another.
-
-    A paragraph is a line, numbered from 0; lines of under five words are left alone. Of a component the paragraph
-    with the smallest (doc_id, number) stays; a null doc_id comes last. Rows that repeat a doc_id are one document to
-    this operator: equal numbers with equal text are the same paragraph. Null and empty texts have no paragraphs.
+#: Text in a chunk, about.
+CHUNK = 4 << 20
+_SENTENCE = re.compile(rb"[^.!?\n]*(?:[.!?]+|\n|\Z)[ \t\r]*").findall
+
+
+def paragraphs(text: bytes) -> list[bytes]:
+    """The text cut into paragraphs; joined they are the text."""
+    out, run, last = [], [], None
+    for s in _SENTENCE(text):
+        if not s:
+            continue
+        sum_ = zlib.crc32(s.strip())
+        if last is not None and last > sum_:
+            out.append(b"".join(run))
+            run = []
+        run.append(s)
+        last = sum_
+        if b"\n" in s:
+            out.append(b"".join(run))
+            run, last = [], None
+    return [*out, b"".join(run)] if run else out
+
+
+def paragraph_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(copies, cleared). copies: (doc_id, paragraph, keep_doc, keep_paragraph) of every paragraph to remove, a near
+    copy of another; cleared: (doc_id, n_paragraphs, n_removed, removed, kept) of every row, kept being the bytes left.
+
+    Paragraphs are numbered from 0; those of under five words are left alone. Of a component the paragraph with the
+    smallest (doc_id, number) stays. A row whose doc_id is null is neither compared nor cut. Rows that repeat a doc_id
+    are one document to this operator: equal numbers with equal text are the same paragraph. Null and empty texts have
+    no paragraphs. Other columns are ignored.
     """
-    bands = band_plan(threshold, recall, ROWS)
+    bands, few = band_plan(threshold, recall, ROWS), int(1 / (1 - threshold) + 1e-9)
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("text"))
-
-    def sign(batches):
-        for batch in batches:
-            row, number, lines = [], [], []
-            for r, text in enumerate(batch.column(1).to_pylist()):
-                for k, line in enumerate(text.split(b"\n")):
-                    if len(line.split(None, MIN_WORDS)) >= MIN_WORDS:
-                        row.append(r), number.append(k), lines.append(line)
-            ids, number = batch.column(0).take(pa.array(row, pa.int64())), pa.array(number, pa.int32())
-            for at, to, sizes, names, keys in signature_batches(lines, bands, ROWS):
-                yield pa.RecordBatch.from_arrays([ids.slice(at, to - at), number.slice(at, to - at), pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "paragraph", "key", "n", "bands"])
-
-    sigs = cut(own.mapInArrow(sign, f"doc_id {kind}, paragraph int, key binary, n int, bands array<bigint>"))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "paragraph")
-    firsts = sigs.groupBy("key").agg(F.min(place).alias("first"))
+    texts, n_buckets = chunk_table(own.filter(F.col("doc_id").isNotNull()), CHUNK)
+    by_chunk = texts.groupBy("chunk")
+
+    def signed(table):
+        """Slices of a chunk's paragraphs: row, number, and signatures. Sets of under `few` shingles are similar enough only if they are equal."""
+        row, number, lines = [], [], []
+        for r, text in enumerate(table.column("text").to_pylist()):
+            for k, line in enumerate(paragraphs(text)):
+                if len(line.split(None, MIN_WORDS)) >= MIN_WORDS:
+                    row.append(r), number.append(k), lines.append(line)
+        for at, to in slices(np.array([len(x) for x in lines])):
+            yield np.array(row[at:to]), np.array(number[at:to]), *signatures(lines[at:to], bands, ROWS, few)
+
+    def key_names(keys: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """A name for every band key, by band, and the paragraph it belongs to."""
+        lengths = np.diff(keys.offsets.to_numpy())
+        which = np.repeat(np.arange(len(lengths)), lengths)
+        band = np.arange(len(which)) - np.repeat(keys.offsets.to_numpy()[:-1], lengths)
+        return mix(keys.values.to_numpy().astype(np.uint64) + mix(band.astype(np.uint64) + np.uint64(1))), which
+
+    def send(key, table):
+        names = [np.empty(0, np.uint64), *(key_names(keys)[0] for *_, keys in signed(table))]
+        names, n = np.unique(np.concatenate(names), return_counts=True)
+        names = np.repeat(names, np.minimum(n, 2))  # two copies say that the chunk alone has it twice
+        return deal(names, short(names), n_buckets, key[0].as_py())
+
+    columns = ["chunk", "doc_id", "paragraph", "key", "n", "bands"]
+
+    def survivors(key, table, found):
+        known = np.sort(np.concatenate([np.empty(0, "<u8"), *(np.frombuffer(x.as_buffer(), "<u8") for x in found.column("records"))]))
+        parts = []
+        for row, number, sizes, sets, keys in signed(table) if len(known) else ():
+            names, which = key_names(keys)
+            mark = marked(names, n_buckets)
+            hit = known[np.minimum(np.searchsorted(known, mark), len(known) - 1)] == mark
+            on = pa.array(np.flatnonzero(np.bincount(which[hit], minlength=len(sizes))))
+            ids = table.column("doc_id").take(pa.array(row)).combine_chunks().take(on)
+            parts.append(pa.table([pa.array(np.full(len(on), key[0].as_py(), dtype=np.int32)), ids, pa.array(number.astype(np.int32)).take(on), sets.take(on), pa.array(sizes).take(on), keys.take(on)], names=columns))
+        none = pa.table([pa.array([], t) for t in (pa.int32(), table.schema.field("doc_id").type, pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64()))], names=columns)
+        return pa.concat_tables([none, *parts])
+
+    shared = cut(by_chunk.applyInArrow(send, DEALT).groupBy("bucket").applyInArrow(met_twice, BACK))
+    sigs = cut(by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(survivors, f"chunk int, doc_id {kind}, paragraph int, key binary, n int, bands array<bigint>"))
+    firsts = sigs.groupBy("key").agg(F.min(F.struct("doc_id", "paragraph", "chunk")).alias("first"))
 
     def fetch(blocks: DataFrame) -> DataFrame:
         rest = [x for x in blocks.columns if x != "key"]
-        wanted = blocks.join(firsts, "key").groupBy(F.col("first.doc_id").alias("id")).agg(F.collect_list(F.struct(F.col("first.paragraph").alias("paragraph"), "key", *rest)).alias("wanted"))
-
-        def sets(batches):
-            for batch in batches:
-                wanted = batch.column("wanted")
-                each = pa.RecordBatch.from_struct_array(wanted.flatten())
-                row = np.repeat(np.arange(batch.num_rows), np.diff(wanted.offsets.to_numpy()))
-                numbers, keys = each.column("paragraph").to_pylist(), each.column("key").to_pylist()
-                lines = [x.split(b"\n") for x in batch.column("text").to_pylist()]
-                got, keep = [], []
-                for r, k, name in zip(row.tolist(), numbers, keys):
-                    own = np.unique(shingles([lines[r][k]])[0]) if k < len(lines[r]) else np.empty(0, np.uint64)
-                    keep.append(len(own) > 0 and set_name(own) == name)  # another row of that id may have another text
-                    got.append(own.tobytes())
-                yield each.drop_columns(["paragraph"]).append_column("shingles", pa.array(got, pa.binary())).filter(pa.array(keep))
-
-        found = own.join(wanted, own.doc_id.eqNullSafe(wanted.id)).select("text", "wanted")
-        return found.mapInArrow(sets, blocks.select("key", *rest).schema.add("shingles", "binary"))
+        wanted = blocks.join(firsts, "key").select(F.col("first.chunk").alias("chunk"), F.col("first.doc_id").alias("doc_id"), F.col("first.paragraph").alias("paragraph"), "key", *rest)
+        types = blocks.select("key", *rest).schema.add("shingles", "binary")
+
+        def sets(key, table, asked):
+            lines: dict = {}
+            for i, text in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()):
+                lines.setdefault(i, []).append(text)
+            cuts: dict = {}
+            got, keep = [], []
+            for i, k, name in zip(asked.column("doc_id").to_pylist(), asked.column("paragraph").to_pylist(), asked.column("key").to_pylist()):
+                if i not in cuts:
+                    cuts = {i: [paragraphs(x) for x in lines.get(i, [])]}
+                sets_ = [np.unique(shingles([p[k]])[0]) for p in cuts[i] if k < len(p)]
+                fit = next((x for x in sets_ if set_name(x) == name), None)  # of rows that repeat an id, the one meant
+                keep.append(fit is not None), got.append(fit.tobytes() if fit is not None else None)
+            return asked.select(["key", *rest]).append_column("shingles", pa.array(got, pa.binary())).filter(pa.array(keep, pa.bool_()))
+
+        return by_chunk.cogroup(wanted.sortWithinPartitions("chunk", "doc_id").groupBy("chunk")).applyInArrow(sets, types)
 
     near = near_classes(sigs.select("key", "n", "bands"), fetch, threshold)
-    classes = firsts.join(near, "key", "left").select("key", "first", F.coalesce("component", "key").alias("component"))
+    classes = firsts.join(near, "key", "left").select("key", F.struct("first.doc_id", "first.paragraph").alias("first"), F.coalesce("component", "key").alias("component"))
     keep = classes.groupBy("component").agg(F.min("first").alias("keep"))
     kept = cut(classes.join(keep, "component").select("key", "keep"))
-    return sigs.select("doc_id", "paragraph", "key").join(kept, "key").filter(place != F.col("keep")).select("doc_id", "paragraph", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.paragraph").alias("keep_paragraph"))
-
-
-def by_document(docs: DataFrame, copies: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_paragraphs, n_removed, removed (numbers in order) and copy_of (the documents whose paragraphs stay) of every document; texts aren't shuffled."""
-    gone = copies.groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_set("paragraph")).alias("removed"), F.array_sort(F.collect_set("keep_doc")).alias("copy_of"))
-    own = docs.select(F.col(id_col).alias("doc_id"), F.when(F.length(F.coalesce(F.col(text_col), F.lit(""))) == 0, 0).otherwise(F.size(F.split(F.col(text_col), "\n"))).cast("long").alias("n_paragraphs"))
-    none = F.array().cast("array<int>")
-    return own.join(gone, own.doc_id.eqNullSafe(gone.id), "left").select("doc_id", "n_paragraphs", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed"), F.coalesce("copy_of", F.array().cast(f"array<{docs.schema[id_col].dataType.simpleString()}>")).alias("copy_of"))
-
-
-def remove_paragraphs(docs: DataFrame, copies: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the paragraphs in copies taken out of their texts; a text may become empty."""
-    gone = copies.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("paragraph").alias("_gone"))
-    lines = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), i))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left").withColumn(text_col, F.array_join(lines, "\n")).select(*docs.columns)
+    place = F.struct("doc_id", "paragraph")
+    gone = cut(sigs.select("chunk", "doc_id", "paragraph", "key").join(kept, "key").filter(place != F.col("keep")).select("chunk", "doc_id", "paragraph", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.paragraph").alias("keep_paragraph")))
+
+    def clear(key, table, found):
+        off: dict = {}
+        for i, k in zip(found.column("doc_id").to_pylist(), found.column("paragraph").to_pylist()):
+            off.setdefault(i, set()).add(k)
+        n, removed, left = [], [], []
+        for i, text in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()):
+            own_ = paragraphs(text)
+            mine = sorted(k for k in off.get(i, ()) if k < len(own_))
+            n.append(len(own_)), removed.append(mine)
+            left.append(b"".join(p for k, p in enumerate(own_) if k not in off[i]) if mine else text)
+        return pa.table({"doc_id": table.column("doc_id"), "n_paragraphs": pa.array(n, pa.int64()), "n_removed": pa.array([len(x) for x in removed], pa.int64()), "removed": pa.array(removed, pa.list_(pa.int32())), "kept": pa.array(left, pa.binary())})
+
+    cleared = by_chunk.cogroup(gone.groupBy("chunk")).applyInArrow(clear, f"doc_id {kind}, n_paragraphs bigint, n_removed bigint, removed array<int>, kept binary")
+    aside = own.filter(F.col("doc_id").isNull()).select("doc_id", F.lit(0).cast("long").alias("n_paragraphs"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<int>").alias("removed"), F.col("text").alias("kept"))
+    return gone.drop("chunk"), cleared.unionByName(aside)
+
+
+def digests(docs: DataFrame, **columns) -> DataFrame:
+    """doc_id, n_paragraphs, n_removed, removed and kept_sha256 of every row."""
+    return paragraph_copies(docs, **columns)[1].select("doc_id", "n_paragraphs", "n_removed", "removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -43,8 +43,7 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return paragraph_dedup.by_document(docs, paragraph_dedup.paragraph_copies(docs))
+    return paragraph_dedup.digests(table(spark, sf_dir, "documents"))
 
 
 def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,22 +81,52 @@ def test_band_plan_reaches_recall():
         assert 1 - (1 - t**rows) ** b >= recall > 1 - (1 - t**rows) ** (b - 1)
 
 
-def test_paragraphs_equal_all_pairs(spark):
+def test_paragraphs_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(paragraph_dedup, "CHUNK", 4000)
     rng = random.Random(3)
     base = [[f"w{rng.randrange(3000)}" for _ in range(60)] for _ in range(5)]
     docs = []
-    for _ in range(30):
+    for _ in range(60):
         lines = [noisy(rng, rng.choice(base), rng.choice((0, 1, 2, 6))) if rng.random() < 0.5 else " ".join(f"q{rng.randrange(9999)}" for _ in range(30)) for _ in range(4)]
-        docs.append("\n".join([*lines, "short line", ""]))
-    docs += [None, ""]
-    lines = [(d, k, grams(x)) for d, t in enumerate(docs) for k, x in enumerate((t or "").split("\n")) if len(x.split()) >= 5]
+        docs.append("\n".join([*lines, "short line", "the same five words here", ""]))
+    docs += [None, "", "one. two. three"]
+    lines = [(d, k, grams(x.decode())) for d, t in enumerate(docs) for k, x in enumerate(paragraph_dedup.paragraphs((t or "").encode())) if len(x.split()) >= 5]
     root = closed(len(lines), [(i, j) for i in range(len(lines)) for j in range(i) if jaccard(lines[i][2], lines[j][2]) >= 0.8])
     want = {lines[i][:2] + lines[r][:2] for i, r in enumerate(root) if i != r}
-    table = frame(spark, docs)
-    copies = paragraph_dedup.paragraph_copies(table)
+    copies, cleared = paragraph_dedup.paragraph_copies(frame(spark, docs))
     assert {tuple(r) for r in copies.collect()} == want
-    by = {r["doc_id"]: r for r in paragraph_dedup.by_document(table, copies).collect()}
-    assert len(by) == len(docs) and all(by[d]["removed"] == sorted(k for e, k, *_ in want if e == d) for d in by)
-    kept = {r["doc_id"]: r["text"] for r in paragraph_dedup.remove_paragraphs(table, copies).collect()}
+    by = {r["doc_id"]: r for r in cleared.collect()}
+    assert len(by) == len(docs)
     for d, t in enumerate(docs):
-        assert kept[d] == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in by[d]["removed"]))
+        own = paragraph_dedup.paragraphs((t or "").encode())
+        gone = sorted(k for e, k, *_ in want if e == d)
+        assert by[d]["removed"] == gone and by[d]["n_removed"] == len(gone) and by[d]["n_paragraphs"] == len(own)
+        assert bytes(by[d]["kept"]) == b"".join(x for k, x in enumerate(own) if k not in gone)
+
+
+def test_passages_inside_other_text_are_found(spark):
+    rng = random.Random(6)
+    sentence = lambda: " ".join(f"s{rng.randrange(99999)}" for _ in range(rng.randrange(4, 13))) + ". "
+    hits = 0
+    docs = []
+    for _ in range(60):
+        passage = ""
+        while len(passage.split()) < 55:
+            passage += sentence()
+        for _ in range(2):
+            front, back = "".join(sentence() for _ in range(4)), "".join(sentence() for _ in range(4))
+            docs.append(front[: rng.randrange(20, 60)] + " " + passage + back)
+    by = {r["doc_id"]: r["n_removed"] for r in paragraph_dedup.digests(frame(spark, docs)).collect()}
+    hits = sum(by[2 * k + 1] > 0 for k in range(60))
+    assert hits >= 55 and not any(by[2 * k] for k in range(60))
+
+
+def test_paragraphs_join_to_the_text_and_odd_rows(spark):
+    rng = random.Random(1)
+    for _ in range(300):
+        t = bytes(rng.choice(b"ab. !?\n\t") for _ in range(rng.randrange(80)))
+        assert b"".join(paragraph_dedup.paragraphs(t)) == t
+    long = "one two three four five six"
+    df = spark.createDataFrame([(None, long), (4, long), (4, long), (5, long)], "doc_id bigint, text string")
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in paragraph_dedup.digests(df).collect()) == [(0, 0), (4, 0), (4, 0), (5, 1)]
+    assert paragraph_dedup.digests(df.limit(0)).count() == 0

@@ -3,7 +3,7 @@
 Vectors are lifted by one coordinate so that the largest inner product is the least distance, and rotated at random,
 so that the distance over the first d of D coordinates estimates the whole. After each block of columns a test
 abandons the candidates whose partial distance is too large to be among the nearest with any likelihood. A first
-pass scans each query's closest list; the distance of its k-th hit is what the other lists' candidates must beat.
+pass scans each query's closest lists; the distance of its k-th hit is what the other lists' candidates must beat.
 """
 
 from __future__ import annotations
@@ -57,25 +57,44 @@ def scan(queries: np.ndarray, limits: np.ndarray, own: list, ids: np.ndarray, ve
     """
     d = rotation.shape[0]
     q, x = _lift(queries, largest, True) @ rotation, _lift(vectors, largest) @ rotation
-    picked, read = [], 0
-    for i in range(len(q)):
-        alive = np.flatnonzero(ids != own[i])
-        partial = np.zeros(len(alive))
-        for at in range(0, d, COLUMNS):
-            to = min(d, at + COLUMNS)
-            read += len(alive) * (to - at)
-            partial += ((x[alive, at:to] - q[i, at:to]) ** 2).sum(axis=1)
-            if np.isfinite(limits[i]):
-                slack = (1 + ERRORS / np.sqrt(to)) ** 2 * to / d if to < d else 1 + 1e-9
-                keep = partial <= limits[i] * slack + 1e-12
-                alive, partial = alive[keep], partial[keep]
-        score = (vectors[alive] * queries[i]).sum(axis=1)
-        best = np.lexsort((ids[alive], -score))[:k]
-        picked.append((np.full(len(best), i), alive[best], score[best]))
-    return *(np.concatenate(z) for z in zip(*picked)), read, len(q) * len(ids) * d
-
-
-def nearest(vectors: DataFrame, queries, k: int = 20, lists: int | None = None, probes: float = 0.25, sample: int = SAMPLE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    own = np.asarray(own)
+    free = ~np.isfinite(limits)
+    # Without a limit yet, the products themselves tell which candidates can be among the k best.
+    far = -(queries[free] @ vectors.T)
+    far[own[free][:, None] == ids[None, :]] = np.inf
+    kth = np.partition(far, k - 1, axis=1)[:, k - 1 : k] if len(ids) > k else np.full((len(far), 1), np.inf)
+    i, j = np.nonzero((far <= kth + 1e-9) & (far < np.inf))
+    found = [(np.flatnonzero(free)[i], j)]
+    read = free.sum() * len(ids) * d
+    # The first block of columns for all pairs as one product, the others for the pairs still alive.
+    bound, first = np.flatnonzero(~free), min(COLUMNS, d)
+    partial = (q[bound, :first] ** 2).sum(axis=1)[:, None] + (x[:, :first] ** 2).sum(axis=1)[None, :] - 2 * q[bound, :first] @ x[:, :first].T
+    read += partial.size * first
+    alive = (partial <= limits[bound][:, None] * _slack(first, d) + 1e-9) & (own[bound][:, None] != ids[None, :])
+    i, j = np.nonzero(alive)
+    partial, i = partial[i, j], bound[i]
+    for at in range(first, d, COLUMNS):
+        to = min(d, at + COLUMNS)
+        read += len(i) * (to - at)
+        off = x[j, at:to] - q[i, at:to]
+        partial = partial + np.einsum("ij,ij->i", off, off)
+        keep = partial <= limits[i] * _slack(to, d) + 1e-9
+        i, j, partial = i[keep], j[keep], partial[keep]
+    found.append((i, j))
+    i, j = (np.concatenate(c) for c in zip(*found))
+    score = (vectors[j] * queries[i]).sum(axis=1)
+    order = np.lexsort((ids[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[place < k], j[place < k], score[place < k], read, len(q) * len(ids) * d
+
+
+def _slack(seen: int, d: int) -> float:
+    """How much of the limit the distance over `seen` of d columns may be before a candidate is abandoned."""
+    return (1 + ERRORS / np.sqrt(seen)) ** 2 * seen / d if seen < d else 1 + 1e-9
+
+
+def nearest(vectors: DataFrame, queries, k: int = 20, lists: int | None = None, probes: float = 0.6, sample: int = SAMPLE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score (inner product, in double precision) of each query's k nearest rows.
 
     queries: a condition on id_col. Candidates are all rows but those with the query's own id. Vectors that are null,
@@ -148,10 +167,11 @@ def nearest(vectors: DataFrame, queries, k: int = 20, lists: int | None = None,
     n_queries = asked.count()
     n_bundles = max(1, -(-n_queries // QUERIES))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    first = cut(ask(asked.select("vec_id", "v", F.lit(float("inf")).alias("limit"), F.col("lists")[0].alias("list"))))
+    n_first = max(1, n_probes // 10)
+    first = cut(ask(asked.select("vec_id", "v", F.lit(float("inf")).alias("limit"), F.explode(F.slice("lists", 1, n_first)).alias("list"))))
     # |q - x|^2 = |q|^2 + largest - 2 <q, x>, for a lifted x
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     kth = first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "score")
-    rest = asked.join(kth, "vec_id", "left").select("vec_id", "v", F.coalesce(norm + F.lit(largest) - 2 * F.col("score"), F.lit(float("inf"))).alias("limit"), F.explode(F.slice("lists", 2, max(1, n_probes - 1)) if n_probes > 1 else F.array().cast("array<int>")).alias("list"))
+    rest = asked.join(kth, "vec_id", "left").select("vec_id", "v", F.coalesce(norm + F.lit(largest) - 2 * F.col("score"), F.lit(float("inf"))).alias("limit"), F.explode(F.slice("lists", n_first + 1, n_probes)).alias("list"))
     found = first.unionByName(ask(rest)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")

@@ -11,6 +11,7 @@ with another go on to be signed, joined and verified.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -32,6 +33,11 @@ CHUNK = 4 << 20
 _SENTENCE = re.compile(rb"[^.!?\n]*(?:[.!?]+|\n|\Z)[ \t\r]*").findall
 
 
+def whole_under(threshold: float) -> int:
+    """Below so many shingles a set is similar enough to none but its equal: n of n + 1 is the most that two sets have in common."""
+    return math.ceil(threshold / (1 - threshold) - 1e-9) if threshold < 1 else 1
+
+
 def paragraphs(text: bytes) -> list[bytes]:
     """The text cut into paragraphs; joined they are the text."""
     out, run, last = [], [], None
@@ -59,7 +65,7 @@ def paragraph_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: floa
     are one document to this operator: equal numbers with equal text are the same paragraph. Null and empty texts have
     no paragraphs. Other columns are ignored.
     """
-    bands, few = band_plan(threshold, recall, ROWS), int(1 / (1 - threshold) + 1e-9)
+    bands, few = band_plan(threshold, recall, ROWS), whole_under(threshold)
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("text"))
     texts, n_buckets = chunk_table(own.filter(F.col("doc_id").isNotNull()), CHUNK)

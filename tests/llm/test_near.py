@@ -104,6 +104,17 @@ def test_paragraphs_equal_all_pairs(spark, monkeypatch):
         assert bytes(by[d]["kept"]) == b"".join(x for k, x in enumerate(own) if k not in gone)
 
 
+def test_a_word_more_at_either_end_of_eight(spark):
+    docs = []
+    for k in range(40):
+        w = [f"w{k}x{i}" for i in range(9)]
+        docs += [" ".join(w[:8]), " ".join(w), " ".join(w[1:])]
+        docs += [" ".join([f"v{k}x{i}" for i in range(n)]) for n in (6, 7)]  # 2 of 3 shingles: too few
+    by = {r["doc_id"]: r["n_removed"] for r in paragraph_dedup.digests(frame(spark, docs)).collect()}
+    assert [by[i] for i in range(len(docs))] == [0, 1, 1, 0, 0] * 40
+    assert [paragraph_dedup.whole_under(t) for t in (0.5, 0.8, 0.9, 1.0)] == [1, 4, 9, 1]
+
+
 def test_passages_inside_other_text_are_found(spark):
     rng = random.Random(6)
     sentence = lambda: " ".join(f"s{rng.randrange(99999)}" for _ in range(rng.randrange(4, 13))) + ". "

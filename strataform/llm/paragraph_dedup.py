@@ -2,7 +2,9 @@
 
 A paragraph is a run of sentences within a line. It ends with the line, or after a sentence whose checksum is larger
 than the next one's: borders follow from the sentences around them alone, so a passage that was put into the middle of
-another text has the same paragraphs there as anywhere, but for its first and last.
+another text has the same paragraphs there as anywhere, but for its first and last, which are merged with what is
+around them. So of the text that is left, the shortest runs of whole sentences with 16 words or more are compared as
+well, those that begin and those that end with each sentence: what they cover of an earlier text is cut out, whatever paragraphs it lies in.
 
 The band keys of all paragraphs are looked up first, through the packed exchange: only paragraphs that share a key
 with another go on to be signed, joined and verified.
@@ -14,6 +16,7 @@ import hashlib
 import math
 import re
 import zlib
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,8 @@ ROWS, RECALL = 2, 0.999
 MIN_WORDS = WORDS
 #: Text in a chunk, about.
 CHUNK = 4 << 20
+#: Words from which a run of sentences that occurs before is cut out of any paragraph.
+MIN_PASSAGE = 16
 _SENTENCE = re.compile(rb"[^.!?\n]*(?:[.!?]+|\n|\Z)[ \t\r]*").findall
 
 
@@ -40,28 +45,65 @@ def whole_under(threshold: float) -> int:
 
 def paragraphs(text: bytes) -> list[bytes]:
     """The text cut into paragraphs; joined they are the text."""
+    return [b"".join(run) for run in _sentences(text)]
+
+
+def _sentences(text: bytes) -> list[list[bytes]]:
+    """The sentences of each paragraph."""
     out, run, last = [], [], None
     for s in _SENTENCE(text):
         if not s:
             continue
         sum_ = zlib.crc32(s.strip())
         if last is not None and last > sum_:
-            out.append(b"".join(run))
+            out.append(run)
             run = []
         run.append(s)
         last = sum_
         if b"\n" in s:
-            out.append(b"".join(run))
+            out.append(run)
             run, last = [], None
-    return [*out, b"".join(run)] if run else out
+    return [*out, run] if run else out
+
+
+def passages(text: bytes) -> list[tuple[int, int, bytes]]:
+    """(first, end, name) of the shortest runs of MIN_PASSAGE words or more that begin or end with each sentence, sentences numbered through the text. None begins or ends with a blank one.
+
+    They cover each run of sentences with so many words, whatever is around it: what the one that begins it leaves
+    out has the words before it to end with.
+    """
+    each = [s.split() for run in _sentences(text) for s in run]
+    sums = [0, *accumulate(map(len, each))]
+    spans, end = set(), 0
+    for first, words in enumerate(each):
+        while end < len(each) and sums[end] - sums[first] < MIN_PASSAGE:
+            end += 1
+        if sums[end] - sums[first] < MIN_PASSAGE:
+            break
+        if words:
+            spans.add((first, end))
+    first = 0
+    for end, words in enumerate(each, 1):
+        while sums[end] - sums[first + 1] >= MIN_PASSAGE:
+            first += 1
+        if words and sums[end] - sums[first] >= MIN_PASSAGE:
+            spans.add((first, end))
+    joined = [b" ".join(x) for x in each]
+    return [(a, b, hashlib.blake2b(b" ".join(filter(None, joined[a:b])), digest_size=16).digest()) for a, b in sorted(spans)]
+
+
+def _eights(names: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(names), dtype="<u8")[::2]
 
 
 def paragraph_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(copies, cleared). copies: (doc_id, paragraph, keep_doc, keep_paragraph) of every paragraph to remove, a near
-    copy of another; cleared: (doc_id, n_paragraphs, n_removed, removed, kept) of every row, kept being the bytes left.
+    copy of another; cleared: (doc_id, n_paragraphs, n_removed, removed, passages, kept) of every row: the numbers of the
+    paragraphs removed, (at, size) in bytes of the passages cut out of others, how many both are, and the bytes left.
 
     Paragraphs are numbered from 0; those of under five words are left alone. Of a component the paragraph with the
-    smallest (doc_id, number) stays. A row whose doc_id is null is neither compared nor cut. Rows that repeat a doc_id
+    smallest (doc_id, number) stays. Then runs of sentences that are word by word the same as one that is left in a
+    smaller (doc_id, place) are passages to cut out: a sentence goes if an earlier such run still has it. A row whose doc_id is null is neither compared nor cut. Rows that repeat a doc_id
     are one document to this operator: equal numbers with equal text are the same paragraph. Null and empty texts have
     no paragraphs. Other columns are ignored.
     """
@@ -89,7 +131,7 @@ def paragraph_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: floa
         return mix(keys.values.to_numpy().astype(np.uint64) + mix(band.astype(np.uint64) + np.uint64(1))), which
 
     def send(key, table):
-        names = [np.empty(0, np.uint64), *(key_names(keys)[0] for *_, keys in signed(table))]
+        names = [np.empty(0, np.uint64), *(key_names(keys)[0] for *_, keys in signed(table)), *(_eights([x[2] for x in passages(t)]) for t in table.column("text").to_pylist())]
         names, n = np.unique(np.concatenate(names), return_counts=True)
         names = np.repeat(names, np.minimum(n, 2))  # two copies say that the chunk alone has it twice
         return deal(names, short(names), n_buckets, key[0].as_py())
@@ -141,23 +183,76 @@ def paragraph_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: floa
     place = F.struct("doc_id", "paragraph")
     gone = cut(sigs.select("chunk", "doc_id", "paragraph", "key").join(kept, "key").filter(place != F.col("keep")).select("chunk", "doc_id", "paragraph", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.paragraph").alias("keep_paragraph")))
 
-    def clear(key, table, found):
+    def removed(found) -> dict:
+        """The numbers of each document's removed paragraphs."""
         off: dict = {}
         for i, k in zip(found.column("doc_id").to_pylist(), found.column("paragraph").to_pylist()):
-            off.setdefault(i, set()).add(k)
-        n, removed, left = [], [], []
+            if k is not None:
+                off.setdefault(i, set()).add(k)
+        return off
+
+    def met_passages(key, table, found):
+        """The sentences outside of removed paragraphs in runs that occur twice: where each is, and its place in the run."""
+        off = removed(found)
+        known = np.sort(np.concatenate([np.empty(0, "<u8"), *(np.frombuffer(x.as_buffer(), "<u8") for x in found.column("records") if x.is_valid)]))
+        row, at, place, name = [], [], [], []
+        for r, (i, text) in enumerate(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist())) if len(known) else ():
+            got = passages(text)
+            if not got:
+                continue
+            mark = marked(_eights([x[2] for x in got]), n_buckets)
+            on = np.flatnonzero(known[np.minimum(np.searchsorted(known, mark), len(known) - 1)] == mark)
+            if len(on):
+                gone_ = off.get(i, ())
+                live = [k not in gone_ and bool(s.strip()) for k, run in enumerate(_sentences(text)) for s in run]
+                for first, end, x in (got[k] for k in on):
+                    for k in range(first, end):
+                        if live[k]:
+                            row.append(r), at.append(k), place.append(k - first), name.append(x)
+        ids = table.column("doc_id").take(pa.array(row, pa.int64()))
+        return pa.table({"chunk": pa.array([key[0].as_py()] * len(row), pa.int32()), "doc_id": ids, "at": pa.array(at, pa.int32()), "place": pa.array(place, pa.int32()), "name": pa.array(name, pa.binary())})
+
+    places = gone.select("chunk", "doc_id", "paragraph")
+    runs = cut(by_chunk.cogroup(places.unionByName(shared, allowMissingColumns=True).groupBy("chunk")).applyInArrow(met_passages, f"chunk int, doc_id {kind}, at int, place int, name binary"))
+    before = runs.groupBy("name", "place").agg(F.min(F.struct("doc_id", "at")).alias("before"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    again = cut(runs.join(before, ["name", "place"]).filter(F.struct("doc_id", "at") != F.col("before")).select("chunk", "doc_id", "at", "place", "name"))
+
+    def clear(key, table, found):
+        off, sentences = removed(found), {}
+        for i, *x in zip(*(found.column(c).to_pylist() for c in ("doc_id", "at", "place", "name"))):
+            if x[0] is not None:
+                sentences.setdefault(i, []).append(x)
+        n, gone_, cuts, left = [], [], [], []
         for i, text in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()):
-            own_ = paragraphs(text)
+            own_ = _sentences(text)
             mine = sorted(k for k in off.get(i, ()) if k < len(own_))
-            n.append(len(own_)), removed.append(mine)
-            left.append(b"".join(p for k, p in enumerate(own_) if k not in off[i]) if mine else text)
-        return pa.table({"doc_id": table.column("doc_id"), "n_paragraphs": pa.array(n, pa.int64()), "n_removed": pa.array([len(x) for x in removed], pa.int64()), "removed": pa.array(removed, pa.list_(pa.int32())), "kept": pa.array(left, pa.binary())})
+            n.append(len(own_)), gone_.append(mine)
+            if not mine and i not in sentences:
+                cuts.append([]), left.append(text)
+                continue
+            of, flat = [k for k, run in enumerate(own_) for _ in run], [s for run in own_ for s in run]
+            names = {(first, name) for first, _, name in passages(text)} if i in sentences else set()
+            again_ = {k for k, place, name in sentences.get(i, ()) if (k - place, name) in names}  # rows that repeat an id may have other texts
+            drop_ = [k in again_ for k in range(len(flat))]
+            whole, spans, at, open_ = set(mine), [], 0, False
+            for s, k, x in zip(flat, of, drop_):
+                x = x and k not in whole
+                if x and open_:
+                    spans[-1]["size"] += len(s)
+                elif x:
+                    spans.append({"at": at, "size": len(s)})
+                at, open_ = at + len(s), x
+            cuts.append(spans), left.append(b"".join(s for s, k, x in zip(flat, of, drop_) if k not in whole and not x))
+        count = [len(a) + len(b) for a, b in zip(gone_, cuts)]
+        return pa.table({"doc_id": table.column("doc_id"), "n_paragraphs": pa.array(n, pa.int64()), "n_removed": pa.array(count, pa.int64()), "removed": pa.array(gone_, pa.list_(pa.int32())), "passages": pa.array(cuts, pa.list_(pa.struct([("at", pa.int32()), ("size", pa.int32())]))), "kept": pa.array(left, pa.binary())})
 
-    cleared = by_chunk.cogroup(gone.groupBy("chunk")).applyInArrow(clear, f"doc_id {kind}, n_paragraphs bigint, n_removed bigint, removed array<int>, kept binary")
-    aside = own.filter(F.col("doc_id").isNull()).select("doc_id", F.lit(0).cast("long").alias("n_paragraphs"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<int>").alias("removed"), F.col("text").alias("kept"))
+    found = places.unionByName(again, allowMissingColumns=True)
+    spans = "array<struct<at: int, size: int>>"
+    cleared = by_chunk.cogroup(found.groupBy("chunk")).applyInArrow(clear, f"doc_id {kind}, n_paragraphs bigint, n_removed bigint, removed array<int>, passages {spans}, kept binary")
+    aside = own.filter(F.col("doc_id").isNull()).select("doc_id", F.lit(0).cast("long").alias("n_paragraphs"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<int>").alias("removed"), F.array().cast(spans).alias("passages"), F.col("text").alias("kept"))
     return gone.drop("chunk"), cleared.unionByName(aside)
 
 
 def digests(docs: DataFrame, **columns) -> DataFrame:
-    """doc_id, n_paragraphs, n_removed, removed and kept_sha256 of every row."""
-    return paragraph_copies(docs, **columns)[1].select("doc_id", "n_paragraphs", "n_removed", "removed", F.sha2("kept", 256).alias("kept_sha256"))
+    """doc_id, n_paragraphs, n_removed, removed, passages and kept_sha256 of every row."""
+    return paragraph_copies(docs, **columns)[1].select("doc_id", "n_paragraphs", "n_removed", "removed", "passages", F.sha2("kept", 256).alias("kept_sha256"))

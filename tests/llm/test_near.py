@@ -132,6 +132,39 @@ def test_passages_inside_other_text_are_found(spark):
     assert hits >= 55 and not any(by[2 * k] for k in range(60))
 
 
+def test_passages_of_whole_sentences_lose_every_word(spark):
+    rng = random.Random(9)
+    sentence = lambda: " ".join(f"s{rng.randrange(99999)}" for _ in range(rng.randrange(4, 13))) + ". "
+    docs, passages = [], []
+    for _ in range(60):
+        passage = []
+        while sum(len(s.split()) for s in passage) < 20:
+            passage.append(sentence())
+        passages.append(passage)
+        docs += ["".join([*(sentence() for _ in range(4)), *passage, *(sentence() for _ in range(4))]) for _ in range(2)]
+    rows = paragraph_dedup.paragraph_copies(frame(spark, [*docs, docs[0]]))[1].collect()
+    kept = {r["doc_id"]: bytes(r["kept"]).decode() for r in rows}
+    by = {r["doc_id"]: r for r in rows}
+    for k, passage in enumerate(passages):
+        assert kept[2 * k] == docs[2 * k] and by[2 * k]["n_removed"] == 0
+        assert not any(s in kept[2 * k + 1] for s in passage)
+        r, text = by[2 * k + 1], docs[2 * k + 1].encode()
+        own = [p if i not in r["removed"] else b"" for i, p in enumerate(paragraph_dedup.paragraphs(text))]
+        assert len(b"".join(own)) - sum(x["size"] for x in r["passages"]) == len(kept[2 * k + 1])
+    assert kept[120] == ""
+
+
+def test_passages_of_rows_that_repeat_an_id(spark):
+    p = "one two three four five six seven eight nine. " * 2
+    q = " ".join(f"q{i}" for i in range(20)) + ". "
+    a = " ".join(f"a{i}" for i in range(30))
+    docs = [(1, "ab cd. " + p + a), (1, "ab cd. " + p + a), (2, "xy. " + q + "z z. " + p), (2, q + " b" + a)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    kept = sorted((r["doc_id"], bytes(r["kept"]).decode()) for r in paragraph_dedup.paragraph_copies(df)[1].collect())
+    assert [k for i, k in kept if i == 1] == [docs[0][1]] * 2
+    assert sum(q.strip() in k for i, k in kept if i == 2) == 1 and not any(p in k for i, k in kept if i == 2)
+
+
 def test_paragraphs_join_to_the_text_and_odd_rows(spark):
     rng = random.Random(1)
     for _ in range(300):

@@ -1,8 +1,7 @@
 """Language-model scoring with a hierarchical Pitman-Yor model of word pairs.
 
-Every word that comes often enough is a context with a Chinese restaurant of its own: its customers are the words
-that follow it, and each of its tables is a customer of the parent restaurant, which all contexts share; words after
-rarer ones are customers of the parent directly. Tables of the parent draw from the uniform base over the vocabulary
+Every word that was learned is a context with a Chinese restaurant of its own: its customers are the words that follow
+it, and each of its tables is a customer of the parent restaurant, which all contexts share. Tables of the parent draw from the uniform base over the vocabulary
 and one unknown word.
 
 Counts decide where customers sit: how many tables c customers of one dish take depends on c and on the weight of a
@@ -26,8 +25,8 @@ from strataform.llm._shared import cut, mix, slices, words
 
 #: Text in a chunk, about.
 CHUNK = 8 << 20
-#: Occurrences from which a word has a restaurant of its own.
-MIN_CONTEXT = 50
+#: Occurrences from which a word has a restaurant of its own: words after rarer ones are customers of the parent directly.
+MIN_CONTEXT = 1
 DISCOUNT, STRENGTH = 0.75, 5.0
 END = int(mix(np.array([1], dtype=np.uint64))[0])
 #: Sampled seatings: numbers of customers, and powers of two for the weight of a new table.
@@ -285,7 +284,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, min_context: int = MIN
         found, at = _find(seats, marked(distinct, n_buckets))
         left = np.where(found, seats["n"][at] - discount * seats["tables"][at] if len(seats) else 0, mine * (1 - discount))
         found, at = _find(up, marked(before[on], n_buckets))
-        tables = np.where(found, up["tables"][at] if len(up) else 0, 0)
+        tables = np.where(found, up["tables"][at] if len(up) else 0, c_before[on] == 1)  # a word learned once: one customer, one table
         p[on] = (left[which] + (strength + discount * tables) * p[on]) / (strength + c_before[on])
         rows = len(train)
         add = lambda x: np.bincount(row, weights=x, minlength=rows)

@@ -86,6 +86,24 @@ def test_shares_of_a_small_model(spark):
     assert got[held[0]] > got[held[1]] > got[held[2]] > got[held[3]] > got[held[5]]
 
 
+def test_rare_contexts_have_restaurants(spark):
+    """What followed a word that was learned once or twice is likelier after it, and the shares after it add up."""
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = iter([i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 == 2])
+    rows = list(zip(ids, ["once a", "twice a", "twice a", *["a", "b"] * 20, *["b x"] * 3]))
+    ask = {t: next(held) for t in ("once a", "once b", "twice a", "twice b", "new a", "new b", "once", "new", "once zzz", "new zzz")}
+    got = {r["doc_id"]: r["score"] for r in run(spark, rows + [(i, t) for t, i in ask.items()])}
+    more = {u: got[ask[f"{u} a"]] - got[ask[f"{u} b"]] for u in ("once", "twice", "new")}
+    assert more["twice"] > more["once"] > more["new"] + 0.01
+    # after "once": 1 - discount of a customer, and the parent's shares by strength + discount, of strength + 1
+    ratio = lambda u, w: 10 ** (got[ask[f"{u}{w}"]] - got[ask[f"new{w}"]])
+    assert math.isclose(ratio("once", " b"), ratio("once", ""), rel_tol=1e-9) and math.isclose(ratio("once", " b"), ratio("once", " zzz"), rel_tol=1e-9)
+    d, s = pitman_yor.DISCOUNT, pitman_yor.STRENGTH
+    p_a = (1 - d) / (s + d) / (ratio("once", " a") / ratio("once", " b") - 1)  # the parent's share of "a" that follows from it
+    x = p_a * (ratio("twice", " a") / ratio("twice", " b") - 1)  # (2 - d t) / (s + d t) of two customers at t tables
+    assert 0 < p_a < 1 and 1 <= (2 - s * x) / (d * (1 + x)) <= 2
+
+
 def test_expected_tables():
     t = pitman_yor.expected_tables()
     assert (t[0] == 1).all() and (t >= 1).all() and (t <= pitman_yor.SEATED[:, None]).all()

@@ -19,16 +19,28 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.with_language(docs).filter(F.col("lang_pred") != "und").select(*docs.columns)
 
 
+def _one_each(rows: DataFrame, stay: DataFrame) -> DataFrame:
+    """Of the rows whose _key is in stay one for each _key: that with the longest text, then the first by its columns."""
+    columns = [x for x in rows.columns if x != "_key"]
+    held = rows.join(stay.distinct(), "_key", "left_semi")
+    first = F.min(F.struct((-F.char_length("text")).alias("_n"), "text", *(x for x in columns if x != "text"))).alias("_row")
+    return held.groupBy("_key").agg(first).select(*(F.col(f"_row.{x}").alias(x) for x in columns))
+
+
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for white space, the longest stays."""
-    stay = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id")
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    """Of texts that are equal but for white space, the longest stays, then the one with the smallest doc_id; one row of each group, with a null doc_id only if no other is as long. Rows that repeat a doc_id are rows like others."""
+    key = F.struct(F.col("text_sha256"), F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id")).alias("_key")
+    stay = exact_dedup.exact_dedup(docs).filter("kept").select(key)
+    own = docs.withColumn("text_sha256", F.sha2(exact_dedup.squeeze(F.col("text")).cast("binary"), 256)).select(*docs.columns, key)
+    return _one_each(own, stay)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that similar n-gram sets link, the one with the smallest doc_id stays."""
-    stay = ngram_join.ngram_join(docs).filter("doc_id = class_id").select("doc_id")
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    """Of documents that similar n-gram sets link, the one with the smallest doc_id stays; one row of each group, with a null doc_id only if all are null. Rows that repeat a doc_id are told apart by their text."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text"))
+    own = docs.withColumn("_key", key)
+    stay = ngram_join.ngram_join(own.select("_key", "text"), id_col="_key").filter("doc_id = class_id").select(F.col("doc_id").alias("_key"))
+    return _one_each(own, stay)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,3 +58,18 @@ def test_stages_keep_the_columns(spark):
         docs = stage(spark, docs, "")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert [(r["doc_id"], r["text"]) for r in docs.collect()] == [(1, "one  two three")]
+
+
+def test_null_and_repeated_ids_keep_one_row_of_each_group(spark):
+    w = [f"word{i}" for i in range(60)]
+    near = " ".join([*w[:30], "changed", *w[31:]])
+    a, b, c, d = " ".join(w), "some clean text that nobody else has at all", "another clean text without an id of its own", " ".join(f"other{i}" for i in range(60))
+    changed = d.replace("other30", "changed")
+    rows = [(None, b), (None, c), (None, c), (5, a), (5, a), (5, d), (7, near), (None, near), (3, changed), (8, d + " ")]
+    docs = spark.createDataFrame([(i, t, "en", None, len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    order = lambda rows: sorted(((r["doc_id"] or 0, r["text"]) for r in rows))
+    first = corpus_pipeline.copies(spark, docs, "")
+    assert order(first.collect()) == sorted([(0, b), (0, c), (5, a), (7, near), (3, changed), (8, d + " ")])
+    want = sorted([(0, b), (0, c), (5, a), (3, changed)])
+    assert order(corpus_pipeline.near_copies(spark, first, "").collect()) == want
+    assert order(corpus_pipeline.near_copies(spark, docs, "").collect()) == want  # 5 has a text that goes and one that stays

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -61,14 +63,15 @@ def pareto_front(df: DataFrame, objectives: list[str]) -> DataFrame:
     return rows
 
 
-def front_ranks(df: DataFrame, row_id: str, objectives: list[str], most: int = 50) -> DataFrame:
-    """(row_id, front): fronts peeled off one after another, from 0; rows beyond `most` fronts have -1. Each round writes what is left."""
+def front_ranks(df: DataFrame, row_id: str, objectives: list[str], most: int | None = None) -> DataFrame:
+    """(row_id, front): fronts peeled off one after another, from 0; rows beyond `most` fronts, if given, have -1. Each round writes what is left."""
     left, out = cut(df.dropna(subset=objectives).select(row_id, *objectives)), None
-    for n in range(most):
+    for n in count() if most is None else range(most):
         front = cut(pareto_front(left, objectives).select(row_id))
         part = front.withColumn("front", F.lit(n))
         out = part if out is None else out.unionByName(part)
-        left = cut(left.join(front, row_id, "left_anti"))
+        done = front.withColumnRenamed(row_id, "_done")
+        left = cut(left.join(done, F.col(row_id).eqNullSafe(F.col("_done")), "left_anti"))
         if left.isEmpty():
             return out
     return out.unionByName(left.select(row_id, F.lit(-1).alias("front")))

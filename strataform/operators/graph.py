@@ -5,6 +5,8 @@ A round's frontier is written to the shared folder, so lineage doesn't grow with
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,13 +59,13 @@ def depths(edges: DataFrame, roots: DataFrame, most: int) -> DataFrame:
     return seen
 
 
-def shortest_path(edges: DataFrame, start, goal, most: int = 64) -> list:
-    """The nodes of a shortest directed path, [] if there is none within `most` steps; edges: a, b, position. Of parents as near, the one whose edge comes first."""
+def shortest_path(edges: DataFrame, start, goal, most: int | None = None) -> list:
+    """The nodes of a shortest directed path, [] if there is none (within `most` steps, if given); edges: a, b, position. Of parents as near, the one whose edge comes first."""
     if start == goal:
         return [start]
     spark = edges.sparkSession
     seen = cut(spark.createDataFrame([(start,)], "key bigint").withColumns({"parent": F.lit(None).cast("bigint"), "depth": F.lit(0)}))
-    for depth in range(1, most + 1):
+    for depth in count(1) if most is None else range(1, most + 1):
         front = seen.filter(F.col("depth") == depth - 1).select(F.col("key").alias("a"))
         new = edges.join(front, "a").groupBy(F.col("b").alias("key")).agg(F.min_by("a", "position").alias("parent")).join(seen.select("key"), "key", "left_anti").withColumn("depth", F.lit(depth))
         seen = cut(seen.unionByName(new))

@@ -302,3 +302,11 @@ def test_features(spark):
     assert math.isclose(one(spark, features.smooth_union([F.lit(0.1), F.lit(0.1)], 0.2)), 0.05)
     assert one(spark, F.size(features.log_axes([]))) == 0
     assert features.last_by(spark.range(5).withColumn("k", F.lit(1)), "k", "id").first()["id"] == 4
+
+
+def test_long_paths_and_many_fronts(spark):
+    from inspect import signature
+
+    chain = spark.createDataFrame([(i, i + 1, i) for i in range(6)], "a long, b long, position long")
+    assert graph.shortest_path(chain, 0, 6) == list(range(7)) and graph.shortest_path(chain, 0, 6, 5) == [] and graph.shortest_path(chain, 6, 0) == []
+    assert signature(graph.shortest_path).parameters["most"].default is None and signature(decision.front_ranks).parameters["most"].default is None

@@ -67,27 +67,31 @@ def _sentences(text: bytes) -> list[list[bytes]]:
 
 
 def passages(text: bytes) -> list[tuple[int, int, bytes]]:
-    """(first, end, name) of the shortest runs of MIN_PASSAGE words or more that begin or end with each sentence, sentences numbered through the text. None begins or ends with a blank one.
+    """(first, end, name) of the shortest runs of MIN_PASSAGE words or more that begin or end with each sentence, within a line, sentences numbered through the text. None begins or ends with a blank one.
 
     They cover each run of sentences with so many words, whatever is around it: what the one that begins it leaves
     out has the words before it to end with.
     """
-    each = [s.split() for run in _sentences(text) for s in run]
+    flat = [s for run in _sentences(text) for s in run]
+    each = [s.split() for s in flat]
     sums = [0, *accumulate(map(len, each))]
-    spans, end = set(), 0
-    for first, words in enumerate(each):
-        while end < len(each) and sums[end] - sums[first] < MIN_PASSAGE:
-            end += 1
-        if sums[end] - sums[first] < MIN_PASSAGE:
-            break
-        if words:
-            spans.add((first, end))
-    first = 0
-    for end, words in enumerate(each, 1):
-        while sums[end] - sums[first + 1] >= MIN_PASSAGE:
-            first += 1
-        if words and sums[end] - sums[first] >= MIN_PASSAGE:
-            spans.add((first, end))
+    spans, low = set(), 0
+    for high in [*(k for k, s in enumerate(flat, 1) if b"\n" in s), len(flat)]:  # a line
+        end = low
+        for first in range(low, high):
+            while end < high and sums[end] - sums[first] < MIN_PASSAGE:
+                end += 1
+            if sums[end] - sums[first] < MIN_PASSAGE:
+                break
+            if each[first]:
+                spans.add((first, end))
+        first = low
+        for end in range(low + 1, high + 1):
+            while sums[end] - sums[first + 1] >= MIN_PASSAGE:
+                first += 1
+            if each[end - 1] and sums[end] - sums[first] >= MIN_PASSAGE:
+                spans.add((first, end))
+        low = high
     joined = [b" ".join(x) for x in each]
     return [(a, b, hashlib.blake2b(b" ".join(filter(None, joined[a:b])), digest_size=16).digest()) for a, b in sorted(spans)]
 

@@ -15,25 +15,54 @@ from pyspark.sql import functions as F
 
 from strataform.llm._shared import partitions, shared_dir
 
-#: Text in a bucket of the text table, about.
-BUCKET = 16 << 20
-DEALT, BACK = "bucket int, chunk int, records binary", "chunk int, records binary"
+#: Text in a bucket of the text table, about, and the size of a table from which buckets and chunks grow with its root,
+#: so that the pieces that chunks and buckets exchange neither grow in number with the table's square nor shrink.
+BUCKET, GROWS = 16 << 20, 64 << 30
+DEALT, BACK, REPLY = "bucket int, chunk int, records binary", "chunk int, records binary", "chunk int, bucket int, values binary"
 
 
 def chunk_table(own: DataFrame, chunk: int) -> tuple[DataFrame, int]:
-    """own (doc_id, text binary, ...) with `chunk`, about that many bytes each, as a table bucketed by chunk: grouping by chunk doesn't shuffle it again. And its number of buckets. Rows of one doc_id are in one chunk."""
+    """own (doc_id, text binary, ...) with `chunk`, about that many bytes each (more in a very large table), as a table bucketed by chunk: grouping by chunk doesn't shuffle it again. And its number of buckets. Rows are dealt by id and text, so neither rows without an id nor copies share a chunk."""
     spark = own.sparkSession
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(partitions(spark), total // BUCKET)
-    dealt = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // chunk))).cast("int"))
+    larger = min(16.0, max(1.0, (total / GROWS) ** 0.5))
+    n = max(partitions(spark), int(total / (BUCKET * larger)))
+    dealt = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, int(total / (chunk * larger))))).cast("int"))
     return bucketed(dealt, n), n
 
 
-def bucketed(df: DataFrame, buckets: int) -> DataFrame:
-    """df written as a table bucketed by chunk, which later groupings and joins by chunk don't shuffle."""
-    name = f"strataform_{uuid.uuid4().hex}"
-    df.repartition(buckets, "chunk").write.option("path", f"{shared_dir(df.sparkSession)}/{name}").option("compression", "zstd").bucketBy(buckets, "chunk").saveAsTable(name)
-    return df.sparkSession.table(name)
+def bucketed(df: DataFrame, buckets: int, by: str = "chunk") -> DataFrame:
+    """df written as a table bucketed by a column, which later groupings and joins by it don't shuffle. The catalogue doesn't keep its name; its files stay."""
+    spark, name = df.sparkSession, f"strataform_{uuid.uuid4().hex}"
+    df.repartition(buckets, by).write.option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").bucketBy(buckets, by).saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # noqa: B018  resolved before the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+class Split:
+    """How distinct names in order are dealt to buckets: a chunk asks about each once, and gets answers in that order."""
+
+    def __init__(self, names: np.ndarray, buckets: int):
+        bucket = (names % np.uint64(buckets)).astype(np.int32)
+        self.order = np.argsort(bucket, kind="stable")
+        ordered = bucket[self.order]
+        self.starts = np.flatnonzero(np.diff(ordered, prepend=-1))
+        self.buckets = ordered[self.starts]
+
+    def rows(self, chunk: int, **columns: np.ndarray) -> pa.Table:
+        """Rows (bucket, chunk, columns as bytes) of the columns, which are in the names' order."""
+        ends = [*self.starts[1:], len(self.order)]
+        dealt = {k: [v[self.order[a:b]].tobytes() for a, b in zip(self.starts, ends)] for k, v in columns.items()}
+        return pa.table({"bucket": pa.array(self.buckets, pa.int32()), "chunk": pa.array([chunk] * len(self.buckets), pa.int32())} | {k: pa.array(v, pa.binary()) for k, v in dealt.items()})
+
+    def answers(self, found: pa.Table, kind) -> np.ndarray:
+        """The answers of all buckets (rows of REPLY), in the names' order."""
+        parts = [np.frombuffer(x.as_buffer(), dtype=kind) for x in found.sort_by("bucket").column("values")]
+        out = np.empty(len(self.order), kind)
+        out[self.order] = np.concatenate(parts) if parts else np.empty(0, kind)
+        return out
 
 
 def runs(*keys: np.ndarray) -> np.ndarray:

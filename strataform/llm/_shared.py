@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strataform.tables import cut, drop, shared_dir  # noqa: F401
 
@@ -19,18 +22,34 @@ LOWER[65:91] += 32
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
 
+def order_numbers(ids: DataFrame) -> DataFrame:
+    """(doc_id, place) of the distinct ids that aren't null: numbers in the ids' order, without gathering them anywhere."""
+    spark = ids.sparkSession
+    ordered = cut(ids.filter(F.col("doc_id").isNotNull()).distinct().repartitionByRange(partitions(spark), "doc_id").withColumn("part", F.spark_partition_id()))
+    base, bases = 0, []
+    for r in ordered.groupBy("part").count().orderBy("part").collect():  # a row a partition
+        bases.append((r["part"], base))
+        base += r["count"]
+    starts = F.broadcast(spark.createDataFrame(bases, "part int, base bigint"))
+    return ordered.join(starts, "part").select("doc_id", (F.row_number().over(Window.partitionBy("part").orderBy("doc_id")) + F.col("base") - 1).alias("place"))
+
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = {}
+_powers: dict[int, np.ndarray] = {}
+#: Powers that a worker keeps.
+KEPT = 1 << 21
 
 
 def powers(n: int, base: int = _BASE) -> np.ndarray:
     """base**i modulo 2**64 for i < n."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16) * 5 // 4, base, dtype=np.uint64)
+        have = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         have[0] = 1
-        _powers[base] = have = np.cumprod(have, dtype=np.uint64)
+        have = np.cumprod(have, dtype=np.uint64)
+        if n <= KEPT:  # those of a very long text go with it
+            _powers[base] = have
     return have[:n]
 
 
@@ -41,7 +60,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(lengths: np.ndarray, most: int = 1 << 20):
+#: Text that is worked on at once: what is made of it is many times its size.
+SLICE = 1 << 18
+
+
+def slices(lengths: np.ndarray, most: int = SLICE):
     """Ranges of consecutive items of about `most` bytes together, one item at least: working memory doesn't follow the batch."""
     at, n = 0, len(lengths)
     ends = np.cumsum(lengths)
@@ -52,6 +75,13 @@ def slices(lengths: np.ndarray, most: int = 1 << 20):
         at = to
 
 
+def text_slices(batch, column: str, most: int = SLICE):
+    """(at, to, texts) of consecutive rows of a record batch: only so much of its text at a time becomes Python objects. Null is None."""
+    texts = batch.column(column)
+    for at, to in slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), most):
+        yield at, to, texts.slice(at, to - at).to_pylist()
+
+
 def words(data: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of every text, in order, and the offset of each text's first word (one more at the end)."""
     joined = np.frombuffer(b"\n".join(data) + b"\n", dtype=np.uint8)

@@ -1,14 +1,17 @@
 """Language-model scoring with a hierarchical Pitman-Yor model of word pairs.
 
 Every word that was learned is a context with a Chinese restaurant of its own: its customers are the words that follow
-it, and each of its tables is a customer of the parent restaurant, which all contexts share. Tables of the parent draw from the uniform base over the vocabulary
-and one unknown word.
-
-Counts decide where customers sit: how many tables c customers of one dish take depends on c and on the weight of a
-new table alone, once the parent and the totals are held. expected_tables() samples such seatings by Gibbs (seat
-all one by one, then take each out and seat it anew) and averages over sweeps; the average goes into the predictive probabilities, which are
-linear in the number of tables. One pass from the contexts up to the parent is made, with the parent's probabilities
-for new tables taken from word counts.
+it, and each of its tables is a customer of the parent restaurant, which all contexts share. Tables of the parent draw
+from the uniform base over the vocabulary and one unknown word.
+
+Seatings are sampled by Gibbs, all customers of one dish of a restaurant at a time: how many tables they take is drawn
+from its distribution given the other tables of the restaurant and the dish's probability at the parent. In a round
+every context does so, then the parent, which the contexts see in the next round: sums are one round old, as in other
+distributed samplers. The first rounds are thrown away; predictive probabilities are averaged over the rest.
+
+Word pairs and words are counted in buckets, by 64-bit names. A chunk of documents asks a bucket once for each name
+that it holds, and gets its answers in the order of its questions. Random numbers are hashes of a pair's name and the
+round, so every chunk that holds a pair draws the same seating; one of them reports it.
 """
 
 from __future__ import annotations
@@ -20,118 +23,122 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataform.llm._exchange import BACK, DEALT, back, chunk_table, deal, marked, read, runs, short, wide
-from strataform.llm._shared import cut, mix, slices, words
+from strataform.llm._exchange import REPLY, Split, bucketed, chunk_table
+from strataform.llm._shared import cut, drop, mix, slices, words
 
 #: Text in a chunk, about.
 CHUNK = 8 << 20
-#: Occurrences from which a word has a restaurant of its own: words after rarer ones are customers of the parent directly.
-MIN_CONTEXT = 1
 DISCOUNT, STRENGTH = 0.75, 5.0
+#: Rounds of sampling, and how many of them, the last ones, are averaged.
+ROUNDS, SAMPLES = 6, 3
 END = int(mix(np.array([1], dtype=np.uint64))[0])
-#: Sampled seatings: numbers of customers, and powers of two for the weight of a new table.
-SEATED = np.array([1, 2, 3, 4, 5, 6, 8, 10, 13, 17, 22, 29, 38, 50, 65, 85, 110, 143, 186, 242, 315, 410])
-WEIGHTS = np.arange(-24, 13, 2)
+#: Customers of a dish up to which the distribution of their tables is tabulated; beyond, its saddle point gives mean and variance.
+TABULATED = 100
+_ANSWER = np.dtype([("n", "<i8"), ("customers", "<i8"), ("own", "<i8"), ("tables", "<i8")])
+_SUMS = np.dtype([("customers", "<i8"), ("tables", "<i8")])
+_DEALT = "bucket int, chunk int, values binary"
 
 
 @cache
-def expected_tables(discount: float = DISCOUNT, sweeps: int = 16, burn_in: int = 4, seed: int = 3) -> np.ndarray:
-    """Average number of tables of SEATED customers of one dish for each weight 2**WEIGHTS of a new table, by Gibbs sampling."""
-    rng, weight, n = np.random.default_rng(seed), 2.0**WEIGHTS, len(WEIGHTS)
-    out, rows = np.ones((len(SEATED), n)), np.arange(n)
-    for place, c in enumerate(SEATED[1:], 1):
-        table, size = np.zeros((n, c), dtype=np.int64), np.zeros((n, c), dtype=np.int64)
-        free, top = np.tile(np.arange(c)[::-1], (n, 1)), np.full(n, c)  # numbers of tables that nobody sits at
-        tables, total = np.zeros(n, dtype=np.int64), np.zeros(n)
-        for sweep in range(-1, sweeps):  # before the first, customers come in and sit down one by one
-            for i in range(c):
-                others = i if sweep < 0 else c - 1
-                if sweep >= 0:
-                    old = table[:, i]
-                    size[rows, old] -= 1
-                    left = size[rows, old] == 0
-                    free[rows[left], top[left]] = old[left]
-                    top[left] += 1
-                    tables = tables - left
-                new = rng.random(n) * (weight + others - discount * tables) < weight if others else np.ones(n, dtype=bool)
-                to, unsure = np.zeros(n, dtype=np.int64), ~new
-                while unsure.any():  # a table by its size less the discount: that of a random customer, or again
-                    other = rng.integers(others, size=n)
-                    pick = table[rows, other + (other >= i)]
-                    took = unsure & (rng.random(n) * size[rows, pick] >= discount)
-                    to[took] = pick[took]
-                    unsure &= ~took
-                top[new] -= 1
-                to[new] = free[rows[new], top[new]]
-                table[:, i] = to
-                size[rows, to] += 1
-                tables = tables + new
-            if sweep >= burn_in:
-                total += tables
-        out[place] = total / (sweeps - burn_in)
+def _log_seatings(discount: float, most: int = TABULATED) -> np.ndarray:
+    """[c, t]: the log of the summed weights of all seatings of c customers of one dish at t tables (generalised Stirling numbers)."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[1, 1] = 0.0
+    with np.errstate(divide="ignore"):
+        for c in range(1, most):
+            t = np.arange(1, c + 2)
+            out[c + 1, 1 : c + 2] = np.logaddexp(out[c, t - 1], np.log(np.maximum(c - discount * t, 0)) + out[c, t])
     return out
 
 
-def tables_of(c: np.ndarray, weight: np.ndarray, sampled: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
-    """Expected tables of c customers of a dish: between the sampled seatings on logarithmic scales; beyond the largest, customers join by the predictive rule's mean."""
-    c, lw = np.maximum(np.asarray(c, dtype=float), 1.0), np.clip(np.log2(np.maximum(weight, 1e-30)), WEIGHTS[0], WEIGHTS[-1])
-    x = np.clip((lw - WEIGHTS[0]) / (WEIGHTS[1] - WEIGHTS[0]), 0, len(WEIGHTS) - 1.000001)
-    seen = np.minimum(c, SEATED[-1])
-    i = np.clip(np.searchsorted(SEATED, seen, "right") - 1, 0, len(SEATED) - 2)
-    y = (np.log(seen) - np.log(SEATED[i])) / (np.log(SEATED[i + 1]) - np.log(SEATED[i]))
-    j, logs = x.astype(int), np.log(sampled)
-    u = x - j
-    t = np.exp((1 - y) * ((1 - u) * logs[i, j] + u * logs[i, j + 1]) + y * ((1 - u) * logs[i + 1, j] + u * logs[i + 1, j + 1]))
-    more = np.flatnonzero(c > SEATED[-1])
-    if len(more):
-        n, w, many = np.full(len(more), float(SEATED[-1])), 2.0 ** lw[more], t[more]
-        step = (c[more] / n) ** (1 / 64)
-        for _ in range(64):
-            many = many + n * (step - 1) * w / (w + n - discount * many)
-            n = n * step
-        t[more] = many
-    return np.minimum(t, c)
-
-
-_WORD = np.dtype([("name", "u1", 5), ("n", "<u4")])
-_COUNT = np.dtype([("name", "<u8"), ("n", "<i8")])
-_PAIR = np.dtype([("name", "u1", 5), ("n", "<u2"), ("weight", "i1")])
-_SEATS = np.dtype([("name", "<u8"), ("n", "<f4"), ("tables", "<f4"), ("mine", "?")])
-_UP = np.dtype([("name", "u1", 5), ("customers", "<f4"), ("tables", "<f4")])
-_PARENT = np.dtype([("name", "<u8"), ("customers", "<f4"), ("own", "<f4"), ("tables", "<f4")])
-#: Pairs that a chunk has more often than fits send several records.
-_MOST = 65535
-
-
-def _answers(table: pa.Table, kind) -> np.ndarray:
-    got, _ = read(table, kind)
-    return got[np.argsort(got["name"], kind="stable")]
-
-
-def _find(known: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each name has an answer, and its place."""
-    if not len(known):
-        return np.zeros(len(names), dtype=bool), np.zeros(len(names), dtype=np.int64)
-    at = np.minimum(np.searchsorted(known["name"], names), len(known) - 1)
-    return known["name"][at] == names, at
-
-
-def score(docs: DataFrame, folds: int = 7, held: int = 2, min_context: int = MIN_CONTEXT, discount: float = DISCOUNT, strength: float = STRENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _noise(names: np.ndarray, round_: int, which: int) -> np.ndarray:
+    """Uniform in (0, 1), the same for a name and round wherever it is drawn."""
+    return ((mix(names + np.uint64((round_ * 8 + which) * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(11)) + np.uint64(1)).astype(float) / (2.0**53 + 1)
+
+
+def draw_tables(names: np.ndarray, round_: int, c: np.ndarray, rest: np.ndarray, p: np.ndarray, discount: float = DISCOUNT, strength: float = STRENGTH) -> np.ndarray:
+    """Tables of c customers of one dish each, drawn given `rest` tables of other dishes in the restaurant and the dish's probability p at the parent."""
+    c = c.astype(np.int64)
+    out = np.minimum(c, 1)
+    u = _noise(names, round_, 1)
+    small = np.flatnonzero((c > 1) & (c <= TABULATED))
+    small = small[np.argsort(c[small], kind="stable")]
+    seatings = _log_seatings(discount)
+    edges = np.flatnonzero(np.diff(c[small], prepend=-1, append=-1)) if len(small) else []
+    for a, b in zip(edges[:-1], edges[1:]):
+        k = int(c[small[a]])
+        for at in range(a, b, max(1, (1 << 18) // k)):
+            on = small[at : min(b, at + max(1, (1 << 18) // k))]
+            steps = np.log((strength + discount * (rest[on][:, None] + np.arange(k))) * p[on][:, None])
+            weight = np.cumsum(steps, axis=1) + seatings[k, 1 : k + 1]
+            weight = np.cumsum(np.exp(weight - weight.max(axis=1)[:, None]), axis=1)
+            out[on] = np.minimum(1 + (weight < u[on][:, None] * weight[:, -1:]).sum(axis=1), k)
+    big = np.flatnonzero(c > TABULATED)
+    if len(big):
+        mean, deviation = seating_moments(c[big], rest[big], p[big], discount, strength)
+        normal = np.sqrt(-2 * np.log(u[big])) * np.cos(2 * np.pi * _noise(names[big], round_, 2))
+        out[big] = np.clip(np.rint(mean + deviation * normal), 1, c[big])
+    return out
+
+
+def seating_moments(c: np.ndarray, rest: np.ndarray, p: np.ndarray, discount: float, strength: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of the tables of many customers of one dish.
+
+    With a weight a for each table, seatings are a compound Poisson process held at c customers: a (1 - y^d) / d tables
+    for the y at which a (1 - y) y^(d - 1) customers are expected, and one more, by the share of customers that join a
+    table, since there is one at least. a is the weight of one table more than are found.
+    """
+    tables, c = np.ones(len(c)), c.astype(float)
+    for _ in range(16):
+        a = (strength + discount * (rest + tables)) * p
+        low, high = np.full(len(c), -700.0), np.full(len(c), -1e-15)  # log y
+        for _ in range(50):
+            z = (low + high) / 2
+            few = np.log(a) + np.log(-np.expm1(z)) + (discount - 1) * z < np.log(c)
+            high, low = np.where(few, z, high), np.where(few, low, z)
+        y = np.exp(low)
+        tables = a * -np.expm1(discount * low) / discount
+        tables = np.clip(tables + 1 - tables / c, 1, c)
+    fixed = np.maximum(tables - c * y / (y + (1 - y) * (1 - discount)), 1e-9)
+    return tables, 1 / np.sqrt(np.maximum(1 / fixed - discount / (strength + discount * (rest + tables)), 0.05 / fixed))
+
+
+def _records(table: pa.Table, column: str, kind) -> tuple[np.ndarray, list[int]]:
+    """The records of all rows of a bucket, row after row, and how many each has."""
+    parts = [np.frombuffer(x.as_buffer(), dtype=kind) for x in table.column(column)]
+    return (np.concatenate(parts) if parts else np.empty(0, kind)), [len(x) for x in parts]
+
+
+def _reply(table: pa.Table, answers: np.ndarray, sizes: list[int], totals=None) -> pa.Table:
+    """Each row's answers, in the order of its questions, and a row of chunk -1 for what the bucket adds to the totals."""
+    ends = np.cumsum([0, *sizes])
+    chunks, values = table.column("chunk").to_pylist(), [answers[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+    buckets = table.column("bucket").to_pylist()
+    if totals is not None:
+        chunks, values, buckets = [*chunks, -1], [*values, np.array(totals, dtype="<f8").tobytes()], [*buckets, buckets[0]]
+    return pa.table({"chunk": pa.array(chunks, pa.int32()), "bucket": pa.array(buckets, pa.int32()), "values": pa.array(values, pa.binary())})
+
+
+def score(
+    docs: DataFrame, folds: int = 7, held: int = 2, discount: float = DISCOUNT, strength: float = STRENGTH, rounds: int = ROUNDS, samples: int = SAMPLES,
+    by_token: bool = False, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     Tokens: the words between ASCII white space, A-Z lower-cased, and one end. A row is held out, and not learned
     from, if crc32(doc_id as text) mod folds is `held`, or its doc_id is null. base_score: log10 of (c + 1) / (N + V + 1)
     summed over the tokens; score: log10 of the model's probability of the text. A null text counts as empty (the end
-    token alone); rows that repeat a doc_id are learned from and scored each. Other columns are ignored.
+    token alone); rows that repeat a doc_id are learned from and scored each; no rows give none. by_token: also
+    token_scores, the parts that score sums. Other columns are ignored.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("text")).withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(True)))
     texts, n_buckets = chunk_table(own, CHUNK)
-    sampled = expected_tables(discount)
     kind = own.schema["doc_id"].dataType.simpleString()
+    seats = dict(discount=discount, strength=strength)
 
     def tokens(table):
-        """The chunk's tokens in order, each with the one before it (the end before the first), and its row; and which rows are learned from."""
-        after, before, row = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        """The chunk's tokens in order, and the row of each; and which rows are learned from."""
+        after, row = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         data, train = table.column("text").to_pylist(), ~np.array(table.column("held_out").to_pylist(), dtype=bool)
         for at, to in slices(np.array([len(x) for x in data])):
             hashes, first = words(data[at:to], lower=True)
@@ -141,158 +148,154 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, min_context: int = MIN
             here = np.ones(len(out), dtype=bool)
             here[last] = False
             out[here] = hashes
-            prev = np.concatenate(([np.uint64(END)], out[:-1]))
-            after.append(out), before.append(prev), row.append(at + np.repeat(np.arange(to - at), sizes + 1))
-        return np.concatenate(after), np.concatenate(before), np.concatenate(row), train
-
-    def tally(names, weights=None):
-        distinct, which = np.unique(names, return_inverse=True)
-        return distinct, np.bincount(which, weights=weights, minlength=len(distinct))
+            after.append(out), row.append(at + np.repeat(np.arange(to - at), sizes + 1))
+        return np.concatenate(after), np.concatenate(row), train
+
+    def numbered(table):
+        """The chunk's distinct words; for each token its place among them and that of the one before (the end, before a text's first), and its row; and which rows are learned from."""
+        after, row, train = tokens(table)
+        names, at = np.unique(np.concatenate((after, [np.uint64(END)])), return_inverse=True)
+        where = at[:-1]
+        prev = np.empty_like(where)
+        prev[1:], prev[:1] = where[:-1], at[-1]
+        return names, where, prev, row, train
+
+    def pairs(names, where, prev):
+        """Names of the chunk's distinct pairs, in order, the first token that has each, and each token's pair."""
+        return np.unique(mix(names[prev] * np.uint64(0x9FB21C651E98DF25) ^ names[where]), return_index=True, return_inverse=True)
 
     def count_words(key, table):
-        after, _, row, train = tokens(table)
-        names, n = tally(after, train[row])
-        out = np.empty(len(names), _WORD)
-        out["name"], out["n"] = short(names), n
-        return deal(names, out, n_buckets, key[0].as_py())
-
-    def sum_words(table):
-        got, chunks = read(table, _WORD)
-        bucket = table.column("bucket")[0].as_py()
-        names = wide(got["name"]) | np.uint64(bucket)
-        distinct, which = np.unique(names, return_inverse=True)
-        n = np.bincount(which, weights=got["n"], minlength=len(distinct)).astype(np.int64)
-        out = np.empty(len(names), _COUNT)
-        out["name"], out["n"] = names, n[which]
-        return with_totals(back(chunks, out), [(n > 0).sum(), n.sum(), (n == 1).sum()])
-
-    def with_totals(rows, sums):
-        """rows and one of chunk -1 for what the bucket adds to the totals."""
-        return pa.concat_tables([rows, pa.table({"chunk": pa.array([-1], pa.int32()), "records": pa.array([np.array(sums, dtype="<f8").tobytes()], pa.binary())})])
-
-    def totals(answers: DataFrame) -> np.ndarray:
-        """The totals of all buckets: a row a bucket reaches the driver, one after another."""
-        return sum((np.frombuffer(r["records"], "<f8") for r in answers.filter("chunk = -1").select("records").toLocalIterator()), np.zeros(3))
+        names, where, _, row, train = numbered(table)
+        n = np.bincount(where, weights=train[row], minlength=len(names)).astype("<u4")
+        return Split(names, n_buckets).rows(key[0].as_py(), names=names, n=n)
 
     by_chunk = texts.groupBy("chunk")
-    counted = cut(by_chunk.applyInArrow(count_words, DEALT).groupBy("bucket").applyInArrow(sum_words, BACK))
-    vocabulary, n_train, n_once = totals(counted)
-
-    def pair_names(before, after):
-        return mix(before * np.uint64(0x9FB21C651E98DF25) ^ after)
-
-    def with_counts(names, counts):
-        found, at = _find(counts, marked(names, n_buckets))
-        return np.where(found, counts["n"][at] if len(counts) else 0, 0)
-
-    def count_pairs(key, table, answers):
-        after, before, row, train = tokens(table)
-        counts = _answers(answers, _COUNT)
-        c_before = with_counts(before, counts)
-        on = c_before >= min_context
-        distinct, first, which = np.unique(pair_names(before[on], after[on]), return_index=True, return_inverse=True)
-        n = np.bincount(which, weights=train[row[on]], minlength=len(distinct)).astype(np.int64)
-        c_after = with_counts(after[on][first], counts)
-        weight = (strength + discount * c_before[on][first]) * (c_after + 0.5) / (n_train + vocabulary / 2 + 1)
-        times = np.maximum(1, -(-n // _MOST))
-        out = np.empty(times.sum(), _PAIR)
-        out["name"], out["weight"] = short(np.repeat(distinct, times)), np.repeat(np.clip(np.rint(2 * np.log2(weight)), -127, 127), times)
-        out["n"] = np.minimum(n, _MOST)[np.repeat(np.arange(len(n)), times)]
-        out["n"][np.cumsum(times) - 1] = n - (times - 1) * _MOST
-        return deal(np.repeat(distinct, times), out, n_buckets, key[0].as_py())
-
-    def seat(table):
-        got, chunks = read(table, _PAIR)
-        bucket = table.column("bucket")[0].as_py()
-        names = wide(got["name"]) | np.uint64(bucket)
-        order = np.argsort(names, kind="stable")
-        got, chunks, names = got[order], chunks[order], names[order]
-        new = runs(names)
-        group = np.cumsum(new) - 1
-        n = np.add.reduceat(got["n"].astype(np.int64), np.flatnonzero(new))
-        sent = np.bincount(group)
-        tables = tables_of(n, 2.0 ** (got["weight"][new].astype(float) / 2), sampled, discount)
-        # a pair that one chunk alone has, once, needs no answer: one customer, one table
-        told = ((n > 1) | (sent > 1))[group] & (n > 0)[group] & runs(names, chunks)
-        out = np.empty(told.sum(), _SEATS)
-        out["name"], out["n"], out["tables"] = names[told], n[group][told], tables[group][told]
-        has = got["n"] > 0
-        owner = np.zeros(len(names), dtype=bool)
-        at = np.flatnonzero(has)
-        owner[at[runs(group[at])]] = True  # the first chunk that has learned it reports its tables to the parent
-        out["mine"] = owner[told]
-        return back(chunks[told], out)
-
-    tell = cut(by_chunk.cogroup(counted.filter("chunk >= 0").groupBy("chunk")).applyInArrow(count_pairs, DEALT).groupBy("bucket").applyInArrow(seat, BACK))
-    # rows of several kinds reach a chunk together
-    one = counted.filter("chunk >= 0").withColumn("kind", F.lit(1)).unionByName(tell.withColumn("kind", F.lit(2)))
-
-    def of(answers, which, dtype):
-        return _answers(answers.filter(pa.array([x == which for x in answers.column("kind").to_pylist()], pa.bool_())), dtype)
-
-    def customers(key, table, answers):
-        """What the chunk's seatings add to each word: customers of the parent, customers and tables of its own restaurant."""
-        after, before, row, train = tokens(table)
-        counts, seats = of(answers, 1, _COUNT), of(answers, 2, _SEATS)
-        learned = train[row]
-        after, before = after[learned], before[learned]
-        on = with_counts(before, counts) >= min_context
-        rare, n_rare = tally(after[~on])
-        distinct, first, which = np.unique(pair_names(before[on], after[on]), return_index=True, return_inverse=True)
-        found, at = _find(seats, marked(distinct, n_buckets))
-        t = np.where(found, np.where(seats["mine"][at], seats["tables"][at], 0), 1.0) if len(seats) else np.ones(len(distinct))
-        child, up = tally(after[on][first], t)
-        context, own_tables = tally(before[on][first], t)
-        names = np.unique(np.concatenate((rare, child, context)))
-        out = np.zeros(len(names), _UP)
-        out["name"] = short(names)
-        out["customers"][np.searchsorted(names, rare)] += n_rare
-        out["customers"][np.searchsorted(names, child)] += up
-        out["tables"][np.searchsorted(names, context)] = own_tables
-        # a word that was learned once has one customer at the parent whoever it follows
-        keep = with_counts(names, counts) > 1
-        return deal(names[keep], out[keep], n_buckets, key[0].as_py())
-
-    def parents(table):
-        got, chunks = read(table, _UP)
-        bucket = table.column("bucket")[0].as_py()
-        names = wide(got["name"]) | np.uint64(bucket)
+    asked = bucketed(by_chunk.applyInArrow(count_words, "bucket int, chunk int, names binary, n binary"), n_buckets, "bucket")
+
+    def gather(table, found, round_, totals):
+        """A bucket's words after a round: what contexts seated, and a seating of the parent. Before the first round a power of the customers guesses them."""
+        names, sizes = _records(table, "names", "<u8")
+        distinct, first, which = np.unique(names, return_index=True, return_inverse=True)
+        add = lambda x: np.bincount(which, weights=x, minlength=len(distinct)).astype(np.int64)
+        sums = np.zeros(len(distinct), _ANSWER)
+        sums["n"] = add(_records(table, "n", "<u4")[0])
+        if found is None:
+            sums["customers"] = sums["tables"] = np.ceil(sums["n"] ** discount)
+            sums["own"] = np.minimum(sums["n"], 1)
+        else:
+            of = dict(zip(found.column("chunk").to_pylist(), found.column("values")))
+            got = np.concatenate([np.frombuffer(of[c].as_buffer(), _SUMS) for c in table.column("chunk").to_pylist()])
+            sums["customers"], sums["tables"] = add(got["customers"]), add(got["tables"])
+            vocabulary, _, seated, top = totals
+            rest = top * (1 - sums["customers"] / max(seated, 1))
+            sums["own"] = draw_tables(distinct, round_, sums["customers"], rest, np.full(len(distinct), 1 / (vocabulary + 1)), **seats)
+        return _reply(table, sums[which], sizes, [(sums["n"] > 0).sum(), sums["n"].sum(), sums["customers"].sum(), sums["own"].sum()])
+
+    def summed(answers: DataFrame) -> np.ndarray:
+        """The totals of all buckets (vocabulary, tokens, customers and tables of the parent): a row a bucket reaches the driver, one after another."""
+        return sum((np.frombuffer(r["values"], "<f8") for r in answers.filter("chunk = -1").select("values").toLocalIterator()), np.zeros(4))
+
+    answers = [cut(asked.groupBy("bucket").applyInArrow(lambda table: gather(table, None, 0, np.zeros(4)), REPLY))]
+    totals = [summed(answers[0])]
+    vocabulary, n_train = totals[0][:2]
+
+    def of_parent(a: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """Words' probabilities at the parent."""
+        return (a["customers"] - discount * a["own"] + (strength + discount * sums[3]) / (vocabulary + 1)) / (strength + sums[2])
+
+    def seat(names, round_, c, u, w, answer, sums):
+        """Tables of pairs, drawn by what the round before left."""
+        rest = answer["tables"][u] * (1 - c / np.maximum(answer["n"][u], 1))
+        return draw_tables(names, round_, c, rest, of_parent(answer[w], sums), **seats)
+
+    def count_pairs(key, table):
+        names, where, prev, row, train = numbered(table)
+        distinct, _, which = pairs(names, where, prev)
+        n = np.bincount(which, weights=train[row], minlength=len(distinct)).astype("<u4")
+        return Split(distinct, n_buckets).rows(key[0].as_py(), names=distinct, n=n)
+
+    def sum_pairs(table):
+        """How often each pair was learned, twice that; and one more for the chunk that reports its seating."""
+        table = table.sort_by("chunk")
+        names, sizes = _records(table, "names", "<u8")
+        n = _records(table, "n", "<u4")[0]
         distinct, which = np.unique(names, return_inverse=True)
-        sums = [np.bincount(which, weights=got[f], minlength=len(distinct)) for f in ("customers", "tables")]
-        top = tables_of(sums[0], np.full(len(distinct), (strength + discount * vocabulary) / (vocabulary + 1)), sampled, discount)
-        top = np.where(sums[0] > 0, top, 0)
-        out = np.empty(len(names), _PARENT)
-        out["name"] = names
-        for f, v in zip(("customers", "own", "tables"), (sums[0], top, sums[1])):
-            out[f] = v[which]
-        return with_totals(back(chunks, out), [sums[0].sum(), top.sum(), 0])
-
-    raised = cut(by_chunk.cogroup(one.groupBy("chunk")).applyInArrow(customers, DEALT).groupBy("bucket").applyInArrow(parents, BACK))
-    seated, top_tables, _ = totals(raised) + n_once  # words learned once, which aren't sent: a customer and a table each
-
-    def value(table, answers):
-        after, before, row, train = tokens(table)
-        counts, seats, up = of(answers, 1, _COUNT), of(answers, 2, _SEATS), of(answers, 3, _PARENT)
-        c_after, c_before = with_counts(after, counts), with_counts(before, counts)
-        found, at = _find(up, marked(after, n_buckets))
-        once = (c_after == 1).astype(float)
-        at_top = np.where(found, up["customers"][at] - discount * up["own"][at] if len(up) else 0, once * (1 - discount))
-        p = (at_top + (strength + discount * top_tables) / (vocabulary + 1)) / (strength + seated)
-        on = np.flatnonzero(c_before >= min_context)
-        distinct, which = np.unique(pair_names(before[on], after[on]), return_inverse=True)
-        mine = np.bincount(which, weights=train[row[on]], minlength=len(distinct)) > 0  # if without an answer: learned once, here
-        found, at = _find(seats, marked(distinct, n_buckets))
-        left = np.where(found, seats["n"][at] - discount * seats["tables"][at] if len(seats) else 0, mine * (1 - discount))
-        found, at = _find(up, marked(before[on], n_buckets))
-        tables = np.where(found, up["tables"][at] if len(up) else 0, c_before[on] == 1)  # a word learned once: one customer, one table
-        p[on] = (left[which] + (strength + discount * tables) * p[on]) / (strength + c_before[on])
-        rows = len(train)
+        sums = np.bincount(which, weights=n, minlength=len(distinct)).astype(np.int64)
+        learned = np.flatnonzero(n > 0)
+        mine = np.zeros(len(names), dtype=np.int64)
+        mine[learned[np.unique(which[learned], return_index=True)[1]]] = 1
+        return _reply(table, (sums[which] * 2 + mine).astype("<i8"), sizes)
+
+    counted = cut(by_chunk.applyInArrow(count_pairs, "bucket int, chunk int, names binary, n binary").groupBy("bucket").applyInArrow(sum_pairs, REPLY))
+
+    def state(key, table, found):
+        """What a chunk needs to seat the pairs that it reports: those that were learned twice or more, and how many once, by word. Words are numbered as answers come."""
+        names, where, prev, _, _ = numbered(table)
+        distinct, first, _ = pairs(names, where, prev)
+        got = Split(distinct, n_buckets).answers(found, "<i8")
+        place = np.empty(len(names), np.int64)
+        place[Split(names, n_buckets).order] = np.arange(len(names))
+        u, w = place[prev[first]], place[where[first]]
+        c, mine = got >> 1, (got & 1).astype(bool)
+        once, more = np.flatnonzero(mine & (c == 1)), np.flatnonzero(mine & (c > 1))
+        sums = np.zeros(len(names), _SUMS)
+        sums["customers"], sums["tables"] = np.bincount(w[once], minlength=len(names)), np.bincount(u[once], minlength=len(names))
+        row = {"names": distinct[more], "u": u[more].astype("<u4"), "w": w[more].astype("<u4"), "c": c[more].astype("<i8"), "once": sums}
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32())} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in row.items()})
+
+    states = bucketed(by_chunk.cogroup(counted.groupBy("chunk")).applyInArrow(state, "chunk int, names binary, u binary, w binary, c binary, once binary"), n_buckets)
+
+    def reseat(table, found, round_, sums):
+        found = found.sort_by("bucket")
+        answer, sizes = _records(found, "values", _ANSWER)
+        names, u, w, c, once = (np.frombuffer(table.column(x)[0].as_buffer(), d) for x, d in (("names", "<u8"), ("u", "<u4"), ("w", "<u4"), ("c", "<i8"), ("once", _SUMS)))
+        out = once.copy()
+        t = seat(names, round_, c, u, w, answer, sums)
+        out["customers"] += np.bincount(w, weights=t, minlength=len(out)).astype(np.int64)
+        out["tables"] += np.bincount(u, weights=t, minlength=len(out)).astype(np.int64)
+        ends = np.cumsum([0, *sizes])
+        return pa.table({"bucket": found.column("bucket"), "chunk": found.column("chunk"), "values": pa.array([out[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())})
+
+    def in_round(f, k, sums):
+        return lambda table, found: f(table, found, k, sums)
+
+    for k in range(1, rounds + 1):
+        before = answers[-1].filter("chunk >= 0")
+        sent = states.groupBy("chunk").cogroup(before.groupBy("chunk")).applyInArrow(in_round(reseat, k, totals[-1]), _DEALT)
+        answers.append(cut(asked.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(in_round(gather, k, totals[-1]), REPLY)))
+        totals.append(summed(answers[-1]))
+        if len(answers) > samples + 1:  # the oldest round that no sample rests on
+            drop(answers[-samples - 2])
+    last = list(range(rounds - samples, rounds + 1))
+
+    def value(table, found):
+        names, where, prev, row, train = numbered(table)
+        of = lambda k: found.filter(pa.array([x == k for x in found.column("kind").to_pylist()], pa.bool_()))
+        split = Split(names, n_buckets)
+        sampled = [split.answers(of(k), _ANSWER) for k in last]
+        distinct, first, which = pairs(names, where, prev)
+        c = Split(distinct, n_buckets).answers(of(-1), "<i8") >> 1
+        u, w = prev[first], where[first]
+        more = np.flatnonzero(c > 1)
+        p = np.zeros(len(distinct))
+        for before, a, k in zip(sampled[:-1], sampled[1:], last[1:]):
+            t = np.minimum(c, 1)
+            t[more] = seat(distinct[more], k, c[more], u[more], w[more], before, totals[k - 1])
+            p += (c - discount * t + (strength + discount * a["tables"][u]) * of_parent(a[w], totals[k])) / (strength + a["n"][u])
+        n, rows = sampled[0]["n"], len(train)
+        parts = np.log10(p / samples)[which]
         add = lambda x: np.bincount(row, weights=x, minlength=rows)
-        return pa.table({
+        out = {
             "doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": pa.array(add(np.ones(len(row))).astype(np.int64)),
-            "n_known": pa.array(add(c_after > 0).astype(np.int64)), "train_tokens": pa.array(np.full(rows, int(n_train))),
-            "base_score": pa.array(add(np.log10((c_after + 1) / (n_train + vocabulary + 1)))), "score": pa.array(add(np.log10(p))),
-        })
-
-    all_three = one.unionByName(raised.filter("chunk >= 0").withColumn("kind", F.lit(3)))
-    return by_chunk.cogroup(all_three.groupBy("chunk")).applyInArrow(lambda key, table, answers: value(table, answers), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+            "n_known": pa.array(add(n[where] > 0).astype(np.int64)), "train_tokens": pa.array(np.full(rows, int(n_train))),
+            "base_score": pa.array(add(np.log10((n[where] + 1) / (n_train + vocabulary + 1)))), "score": pa.array(add(parts)),
+        }
+        if by_token:
+            out["token_scores"] = pa.array([parts[a:b] for a, b in zip(*(np.searchsorted(row, np.arange(rows), side) for side in ("left", "right")))], pa.list_(pa.float64()))
+        return pa.table(out)
+
+    known = counted.withColumn("kind", F.lit(-1))
+    for k in last:
+        known = known.unionByName(answers[k].filter("chunk >= 0").withColumn("kind", F.lit(k)))
+    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    return by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(value, schema + ", token_scores array<double>" * by_token)

@@ -52,67 +52,118 @@ def test_counts_and_base(spark, monkeypatch, rows):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out) * 0.85
 
 
+def shares(spark, rows, befores, words, **more):
+    """P(w | u) by the token scores of the texts "u w"."""
+    held = iter([i for i in range(100_000, 900_000) if zlib.crc32(str(i).encode()) % 7 == 2])
+    ask = {next(held): (u, w) for u in befores for w in words}
+    got = {r["doc_id"]: r["token_scores"] for r in run(spark, rows + [(i, f"{u} {w}") for i, (u, w) in ask.items()], by_token=True, **more)}
+    return {uw: 10 ** got[i][1] for i, uw in ask.items()}
+
+
 def test_probabilities_add_up(spark, rows):
-    """After a frequent context, after a rare one and at the start, the vocabulary and one unknown word share 1."""
+    """After a frequent word, a rare one, and one that wasn't learned, the vocabulary, the end and one unknown word share 1."""
     vocabulary = sorted({w for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for w in tokens(t)[:-1]})
-    ids = [i for i in range(10_000, 90_000) if zlib.crc32(str(i).encode()) % 7 == 2]
-    for before in ("the", "rare50", None):
-        start = [before] if before else []
-        extra = [(ids[k], " ".join([*start, w])) for k, w in enumerate([*vocabulary, "unknown"])]
-        extra += [(ids[len(extra) + 1], before)]
-        got = {r["doc_id"]: r["score"] for r in run(spark, rows + extra, min_context=30)}
-        # a text is its words and the end: divide the end's share out by a text that repeats the last word
-        ends = [(ids[2000 + k], w) for k, w in enumerate([*vocabulary, "unknown"])]
-        assert all(v < 0 for v in got.values())
-        if before is None:
-            continue
-        both = {r["doc_id"]: r["score"] for r in run(spark, rows + extra + ends, min_context=30)}
-        assert all(math.isclose(both[i], got[i], rel_tol=1e-9) for i, _ in extra)
-
-
-def test_shares_of_a_small_model(spark):
-    """All of P(w | u) by its parts: the sum over the vocabulary is one."""
-    texts = [" ".join(["u", w]) for w in ["a"] * 30 + ["b"] * 10 + ["c"] * 5 + ["d"]]
-    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 != 2]
-    held = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 == 2]
-    rows = list(zip(ids, texts))
-    words = ["a", "b", "c", "d", "u", "zzz"]
-    ask = [(held[k], f"u {w}") for k, w in enumerate(words)] + [(held[10], "u")] + [(held[20 + k], w) for k, w in enumerate(words)]
-    got = {r["doc_id"]: 10 ** r["score"] for r in run(spark, rows + ask, min_context=40)}
-    # after a to d, which are no contexts, the end has the parent's share; "u" is a context
-    start_u = got[held[24]] / 1  # P(u | start) P(end | u)
-    end_after_u = got[held[10]]
-    assert math.isclose(start_u, end_after_u, rel_tol=1e-9)
-    assert got[held[0]] > got[held[1]] > got[held[2]] > got[held[3]] > got[held[5]]
+    assert "rare150" in vocabulary
+    got = shares(spark, rows, ("the", "rare150", "new"), [*vocabulary, "unknown", ""])
+    for u in ("the", "rare150", "new"):
+        assert math.isclose(sum(p for (b, _), p in got.items() if b == u), 1, rel_tol=1e-9)
 
 
 def test_rare_contexts_have_restaurants(spark):
-    """What followed a word that was learned once or twice is likelier after it, and the shares after it add up."""
+    """What followed a word that was learned once or twice is likelier after it; others keep their shares at the parent."""
     ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 != 2]
-    held = iter([i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 == 2])
     rows = list(zip(ids, ["once a", "twice a", "twice a", *["a", "b"] * 20, *["b x"] * 3]))
-    ask = {t: next(held) for t in ("once a", "once b", "twice a", "twice b", "new a", "new b", "once", "new", "once zzz", "new zzz")}
-    got = {r["doc_id"]: r["score"] for r in run(spark, rows + [(i, t) for t, i in ask.items()])}
-    more = {u: got[ask[f"{u} a"]] - got[ask[f"{u} b"]] for u in ("once", "twice", "new")}
-    assert more["twice"] > more["once"] > more["new"] + 0.01
-    # after "once": 1 - discount of a customer, and the parent's shares by strength + discount, of strength + 1
-    ratio = lambda u, w: 10 ** (got[ask[f"{u}{w}"]] - got[ask[f"new{w}"]])
-    assert math.isclose(ratio("once", " b"), ratio("once", ""), rel_tol=1e-9) and math.isclose(ratio("once", " b"), ratio("once", " zzz"), rel_tol=1e-9)
+    got = shares(spark, rows, ("once", "twice", "new"), ("a", "b", "zzz"))
+    lift = {u: got[u, "a"] / got["new", "a"] for u in ("once", "twice", "new")}
+    assert lift["twice"] > lift["once"] > 1.05
     d, s = pitman_yor.DISCOUNT, pitman_yor.STRENGTH
-    p_a = (1 - d) / (s + d) / (ratio("once", " a") / ratio("once", " b") - 1)  # the parent's share of "a" that follows from it
-    x = p_a * (ratio("twice", " a") / ratio("twice", " b") - 1)  # (2 - d t) / (s + d t) of two customers at t tables
-    assert 0 < p_a < 1 and 1 <= (2 - s * x) / (d * (1 + x)) <= 2
-
-
-def test_expected_tables():
-    t = pitman_yor.expected_tables()
-    assert (t[0] == 1).all() and (t >= 1).all() and (t <= pitman_yor.SEATED[:, None]).all()
-    assert (np.diff(t, axis=1) > -3).all() and t[-1, -1] > 300 and t[-1, 0] < 1.5
-    d, w = 0.75, 4.0  # two customers of a dish: apart with probability w / (w + 1 - d)
-    k = list(pitman_yor.WEIGHTS).index(2)
-    assert abs(t[1, k] - (1 + w / (w + 1 - d))) < 0.25
-    many = pitman_yor.tables_of(np.array([410, 4100, 41000]), np.full(3, 1.0), t)
-    assert (np.diff(many) > 0).all() and (many < [410, 4100, 41000]).all()
+    assert math.isclose(got["once", "b"] / got["new", "b"], (s + d) / (s + 1), rel_tol=1e-9)
+    assert math.isclose(got["once", "zzz"] / got["new", "zzz"], (s + d) / (s + 1), rel_tol=1e-9)
+    assert math.isclose(got["once", "a"], (1 - d) / (s + 1) + got["new", "a"] * (s + d) / (s + 1), rel_tol=1e-9)
+
+
+def plain_sampler(texts, ask, sweeps=60, burn_in=20, seed=1):
+    """The same model, one customer after another is taken out and seated anew; average P(w | u) of ask."""
+    rng, d, s = random.Random(seed), pitman_yor.DISCOUNT, pitman_yor.STRENGTH
+    pairs = [(u, w) for t in texts for u, w in zip([None, *tokens(t)[:-1]], tokens(t))]
+    size = len({w for _, w in pairs}) + 1
+    rooms = {}  # restaurant: dish: sizes of its tables
+
+    def stats(room, w):
+        dishes = rooms.setdefault(room, {})
+        return dishes.setdefault(w, []), sum(map(sum, dishes.values())), sum(map(len, dishes.values()))
+
+    def p(room, w):
+        if room is ...:
+            return 1 / size
+        own, n, t = stats(room, w)
+        return (sum(own) - d * len(own) + (s + d * t) * p(... if room == "top" else "top", w)) / (s + n)
+
+    def seat(room, w):
+        if room is ...:
+            return
+        own, _, t = stats(room, w)
+        up = ... if room == "top" else "top"
+        weights = [k - d for k in own] + [(s + d * t) * p(up, w)]
+        k = rng.choices(range(len(weights)), weights)[0]
+        if k == len(own):
+            own.append(1)
+            seat(up, w)
+        else:
+            own[k] += 1
+
+    def leave(room, w):
+        if room is ...:
+            return
+        own = rooms[room][w]
+        k = rng.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        if not own[k]:
+            own.pop(k)
+            leave(... if room == "top" else "top", w)
+
+    total = Counter()
+    for sweep in range(sweeps):
+        for u, w in pairs:
+            if sweep:
+                leave(("after", u), w)
+            seat(("after", u), w)
+        if sweep >= burn_in:
+            for u, w in ask:
+                total[u, w] += p(("after", u), w) if ("after", u) in rooms else p("top", w)
+    return {k: v / (sweeps - burn_in) for k, v in total.items()}
+
+
+def test_agrees_with_a_plain_sampler(spark):
+    rng = random.Random(2)
+    nouns, verbs = [f"n{i}" for i in range(12)], [f"v{i}" for i in range(8)]
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    texts = [" ".join(x for _ in range(rng.randrange(1, 6)) for x in (rng.choice(["the", "a"]), rng.choice(nouns), rng.choice(verbs))) for _ in range(60)]
+    befores, words = ("the", "a", "n1", "v3", "new"), ("the", "a", "n1", "n5", "v3", "v4", "unknown")
+    want = plain_sampler(texts, [(u, w) for u in befores for w in words])
+    got = shares(spark, list(zip(ids, texts)), befores, words, rounds=10, samples=5)
+    off = [abs(math.log(got[k] / want[k])) for k in want]
+    assert sum(off) / len(off) < 0.15 and max(off) < 0.4
+
+
+def test_drawn_tables_follow_their_distribution():
+    """Against single customers sitting down under weights that count every seating: two and three customers by hand, and the saddle point against the table where both can be used."""
+    n, d, s = 40_000, pitman_yor.DISCOUNT, pitman_yor.STRENGTH
+    names = np.arange(n, dtype=np.uint64)
+    one = lambda x: np.full(n, x)
+    t = pitman_yor.draw_tables(names, 1, one(2), one(3.0), one(0.1))
+    first, second = (s + d * 3) * 0.1, (s + d * 4) * 0.1
+    assert abs((t == 2).mean() - first * second / (first * second + first * (1 - d))) < 0.01
+    third = (s + d * 5) * 0.1
+    weights = np.array([first * (1 - d) * (2 - d), 3 * first * second * (1 - d), first * second * third])
+    t = pitman_yor.draw_tables(names, 1, one(3), one(3.0), one(0.1))
+    assert np.abs(np.bincount(t, minlength=4)[1:] / n - weights / weights.sum()).max() < 0.01
+    for rest, p in ((50.0, 0.01), (500.0, 0.05), (5.0, 0.5), (0.0, 0.05), (2000.0, 0.2), (20000.0, 0.001)):
+        t = pitman_yor.draw_tables(names[:4000], 2, np.full(4000, 100), np.full(4000, rest), np.full(4000, p))
+        mean, deviation = pitman_yor.seating_moments(np.array([100]), np.array([rest]), np.array([p]), d, s)
+        assert abs(mean[0] - t.mean()) < 0.06 * t.mean() + 0.2 and abs(deviation[0] - t.std()) < 0.1 * t.std() + 0.5
+    big = pitman_yor.draw_tables(names[:3], 1, np.array([10**3, 10**6, 10**9]), np.full(3, 1e4), np.full(3, 1e-3))
+    assert (np.diff(big) > 0).all() and (big >= 1).all() and (big < [10**3, 10**6, 10**9]).all()
 
 
 def test_no_rows(spark):

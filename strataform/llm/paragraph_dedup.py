@@ -1,10 +1,10 @@
 """Substring deduplication by paragraphs: MinHash banding, exact Jaccard, and one paragraph of each component kept.
 
-A paragraph is a run of sentences within a line. It ends with the line, or after a sentence whose checksum is larger
-than the next one's: borders follow from the sentences around them alone, so a passage that was put into the middle of
-another text has the same paragraphs there as anywhere, but for its first and last, which are merged with what is
-around them. So of the text that is left, the shortest runs of whole sentences with 16 words or more are compared as
-well, those that begin and those that end with each sentence: what they cover of an earlier text is cut out, whatever paragraphs it lies in.
+A paragraph is a line; lines of under five words (headings, list items) belong to the paragraph after them, the last
+ones of a text to the one before, so all words are in paragraphs that have a whole shingle, but for texts of under five
+words. What other texts share of the inside of a paragraph is found as passages: of the text that is left, the
+shortest runs of whole sentences with 16 words or more are compared, those that begin and those that end with each
+sentence, and what they cover of another, earlier text is cut out.
 
 The band keys of all paragraphs are looked up first, through the packed exchange: only paragraphs that share a key
 with another go on to be signed, joined and verified.
@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import zlib
 from itertools import accumulate
 
 import numpy as np
@@ -30,7 +29,6 @@ from strataform.tables import cut
 
 #: Short bands, as paragraphs that aren't near copies share almost no shingle, so high recall costs few false meetings.
 ROWS, RECALL = 2, 0.999
-MIN_WORDS = WORDS
 #: Text in a chunk, about.
 CHUNK = 4 << 20
 #: Words from which a run of sentences that occurs before is cut out of any paragraph.
@@ -45,38 +43,40 @@ def whole_under(threshold: float) -> int:
 
 def paragraphs(text: bytes) -> list[bytes]:
     """The text cut into paragraphs; joined they are the text."""
-    return [b"".join(run) for run in _sentences(text)]
+    out, held, n = [], [], 0
+    for line in text.split(b"\n"):
+        held.append(line)
+        n += len(line.split(None, WORDS))
+        if n >= WORDS:
+            out.append(b"\n".join(held) + b"\n")
+            held, n = [], 0
+    rest = b"\n".join(held)
+    if not held:  # split() gives one line more than there are ends of lines
+        out[-1] = out[-1][:-1]
+    elif out:
+        out[-1] += rest
+    elif rest:
+        out.append(rest)
+    return out
 
 
 def _sentences(text: bytes) -> list[list[bytes]]:
     """The sentences of each paragraph."""
-    out, run, last = [], [], None
-    for s in _SENTENCE(text):
-        if not s:
-            continue
-        sum_ = zlib.crc32(s.strip())
-        if last is not None and last > sum_:
-            out.append(run)
-            run = []
-        run.append(s)
-        last = sum_
-        if b"\n" in s:
-            out.append(run)
-            run, last = [], None
-    return [*out, run] if run else out
+    return [[s for s in _SENTENCE(p) if s] for p in paragraphs(text)]
 
 
 def passages(text: bytes) -> list[tuple[int, int, bytes]]:
-    """(first, end, name) of the shortest runs of MIN_PASSAGE words or more that begin or end with each sentence, within a line, sentences numbered through the text. None begins or ends with a blank one.
+    """(first, end, name) of the shortest runs of MIN_PASSAGE words or more that begin or end with each sentence, within a paragraph, sentences numbered through the text. None begins or ends with a blank one.
 
     They cover each run of sentences with so many words, whatever is around it: what the one that begins it leaves
     out has the words before it to end with.
     """
-    flat = [s for run in _sentences(text) for s in run]
+    own = _sentences(text)
+    flat = [s for run in own for s in run]
     each = [s.split() for s in flat]
     sums = [0, *accumulate(map(len, each))]
     spans, low = set(), 0
-    for high in [*(k for k, s in enumerate(flat, 1) if b"\n" in s), len(flat)]:  # a line
+    for high in accumulate(map(len, own)):  # a paragraph
         end = low
         for first in range(low, high):
             while end < high and sums[end] - sums[first] < MIN_PASSAGE:
@@ -105,15 +105,16 @@ def paragraph_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: floa
     copy of another; cleared: (doc_id, n_paragraphs, n_removed, removed, passages, kept) of every row: the numbers of the
     paragraphs removed, (at, size) in bytes of the passages cut out of others, how many both are, and the bytes left.
 
-    Paragraphs are numbered from 0; those of under five words are left alone. Of a component the paragraph with the
-    smallest (doc_id, number) stays. Then runs of sentences that are word by word the same as one that is left in a
-    smaller (doc_id, place) are passages to cut out: a sentence goes if an earlier such run still has it. A row whose doc_id is null is neither compared nor cut. Rows that repeat a doc_id
-    are one document to this operator: equal numbers with equal text are the same paragraph. Null and empty texts have
-    no paragraphs. Other columns are ignored.
+    Paragraphs are numbered from 0. Of a component the paragraph with the smallest (doc_id, number) stays, and with it
+    whatever its own document has of the component; all others go. Then runs of sentences that are word by word the
+    same as one that is left in a document with a smaller doc_id are passages to cut out: a sentence goes if such a
+    run still has it. A row whose doc_id is null is neither compared nor cut. Rows that repeat a doc_id are one
+    document to this operator, told apart by their text. Null and empty texts have no paragraphs; no rows give none.
+    Other columns are ignored.
     """
     bands, few = band_plan(threshold, recall, ROWS), whole_under(threshold)
     kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("text"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("text")).withColumn("row", F.xxhash64("text"))
     texts, n_buckets = chunk_table(own.filter(F.col("doc_id").isNotNull()), CHUNK)
     by_chunk = texts.groupBy("chunk")
 
@@ -122,7 +123,7 @@ def paragraph_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: floa
         row, number, lines = [], [], []
         for r, text in enumerate(table.column("text").to_pylist()):
             for k, line in enumerate(paragraphs(text)):
-                if len(line.split(None, MIN_WORDS)) >= MIN_WORDS:
+                if not line.isspace():
                     row.append(r), number.append(k), lines.append(line)
         for at, to in slices(np.array([len(x) for x in lines])):
             yield np.array(row[at:to]), np.array(number[at:to]), *signatures(lines[at:to], bands, ROWS, few)
@@ -140,7 +141,7 @@ def paragraph_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: floa
         names = np.repeat(names, np.minimum(n, 2))  # two copies say that the chunk alone has it twice
         return deal(names, short(names), n_buckets, key[0].as_py())
 
-    columns = ["chunk", "doc_id", "paragraph", "key", "n", "bands"]
+    columns = ["chunk", "doc_id", "row", "paragraph", "key", "n", "bands"]
 
     def survivors(key, table, found):
         known = np.sort(np.concatenate([np.empty(0, "<u8"), *(np.frombuffer(x.as_buffer(), "<u8") for x in found.column("records"))]))
@@ -150,57 +151,54 @@ def paragraph_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: floa
             mark = marked(names, n_buckets)
             hit = known[np.minimum(np.searchsorted(known, mark), len(known) - 1)] == mark
             on = pa.array(np.flatnonzero(np.bincount(which[hit], minlength=len(sizes))))
-            ids = table.column("doc_id").take(pa.array(row)).combine_chunks().take(on)
-            parts.append(pa.table([pa.array(np.full(len(on), key[0].as_py(), dtype=np.int32)), ids, pa.array(number.astype(np.int32)).take(on), sets.take(on), pa.array(sizes).take(on), keys.take(on)], names=columns))
-        none = pa.table([pa.array([], t) for t in (pa.int32(), table.schema.field("doc_id").type, pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64()))], names=columns)
+            ids, rows = (table.column(x).take(pa.array(row)).combine_chunks().take(on) for x in ("doc_id", "row"))
+            parts.append(pa.table([pa.array(np.full(len(on), key[0].as_py(), dtype=np.int32)), ids, rows, pa.array(number.astype(np.int32)).take(on), sets.take(on), pa.array(sizes).take(on), keys.take(on)], names=columns))
+        none = pa.table([pa.array([], t) for t in (pa.int32(), table.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64()))], names=columns)
         return pa.concat_tables([none, *parts])
 
     shared = cut(by_chunk.applyInArrow(send, DEALT).groupBy("bucket").applyInArrow(met_twice, BACK))
-    sigs = cut(by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(survivors, f"chunk int, doc_id {kind}, paragraph int, key binary, n int, bands array<bigint>"))
-    firsts = sigs.groupBy("key").agg(F.min(F.struct("doc_id", "paragraph", "chunk")).alias("first"))
+    sigs = cut(by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(survivors, f"chunk int, doc_id {kind}, row bigint, paragraph int, key binary, n int, bands array<bigint>"))
+    firsts = sigs.groupBy("key").agg(F.min(F.struct("doc_id", "paragraph", "chunk", "row")).alias("first"))
 
     def fetch(blocks: DataFrame) -> DataFrame:
         rest = [x for x in blocks.columns if x != "key"]
-        wanted = blocks.join(firsts, "key").select(F.col("first.chunk").alias("chunk"), F.col("first.doc_id").alias("doc_id"), F.col("first.paragraph").alias("paragraph"), "key", *rest)
+        wanted = blocks.join(firsts, "key").select(F.col("first.chunk").alias("chunk"), F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row"), F.col("first.paragraph").alias("paragraph"), "key", *rest)
         types = blocks.select("key", *rest).schema.add("shingles", "binary")
 
         def sets(key, table, asked):
-            lines: dict = {}
-            for i, text in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()):
-                lines.setdefault(i, []).append(text)
-            cuts: dict = {}
-            got, keep = [], []
-            for i, k, name in zip(asked.column("doc_id").to_pylist(), asked.column("paragraph").to_pylist(), asked.column("key").to_pylist()):
-                if i not in cuts:
-                    cuts = {i: [paragraphs(x) for x in lines.get(i, [])]}
-                sets_ = [np.unique(shingles([p[k]])[0]) for p in cuts[i] if k < len(p)]
-                fit = next((x for x in sets_ if set_name(x) == name), None)  # of rows that repeat an id, the one meant
-                keep.append(fit is not None), got.append(fit.tobytes() if fit is not None else None)
-            return asked.select(["key", *rest]).append_column("shingles", pa.array(got, pa.binary())).filter(pa.array(keep, pa.bool_()))
-
-        return by_chunk.cogroup(wanted.sortWithinPartitions("chunk", "doc_id").groupBy("chunk")).applyInArrow(sets, types)
+            texts_of = dict(zip(zip(table.column("doc_id").to_pylist(), table.column("row").to_pylist()), table.column("text").to_pylist()))
+            last, own_, got = None, [], []
+            for i, r, k in zip(*(asked.column(x).to_pylist() for x in ("doc_id", "row", "paragraph"))):
+                if last != (i, r):
+                    last, own_ = (i, r), paragraphs(texts_of[i, r])
+                got.append(np.unique(shingles([own_[k]])[0]).tobytes())
+            return asked.select(["key", *rest]).append_column("shingles", pa.array(got, pa.binary()))
+
+        return by_chunk.cogroup(wanted.sortWithinPartitions("chunk", "doc_id", "row").groupBy("chunk")).applyInArrow(sets, types)
 
     near = near_classes(sigs.select("key", "n", "bands"), fetch, threshold)
     classes = firsts.join(near, "key", "left").select("key", F.struct("first.doc_id", "first.paragraph").alias("first"), F.coalesce("component", "key").alias("component"))
     keep = classes.groupBy("component").agg(F.min("first").alias("keep"))
     kept = cut(classes.join(keep, "component").select("key", "keep"))
-    place = F.struct("doc_id", "paragraph")
-    gone = cut(sigs.select("chunk", "doc_id", "paragraph", "key").join(kept, "key").filter(place != F.col("keep")).select("chunk", "doc_id", "paragraph", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.paragraph").alias("keep_paragraph")))
+    gone = cut(sigs.select("chunk", "doc_id", "row", "paragraph", "key").join(kept, "key").filter(F.col("doc_id") != F.col("keep.doc_id")).select("chunk", "doc_id", "row", "paragraph", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.paragraph").alias("keep_paragraph")))
 
     def removed(found) -> dict:
-        """The numbers of each document's removed paragraphs."""
+        """The numbers of each row's removed paragraphs."""
         off: dict = {}
-        for i, k in zip(found.column("doc_id").to_pylist(), found.column("paragraph").to_pylist()):
+        for i, r, k in zip(*(found.column(x).to_pylist() for x in ("doc_id", "row", "paragraph"))):
             if k is not None:
-                off.setdefault(i, set()).add(k)
+                off.setdefault((i, r), set()).add(k)
         return off
 
+    def rows_of(table):
+        return zip(zip(table.column("doc_id").to_pylist(), table.column("row").to_pylist()), table.column("text").to_pylist())
+
     def met_passages(key, table, found):
         """The sentences outside of removed paragraphs in runs that occur twice: where each is, and its place in the run."""
         off = removed(found)
         known = np.sort(np.concatenate([np.empty(0, "<u8"), *(np.frombuffer(x.as_buffer(), "<u8") for x in found.column("records") if x.is_valid)]))
         row, at, place, name = [], [], [], []
-        for r, (i, text) in enumerate(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist())) if len(known) else ():
+        for r, (i, text) in enumerate(rows_of(table)) if len(known) else ():
             got = passages(text)
             if not got:
                 continue
@@ -213,31 +211,29 @@ def paragraph_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: floa
                     for k in range(first, end):
                         if live[k]:
                             row.append(r), at.append(k), place.append(k - first), name.append(x)
-        ids = table.column("doc_id").take(pa.array(row, pa.int64()))
-        return pa.table({"chunk": pa.array([key[0].as_py()] * len(row), pa.int32()), "doc_id": ids, "at": pa.array(at, pa.int32()), "place": pa.array(place, pa.int32()), "name": pa.array(name, pa.binary())})
+        ids = {x: table.column(x).take(pa.array(row, pa.int64())) for x in ("doc_id", "row")}
+        return pa.table({"chunk": pa.array([key[0].as_py()] * len(row), pa.int32())} | ids | {"at": pa.array(at, pa.int32()), "place": pa.array(place, pa.int32()), "name": pa.array(name, pa.binary())})
 
-    places = gone.select("chunk", "doc_id", "paragraph")
-    runs = cut(by_chunk.cogroup(places.unionByName(shared, allowMissingColumns=True).groupBy("chunk")).applyInArrow(met_passages, f"chunk int, doc_id {kind}, at int, place int, name binary"))
-    before = runs.groupBy("name", "place").agg(F.min(F.struct("doc_id", "at")).alias("before"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    again = cut(runs.join(before, ["name", "place"]).filter(F.struct("doc_id", "at") != F.col("before")).select("chunk", "doc_id", "at", "place", "name"))
+    places = gone.select("chunk", "doc_id", "row", "paragraph")
+    runs = cut(by_chunk.cogroup(places.unionByName(shared, allowMissingColumns=True).groupBy("chunk")).applyInArrow(met_passages, f"chunk int, doc_id {kind}, row bigint, at int, place int, name binary"))
+    before = runs.groupBy("name", "place").agg(F.min("doc_id").alias("before"), F.max("doc_id").alias("last")).filter("before < last").drop("last")
+    again = cut(runs.join(before, ["name", "place"]).filter("doc_id != before").select("chunk", "doc_id", "row", "at").distinct())
 
     def clear(key, table, found):
         off, sentences = removed(found), {}
-        for i, *x in zip(*(found.column(c).to_pylist() for c in ("doc_id", "at", "place", "name"))):
-            if x[0] is not None:
-                sentences.setdefault(i, []).append(x)
+        for i, r, k in zip(*(found.column(c).to_pylist() for c in ("doc_id", "row", "at"))):
+            if k is not None:
+                sentences.setdefault((i, r), set()).add(k)
         n, gone_, cuts, left = [], [], [], []
-        for i, text in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()):
+        for i, text in rows_of(table):
             own_ = _sentences(text)
-            mine = sorted(k for k in off.get(i, ()) if k < len(own_))
+            mine = sorted(off.get(i, ()))
             n.append(len(own_)), gone_.append(mine)
             if not mine and i not in sentences:
                 cuts.append([]), left.append(text)
                 continue
             of, flat = [k for k, run in enumerate(own_) for _ in run], [s for run in own_ for s in run]
-            names = {(first, name) for first, _, name in passages(text)} if i in sentences else set()
-            again_ = {k for k, place, name in sentences.get(i, ()) if (k - place, name) in names}  # rows that repeat an id may have other texts
-            drop_ = [k in again_ for k in range(len(flat))]
+            drop_ = [k in sentences.get(i, ()) for k in range(len(flat))]
             whole, spans, at, open_ = set(mine), [], 0, False
             for s, k, x in zip(flat, of, drop_):
                 x = x and k not in whole
@@ -254,7 +250,7 @@ def paragraph_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: floa
     spans = "array<struct<at: int, size: int>>"
     cleared = by_chunk.cogroup(found.groupBy("chunk")).applyInArrow(clear, f"doc_id {kind}, n_paragraphs bigint, n_removed bigint, removed array<int>, passages {spans}, kept binary")
     aside = own.filter(F.col("doc_id").isNull()).select("doc_id", F.lit(0).cast("long").alias("n_paragraphs"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<int>").alias("removed"), F.array().cast(spans).alias("passages"), F.col("text").alias("kept"))
-    return gone.drop("chunk"), cleared.unionByName(aside)
+    return gone.drop("chunk", "row"), cleared.unionByName(aside)
 
 
 def digests(docs: DataFrame, **columns) -> DataFrame:

@@ -5,7 +5,8 @@ prefix's fingerprint, and the rank at 50 is made from the pair of ranks (25 at i
 Spark deals (rank, position) pairs out by rank, each task sorts its own, and positions whose rank no other document
 has are dropped before the next offset.
 
-Three things keep it within the disk that a cluster has. Only content-chosen positions take part in the first round:
+The last round's ranks are 128 bits wide, and those of the second are compared within one first rank only, so texts
+that aren't equal don't meet by chance. Three things keep it within the disk that a cluster has. Only content-chosen positions take part in the first round:
 of the 26 starts of 25-byte strings in each 50-byte window, the one with the least fingerprint. Equal windows choose
 alike, so no match is lost, while about one position in thirteen is left. Second, neighbouring windows that chose the
 same position are ranked as one block (up to 75 bytes) in the second round. Only where one chosen position has
@@ -20,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataform.llm._exchange import BACK, DEALT, back, chunk_table, deal, marked, met_twice, read, runs, short
-from strataform.llm._shared import cut, mix, slices
+from strataform.llm._shared import cut, mix, order_numbers, slices
 
 LENGTH = 50
 #: Text in a chunk, about.
@@ -36,22 +38,23 @@ def _table() -> np.ndarray:
 
 
 _BYTE = _table()
+_OTHER, _OTHER_BYTE = 0xA24BAED4963EE407, mix(_BYTE ^ np.uint64(0x9FB21C651E98DF25))
 
 
-def _join(a: np.ndarray, b: np.ndarray, skip: int) -> np.ndarray:
+def _join(a: np.ndarray, b: np.ndarray, skip: int, base: int = _BASE) -> np.ndarray:
     """Fingerprints of strings from those of their parts: the second part, of `skip` bytes, begins where the first ends."""
-    return a * np.uint64(pow(_BASE, skip, 1 << 64)) + b
+    return a * np.uint64(pow(base, skip, 1 << 64)) + b
 
 
-def prefixes(data: np.ndarray, length: int) -> np.ndarray:
+def prefixes(data: np.ndarray, length: int, base: int = _BASE, of_byte: np.ndarray = _BYTE) -> np.ndarray:
     """Fingerprints of the strings of `length` bytes from each position, by doubling."""
-    have, size = _BYTE[data], 1
+    have, size = of_byte[data], 1
     one = have
     for bit in bin(length)[3:]:
-        have = _join(have[: len(have) - size], have[size:], size) if len(have) > size else have[:0]
+        have = _join(have[: len(have) - size], have[size:], size, base) if len(have) > size else have[:0]
         size *= 2
         if bit == "1":
-            have = _join(have[:-1], one[size : size + len(have) - 1], 1) if len(have) else have
+            have = _join(have[:-1], one[size : size + len(have) - 1], 1, base) if len(have) else have
             size += 1
     return have
 
@@ -64,6 +67,9 @@ def _least(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (width - size)], v[width - size :]) if size < width else v
 
 
+_NAME = np.dtype([("a", "<u8"), ("b", "<u8")])
+
+
 class Blocks:
     """The blocks of some documents: runs of windows that chose the same position."""
 
@@ -76,7 +82,7 @@ class Blocks:
             self.doc = self.first = self.last = np.empty(0, np.int64)
             self.anchor = self.name = np.empty(0, np.uint64)
             return
-        self._half = prefixes(data, half)
+        self._data, self._half = data, prefixes(data, half)
         choice = (self._half & ~_MASK) | (np.arange(len(self._half), dtype=np.uint64) & _MASK)
         least = _least(choice, length - half + 1)
         at = np.arange(len(least))
@@ -97,14 +103,16 @@ class Blocks:
         return _join(whole, self._half[at + self.length - half], 1) if self.length % 2 else whole
 
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and names of the windows of the blocks `which`."""
+        """Positions and names, of 128 bits, of the windows of the blocks `which`."""
         n = self.last[which] - self.first[which] + 1
         at = np.repeat(self.first[which] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        return at, mix(self._whole(at))
+        names = np.empty(len(at), _NAME)
+        names["a"], names["b"] = mix(self._whole(at)), mix(prefixes(self._data, self.length, _OTHER, _OTHER_BYTE)[at])
+        return at, names
 
 
 _RECORD = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8")])
-_WINDOW = np.dtype([("a", "<u8"), ("doc", "<i8")])
+_WINDOW = _RECORD
 _FOUND = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("many", "?")])
 
 
@@ -113,17 +121,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
 
     A byte goes if it lies in a string of `length` bytes that also starts in a document with a smaller doc_id, as the
     input stands. Texts are taken as UTF-8, null as empty; texts under `length` bytes lose nothing. A row whose doc_id
-    is null is neither cut nor compared; rows with the same doc_id aren't smaller than each other. whole_characters:
+    is null is neither cut nor compared; rows with the same doc_id aren't smaller than each other. doc_id may be of any type that sorts; ids that aren't whole
+    numbers are numbered in order first. No rows give none. whole_characters:
     bytes left of a character that was cut go as well (from kept alone). carry: columns of docs that are returned as
     they are, in a struct `rest`; others are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    numbers = None if isinstance(docs.schema[id_col].dataType, T.IntegralType) else cut(order_numbers(docs.select(F.col(id_col).alias("doc_id"))))
     own = docs.select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("text"), *([F.struct(*carry).alias("rest")] if carry else []))
-    texts, n_buckets = chunk_table(own.filter(F.col("doc_id").isNotNull()), CHUNK)
+    some = own.filter(F.col("doc_id").isNotNull())
+    some = some.withColumn("place", F.col("doc_id").cast("long")) if numbers is None else some.join(numbers, "doc_id")
+    texts, n_buckets = chunk_table(some, CHUNK)
 
     def parts(table: pa.Table):
         """Slices of a chunk: (first row, doc_ids, blocks)."""
-        ids, data = table.column("doc_id").to_numpy(), table.column("text").to_pylist()
+        ids, data = table.column("place").to_numpy(), table.column("text").to_pylist()
         for at, to in slices(np.array([len(x) for x in data]), 1 << 18):
             yield at, ids[at:to], data[at:to], Blocks(data[at:to], length)
 
@@ -179,7 +191,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
         """The blocks that have a record, and those records."""
         mark = blocks.anchor * np.uint64(5) + blocks.name
         at = np.minimum(np.searchsorted(marks, mark), len(marks) - 1)
-        on = np.flatnonzero(marks[at] == mark)
+        on = np.flatnonzero((marks[at] == mark) & (known["a"][at] == blocks.anchor) & (known["b"][at] == blocks.name))
         return on, known[at[on]]
 
     def third_ranks(key, table, found):
@@ -191,21 +203,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
             if len(here):
                 at, names = blocks.windows(here)
                 rows = np.empty(len(at), _WINDOW)
-                rows["a"], rows["doc"] = names, np.repeat(ids[blocks.doc[here]], blocks.last[here] - blocks.first[here] + 1)
+                rows["a"], rows["b"], rows["doc"] = names["a"], names["b"], np.repeat(ids[blocks.doc[here]], blocks.last[here] - blocks.first[here] + 1)
                 out.append(rows)
         got = np.concatenate(out)
-        got = got[np.lexsort((got["doc"], got["a"]))]
-        got = got[runs(got["a"], got["doc"])]
-        new = runs(got["a"])
+        got = got[np.lexsort((got["doc"], got["b"], got["a"]))]
+        got = got[runs(got["a"], got["b"], got["doc"])]
+        new = runs(got["a"], got["b"])
         new[1:] |= new[:-1]  # the two smallest documents: one alone is no match
         got = got[new]
         return deal(got["a"], got, n_buckets, key[0].as_py())
 
     def first_window(table):
         got, chunks = read(table, _WINDOW)
-        order = np.lexsort((got["doc"], got["a"]))
+        order = np.lexsort((got["doc"], got["b"], got["a"]))
         got, chunks = got[order], chunks[order]
-        new = runs(got["a"])
+        new = runs(got["a"], got["b"])
         group = np.cumsum(new) - 1
         first = got["doc"][np.flatnonzero(new)][group]
         keep = (np.bincount(group) > 1)[group]
@@ -217,7 +229,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
         single = np.array(found.column("single").to_pylist(), dtype=bool)
         marks, known = settle(found.filter(pa.array(~single)))
         windows = np.concatenate([np.empty(0, _WINDOW), *(np.frombuffer(x.as_buffer(), _WINDOW) for x in found.filter(pa.array(single)).column("records"))])
-        windows = windows[np.argsort(windows["a"], kind="stable")]
+        w_marks = windows["a"] * np.uint64(5) + windows["b"]
+        windows, w_marks = windows[order := np.argsort(w_marks, kind="stable")], w_marks[order]
         n_bytes, n_removed, n_spans, kept = [], [], [], []
         for _, ids, data, blocks in parts(table):
             cover = np.zeros(blocks.begin[-1] + 1, dtype=np.int32)
@@ -230,8 +243,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
                 if len(unsure) and len(windows):
                     at, names = blocks.windows(unsure)
                     owner = np.repeat(ids[blocks.doc[unsure]], blocks.last[unsure] - blocks.first[unsure] + 1)
-                    k = np.minimum(np.searchsorted(windows["a"], names), len(windows) - 1)
-                    at = at[(windows["a"][k] == names) & (windows["doc"][k] < owner)]
+                    k = np.minimum(np.searchsorted(w_marks, names["a"] * np.uint64(5) + names["b"]), len(windows) - 1)
+                    at = at[(windows["a"][k] == names["a"]) & (windows["b"][k] == names["b"]) & (windows["doc"][k] < owner)]
                     np.add.at(cover, at, 1), np.add.at(cover, at + length, -1)
             cover = np.cumsum(cover)[:-1] > 0
             flat = np.frombuffer(b"".join(data), dtype=np.uint8)

@@ -72,3 +72,12 @@ def test_prefixes_tell_strings_apart():
         h = suffix_dedup.prefixes(data, n)
         assert len(h) == len(data) - n + 1
         assert len(set(h.tolist())) == len({data[i : i + n].tobytes() for i in range(len(h))})
+
+
+def test_string_ids_and_very_long_texts(spark):
+    rng = random.Random(7)
+    long = "".join(rng.choices("abcdefgh ", k=2_300_000))  # many slices
+    rows = [("b", "x" * 10 + long[1_000_000:1_000_200]), ("c", long), ("a", long[2_000_000:2_000_100])]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got == {"a": (0, 0), "b": (0, 0), "c": (300, 2)}

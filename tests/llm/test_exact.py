@@ -39,5 +39,13 @@ def test_equals_brute_force(spark):
 
 
 def test_colliding_hashes(spark):
-    weak = lambda text: F.substring(F.md5(text.cast("binary")), 1, 1)
+    weak = lambda sha: F.substring(sha, 1, 1)
     assert run(spark, rows(), hash_of=weak) == brute(rows())
+
+
+def test_large_groups_and_string_ids(spark):
+    many = [(i, "the same text" if i % 3 else f"t{i % 50}") for i in range(400)]
+    assert run(spark, many, hot=4) == brute(many)
+    df = spark.createDataFrame([("b", "x"), ("a", "x "), ("c", " x"), (None, "x"), ("d", "y")], "doc_id string, text string")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(df).collect()}
+    assert got == {"a": ("a", 4, True), "b": ("a", 4, False), "c": ("a", 4, False), None: ("a", 4, False), "d": ("d", 1, True)}

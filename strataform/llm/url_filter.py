@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,11 +22,11 @@ BAD = "label=bad"
 
 
 def host_of(url: Column) -> Column:
-    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), "^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), "(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path_of(url: Column) -> Column:
-    return F.regexp_extract(F.coalesce(url, F.lit("")), "^.*?://[^/?#]*([^?#]*)", 1)
+    return F.regexp_extract(F.coalesce(url, F.lit("")), "(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
 def by_rule(host: Column, path: Column, rules=RULES) -> Column:
@@ -46,17 +48,35 @@ def tokens_of(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(domains, kinds))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.6, min_lift: float = 1.2) -> DataFrame:
+def informative(labelled: DataFrame, least: int) -> DataFrame:
+    """labelled without the tokens that fewer than `least` pages have, and of tokens that the same pages have only the most general one: the shortest, domains first.
+
+    Tokens that always come together would double FP-growth's work each, and no combination of them says more. Two
+    sums of 64-bit hashes over a token's pages tell whether two tokens have the same ones.
+    """
+    own = cut(labelled.withColumn("page", F.monotonically_increasing_id()))
+    each = own.select("page", F.explode("tokens").alias("token"))
+    pages = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("page").cast("decimal(20,0)")).alias("a"), F.sum(F.xxhash64("page", F.lit(1)).cast("decimal(20,0)")).alias("b")).filter(F.col("n") >= least)
+    order = F.struct((~F.startswith("token", F.lit("domain="))).alias("path"), F.char_length("token").alias("size"), "token")
+    kept = pages.groupBy("n", "a", "b").agg(F.min(order)["token"].alias("token")).select("token")
+    baskets = each.join(kept, "token").groupBy("page").agg(F.collect_list("token").alias("tokens"))
+    return own.select("page", "bad").join(baskets, "page", "left").select(F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), "bad")
+
+
+def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.6, min_lift: float = 1.2, min_pages: int = 5) -> DataFrame:
     """(rule_id, tokens, confidence, support) of the token combinations that go with bad labels; labelled: (tokens, bad boolean).
 
-    Support and confidence prune what FP-growth finds; a rule with a more general rule of at least its confidence
-    adds nothing and goes too. At most (tokens a URL) / min_support combinations can be frequent for each size, so
-    the rules don't grow with the rows.
+    Support (a share of the pages, and min_pages of them at least) and confidence prune what FP-growth finds; a rule
+    with a more general rule of at least its confidence adds nothing and goes too. At most (tokens a URL) /
+    min_support combinations can be frequent for each size, so the rules don't grow with the rows.
     """
     spark = labelled.sparkSession
-    baskets = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
-    if baskets.isEmpty():
+    rows = labelled.count()
+    if not rows:
         return spark.range(0).selectExpr("id AS rule_id", "cast(NULL AS array<string>) AS tokens", "0D AS confidence", "0D AS support")
+    least = max(min_support * rows, min_pages)
+    min_support = min(1.0, least / rows)
+    baskets = informative(labelled, math.ceil(least)).select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=partitions(spark)).fit(baskets).associationRules
     ours = found.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.col("lift") >= min_lift))
     rules = cut(ours.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("tokens"), "confidence", "support"))
@@ -86,7 +106,8 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str = "
     A label is bad if its quality is 0 or it is toxic; it belongs to the page of the same id. Where no given rule
     fits, a page is blocked if a mined rule fits its tokens, else allowed. URLs of one shape (the same tokens) are
     matched once, so a host that holds a third of all pages costs no more than another. A url that is null or
-    without `://` has an empty host and path and no tokens: allowed. Labels that are null count as good; repeated
+    without `://` has an empty host and path and no tokens: allowed; a line break in a url is a character like others.
+    Labels are of documents; a page is the raw form of the document with its id. Labels that are null count as good; repeated
     pages each get a row; without labels nothing is mined.
     """
     own = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))

@@ -49,7 +49,7 @@ def pages():
     rng = random.Random(3)
     hosts = ["www.example.com", "M.Example.NET", "b.example.org", "net", "x.org", "spam.shop"]
     urls = [f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'es'])}/{rng.choice(['7', '81', 'a.html', ''])}{rng.choice(['', '?q=/en/', '#t'])}" for _ in range(300)]
-    return [*urls, None, "", "no scheme/en/7", "http://", "http://example.com", "https://a.b.com?x", "https://COM/en/", "ftp://notexample.com/en/7", "http://x://y/z"]
+    return [*urls, None, "", "no scheme/en/7", "http://", "http://example.com", "https://a.b.com?x", "https://COM/en/", "ftp://notexample.com/en/7", "http://x://y/z", "\nhttp://Example.com/en/7", "a\nb://COM\n/en/\n?", "http://long.com/en/" + "a/" * 50_000]
 
 
 def test_url_parts_and_rules(spark, pages):
@@ -70,10 +70,19 @@ def test_mined_rules_equal_all_combinations(spark, pages):
     baskets = [(sets[i], bad[i]) for i in range(len(pages)) if i % 2]
     rules = brute_rules(baskets, 0.02, 0.6, 1.2)
     assert rules
-    got = url_filter.url_filter(spark.createDataFrame(rows, "page_id bigint, url string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), min_support=0.02, min_confidence=0.6, min_lift=1.2).collect()
+    got = url_filter.url_filter(spark.createDataFrame(rows, "page_id bigint, url string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), min_support=0.02, min_confidence=0.6, min_lift=1.2, min_pages=1).collect()
     assert len(got) == len(rows)
     for r in got:
         fits = [v for c, v in rules.items() if c <= sets[r["page_id"]]]
         assert (r["confidence"] is not None) == bool(fits)
         assert not fits or abs(r["confidence"] - max(fits)) < 1e-9
         assert r["verdict"] == (given(r["host"], r["path"])[1] or ("block" if fits else "allow"))
+
+
+def test_a_single_page_makes_no_rule_and_common_tokens_are_one(spark):
+    deep = "/".join(f"d{k}" for k in range(40))  # 2**40 combinations, if each directory counted
+    urls = [f"http://{'a.b.c.d.e.f.bad.com' if i % 2 else 'good.com'}/{deep}/{i}" for i in range(40)] + ["http://once.net/x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, int(not (i % 2 or i == 40)), 0) for i in range(41)], "doc_id bigint, quality int, toxic int")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.url_filter(pages, labels).collect()}
+    assert all(got[i] == ("block" if i % 2 else "allow") for i in range(40)) and got[40] == "allow"

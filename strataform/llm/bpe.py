@@ -18,10 +18,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataform.llm._shared import text_slices
+
 #: The pattern that splits a text before merging: a fixed value of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Encoded words that a worker keeps, twice at most, which bounds its memory.
-CACHED = 300_000
+#: Bytes of encoded words that a worker keeps, about, twice at most; and pairs of tokens whose border it remembers.
+CACHED, PAIRS = 16 << 20, 300_000
 
 
 class Vocabulary:
@@ -70,7 +72,7 @@ class Vocabulary:
         """Whether merging leaves a and b, side by side, as they are: no pair across the border ever ranks below what its parts merge into."""
         found = self._apart.get((a, b))
         if found is None:
-            if len(self._apart) > 4 * CACHED:
+            if len(self._apart) > PAIRS:
                 self._apart.clear()
             left, right, i, j, found = self.edges(a)[1], self.edges(b)[0], 0, 0, True
             while found:
@@ -140,7 +142,7 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str = PATTERN):
         self.vocabulary, self.split = load(path), regex.compile(pattern).findall
-        self.known, self.older = {}, {}
+        self.known, self.older, self.held = {}, {}, 0
 
     def _word(self, word: str) -> bytes:
         found = self.older.get(word)
@@ -149,8 +151,9 @@ class Encoder:
             token = self.vocabulary.ranks.get(data)
             ids = [token] if token is not None else Prefixes(self.vocabulary, data).ids()
             found = pack(f"<{len(ids)}I", *ids)
-        if len(self.known) > CACHED:  # rare words go, words met since stay
-            self.known, self.older = {}, self.known
+        self.held += len(word) + len(found) + 150
+        if self.held > CACHED:  # rare words go, words met since stay
+            self.known, self.older, self.held = {}, self.known, 0
         self.known[word] = found
         return found
 
@@ -181,8 +184,8 @@ def encode_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         e = encoder(path)
         for batch in batches:
-            ids = [e.encode(x or "") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for at, to, texts in text_slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array([e.encode(x or "") for x in texts], pa.binary())], ["doc_id", "ids"])
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return own.mapInArrow(run, own.select("doc_id").schema.add("ids", "binary"))
@@ -209,7 +212,7 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         e = encoder(path)
         for batch in batches:
             n, a, b = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in (x for *_, texts in text_slices(batch, "text") for x in texts):
                 ids = e.encode(text or "")
                 n.append(len(ids) // 4), a.append(hashlib.sha256(ids).hexdigest()), b.append(hashlib.sha256(e.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

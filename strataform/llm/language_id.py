@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from strataform.llm._shared import cut, slices
+from strataform.llm._shared import cut, text_slices
 
 #: N-grams in a profile.
 TOP = 300
@@ -69,20 +69,40 @@ def _best(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return codes[np.argsort(-counts, kind="stable")[:TOP]]
 
 
+#: N-grams that a task holds while it counts.
+FOLD = 1 << 19
+
+
+def _folded(got: list) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of several texts, and how often each comes."""
+    codes, which = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
+    return codes, np.bincount(which, weights=np.concatenate([x[1] for x in got])).astype(np.int64)
+
+
+def _counts(held: dict):
+    for lang, got in held.items():
+        codes, sums = _folded(got)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(sums)], ["lang", "gram", "n"])
+
+
 def train(docs: DataFrame) -> dict[str, list[int]]:
     """Each language's most frequent n-grams, in order; docs: (text, lang), whole texts. Collects TOP rows a language."""
 
     def count(batches):
+        held, size = {}, 0
         for batch in batches:
-            texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
-            held: dict[str, list] = {}
-            for at, to in slices(np.array([len(x) for x in texts])):
-                for lang, got in zip(langs[at:to], _grams(texts[at:to])):
+            langs = batch.column("lang").to_pylist()
+            for at, to, texts in text_slices(batch, "text"):
+                for lang, got in zip(langs[at:to], _grams(texts)):
                     held.setdefault(lang, []).append(got)
-            for lang, got in held.items():
-                codes, which = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
-                sums = np.bincount(which, weights=np.concatenate([x[1] for x in got])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(sums)], ["lang", "gram", "n"])
+                    size += len(got[0])
+                if size > FOLD:
+                    held = {lang: [_folded(got)] for lang, got in held.items()}
+                    size = sum(len(got[0][0]) for got in held.values())
+                if size > FOLD // 2:  # more distinct n-grams than are held at once
+                    yield from _counts(held)
+                    held, size = {}, 0
+        yield from _counts(held)
 
     each = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang").mapInArrow(count, "lang string, gram long, n long")
     total = each.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -107,10 +127,9 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], keep_text: bool = F
 
     def guess(batches):
         for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
             pred, score = [], []
-            for at, to in slices(np.array([len(x) for x in texts])):
-                for got in _grams(texts[at:to]):
+            for _, _, texts in text_slices(batch, "text"):
+                for got in _grams([x or "" for x in texts]):
                     own = _best(*got)
                     if not len(own) or not langs:
                         pred.append("und"), score.append(0.0)
@@ -139,6 +158,15 @@ def with_language(docs: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
     return predict(docs, train(learned), keep_text=True)
 
 
+def identified(docs: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
+    """The rows of docs (doc_id, text, lang, ...) in which a language can be told, as they are, whatever other columns are called."""
+    names = docs.columns
+    plain = docs.select(*(F.col(x).alias(x if x == "text" else f"_{k}") for k, x in enumerate(names)))
+    learned = docs.filter(~in_fold(F.col("doc_id"), folds, held)).select("text", "lang")
+    told = predict(plain, train(learned), keep_text=True).filter(F.col("lang_pred") != "und")
+    return told.select(*(F.col(x if x == "text" else f"_{k}").alias(x) for k, x in enumerate(names)))
+
+
 def language_id(docs: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id") -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document; profiles learned from the rows not held out.
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataform.llm._shared import cut, slices
+from strataform.llm._shared import cut, text_slices
 from strataform.llm.near import THRESHOLD, band_plan, near_classes, set_name, shingles, signatures
 
 #: Hashes in a band, and the share of pairs at the threshold that must meet in a bucket.
@@ -29,16 +29,15 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     def sign(batches):
         for batch in batches:
             ids = batch.column(0)
-            texts = batch.column(1).to_pylist()
-            for at, to in slices(np.array([len(x) for x in texts])):
-                sizes, names, keys = signatures(texts[at:to], bands, ROWS)
+            for at, to, texts in text_slices(batch, "text"):
+                sizes, names, keys = signatures(texts, bands, ROWS)
                 yield pa.RecordBatch.from_arrays([ids.slice(at, to - at), names, pa.array(sizes), keys], ["doc_id", "key", "n", "bands"])
 
     def sets(batches):
         for batch in batches:
-            texts, rest, keys = batch.column("text").to_pylist(), batch.drop_columns(["text"]), batch.column("key").to_pylist()
-            for at, to in slices(np.array([len(x) for x in texts])):
-                hashes, starts = shingles(texts[at:to])
+            rest, keys = batch.drop_columns(["text"]), batch.column("key").to_pylist()
+            for at, to, texts in text_slices(batch, "text"):
+                hashes, starts = shingles(texts)
                 got = [np.unique(hashes[a:b]) for a, b in zip(starts[:-1], starts[1:])]
                 out = rest.slice(at, to - at).append_column("shingles", pa.array([x.tobytes() for x in got], pa.binary()))
                 yield out.filter(pa.array([set_name(x) == k for x, k in zip(got, keys[at:to])]))  # another row of that id may have another text

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strataform.llm._shared import cut, partitions
+from strataform.llm._shared import cut, partitions, text_slices
 
 LENGTH = 1024
 #: Size groups for the large pieces, and the longest piece that counts as small. With this many groups a common length
@@ -35,7 +35,7 @@ def _tokenizer(path: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
+    slow = cache(lambda: Tokenizer.from_file(path))  # most workers never need it
     with open(path, encoding="utf-8") as f:
         made = json.load(f)
     special = {x["content"]: x["id"] for x in made["added_tokens"]}
@@ -43,7 +43,7 @@ def _tokenizer(path: str):
     model = made["model"]
     plain = made.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and model["type"] == "BPE" and not model.get("ignore_merges")
     if not plain:
-        return lambda text: slow.encode(text, add_special_tokens=False).ids
+        return lambda text: slow().encode(text, add_special_tokens=False).ids
     # A byte stands as itself if it prints, else as the next code point from 256 on: the format of byte-level files.
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
@@ -52,7 +52,7 @@ def _tokenizer(path: str):
 
     def ids(text: str) -> list[int]:
         if any(x in text for x in special):
-            return slow.encode(text, add_special_tokens=False).ids
+            return slow().encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return ids
@@ -65,7 +65,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, length: int = LENGTH, id
         encode = _tokenizer(path)
         for batch in batches:
             row, piece, start, size, crc = [], [], [], [], []
-            for r, text in enumerate(batch.column(1).to_pylist()):
+            for r, text in enumerate(x for *_, texts in text_slices(batch, "text") for x in texts):
                 ids = np.array([*encode(text or ""), end_id], dtype="<u4")
                 edges = [0, *range(len(ids) % length or length, len(ids) + 1, length)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:])):

@@ -73,3 +73,17 @@ def test_null_and_repeated_ids_keep_one_row_of_each_group(spark):
     want = sorted([(0, b), (0, c), (5, a), (3, changed)])
     assert order(corpus_pipeline.near_copies(spark, first, "").collect()) == want
     assert order(corpus_pipeline.near_copies(spark, docs, "").collect()) == want  # 5 has a text that goes and one that stays
+
+
+def test_columns_with_the_names_that_stages_use(spark):
+    names = ["score", "lang_pred", "text_sha256", "kept", "rest", "_key", "_row", "key", "n", "place", "row", "chunk"]
+    w = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, w, "en", "s", len(w), *names), (2, w + " ", "en", "s", 1, *names), (3, None, "en", "s", 0, *names)], ", ".join(["doc_id bigint, text string, lang string, source string, n_chars bigint", *(f"{x} string" for x in names)]))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert rows and all(r[x] == x for r in rows for x in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 3
+    none = docs.limit(0)
+    assert all(stage(spark, none, "").count() == 0 for _, stage in corpus_pipeline.STAGES)

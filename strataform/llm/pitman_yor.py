@@ -88,17 +88,18 @@ def seating_moments(c: np.ndarray, rest: np.ndarray, p: np.ndarray, discount: fl
     for the y at which a (1 - y) y^(d - 1) customers are expected, and one more, by the share of customers that join a
     table, since there is one at least. a is the weight of one table more than are found.
     """
-    tables, c = np.ones(len(c)), c.astype(float)
+    c = c.astype(float)
+    tables, log_c, z = np.ones(len(c)), np.log(c), None  # z: log y, by Newton's method from the side on which it can't leave
     for _ in range(16):
         a = (strength + discount * (rest + tables)) * p
-        low, high = np.full(len(c), -700.0), np.full(len(c), -1e-15)  # log y
-        for _ in range(50):
-            z = (low + high) / 2
-            few = np.log(a) + np.log(-np.expm1(z)) + (discount - 1) * z < np.log(c)
-            high, low = np.where(few, z, high), np.where(few, low, z)
-        y = np.exp(low)
-        tables = a * -np.expm1(discount * low) / discount
+        if z is None:
+            share = np.minimum(c / a, 1 - 1e-9)
+            z = np.where(a > c, np.log1p(-share * (1 - share) ** (1 - discount)), np.minimum((np.log(a) - log_c) / (1 - discount), -1e-3))
+        joined = -np.expm1(z)
+        z = np.minimum(z - (np.log(a * joined) + (discount - 1) * z - log_c) / ((joined - 1) / joined + discount - 1), -1e-15)
+        tables = a * -np.expm1(discount * z) / discount
         tables = np.clip(tables + 1 - tables / c, 1, c)
+    y = np.exp(z)
     fixed = np.maximum(tables - c * y / (y + (1 - y) * (1 - discount)), 1e-9)
     return tables, 1 / np.sqrt(np.maximum(1 / fixed - discount / (strength + discount * (rest + tables)), 0.05 / fixed))
 

@@ -2,8 +2,9 @@
 
 Items with the same shingle set are one class from the start. Classes that share a band bucket are dealt into blocks
 of bounded size, similar ones side by side; each pair of blocks that shares a bucket is a cell, and a task compares
-the shingle sets of the classes in its cell. So a group of any size is spread over many tasks, each item is sent to a
-few cells rather than to each partner, and every pair is seen in just one cell.
+the shingle sets of the classes in its cell. So a group of any size is spread over many tasks, and every pair is seen
+in just one cell. Numbers of links need all pairs of a group to be looked at: a class of a group of N goes to N / 1024
+cells, not to N partners.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from strataform.tables import cut, drop
 
 WORDS = 5
 THRESHOLD = 0.8
-#: Classes in a block.
-BLOCK = 256
+#: Classes in a block, and shingles in their sets: what a task holds of each of the two blocks that it compares.
+BLOCK, SHINGLES = 1024, 2 << 20
 
 
 def band_plan(threshold: float, recall: float, rows: int) -> int:
@@ -118,11 +119,15 @@ def near_classes(sigs: DataFrame, fetch: Callable[[DataFrame], DataFrame], thres
     drop(buckets)
 
     def deal(batches):
-        part, n = TaskContext.get().partitionId() << 32, 0
+        block, rows, held = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
-            block = part + (np.arange(n, n + batch.num_rows) // BLOCK)
-            n += batch.num_rows
-            yield batch.append_column("block", pa.array(block, pa.int64()))
+            blocks = []
+            for size in batch.column("n").to_pylist():
+                if rows and (rows >= BLOCK or held + size > SHINGLES):
+                    block, rows, held = block + 1, 0, 0
+                rows, held = rows + 1, held + size
+                blocks.append(block)
+            yield batch.append_column("block", pa.array(blocks, pa.int64()))
 
     labels = shared.groupBy("uid").agg(F.min("first").alias("label")).join(classes.select("uid", "key", "n", "size"), "uid")
     ordered = labels.repartitionByRange(partitions(spark), "label", "key").sortWithinPartitions("label", "key").drop("label")
@@ -170,9 +175,9 @@ def _links(frame, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     owner, column = owner[keep], (np.cumsum(often) - 1)[column[keep]] if len(column) else column
     inter = np.zeros((len(left), len(right)), dtype=np.float32)
     row_of = np.full(len(frame), -1)
-    for base in range(0, int(often.sum()), 8192):
-        here = slice(*np.searchsorted(column, [base, base + 8192]))
-        dense = np.zeros((len(frame), 8192), dtype=np.float32)
+    for base in range(0, int(often.sum()), 2048):
+        here = slice(*np.searchsorted(column, [base, base + 2048]))
+        dense = np.zeros((len(frame), 2048), dtype=np.float32)
         dense[owner[here], column[here] - base] = 1
         inter += dense[left] @ dense[right].T
     union = n[left][:, None] + n[right][None, :] - inter

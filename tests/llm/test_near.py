@@ -51,7 +51,9 @@ def frame(spark, texts, first=0):
     return spark.createDataFrame([(i + first, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, key string")
 
 
-def test_ngram_join_equals_all_pairs(spark, texts):
+@pytest.mark.parametrize("block", [1024, 40])
+def test_ngram_join_equals_all_pairs(spark, texts, monkeypatch, block):
+    monkeypatch.setattr(near, "BLOCK", block)
     got = {r["doc_id"]: r for r in ngram_join.ngram_join(frame(spark, texts)).collect()}
     sets = [grams(t) for t in texts]
     links = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]

@@ -97,10 +97,10 @@ def seating_moments(c: np.ndarray, rest: np.ndarray, p: np.ndarray, discount: fl
             z = np.where(a > c, np.log1p(-share * (1 - share) ** (1 - discount)), np.minimum((np.log(a) - log_c) / (1 - discount), -1e-3))
         joined = -np.expm1(z)
         z = np.minimum(z - (np.log(a * joined) + (discount - 1) * z - log_c) / ((joined - 1) / joined + discount - 1), -1e-15)
-        tables = a * -np.expm1(discount * z) / discount
-        tables = np.clip(tables + 1 - tables / c, 1, c)
+        mean = a * -np.expm1(discount * z) / discount
+        tables = np.clip(mean + 1 - mean / c, 1, c)
     y = np.exp(z)
-    fixed = np.maximum(tables - c * y / (y + (1 - y) * (1 - discount)), 1e-9)
+    fixed = np.maximum(mean - c * y / (y + (1 - y) * (1 - discount)), 1e-9)
     return tables, 1 / np.sqrt(np.maximum(1 / fixed - discount / (strength + discount * (rest + tables)), 0.05 / fixed))
 
 

@@ -41,6 +41,16 @@ def bucketed(df: DataFrame, buckets: int, by: str = "chunk") -> DataFrame:
     return table
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers or records as bytes, first bytes first: the high bytes of small numbers lie together, so they compress to little."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b""
+
+
+def from_planes(data, kind) -> np.ndarray:
+    flat = np.frombuffer(data, dtype=np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 class Split:
     """How distinct names in order are dealt to buckets: a chunk asks about each once, and gets answers in that order."""
 
@@ -58,8 +68,8 @@ class Split:
         return pa.table({"bucket": pa.array(self.buckets, pa.int32()), "chunk": pa.array([chunk] * len(self.buckets), pa.int32())} | {k: pa.array(v, pa.binary()) for k, v in dealt.items()})
 
     def answers(self, found: pa.Table, kind) -> np.ndarray:
-        """The answers of all buckets (rows of REPLY), in the names' order."""
-        parts = [np.frombuffer(x.as_buffer(), dtype=kind) for x in found.sort_by("bucket").column("values")]
+        """The answers of all buckets (rows of REPLY, values in planes), in the names' order."""
+        parts = [from_planes(x.as_buffer(), kind) for x in found.sort_by("bucket").column("values")]
         out = np.empty(len(self.order), kind)
         out[self.order] = np.concatenate(parts) if parts else np.empty(0, kind)
         return out

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataform.llm._exchange import REPLY, Split, bucketed, chunk_table
+from strataform.llm._exchange import REPLY, Split, bucketed, chunk_table, from_planes, planes
 from strataform.llm._shared import cut, drop, mix, slices, words
 
 #: Text in a chunk, about.
@@ -104,16 +104,16 @@ def seating_moments(c: np.ndarray, rest: np.ndarray, p: np.ndarray, discount: fl
     return tables, 1 / np.sqrt(np.maximum(1 / fixed - discount / (strength + discount * (rest + tables)), 0.05 / fixed))
 
 
-def _records(table: pa.Table, column: str, kind) -> tuple[np.ndarray, list[int]]:
+def _records(table: pa.Table, column: str, kind, read=np.frombuffer) -> tuple[np.ndarray, list[int]]:
     """The records of all rows of a bucket, row after row, and how many each has."""
-    parts = [np.frombuffer(x.as_buffer(), dtype=kind) for x in table.column(column)]
+    parts = [read(x.as_buffer(), kind) for x in table.column(column)]
     return (np.concatenate(parts) if parts else np.empty(0, kind)), [len(x) for x in parts]
 
 
 def _reply(table: pa.Table, answers: np.ndarray, sizes: list[int], totals=None) -> pa.Table:
     """Each row's answers, in the order of its questions, and a row of chunk -1 for what the bucket adds to the totals."""
     ends = np.cumsum([0, *sizes])
-    chunks, values = table.column("chunk").to_pylist(), [answers[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+    chunks, values = table.column("chunk").to_pylist(), [planes(answers[a:b]) for a, b in zip(ends[:-1], ends[1:])]
     buckets = table.column("bucket").to_pylist()
     if totals is not None:
         chunks, values, buckets = [*chunks, -1], [*values, np.array(totals, dtype="<f8").tobytes()], [*buckets, buckets[0]]
@@ -185,7 +185,7 @@ def score(
             sums["own"] = np.minimum(sums["n"], 1)
         else:
             of = dict(zip(found.column("chunk").to_pylist(), found.column("values")))
-            got = np.concatenate([np.frombuffer(of[c].as_buffer(), _SUMS) for c in table.column("chunk").to_pylist()])
+            got = np.concatenate([from_planes(of[c].as_buffer(), _SUMS) for c in table.column("chunk").to_pylist()])
             sums["customers"], sums["tables"] = add(got["customers"]), add(got["tables"])
             vocabulary, _, seated, top = totals
             rest = top * (1 - sums["customers"] / max(seated, 1))
@@ -241,21 +241,22 @@ def score(
         once, more = np.flatnonzero(mine & (c == 1)), np.flatnonzero(mine & (c > 1))
         sums = np.zeros(len(names), _SUMS)
         sums["customers"], sums["tables"] = np.bincount(w[once], minlength=len(names)), np.bincount(u[once], minlength=len(names))
+        more = more[np.argsort(u[more], kind="stable")]  # so that the first places compress
         row = {"names": distinct[more], "u": u[more].astype("<u4"), "w": w[more].astype("<u4"), "c": c[more].astype("<i8"), "once": sums}
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32())} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in row.items()})
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32())} | {k: pa.array([planes(v)], pa.binary()) for k, v in row.items()})
 
     states = bucketed(by_chunk.cogroup(counted.groupBy("chunk")).applyInArrow(state, "chunk int, names binary, u binary, w binary, c binary, once binary"), n_buckets)
 
     def reseat(table, found, round_, sums):
         found = found.sort_by("bucket")
-        answer, sizes = _records(found, "values", _ANSWER)
-        names, u, w, c, once = (np.frombuffer(table.column(x)[0].as_buffer(), d) for x, d in (("names", "<u8"), ("u", "<u4"), ("w", "<u4"), ("c", "<i8"), ("once", _SUMS)))
+        answer, sizes = _records(found, "values", _ANSWER, from_planes)
+        names, u, w, c, once = (from_planes(table.column(x)[0].as_buffer(), d) for x, d in (("names", "<u8"), ("u", "<u4"), ("w", "<u4"), ("c", "<i8"), ("once", _SUMS)))
         out = once.copy()
         t = seat(names, round_, c, u, w, answer, sums)
         out["customers"] += np.bincount(w, weights=t, minlength=len(out)).astype(np.int64)
         out["tables"] += np.bincount(u, weights=t, minlength=len(out)).astype(np.int64)
         ends = np.cumsum([0, *sizes])
-        return pa.table({"bucket": found.column("bucket"), "chunk": found.column("chunk"), "values": pa.array([out[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())})
+        return pa.table({"bucket": found.column("bucket"), "chunk": found.column("chunk"), "values": pa.array([planes(out[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.binary())})
 
     def in_round(f, k, sums):
         return lambda table, found: f(table, found, k, sums)
@@ -267,6 +268,7 @@ def score(
         totals.append(summed(answers[-1]))
         if len(answers) > samples + 1:  # the oldest round that no sample rests on
             drop(answers[-samples - 2])
+    drop(states), drop(asked)
     last = list(range(rounds - samples, rounds + 1))
 
     def value(table, found):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strataform.functions.scalars import clamp, ratio
+from strataform.operators.ordered import beside, numbered
 from strataform.tables import cut
 
 
@@ -26,8 +27,14 @@ def weighted(scores: dict[str, Column], weights: dict[str, float]) -> Column:
 
 def feasible_first(df: DataFrame, feasible: str, score: str, tie: str, key: str | None = None) -> DataFrame:
     """df with rank: feasible rows first, then by score, then by id; within `key` if one is given."""
-    w = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))).orderBy(F.desc(feasible), F.desc(score), tie)
-    return df.withColumn("rank", F.row_number().over(w))
+    order = (F.desc(feasible), F.desc(score), F.col(tie))
+    if key is None:
+        return numbered(df, *order).withColumn("rank", (F.col("_n") + 1).cast("int")).drop("_n")
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
+#: Rows of fronts that one task compares.
+FRONT = 100_000
 
 
 def _front(x: np.ndarray) -> np.ndarray:
@@ -45,8 +52,8 @@ def _front(x: np.ndarray) -> np.ndarray:
 def pareto_front(df: DataFrame, objectives: list[str]) -> DataFrame:
     """The rows that no other is at least as small as in every objective and smaller in one; equal rows all stay, rows with a null go.
 
-    Each task drops what its own rows dominate, then what is left meets in fewer and fewer tasks: what moves is
-    fronts, not rows.
+    Each task drops what its own rows dominate. What is left, fronts and not rows, meets in one task if it fits, else
+    block by block.
     """
     def local(batches):
         held = None
@@ -56,11 +63,34 @@ def pareto_front(df: DataFrame, objectives: list[str]) -> DataFrame:
         if held is not None:
             yield from held.combine_chunks().to_batches()
 
-    rows = df.dropna(subset=objectives).mapInArrow(local, df.schema)
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    for n in [*([tasks // 16] if tasks >= 64 else []), 1]:
-        rows = rows.repartition(n).mapInArrow(local, df.schema)
-    return rows
+    rows = cut(df.dropna(subset=objectives).mapInArrow(local, df.schema))
+    n = rows.count()
+    if n <= FRONT:
+        return rows.repartition(1).mapInArrow(local, df.schema)
+    return _undominated(rows, objectives, -(-n // FRONT))
+
+
+def _undominated(rows: DataFrame, objectives: list[str], n: int) -> DataFrame:
+    """The rows that none dominates, by comparing blocks of them two by two, each pair of blocks in a task of its own."""
+    own = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
+
+    def pack(table: pa.Table) -> pa.Table:
+        x = np.column_stack([table.column(c).to_numpy().astype("<f8") for c in objectives])
+        return pa.table({"block": table.column("block").slice(0, 1), "ids": [table.column("_row").to_numpy().astype("<i8").tobytes()], "x": [x.tobytes()]})
+
+    blocks = cut(own.withColumn("block", F.pmod(F.xxhash64("_row"), F.lit(n)).cast("int")).groupBy("block").applyInArrow(pack, "block int, ids binary, x binary"))
+    pairs = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks.select(F.col("block").alias("other"), F.col("x").alias("y")), "other")
+
+    def beaten(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                x, y = (np.frombuffer(r[c], "<f8").reshape(-1, len(objectives)) for c in ("x", "y"))
+                y = y[_front(y)]
+                off = np.array([((y <= v).all(axis=1) & (y < v).any(axis=1)).any() for v in x], dtype=bool)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["ids"], "<i8")[off])], ["_row"])
+
+    gone = pairs.select("ids", "x", "y").mapInArrow(beaten, "_row bigint").distinct()
+    return own.join(gone, "_row", "left_anti").drop("_row")
 
 
 def front_ranks(df: DataFrame, row_id: str, objectives: list[str], most: int | None = None) -> DataFrame:
@@ -80,13 +110,12 @@ def front_ranks(df: DataFrame, row_id: str, objectives: list[str], most: int | N
 def crowding(front: DataFrame, row_id: str, objectives: list[str]) -> DataFrame:
     """(row_id, crowding): the gaps between each row's neighbours by every objective, as shares of its range; ends have infinity."""
     parts = []
-    for c in objectives:
-        w = Window.partitionBy(F.lit(0)).orderBy(c, row_id)
-        every = Window.partitionBy(F.lit(0))
-        span = F.max(c).over(every) - F.min(c).over(every)
-        gap = F.lead(c).over(w) - F.lag(c).over(w)
-        end = F.lead(c).over(w).isNull() | F.lag(c).over(w).isNull()
-        parts.append(front.select(row_id, F.when(end, float("inf")).otherwise(F.when(span > 0, gap / span).otherwise(0.0)).alias("part")))
+    spans = front.agg(*(F.max(c).alias(f"h{i}") for i, c in enumerate(objectives)), *(F.min(c).alias(f"l{i}") for i, c in enumerate(objectives))).first()
+    for i, c in enumerate(objectives):
+        span = float(spans[f"h{i}"] - spans[f"l{i}"]) if spans[f"h{i}"] is not None else 0.0
+        gap = (F.col("_after") - F.col("_before")) / span if span > 0 else F.lit(0.0)
+        end = F.col("_after").isNull() | F.col("_before").isNull()
+        parts.append(beside(front.select(row_id, c), c, c, row_id).select(row_id, F.when(end, float("inf")).otherwise(gap).alias("part")))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)

@@ -121,3 +121,62 @@ def fab_problems(thickness: Column, hole: Column, width: Column, length: Column,
 def last_by(df: DataFrame, key: str, order: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.desc(order))
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+#: The numbers of a run and what each is multiplied with.
+RUN_SCALES = {
+    "gravity": 1 / 200, "damping": 1 / 2, "attractor": 1 / 5, "particleCount": 1 / 2000, "springK": 1 / 400, "restLength": 1 / 200, "edgesPerNode": 1 / 8, "pairwiseStrength": 1 / 1000,
+    "pairwiseRadius": 1 / 200, "constraintIters": 1 / 16, "fieldStrength": 1 / 3, "subSteps": 1 / 16, "workers": 1 / 16, "objectiveLR": 1 / 0.5, "noiseSigma": 1 / 60, "ensembleK": 1 / 64,
+}
+
+
+def run_features(params: Column) -> Column:
+    """18 numbers of a run's parameters (a map of texts): scaled numbers, 0 for what is missing or no number, and two codes of 1, a half or 0."""
+    number = lambda k: F.coalesce(F.try_element_at(params, F.lit(k)).try_cast("double"), F.lit(0.0))
+    code = lambda k, one, half: F.when(F.try_element_at(params, F.lit(k)) == one, 1.0).when(F.try_element_at(params, F.lit(k)) == half, 0.5).otherwise(0.0)
+    return F.array(*(number(k) * s for k, s in RUN_SCALES.items()), code("integrator", "verlet", "semi-euler"), code("boundary", "periodic", "wrap"))
+
+
+DOMAINS = ("fem", "cfd", "thermal", "structural", "fluid")
+
+
+def descriptor(d: dict[str, Column], fingerprint: Column) -> Column:
+    """24 numbers of a simulation: logarithms of sizes, shares kept within 0..1, one of five domains, and six places of a fingerprint, 0 where it is shorter."""
+    log = lambda c: F.log10(F.greatest(F.lit(1.0), c.cast("double")))
+    plain = lambda c: c.cast("double")
+    mesh = (log(d["elements"]), log(d["nodes"]), *(plain(d[k]) for k in ("aspect_max", "aspect_mean", "min_angle", "max_angle", "jacobian_min")), clamp(plain(d["skewness"])))
+    return F.array(
+        log(d["unknowns"]), clamp(plain(d["density"])), plain(d["log_kappa"]), F.when(d["spd"], 1.0).otherwise(0.0), clamp(plain(d["nonlinearity"])), *mesh,
+        *(F.when(d["domain"] == x, 1.0).otherwise(0.0) for x in DOMAINS), *(F.coalesce(F.get(fingerprint, i).cast("double"), F.lit(0.0)) for i in range(6)),
+    )
+
+
+def learning_vector(low: list[Column], high: list[Column], risk: dict[str, Column], curved: dict[str, Column], holes: Column) -> Column:
+    """12 numbers between 0 and 1 of a part: shape and size of its box (1 x 1 x 1 without one), risks, shares of curved faces, and holes."""
+    dims = [F.coalesce(b - a, F.lit(1.0)) for a, b in zip(low, high)]
+    small, large = F.greatest(F.lit(1e-6), F.least(*dims)), F.greatest(F.lit(1e-6), F.greatest(*dims))
+    area = 2 * (dims[0] * dims[1] + dims[1] * dims[2] + dims[0] * dims[2])
+    parts = (
+        small / large, large / small / 10, 1 - risk["stress"], F.coalesce(holes, F.lit(0.0)), curved["toroidal"], dims[0] * dims[1] * dims[2] / 1000,
+        area / 1300, risk["thermal"], risk["stress"], risk["fabrication"], curved["spline"], 1 - curved["planar"],
+    )
+    return F.array(*map(clamp, parts))
+
+
+def band_profile(samples: DataFrame, row_id: str, distance: str, band: str, bins: int = 16) -> DataFrame:
+    """(row_id, inside, thickness, shares): the share of samples inside (a negative distance), the mean size of their distance, and how all sizes lie between 0 and the band, in equal bins, what is beyond in the last."""
+    d = F.abs(F.col(distance))
+    place = F.least(F.lit(bins - 1), F.floor(d / F.col(band) * bins)).cast("int")
+    inside = F.col(distance) < 0
+    own = samples.groupBy(row_id).agg(F.count(F.lit(1)).alias("_n"), F.avg(inside.cast("double")).alias("inside"), F.coalesce(F.avg(F.when(inside, d)), F.lit(0.0)).alias("thickness"), *(F.count_if(place == i).alias(f"_{i}") for i in range(bins)))
+    return own.select(row_id, "inside", "thickness", F.array(*(F.col(f"_{i}") / F.col("_n") for i in range(bins))).alias("shares"))
+
+
+def inner_centre(samples: DataFrame, row_id: str, distance: str, axes: list[str]) -> DataFrame:
+    """(row_id, axes): the mean place of the samples inside, else the middle of all."""
+    inside = F.col(distance) < 0
+    return samples.groupBy(row_id).agg(*(F.coalesce(F.avg(F.when(inside, F.col(a))), (F.min(a) + F.max(a)) / 2).alias(a) for a in axes))
+
+
+def label_counts(df: DataFrame, label: str) -> DataFrame:
+    return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))

@@ -76,3 +76,58 @@ def kinds_of_cells(df: DataFrame, columns: list[str]) -> DataFrame:
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Of the rows with the same keys, the first."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+
+
+def ranked(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """df with rank within the key, from 1."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
+def scoped(clients: DataFrame, scope: str) -> DataFrame:
+    """Clients that aren't revoked and have the scope among theirs (revoked_at, scopes)."""
+    return clients.filter(F.col("revoked_at").isNull() & F.array_contains("scopes", scope))
+
+
+def visible(rows: DataFrame, owner: str, user: int, roles: DataFrame, admin: str = "admin") -> DataFrame:
+    """The rows that a user may see: all for one with the admin role, else their own. roles: (user_id, role)."""
+    boss = roles.filter((F.col("user_id") == user) & (F.col("role") == admin)).limit(1).select(F.lit(True).alias("_boss"))
+    own = rows.join(F.broadcast(boss), F.lit(True), "left")  # one row at most
+    return own.filter(F.coalesce("_boss", F.lit(False)) | (F.col(owner) == user)).drop("_boss")
+
+
+def display_name(meta: Column, email: Column) -> Column:
+    """A profile's name: that given, the full name given, or what stands before the @ of the address."""
+    return F.coalesce(F.get_json_object(meta, "$.display_name"), F.get_json_object(meta, "$.full_name"), F.split_part(email, F.lit("@"), F.lit(1)))
+
+
+def stamped(df: DataFrame, old: DataFrame, key: str, columns: list[str], at: Column) -> DataFrame:
+    """df with updated_at: `at` for rows that are new or differ from the old row of their key in a column, else the old time. old: key, columns, updated_at."""
+    was = old.select(F.col(key).alias("_key"), F.struct(*columns).alias("_was"), F.col("updated_at").alias("_at"))
+    both = df.join(was, df[key] == was["_key"], "left")
+    return both.withColumn("updated_at", F.when(F.struct(*(df[c] for c in columns)).eqNullSafe(F.col("_was")), F.col("_at")).otherwise(at)).drop("_key", "_was", "_at")
+
+
+def agreed(*sets: DataFrame) -> DataFrame:
+    """The distinct rows of all, in order."""
+    rows = sets[0]
+    for s in sets[1:]:
+        rows = rows.union(s)
+    return rows.distinct().orderBy(*rows.columns)
+
+
+def in_both(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.intersect(b)
+
+
+def in_first_only(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.exceptAll(b).distinct()
+
+
+def summary_sets(df: DataFrame, keys: list[str], sets: list[list[str]], measures: dict[str, Column]) -> DataFrame:
+    """Aggregates over several sets of keys at once: keys that a set leaves out are null, grouping_id tells the sets apart."""
+    return df.groupingSets([[F.col(c) for c in s] for s in sets], *(F.col(c) for c in keys)).agg(F.grouping_id(*keys).alias("grouping_id"), *(v.alias(k) for k, v in measures.items()))
+
+
+def all_capable(paths: DataFrame, toggle: str, active: str, capable: str) -> DataFrame:
+    """(toggle, allowed, lacking): whether every active path can do it, and the names of those that can't."""
+    return paths.filter(active).groupBy(toggle).agg(F.every(capable).alias("allowed"), F.array_sort(F.collect_list(F.when(~F.col(capable), F.col("path")))).alias("lacking"))

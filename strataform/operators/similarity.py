@@ -12,7 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strataform.functions.scalars import unit
+
 BLOCK = 2048
+#: Tokens that can count as frequent, and the parts that the rows of such a token are dealt into.
+OFTEN, SALTS = 1000, 32
 
 
 def packed(df: DataFrame, group: Column, row_id: str, vector: str, size: int = BLOCK) -> DataFrame:
@@ -43,11 +47,18 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return -np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T))
 
 
-def top_k(df: DataFrame, asked: Column, k: int, row_id: str, vector: str, measure: str = "cosine") -> DataFrame:
-    """(query_id, rank, row_id, score) of the k rows nearest to each row that `asked` holds for, itself left out: by cosine, or by distance (score: its negative). Exact: every block of queries meets every block of rows; ties go to the smaller id."""
-    score = _cosines if measure == "cosine" else _distances
-    rows = packed(df, F.lit(0), row_id, vector)
-    queries = packed(df.filter(asked), F.lit(0), row_id, vector, 512).withColumnsRenamed({"ids": "q_ids", "vectors": "q", "block": "q_block"})
+def _inner(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return x @ y.T
+
+
+MEASURES = {"cosine": _cosines, "l2": _distances, "inner": _inner}
+
+
+def top_between(queries: DataFrame, rows: DataFrame, k: int, row_id: str, vector: str, measure: str = "cosine") -> DataFrame:
+    """(query_id, rank, row_id, score) of the k rows nearest to each query, one of its own id left out: by cosine, inner product or distance (score: its negative). Exact: every block of queries meets every block of rows; ties go to the smaller id."""
+    score = MEASURES[measure]
+    held = packed(rows, F.lit(0), row_id, vector)
+    asked = packed(queries, F.lit(0), row_id, vector, 512).withColumnsRenamed({"ids": "q_ids", "vectors": "q", "block": "q_block"})
 
     def best(batches):
         for batch in batches:
@@ -60,35 +71,96 @@ def top_k(df: DataFrame, asked: Column, k: int, row_id: str, vector: str, measur
                 keep = value > -np.inf
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, order.shape[1])[keep.ravel()]), pa.array(ids[order][keep]), pa.array(value[keep])], ["query_id", "row_id", "score"])
 
-    pairs = queries.join(rows, "grp").select("q_ids", "q", "ids", "vectors")
+    # Every block of queries goes to every block of rows; blocks, not one key, are what the join deals out.
+    n = held.groupBy("grp").agg((F.max("block") + 1).alias("n"))
+    pairs = asked.join(n, "grp").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).join(held.drop("grp"), "block").select("q_ids", "q", "ids", "vectors")
     found = pairs.mapInArrow(best, "query_id bigint, row_id bigint, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "row_id", "score")
 
 
+def top_k(df: DataFrame, asked: Column, k: int, row_id: str, vector: str, measure: str = "cosine") -> DataFrame:
+    """top_between() of the rows that `asked` holds for and all rows."""
+    return top_between(df.filter(asked), df, k, row_id, vector, measure)
+
+
+def memory_rank(queries: DataFrame, nodes: DataFrame, edges: DataFrame, row_id: str, vector: str, k: int = 5) -> DataFrame:
+    """(query_id, rank, row_id: the edge, score): edges (edge_id, from_id, weight) that say what was improved from what, by seven tenths of the cosine of the query and their start and three tenths of their weight.
+
+    Both become one inner product: the unit vector by 0.7 with 0.3 of the weight behind it, against the query's unit vector and 1.
+    """
+    sized = lambda c: F.transform(unit(F.col(c)), lambda x: x * 0.7)
+    held = edges.join(nodes.select(F.col(row_id).alias("from_id"), F.col(vector).alias("_v")), "from_id").select(F.col("edge_id").alias(row_id), F.concat(sized("_v"), F.array(F.col("weight") * 0.3)).alias(vector))
+    asked = queries.select((-F.col(row_id) - 1).alias(row_id), F.concat(unit(F.col(vector)), F.array(F.lit(1.0))).alias(vector))
+    return top_between(asked, held, k, row_id, vector, "inner").withColumn("query_id", -F.col("query_id") - 1)
+
+
+def _block_pairs(df: DataFrame, group: str, row_id: str, vector: str) -> DataFrame:
+    """(q_ids, q, ids, vectors, same) of each two blocks of a group, once, dealt by group and block, so a large group spreads."""
+    blocks = packed(df, F.col(group), row_id, vector)
+    n = blocks.groupBy("grp").agg((F.max("block") + 1).alias("n"))
+    other = blocks.join(n, "grp").withColumnsRenamed({"ids": "q_ids", "vectors": "q", "block": "q_block"}).withColumn("block", F.explode(F.sequence(F.col("q_block"), F.col("n") - 1)))
+    return other.join(blocks, ["grp", "block"]).select("q_ids", "q", "ids", "vectors", (F.col("q_block") == F.col("block")).alias("same"))
+
+
+def _close(r: dict, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of two blocks, and places and cosines of the pairs that reach the threshold."""
+    (q_ids, q), (ids, x) = _matrix(r["q_ids"], r["q"]), _matrix(r["ids"], r["vectors"])
+    s = np.round(_cosines(q, x), 12)
+    i, j = np.nonzero((s >= threshold) & ((q_ids[:, None] < ids[None, :]) if r["same"] else (q_ids[:, None] != ids[None, :])))
+    return q_ids, ids, i, j, s[i, j]
+
+
 def similar_pairs(df: DataFrame, group: str, row_id: str, vector: str, threshold: float) -> DataFrame:
     """(a, b, score), a < b, of the rows of one group whose cosine is at least the threshold."""
-    blocks = packed(df, F.col(group), row_id, vector)
-    other = blocks.withColumnsRenamed({"ids": "q_ids", "vectors": "q", "block": "q_block"})
 
     def close(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                (q_ids, q), (ids, x) = _matrix(r["q_ids"], r["q"]), _matrix(r["ids"], r["vectors"])
-                s = np.round(_cosines(q, x), 12)
-                i, j = np.nonzero((s >= threshold) & ((q_ids[:, None] < ids[None, :]) if r["same"] else (q_ids[:, None] != ids[None, :])))
+                q_ids, ids, i, j, score = _close(r, threshold)
                 a, b = q_ids[i], ids[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s[i, j])], ["a", "b", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(score)], ["a", "b", "score"])
+
+    return _block_pairs(df, group, row_id, vector).mapInArrow(close, "a bigint, b bigint, score double")
 
-    pairs = other.join(blocks, "grp").filter("q_block <= block").select("q_ids", "q", "ids", "vectors", (F.col("q_block") == F.col("block")).alias("same"))
-    return pairs.mapInArrow(close, "a bigint, b bigint, score double")
+
+def similar_links(df: DataFrame, group: str, row_id: str, vector: str, threshold: float) -> DataFrame:
+    """(a, b) that connect the same rows as similar_pairs: of each two blocks a link from every row to the smallest id of its component there, so at most a block's rows instead of their square."""
+
+    def link(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                q_ids, ids, i, j, _ = _close(r, threshold)
+                every, at = np.unique(np.concatenate((q_ids[i], ids[j])), return_inverse=True)
+                a, b = at[: len(i)], at[len(i) :]
+                root = np.arange(len(every))
+                while True:
+                    low, before = np.minimum(root[a], root[b]), root.copy()
+                    np.minimum.at(root, a, low), np.minimum.at(root, b, low)
+                    root = root[root]
+                    if (root == before).all():
+                        break
+                on = root != np.arange(len(every))
+                yield pa.RecordBatch.from_arrays([pa.array(every[root[on]]), pa.array(every[on])], ["a", "b"])
+
+    return _block_pairs(df, group, row_id, vector).mapInArrow(link, "a bigint, b bigint")
 
 
 def set_overlaps(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """(query_id, row_id, common, score) of all pairs that share a token; both sides: (query_id or row_id, tokens), sets. Jaccard by an inverted index: equal tokens are joined, shared ones counted."""
+    """(query_id, row_id, common, score) of all pairs that share a token; both sides: (query_id or row_id, tokens), sets. Jaccard by an inverted index: equal tokens are joined, shared ones counted.
+
+    A token that more than one in OFTEN of all places hold (there are at most OFTEN such) is dealt out by row as well,
+    so no stop word fills a task.
+    """
     q = queries.select("query_id", F.size("tokens").alias("q_n"), F.explode("tokens").alias("token"))
     r = rows.select("row_id", F.size("tokens").alias("r_n"), F.explode("tokens").alias("token"))
-    common = q.join(r, "token").groupBy("query_id", "row_id", "q_n", "r_n").agg(F.count(F.lit(1)).alias("common"))
+    n = r.groupBy("token").count()
+    total = F.broadcast(n.agg(F.sum("count").alias("total")))  # one row
+    often = F.broadcast(n.crossJoin(total).filter(F.col("count") * OFTEN > F.col("total")).select("token", F.lit(True).alias("often")))
+    salt = F.when(F.col("often"), F.pmod(F.xxhash64("row_id"), F.lit(SALTS))).otherwise(0)
+    r = r.join(often, "token", "left").withColumn("salt", salt).drop("often")
+    q = q.join(often, "token", "left").withColumn("salt", F.explode(F.when(F.col("often"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("often")
+    common = q.join(r, ["token", "salt"]).groupBy("query_id", "row_id", "q_n", "r_n").agg(F.count(F.lit(1)).alias("common"))
     return common.select("query_id", "row_id", "common", (F.col("common") / (F.col("q_n") + F.col("r_n") - F.col("common"))).alias("score"))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strataform.functions.scalars import clamp, l2
 
@@ -50,6 +49,6 @@ def route(asked: DataFrame, solved: DataFrame, cache_radius: float = 0.35, rom_r
 
 def gate(df: DataFrame, last: int = 256) -> DataFrame:
     """One row over the last runs (seq, error, full_ms, routed_ms): n, mean error, time saved, and whether the gates of 2 % error and 20 % saved time are met from 24 runs on."""
-    own = df.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("seq")))).filter(F.col("_n") <= last)
+    own = df.orderBy(F.desc("seq")).limit(last)
     one = own.agg(F.count(F.lit(1)).alias("n"), F.avg("error").alias("mean_error"), F.when(F.sum("full_ms") > 0, (F.sum("full_ms") - F.sum("routed_ms")) / F.sum("full_ms")).otherwise(0.0).alias("saved"))
     return one.withColumn("ready", (F.col("n") >= 24) & (F.col("mean_error") <= 0.02) & (F.col("saved") >= 0.2))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +57,17 @@ def scale_features(df: DataFrame, names: list[str], how: str = "minmax") -> Data
     return both.select(*df.columns, *(f"{n}_scaled" for n in names))
 
 
+def reduced(df: DataFrame, key: str, total: str, bounds: str, step: str, share: float, low: float, high: float) -> DataFrame:
+    """(key, total, low, high, dt): the sum of a column, the least and largest of another, and the step that all agree on: the least of a third by `share`, kept within bounds. Partial results of tasks are merged."""
+    dt = F.greatest(F.lit(low), F.least(F.lit(high), F.min(step) * share))
+    return df.groupBy(key).agg(F.sum(total).alias("total"), F.min(bounds).alias("low"), F.max(bounds).alias("high"), dt.alias("dt"))
+
+
+def cell_means(df: DataFrame, cells: dict[str, Column], value: str) -> DataFrame:
+    """(cells, n, mean) of the rows of each cell."""
+    return df.groupBy(*(c.alias(k) for k, c in cells.items())).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
+
+
 def counts_with_zeros(df: DataFrame, key: str, domain: DataFrame, domain_key: str) -> DataFrame:
     """How many rows each key of the domain has, 0 for those without."""
     n = df.groupBy(F.col(key).alias(domain_key)).agg(F.count(F.lit(1)).alias("n"))
@@ -71,17 +85,53 @@ def precision_loss(df: DataFrame, names: list[str]) -> DataFrame:
     return cells.groupBy("column_name").agg(F.max(F.when(F.abs(stored) < float("inf"), F.abs(F.col("x") - stored)).otherwise(0.0)).alias("max_abs_loss"), F.count_if(F.abs(stored) == float("inf")).alias("overflows"))
 
 
-def ordered_sum(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """(key, total): the compensated sum of a key's values in the given order, the same however rows are dealt. A key's values meet in one array."""
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"))
-
-    def add(a, x):
-        t = a["s"] + x["v"]
-        lost = F.when(F.abs(a["s"]) >= F.abs(x["v"]), (a["s"] - t) + x["v"]).otherwise((x["v"] - t) + a["s"])
-        return F.struct(t.alias("s"), (a["c"] + lost).alias("c"))
-
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))))
-    return df.groupBy(key).agg(rows.alias("_rows")).select(key, F.aggregate("_rows", zero, add, lambda a: a["s"] + a["c"]).alias("total"))
+def _exactly(parts: list[float], x: float) -> list[float]:
+    """parts and x as numbers that don't overlap and have the same sum, exactly."""
+    out = []
+    for p in parts:
+        if abs(x) < abs(p):
+            x, p = p, x
+        high = x + p
+        if not math.isfinite(high):
+            return [high]
+        low = p - (high - x)
+        if low:
+            out.append(low)
+        x = high
+    return [*out, x]
+
+
+def exact_sum(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, total): the sum of a key's values, exact until it is rounded once, so the same however rows are dealt or ordered. Nulls are left out.
+
+    Each task sends one row a key: a few numbers whose sum is exact, whatever went into it.
+    """
+    own = df.select(key, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull()).sortWithinPartitions(key)
+    kind = df.schema[key].dataType.simpleString()
+
+    def partial(batches):
+        held, parts = (), []
+        for batch in batches:
+            out = []
+            for k, v in zip(*(c.to_pylist() for c in batch.columns)):
+                if (k,) != held:
+                    if held:
+                        out.append((*held, parts))
+                    held, parts = (k,), []
+                parts = _exactly(parts, v)
+            yield _rows(out, batch.schema.field(0).type)
+        if held:
+            yield _rows([(*held, parts)], batch.schema.field(0).type)
+
+    def _rows(out, key_type):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], key_type), pa.array([r[1] for r in out], pa.list_(pa.float64()))], [key, "parts"])
+
+    def total(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([math.fsum(x) if all(map(math.isfinite, x)) else sum(x) for x in batch.column(1).to_pylist()], pa.float64())], [key, "total"])
+
+    parts = own.mapInArrow(partial, f"{key} {kind}, parts array<double>").groupBy(key).agg(F.flatten(F.collect_list("parts")).alias("parts"))
+    return parts.mapInArrow(total, f"{key} {kind}, total double")
 
 
 def pca(df: DataFrame, names: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -105,7 +155,23 @@ def project(df: DataFrame, names: list[str], mean, dev, components) -> DataFrame
     return df.withColumn("latent", F.array(*parts))
 
 
-def kmeans(df: DataFrame, names: list[str], centres: list[list[float]], rounds: int = 10) -> tuple[list[list[float]], DataFrame]:
+def spread_centres(df: DataFrame, names: list[str], row_id: str, k: int, seed: int = 1) -> list[list[float]]:
+    """k rows as first centres: the first at random, each further one with a chance that grows with the square of its distance to the nearest so far. Each draw is one aggregation: of exponential waiting times, by a hash of the row and draw, the shortest wins."""
+    centres: list[list[float]] = []
+    for draw in range(k):
+        u = (F.pmod(F.xxhash64(row_id, F.lit(seed), F.lit(draw)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+        far = F.lit(1.0)
+        if centres:
+            far = F.least(*(sum((F.col(c) - v) * (F.col(c) - v) for c, v in zip(names, row)) for row in centres)) if len(centres) > 1 else sum((F.col(c) - v) * (F.col(c) - v) for c, v in zip(names, centres[0]))
+        wait = F.when(far > 0, -F.log(u) / far)
+        row = df.dropna(subset=names).withColumn("_wait", wait).filter(F.col("_wait").isNotNull()).agg(F.min_by(F.struct(*names), F.struct("_wait", row_id)).alias("r")).first()["r"]
+        if row is None:  # fewer different rows than centres
+            break
+        centres.append([float(row[c]) for c in names])
+    return centres
+
+
+def kmeans(df: DataFrame, names: list[str], centres: list[list[float]], rounds: int = 20) -> tuple[list[list[float]], DataFrame]:
     """Centres after some rounds of Lloyd's method, and df with cluster and squared distance. An empty cluster keeps its centre; of centres as near, the first. Each round is one aggregation of k rows."""
 
     def near(cs):

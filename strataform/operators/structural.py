@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strataform.functions.scalars import round_up_half
 
@@ -85,3 +86,32 @@ def cost(df: DataFrame, complexity: float = 1.2) -> DataFrame:
     spare = F.when(F.col("safety_factor") > 1.5, F.pow((F.col("safety_factor") - 1.5) / 2, F.lit(1.3)) * 0.15).otherwise(0.0)
     total = raw + machining + raw * m(5) + (raw + machining) * ((complexity - 1.0) * 0.3 + spare)
     return df.withColumn("mass_kg", round_up_half(mass, 2)).withColumn("total_cost", round_up_half(total, 2))
+
+
+def recommendations(df: DataFrame) -> DataFrame:
+    """df (beam's columns) with advice: what to change, in a fixed order; that the design looks good if nothing is."""
+    sf, use, span = F.col("safety_factor"), F.col("von_mises") / property_of(F.col("material"), 0), F.col("span_ratio")
+    rules = (
+        ("Increase cross-section thickness", sf < 1), ("Marginal safety factor", (sf >= 1) & (sf < 1.5)), ("Reduce thickness to save weight", sf > 3),
+        ("High stress concentration", (use > 0.9) & (sf >= 1)), ("Simplify geometry", (use < 0.3) & (sf > 2)), ("Increase moment of inertia", span < 250), ("Reduce section depth", (span > 1000) & (sf > 2)),
+    )
+    found = F.array_compact(F.array(*(F.when(hit, F.lit(title)) for title, hit in rules)))
+    return df.withColumn("advice", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("Design looks good"))))
+
+
+#: Factors on the cross-section that a search tries.
+SCALES = (0.5, 0.75, 1.0, 1.25, 1.5, 2.0)
+
+
+def grid_search(bases: DataFrame, row_id: str, least_safety: float = 1.5, most_sag: float = 10.0, least_span: float = 250.0) -> DataFrame:
+    """(row_id, material, scale, meets, score, rank) of every material and scaled section for each base (csa, length, force): those that meet the limits first, then by cost, raised for what a limit is missed by."""
+    c = F.col
+    each = bases.withColumn("material", F.explode(F.array(*map(F.lit, MATERIALS)))).withColumn("scale", F.explode(F.array(*map(F.lit, SCALES))))
+    own = each.withColumn("csa", c("csa") * c("scale"))
+    own = own.withColumns({"volume": c("csa") * c("length"), "surface_area": F.sqrt("csa") * 4 * c("length"), "moi": c("csa") * c("csa") / (4 * F.pi())})
+    own = cost(beam(own))
+    safe, flat, stiff = c("safety_factor") >= least_safety, c("deflection_mm") <= most_sag, c("span_ratio") >= least_span
+    missed = F.when(safe, 0.0).otherwise(10000 * (least_safety - c("safety_factor"))) + F.when(flat, 0.0).otherwise(5000 * (c("deflection_mm") - most_sag)) + F.when(stiff, 0.0).otherwise(3000 * (least_span - c("span_ratio")) / least_span)
+    own = own.withColumn("meets", safe & flat & stiff).withColumn("score", round_up_half(c("total_cost") + missed, 2))
+    w = Window.partitionBy(row_id).orderBy(F.desc("meets"), "score", "material", "scale")
+    return own.withColumn("rank", F.row_number().over(w)).select(row_id, "material", "scale", "meets", "score", "rank")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strataform.functions.scalars import finite, ratio
+from strataform.operators.ordered import at_place, over_range
 
 OPERATIONS = {">": lambda v, th: v > th, ">=": lambda v, th: v >= th, "<": lambda v, th: v < th, "<=": lambda v, th: v <= th, "==": lambda v, th: v == th}
 
@@ -18,7 +19,7 @@ def cleared(value: Column, op: str, threshold: float, margin: float) -> Column:
     return value > threshold * (1 + margin) if op[0] == "<" else value != threshold
 
 
-def alerts(df: DataFrame, key: str, t: str, value: str, op: str = ">", threshold: float = 0.0, consecutive: int = 1, margin: float = 0.1) -> DataFrame:
+def alerts(df: DataFrame, key: str, t: str, value: str, op: str = ">", threshold: float = 0.0, consecutive: int = 1, margin: float = 0.0) -> DataFrame:
     """(key, first_t, last_t, peak, n, cleared_at) of each alert.
 
     An alert opens after `consecutive` triggered samples in a row, counts the triggered samples from there on, and
@@ -49,8 +50,7 @@ def last_n(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
 
 def recent_count(df: DataFrame, key: str, at: Column, span: int) -> DataFrame:
     """df with n_recent and mean_recent of `value` over the closed range of `span` units up to each row."""
-    w = Window.partitionBy(key).orderBy(at).rangeBetween(-span, 0)
-    return df.withColumns({"n_recent": F.count(F.lit(1)).over(w), "mean_recent": F.avg("value").over(w)})
+    return over_range(df, key, at, span, lambda w: {"n_recent": F.count(F.lit(1)).over(w), "mean_recent": F.avg("value").over(w)})
 
 
 def moments(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
@@ -72,12 +72,7 @@ def compare(a: DataFrame, b: DataFrame, key: str, metrics: dict[str, bool], tie:
 
 def floor_percentile(df: DataFrame, key: str, value: str, q: float, style: str = "floor") -> DataFrame:
     """(key, p): the value at position floor(q * (n - 1)) in order ("floor"), or floor(q * n), the last at most ("index")."""
-    w = Window.partitionBy(key)
-    place = F.row_number().over(w.orderBy(value)) - 1
-    n = F.count(F.lit(1)).over(w)
-    want = F.floor(F.lit(q) * (n - 1)) if style == "floor" else F.least(F.floor(F.lit(q) * n), n - 1)
-    own = df.filter(F.col(value).isNotNull()).withColumn("_place", place).withColumn("_want", want)
-    return own.filter("_place = _want").select(F.col(key), F.col(value).alias("p"))
+    return at_place(df, key, value, (lambda n: F.floor(F.lit(q) * (n - 1))) if style == "floor" else (lambda n: F.least(F.floor(F.lit(q) * n), n - 1)))
 
 
 def confusion(df: DataFrame, truth: Column, alert: Column) -> DataFrame:

@@ -11,11 +11,11 @@ QUERIES, ORACLE, query = registry()
 
 #: Suppliers are numbered from here in the graph of parts and suppliers.
 SUPPLIERS = 1_000_000_000_000
-_EDGES = f"e AS (SELECT DISTINCT l_partkey AS a, {SUPPLIERS} + l_suppkey AS b FROM lineitem WHERE l_quantity > 49)"
+_EDGES = f"e AS (SELECT DISTINCT l_partkey AS a, {SUPPLIERS} + l_suppkey AS b FROM lineitem)"
 
 
 def supply(spark, d):
-    return table(spark, d, "lineitem").filter("l_quantity > 49").select(F.col("l_partkey").alias("a"), (SUPPLIERS + F.col("l_suppkey")).alias("b")).distinct()
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), (SUPPLIERS + F.col("l_suppkey")).alias("b")).distinct()
 
 
 def both(edges):
@@ -39,8 +39,8 @@ e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(a, b) AS (SELECT a, b FROM
 SELECT a AS key, least(a, min(b)) AS component FROM r GROUP BY a
 """)
 def connected_components(spark, d):
-    edges = similarity.similar_pairs(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.3)
-    return graph.components(edges.select("a", "b"))
+    edges = similarity.similar_links(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.3)
+    return graph.components(edges)
 
 
 @query(f"""

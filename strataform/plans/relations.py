@@ -134,15 +134,15 @@ def precision_audit(spark, d):
     return out.select("column_name", F.round("max_abs_loss", 12).alias("max_abs_loss"), "overflows")
 
 
-@query("SELECT l_returnflag, round(sum(l_extendedprice), 1) AS total, min(l_quantity) AS low, max(l_quantity) AS high, greatest(1.0, least(40.0, min(l_extendedprice) / 100)) AS dt FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag, round(sum(l_extendedprice), 1) AS total, min(l_quantity) AS low, max(l_quantity) AS high, round(greatest(1.0, least(40.0, min(l_extendedprice) / 100)), 9) AS dt FROM lineitem GROUP BY 1")
 def global_reduce(spark, d):
-    dt = F.greatest(F.lit(1.0), F.least(F.lit(40.0), F.min("l_extendedprice") / 100))
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum("l_extendedprice"), 1).alias("total"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"), dt.alias("dt"))
+    out = stats.reduced(table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", "l_quantity", "l_extendedprice", 0.01, 1.0, 40.0)
+    return out.select("l_returnflag", F.round("total", 1).alias("total"), "low", "high", F.round("dt", 9).alias("dt"))
 
 
-@query("SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+@query("SELECT o_custkey, round(fsum(o_totalprice), 6) AS total FROM orders GROUP BY 1")
 def compensated_sum(spark, d):
-    return stats.ordered_sum(table(spark, d, "orders"), "o_custkey", "o_orderkey", "o_totalprice").select("o_custkey", F.round("total", 2).alias("total"))
+    return stats.exact_sum(table(spark, d, "orders"), "o_custkey", "o_totalprice").select("o_custkey", F.round("total", 6).alias("total"))
 
 
 _BEAM = """

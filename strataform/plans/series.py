@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataform.operators import maintenance, recurrent, simulation, telemetry
+from strataform.operators import federated, maintenance, recurrent, simulation, telemetry, twin
 from strataform.plans.base import registry, table
 
 QUERIES, ORACLE, query = registry()
@@ -116,10 +116,7 @@ def gate_confusion(spark, d):
 
 @query("SELECT event_id, round(value - first_value(value) OVER (PARTITION BY user_id ORDER BY event_id), 9) AS drift FROM events")
 def energy_drift_from_first(spark, d):
-    from pyspark.sql.window import Window
-
-    first = F.first("value").over(Window.partitionBy("user_id").orderBy("event_id"))
-    return table(spark, d, "events").select("event_id", F.round(F.col("value") - first, 9).alias("drift"))
+    return twin.drift_from_first(table(spark, d, "events"), "user_id", "event_id", "value").select("event_id", F.round("drift", 9).alias("drift"))
 
 
 @query("""
@@ -140,52 +137,115 @@ def latest_checkpoint(spark, d):
     return telemetry.latest_before(e.filter("event_type = 'purchase'"), asked, "user_id", "event_id", "value").select("ask_id", "found")
 
 
-@query("SELECT user_id, round(sqrt(avg(pow((m - 50) / 50, 2))), 8) AS distance FROM (SELECT user_id, event_type, avg(value) AS m FROM events GROUP BY 1, 2) GROUP BY 1")
+@query("""
+WITH m AS (SELECT user_id, event_type, avg(value) AS m FROM events GROUP BY 1, 2), g AS (SELECT u.user_id, t.e, coalesce(m, 0) AS m FROM (SELECT DISTINCT user_id FROM m) u, (VALUES ('view'), ('click'), ('purchase')) t(e) LEFT JOIN m ON m.user_id = u.user_id AND m.event_type = t.e),
+o AS (SELECT *, pow((m - 50) / 50, 2) AS q FROM g)
+SELECT user_id, round(sqrt(avg(q)), 8) AS distance, CASE WHEN max(sqrt(q)) > 0.15 THEN min_by(e, (-q, CASE e WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END)) END AS worst FROM o GROUP BY 1
+""")
 def twin_station_distance(spark, d):
+    optimal = {e: {"mean": 50.0} for e in ("view", "click", "purchase")}
     m = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("m"))
-    off = (F.col("m") - 50) / 50
-    return m.groupBy("user_id").agg(F.round(F.sqrt(F.avg(off * off)), 8).alias("distance"))
+    frames = m.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", F.create_map(F.lit("mean"), "m")))).alias("stations"))
+    return frames.select("user_id", F.round(twin.distance(F.col("stations"), optimal), 8).alias("distance"), twin.station_loads(F.col("stations"), optimal)[1].alias("worst"))
 
 
 @query("""
-SELECT event_id, min(abs(value - v)) AS novelty FROM (SELECT event_id, value, unnest(list(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 64 PRECEDING AND 1 PRECEDING)) AS v FROM events) GROUP BY 1
+SELECT event_id, least(1, min(abs(value - v)) / 10) AS novelty FROM (SELECT event_id, value, unnest(list(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 64 PRECEDING AND 1 PRECEDING)) AS v FROM events) GROUP BY 1
 """)
 def novelty_min_distance(spark, d):
-    from pyspark.sql.window import Window
-
-    before = F.collect_list("value").over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-64, -1))
-    own = table(spark, d, "events").withColumn("before", before).filter(F.size("before") > 0)
-    return own.select("event_id", F.array_min(F.transform("before", lambda x: F.abs(F.col("value") - x))).alias("novelty"))
+    return twin.novelty(table(spark, d, "events"), "user_id", "event_id", "value", radius=5.0).filter("novelty IS NOT NULL").select("event_id", "novelty")
 
 
 @query(None)
+def twin_states(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", F.array("value", F.col("event_id") % 7 / 7.0, F.col("value") * F.col("value") / 100).alias("raw"), (F.abs(F.col("value") - 50) / 50).alias("far"))
+    return twin.twin_states(e, "user_id", "event_id", "raw", "far")
+
+
+_SERIES = "e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE value IS NOT NULL)"
+
+
+def _series(spark, d):
+    return table(spark, d, "events").filter("value IS NOT NULL").select("user_id", "event_id", F.col("event_id").cast("double").alias("t"), "value")
+
+
+@query(f"""
+WITH RECURSIVE {_SERIES}, r AS (
+  SELECT user_id, -1::BIGINT AS event_id, 0::BIGINT AS n, 0::DOUBLE AS level, 0::DOUBLE AS speed, 0::DOUBLE AS mae, 0::DOUBLE AS rmse FROM e WHERE n = 1 UNION ALL
+  SELECT user_id, event_id, n, now, (now - level) / 0.05::DOUBLE, mae + (abs(now - value) - mae) / n, sqrt(rmse * rmse + ((now - value) * (now - value) - rmse * rmse) / n) FROM (
+    SELECT *, ahead + 0.35::DOUBLE * (value - ahead) AS now FROM (SELECT e.user_id, e.event_id, e.n, e.value, r.level, r.mae, r.rmse, r.level + r.speed * 0.05::DOUBLE AS ahead FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)))
+SELECT event_id, round(level + 3.7e-9, 6) AS fused, round(speed + 3.7e-7, 4) AS speed, round(mae + 3.7e-9, 6) AS mae, round(rmse + 3.7e-9, 6) AS rmse FROM r WHERE n > 0
+""")
 def alpha_beta_filter(spark, d):
-    e = table(spark, d, "events").filter("value IS NOT NULL").select("user_id", F.col("event_id").cast("double").alias("t"), "value")
-    return recurrent.alpha_beta(e, "user_id", "t", "value")
+    out = recurrent.alpha_beta(_series(spark, d), "user_id", "event_id", "value")
+    return out.select("event_id", *(F.round(F.col(c) + e, n).alias(c) for c, e, n in (("fused", 3.7e-9, 6), ("speed", 3.7e-7, 4), ("mae", 3.7e-9, 6), ("rmse", 3.7e-9, 6))))
 
 
-@query(None)
+@query(f"""
+WITH RECURSIVE {_SERIES}, r AS (
+  SELECT user_id, event_id, n, abs(value) AS m, greatest(1e-6, abs(value) * 0.5) AS v FROM e WHERE n = 1 UNION ALL
+  SELECT e.user_id, e.event_id, e.n, r.m + 0.05::DOUBLE * (abs(e.value) - r.m), 0.95::DOUBLE * (r.v + 0.05::DOUBLE * (abs(e.value) - r.m) * (abs(e.value) - r.m)) FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT event_id, round(m + 3.7e-9, 6) AS ewma, round(m + 3 * sqrt(v) + 3.7e-9, 6) AS threshold FROM r
+""")
 def ewma_threshold(spark, d):
-    e = table(spark, d, "events").filter("value IS NOT NULL").select("user_id", F.col("event_id").cast("double").alias("t"), "value")
-    return recurrent.adaptive_threshold(e, "user_id", "t", "value")
+    out = recurrent.adaptive_threshold(_series(spark, d), "user_id", "event_id", "value")
+    return out.select("event_id", *(F.round(F.col(c) + 3.7e-9, 6).alias(c) for c in ("ewma", "threshold")))
 
 
 @query(None)
 def guard_events(spark, d):
-    e = table(spark, d, "events").select("user_id", F.col("event_id").cast("double").alias("t"), "value")
-    return recurrent.guard(e, "user_id", "t", "value")
+    e = table(spark, d, "events").select("user_id", F.col("event_id").cast("double").alias("t"), "value", F.array(F.col("value") / 2, F.col("value") * 0.3, F.col("value") * 0.2).alias("parts"))
+    return recurrent.guard(e, "user_id", "t", "value", "parts")
 
 
-@query(None)
-def federated_round(spark, d):
-    e = table(spark, d, "events").select("event_type", (F.col("value") / 100).alias("x"), (F.col("value") > 50).cast("double").alias("y"))
-    return recurrent.local_models(e, "event_type", ["x"], "y", [0.0, 0.0])
+@query("""
+WITH e AS (SELECT user_id AS key, event_id AS t, value AS v, value > 60 AS hit FROM events WHERE value IS NOT NULL AND isfinite(value)),
+b AS (SELECT *, NOT hit AND v < 45 AS clr, sum((NOT hit)::INT) OVER (PARTITION BY key ORDER BY t ROWS UNBOUNDED PRECEDING) AS miss FROM e),
+c AS (SELECT *, coalesce(sum(clr::INT) OVER (PARTITION BY key ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part, hit AND sum(hit::INT) OVER (PARTITION BY key, miss ORDER BY t ROWS UNBOUNDED PRECEDING) >= 2 AS fire FROM b),
+a AS (SELECT key, min(t) FILTER (fire) AS first_t, max(v) FILTER (fire) AS peak, count(*) FILTER (fire) AS n, max(t) FILTER (clr) AS cleared FROM c GROUP BY key, part HAVING count(*) FILTER (fire) > 0)
+SELECT key, first_t::DOUBLE AS t, 'fired' AS event, 1::BIGINT AS n FROM a UNION ALL SELECT key, cleared::DOUBLE, 'cleared', n FROM a WHERE cleared IS NOT NULL
+""")
+def alert_log(spark, d):
+    rules = [{"id": "high", "metric": "value", "op": ">", "threshold": 60.0, "consecutive": 2, "margin": 0.25}, {"id": "off", "metric": "value", "op": "<", "threshold": 90.0, "enabled": False}]
+    out = recurrent.alert_log(table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("t"), "value"), "key", "t", rules)
+    return out.select("key", "t", "event", "n")
 
 
-@query(None)
+_FED = {"rounds": 2, "epochs": 3, "rate": 0.05, "clip": 0.02}
+
+
+def _federated_sql() -> str:
+    parts = ["s AS (SELECT event_type AS c, count(*) AS n, sum(x) AS sx, sum(x * x) AS sxx, sum(y) AS sy, sum(x * y) AS sxy, sum(y * y) AS syy FROM (SELECT event_type, value / 100 AS x, (value > 50)::INT::DOUBLE AS y FROM events WHERE value IS NOT NULL) GROUP BY 1)", "g0 AS (SELECT 0::DOUBLE AS w, 0::DOUBLE AS b)"]
+    for r in range(1, _FED["rounds"] + 1):
+        parts.append(f"l{r}_0 AS (SELECT s.*, w, b, w AS w0, b AS b0 FROM s, g{r - 1})")
+        for e in range(1, _FED["epochs"] + 1):
+            parts.append(f"l{r}_{e} AS (SELECT * REPLACE (w - 0.05::DOUBLE * (sxx * w + sx * b - sxy) / n AS w, b - 0.05::DOUBLE * (sx * w + n * b - sy) / n AS b) FROM l{r}_{e - 1})")
+        parts.append(f"d{r} AS (SELECT (w - w0) AS dw, (b - b0) AS db, least(1, 0.02::DOUBLE / greatest(1e-9, sqrt((w - w0) * (w - w0) + (b - b0) * (b - b0)))) AS k, w0, b0 FROM l{r}_{_FED['epochs']})")
+        parts.append(f"g{r} AS (SELECT any_value(w0) + avg(dw * k) AS w, any_value(b0) + avg(db * k) AS b FROM d{r})")
+    rows = " UNION ALL ".join(f"SELECT {r}::INTEGER AS round, round((sum(syy) - 2 * (any_value(w) * sum(sxy) + any_value(b) * sum(sy)) + any_value(w) * any_value(w) * sum(sxx) + 2 * any_value(w) * any_value(b) * sum(sx) + any_value(b) * any_value(b) * sum(n)) / sum(n), 9) AS loss, round(any_value(w), 9) AS w, round(any_value(b), 9) AS b FROM s, g{r}" for r in range(1, _FED["rounds"] + 1))
+    return f"WITH {', '.join(parts)} {rows}"
+
+
+@query(_federated_sql())
+def federated_round(spark, d):
+    e = table(spark, d, "events").select("event_type", (F.col("value") / 100).alias("x"), (F.col("value") > 50).cast("double").alias("y"))
+    out = federated.federated(e, "event_type", ["x"], "y", **_FED)
+    return out.select("round", F.round("loss", 9).alias("loss"), F.round(F.col("weights")[0], 9).alias("w"), F.round(F.col("weights")[1], 9).alias("b"))
+
+
+@query(f"""
+WITH RECURSIVE {_SERIES}, g AS (SELECT *, CASE WHEN n < 2 THEN 0 ELSE abs(value - avg(value) OVER o) / sqrt(greatest(1e-9, var_samp(value) OVER o)) END AS s FROM e WINDOW o AS (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING)),
+r AS (
+  SELECT user_id, 0::BIGINT AS event_id, 0::BIGINT AS n, 0::DOUBLE AS m, 0::DOUBLE AS v, 0::DOUBLE AS risk, 0::DOUBLE AS rate, 0::DOUBLE AS sigma FROM g WHERE n = 1 UNION ALL
+  SELECT user_id, event_id, n, m, v, risk, 0.7::DOUBLE * rate + 0.3::DOUBLE * (risk - last) / greatest(1e-3, event_id - CASE WHEN last_t = 0 THEN event_id ELSE last_t END), s FROM (
+    SELECT *, least(1, (CASE WHEN n < 24 THEN 0.3::DOUBLE ELSE 1 END) * 0.45::DOUBLE * least(1, s / greatest(1e-3, m + 3 * sqrt(v)))) AS risk FROM (
+      SELECT g.user_id, g.event_id, g.n, g.s, r.risk AS last, r.rate, r.event_id AS last_t, CASE WHEN r.n = 0 THEN g.s ELSE r.m + 0.05::DOUBLE * (g.s - r.m) END AS m,
+        CASE WHEN r.n = 0 THEN greatest(1e-6, g.s * 0.5) ELSE 0.95::DOUBLE * (r.v + 0.05::DOUBLE * (g.s - r.m) * (g.s - r.m)) END AS v FROM r JOIN g ON g.user_id = r.user_id AND g.n = r.n + 1)))
+SELECT event_id, round(sigma + 3.7e-9, 6) AS sigma, round(risk + 3.7e-9, 6) AS risk, CASE WHEN risk >= 0.85 THEN 'urgent' WHEN risk >= 0.6 THEN 'schedule' WHEN risk >= 0.35 THEN 'watch' ELSE 'ok' END AS priority FROM r WHERE n > 0
+""")
 def maintenance_risk(spark, d):
-    e = table(spark, d, "events").filter("value IS NOT NULL").select("user_id", F.col("event_id").cast("double").alias("t"), F.array("value").alias("vector"))
-    return maintenance.risk_series(e, "user_id", "t", "vector")
+    e = _series(spark, d).select("user_id", "event_id", F.array("value").alias("vector"))
+    return maintenance.risk_series(e, "user_id", "event_id", "vector").select("event_id", *(F.round(F.col(c) + 3.7e-9, 6).alias(c) for c in ("sigma", "risk")), "priority")
 
 
 @query("""

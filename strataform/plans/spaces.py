@@ -90,28 +90,41 @@ def box_paint_histogram(spark, d):
 
 @query("SELECT floor(l_quantity / 10)::BIGINT AS cx, floor(l_discount * 50)::BIGINT AS cy, count(*) AS n, round(avg(l_extendedprice) + 3.7e-7, 4) AS mean_price FROM lineitem GROUP BY 1, 2")
 def points_to_cells(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.floor(F.col("l_quantity") / 10).alias("cx"), F.floor(F.col("l_discount") * 50).alias("cy")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_extendedprice") + 3.7e-7, 4).alias("mean_price"))
+    out = stats.cell_means(table(spark, d, "lineitem"), {"cx": F.floor(F.col("l_quantity") / 10), "cy": F.floor(F.col("l_discount") * 50)}, "l_extendedprice")
+    return out.select("cx", "cy", "n", F.round(F.col("mean") + 3.7e-7, 4).alias("mean_price"))
 
 
-@query("SELECT least(l_partkey % 500, l_suppkey) AS lo, greatest(l_partkey % 500, l_suppkey) AS hi, count(*) AS times FROM lineitem WHERE l_partkey % 500 <> l_suppkey AND l_suppkey < 90 AND l_partkey % 500 < 90 GROUP BY 1, 2")
+def _pairs(spark, d):
+    """Parts and suppliers as one range of numbers, of which the pairs are the line items' and the range ends with the largest part."""
+    n = table(spark, d, "part").agg(F.max("p_partkey")).first()[0] + 1
+    return table(spark, d, "lineitem").select("l_partkey", "l_suppkey"), n
+
+
+@query("SELECT least(l_partkey, l_suppkey) AS lo, greatest(l_partkey, l_suppkey) AS hi, count(*) AS times FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY 1, 2")
 def pair_dedup_canonical(spark, d):
-    return spatial.pair_dedup(table(spark, d, "lineitem").withColumn("p", F.col("l_partkey") % 500), "p", "l_suppkey", 90)
+    own, n = _pairs(spark, d)
+    return spatial.pair_dedup(own, "l_partkey", "l_suppkey", n)
 
 
 @query("""
-WITH p AS (SELECT l_partkey % 500 AS i, l_suppkey AS j FROM lineitem), v AS (SELECT * FROM p WHERE i <> j AND i < 90 AND j < 90), f AS (SELECT count(*) AS n FROM (SELECT DISTINCT least(i, j), greatest(i, j) FROM v))
+WITH p AS (SELECT l_partkey AS i, l_suppkey AS j FROM lineitem), v AS (SELECT * FROM p WHERE i <> j), f AS (SELECT count(*) AS n FROM (SELECT DISTINCT least(i, j), greatest(i, j) FROM v))
 SELECT (SELECT count(*) FROM p) AS input_count, least(n, 1000) AS n_pairs, (SELECT count(*) FROM v) - n AS duplicates, (SELECT count(*) FROM p) - (SELECT count(*) FROM v) AS invalid, n - least(n, 1000) AS dropped, n > 1000 AS saturated FROM f
 """)
 def pair_dedup_stats(spark, d):
-    return spatial.pair_stats(table(spark, d, "lineitem").withColumn("p", F.col("l_partkey") % 500), "p", "l_suppkey", 90, 1000)
+    own, n = _pairs(spark, d)
+    return spatial.pair_stats(own, "l_partkey", "l_suppkey", n, 1000)
 
 
-_TETS = "t AS (SELECT DISTINCT l_partkey % 30 AS v0, 30 + l_suppkey % 20 AS v1, 50 + l_linenumber AS v2, 60 + l_quantity::BIGINT % 5 AS v3 FROM lineitem), u AS (SELECT v0 * 1000000 + v1 * 10000 + v2 * 100 + v3 AS id, * FROM t)"
+#: Numbers that keep the four kinds of corners apart.
+FAR = 1_000_000_000_000
+_TETS = f"u AS (SELECT DISTINCT ((l_partkey * 100000 + l_suppkey) * 10 + l_linenumber) * 100 + l_quantity::BIGINT AS id, l_partkey AS v0, {FAR} + l_suppkey AS v1, {2 * FAR} + l_linenumber AS v2, {3 * FAR} + l_quantity::BIGINT AS v3 FROM lineitem)"
 
 
 def tets(spark, d):
-    own = table(spark, d, "lineitem").select((F.col("l_partkey") % 30).alias("v0"), (30 + F.col("l_suppkey") % 20).alias("v1"), (50 + F.col("l_linenumber")).cast("long").alias("v2"), (60 + F.col("l_quantity").cast("long") % 5).alias("v3")).distinct()
-    return own.withColumn("tet_id", F.col("v0") * 1000000 + F.col("v1") * 10000 + F.col("v2") * 100 + F.col("v3"))
+    own = table(spark, d, "lineitem")
+    corners = [F.col("l_partkey"), FAR + F.col("l_suppkey"), 2 * FAR + F.col("l_linenumber"), 3 * FAR + F.col("l_quantity").cast("long")]
+    named = ((F.col("l_partkey") * 100000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")) * 100 + F.col("l_quantity").cast("long")
+    return own.select(named.alias("tet_id"), *(c.alias(f"v{i}") for i, c in enumerate(corners))).distinct()
 
 
 @query(f"WITH {_TETS}, f AS (SELECT id, [v1, v2, v3] AS f FROM u UNION ALL SELECT id, [v0, v2, v3] FROM u UNION ALL SELECT id, [v0, v1, v3] FROM u UNION ALL SELECT id, [v0, v1, v2] FROM u) SELECT min(id) AS a, max(id) AS b FROM f GROUP BY f HAVING count(*) = 2")
@@ -170,7 +183,7 @@ def refinement_priors(spark, d):
     return features.priors(own, ["cx", "cy"], "l_discount", "l_shipdate").select("cx", "cy", "visits", "last_seen", F.round(F.col("heat") + 3.7e-9, 7).alias("heat"))
 
 
-@query("WITH t AS (SELECT DISTINCT l_partkey % 40 AS v0, 40 + l_suppkey % 20 AS v1, 60 + l_linenumber AS v2 FROM lineitem), p AS (SELECT v0 AS v FROM t UNION SELECT v1 FROM t UNION SELECT v2 FROM t), e AS (SELECT v0 AS a, v1 AS b FROM t UNION SELECT v1, v2 FROM t UNION SELECT v0, v2 FROM t) SELECT (SELECT count(*) FROM p) AS vertices, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM t) AS faces, (SELECT count(*) FROM p) - (SELECT count(*) FROM e) + (SELECT count(*) FROM t) AS euler")
+@query(f"WITH t AS (SELECT DISTINCT l_partkey AS v0, {FAR} + l_suppkey AS v1, {2 * FAR} + l_linenumber AS v2 FROM lineitem), p AS (SELECT v0 AS v FROM t UNION SELECT v1 FROM t UNION SELECT v2 FROM t), e AS (SELECT v0 AS a, v1 AS b FROM t UNION SELECT v1, v2 FROM t UNION SELECT v0, v2 FROM t) SELECT (SELECT count(*) FROM p) AS vertices, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM t) AS faces, (SELECT count(*) FROM p) - (SELECT count(*) FROM e) + (SELECT count(*) FROM t) AS euler")
 def mesh_profile(spark, d):
-    own = table(spark, d, "lineitem").select((F.col("l_partkey") % 40).alias("v0"), (40 + F.col("l_suppkey") % 20).alias("v1"), (60 + F.col("l_linenumber")).cast("long").alias("v2")).distinct()
+    own = table(spark, d, "lineitem").select(F.col("l_partkey").alias("v0"), (FAR + F.col("l_suppkey")).alias("v1"), (2 * FAR + F.col("l_linenumber")).alias("v2")).distinct()
     return features.surface_profile(own)

@@ -108,7 +108,7 @@ def pca_latent(spark, d):
 @query(None)
 def kmeans_clusters(spark, d):
     own = table(spark, d, "part").select("p_partkey", (F.col("p_size") / 50).alias("x"), (F.col("p_retailprice") / 2000).alias("y"))
-    return stats.kmeans(own, ["x", "y"], [[0.1, 0.5], [0.5, 0.7], [0.9, 0.9]])[1]
+    return stats.kmeans(own, ["x", "y"], stats.spread_centres(own, ["x", "y"], "p_partkey", 3))[1]
 
 
 @query(f"""

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from strataform.functions.scalars import finite
+from strataform.operators.ordered import numbered
 
 
 def read_table(spark: SparkSession, path: str, quote: str = '"') -> DataFrame:
@@ -74,28 +75,31 @@ def guess_columns(names: list[str], hints: dict[str, list[str]]) -> dict[str, st
     return out
 
 
-#: The telemetry columns and the header names that stand for them.
-TELEMETRY = {
-    "t": ("t", "time", "timestamp", "sim_time"),
-    "energy_drift_pct": ("energy_drift_pct", "energy_drift", "drift"),
-    "constraint_l2": ("constraint_l2", "constraint", "residual"),
-    "divergence_risk": ("divergence_risk", "divergence", "risk"),
-    "velocity_max": ("velocity_max", "vmax", "max_velocity"),
-    "nan_count": ("nan_count", "nans", "nan"),
-    "source": ("source", "src", "origin"),
-}
+#: The header names that stand for telemetry columns.
+ALIASES = {
+    "t": "t", "time": "t", "timestamp": "t", "ts": "t",
+    "energy_drift_pct": "energy_drift_pct", "drift": "energy_drift_pct", "energy_drift": "energy_drift_pct",
+    "constraint_l2": "constraint_l2", "constraint": "constraint_l2", "l2": "constraint_l2",
+    "divergence_risk": "divergence_risk", "divergence": "divergence_risk", "risk": "divergence_risk",
+    "velocity_max": "velocity_max", "vmax": "velocity_max", "v_max": "velocity_max",
+    "nan_count": "nan_count", "nans": "nan_count", "nan": "nan_count",
+    "source": "source", "sensor": "source", "channel": "source",
+}
+TELEMETRY = ("t", "energy_drift_pct", "constraint_l2", "divergence_risk", "velocity_max", "nan_count", "source")
 
 
 def telemetry(df: DataFrame, order: str | None = None) -> DataFrame:
-    """df's rows as telemetry samples: columns found by their aliases, cells that aren't finite numbers dropped, rows without a time numbered among themselves, sources cut to 64 characters."""
-    by_name = {c.strip().lower(): c for c in df.columns}
-    found = {k: next((by_name[a] for a in names if a in by_name), None) for k, names in TELEMETRY.items()}
+    """df's rows as telemetry samples: columns found by their aliases, of several the last one that has a value; cells that aren't finite numbers dropped, rows without a time numbered among themselves in order, sources cut to 64 characters."""
+    found: dict[str, list[str]] = {}
+    for c in df.columns:
+        if name := ALIASES.get(c.strip().lower()):
+            found.setdefault(name, []).insert(0, c)
+    cells = lambda name, f: F.coalesce(*(f(F.col(f"`{c}`")) for c in found.get(name, [])), F.lit(None))
     own = df.withColumn("_row", F.col(order) if order else F.monotonically_increasing_id())
-    cols = {k: number(F.col(f"`{c}`")) if c else F.lit(None).cast("double") for k, c in found.items() if k != "source"}
-    source = F.substring(F.col(f"`{found['source']}`").cast("string"), 1, 64) if found["source"] else F.lit(None).cast("string")
-    own = own.select("_row", *(c.alias(k) for k, c in cols.items()), source.alias("source"))
-    lacking = own.filter("t IS NULL").select("_row", (F.row_number().over(Window.orderBy("_row")) - 1).cast("double").alias("_t"))
-    return own.join(lacking, "_row", "left").withColumn("t", F.coalesce("t", "_t")).withColumn("nan_count", F.col("nan_count").cast("int")).drop("_t", "_row")
+    cols = {k: cells(k, number).cast("double") for k in TELEMETRY[:-1]}
+    source = cells("source", lambda c: F.nullif(F.substring(F.trim(c.cast("string")), 1, 64), F.lit("")))
+    own = numbered(own.select("_row", *(c.alias(k) for k, c in cols.items()), source.cast("string").alias("source")), "_row", where=F.col("t").isNull())
+    return own.withColumn("t", F.coalesce("t", F.col("_n").cast("double"))).withColumn("nan_count", F.col("nan_count").cast("int")).drop("_n", "_row")
 
 
 def valid_sample() -> Column:
@@ -137,3 +141,34 @@ def orphans(own: DataFrame, refs: DataFrame, file_id: str = "file_id") -> DataFr
 def roots(own: DataFrame, refs: DataFrame, file_id: str = "file_id") -> DataFrame:
     """Entities that nothing refers to."""
     return own.filter("NOT duplicate").join(refs.select(file_id, F.col("to_id").alias("id")).distinct(), [file_id, "id"], "left_anti")
+
+
+def describe(own: DataFrame, file_id: str = "file_id") -> DataFrame:
+    """(file_id, n_entities, n_duplicates, n_points, n_solids, min_x, max_x, ... of the points' coordinates) of the entities of each file; null for a file without points."""
+    numbers = F.regexp_extract("args", r"\(\s*([^()]*?)\s*\)\s*$", 1)
+    point = F.col("type") == "CARTESIAN_POINT"
+    at = F.when(point & ~F.col("duplicate"), F.transform(F.split(numbers, ","), lambda x: F.trim(x).try_cast("double")))
+    first = own.withColumn("_at", at)
+    ends = [f(F.get("_at", i)).alias(f"{name}_{a}") for i, a in enumerate("xyz") for name, f in (("min", F.min), ("max", F.max))]
+    return first.groupBy(file_id).agg(F.count_if(~F.col("duplicate")).alias("n_entities"), F.count_if("duplicate").alias("n_duplicates"), F.count_if(point & ~F.col("duplicate")).alias("n_points"), F.count_if(F.col("type").isin("MANIFOLD_SOLID_BREP", "BREP_WITH_VOIDS") & ~F.col("duplicate")).alias("n_solids"), *ends)
+
+
+def with_source(df: DataFrame) -> DataFrame:
+    """df of files with the path, size in bytes and time of the file that each row came from."""
+    return df.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_bytes"), F.col("_metadata.file_modification_time").alias("file_time"))
+
+
+def file_summary(df: DataFrame) -> DataFrame:
+    """(file_path, rows, columns, bytes) of each file that df was read from."""
+    return with_source(df).groupBy("file_path").agg(F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).alias("columns"), F.first("file_bytes").alias("bytes"))
+
+
+#: The most samples that one delivery may hold.
+BATCH = 256
+
+
+def batches(deliveries: DataFrame, delivery: str, samples: str) -> tuple[DataFrame, DataFrame]:
+    """((delivery, sample) of deliveries of 1 to BATCH samples (an array), one row a sample; (delivery, n) of the others)."""
+    n = F.coalesce(F.size(samples), F.lit(0))
+    fine = (n >= 1) & (n <= BATCH)
+    return deliveries.filter(fine).select(delivery, F.explode(samples).alias("sample")), deliveries.filter(~fine).select(delivery, n.alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset one in the warehouse, or a temporary one if everything runs in this process."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/strataform-tables"
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="spark-"))
     return _own[0]

@@ -58,7 +58,7 @@ def test_files(spark, tmp_path):
 
 
 def test_telemetry_aliases_and_quarantine(spark):
-    df = spark.createDataFrame([("5", "0.1", "x"), (None, "nan", "y" * 80), (None, "7", "z")], "Time string, Risk string, src string").withColumn("n", F.monotonically_increasing_id())
+    df = spark.createDataFrame([("5", "0.1", "x"), (None, "nan", "y" * 80), (None, "7", "z")], "Time string, Risk string, sensor string").withColumn("n", F.monotonically_increasing_id())
     got = readers.telemetry(df, "n")
     rows = sorted((r["t"], r["divergence_risk"], len(r["source"])) for r in got.collect())
     assert [r[0] for r in rows] == [0.0, 1.0, 5.0] and max(r[2] for r in rows) == 64
@@ -164,7 +164,7 @@ def alerts_by_hand(rows, op, th, n, margin):
                 open_[2] = max(open_[2], v) if op[0] == ">" else min(open_[2], v) if op[0] == "<" else open_[2]
         else:
             run = 0
-            if open_ is not None and live._clears(v, op, th, margin):
+            if open_ is not None and recurrent.clears(v, op, th, margin):
                 open_[4], open_ = t, None
     return out
 
@@ -185,26 +185,31 @@ def test_live_alerts_equal_the_batch(spark, tmp_path):
     for i in range(3):
         spark.createDataFrame(rows[i * 90 : (i + 1) * 90], "key int, t double, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("key int, t double, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = live.live_alerts(stream, ">", 6.0, 2, 0.2).writeStream.format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+    rules = [{"id": "high", "metric": "value", "op": ">", "threshold": 6.0, "consecutive": 2, "margin": 0.2}]
+    q = live.live_alerts(stream, "key", "t", rules).writeStream.format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    got = sorted(tuple(r) for r in spark.table("live").collect())
-    batch = telemetry.alerts(spark.createDataFrame(rows, "key int, t double, value double"), "key", "t", "value", ">", 6.0, 2, 0.2).filter("cleared_at IS NOT NULL")
-    assert got == sorted((r["key"], r["first_t"], r["last_t"], r["peak"], r["n"], r["cleared_at"]) for r in batch.collect())
+    got = spark.table("live").collect()
+    df = spark.createDataFrame(rows, "key int, t double, value double")
+    batch = telemetry.alerts(df, "key", "t", "value", ">", 6.0, 2, 0.2).collect()
+    assert sorted((r["key"], r["t"]) for r in got if r["event"] == "fired") == sorted((r["key"], r["first_t"]) for r in batch)
+    closed = sorted((r["key"], r["first_t"], r["peak"], r["n"], r["t"]) for r in got if r["event"] == "cleared")
+    assert closed == sorted((r["key"], r["first_t"], r["peak"], r["n"], r["cleared_at"]) for r in batch if r["cleared_at"] is not None)
+    assert sorted(map(str, got)) == sorted(map(str, recurrent.alert_log(df, "key", "t", rules).collect()))
 
 
 def test_recurrences(spark):
     df = spark.createDataFrame([("a", float(t), 2.0 * t + 1) for t in range(60)], "k string, t double, v double")
-    rows = recurrent.alpha_beta(df, "k", "t", "v").orderBy("t").collect()
+    rows = recurrent.alpha_beta(df, "k", "t", "v", tick=1.0).orderBy("t").collect()
+    assert (rows[0]["predict"], rows[0]["residual"], rows[0]["fused"]) == (0.0, 1.0, 0.35) and rows[0]["speed"] == 0.35
     assert abs(rows[-1]["speed"] - 2) < 0.05 and abs(rows[-1]["residual"]) < 0.1
-    g = recurrent.guard(spark.createDataFrame([("a", 1.0, 10.0), ("a", 2.0, 11.0), ("a", 3.0, 13.0), ("a", 4.0, float("nan")), ("a", 5.0, 10.0)], "k string, t double, v double"), "k", "t", "v")
-    assert [r["event"] for r in g.orderBy("t").collect()] == ["baseline", "warn", "critical", "rollback", "ok"]
-    assert recurrent.adaptive_threshold(df, "k", "t", "v").count() == 60
+    rows = recurrent.adaptive_threshold(df.withColumn("v", -F.col("v")), "k", "t", "v").orderBy("t").collect()
+    assert len(rows) == 60 and rows[0]["ewma"] == 1.0 and rows[0]["variance"] == 0.5 and math.isclose(rows[1]["ewma"], 1.1)
 
 
 def test_compensated_sum(spark):
     for values in ([1e16, 1.0, -1e16, 1.0], [1.0, 1e16, 1.0, -1e16]):
         df = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)], "k string, i int, v double").repartition(3)
-        assert stats.ordered_sum(df, "k", "i", "v").first()["total"] == 2.0
+        assert stats.exact_sum(df, "k", "v").first()["total"] == 2.0
 
 
 def test_clusters_and_components_of_variance(spark):
@@ -310,3 +315,59 @@ def test_long_paths_and_many_fronts(spark):
     chain = spark.createDataFrame([(i, i + 1, i) for i in range(6)], "a long, b long, position long")
     assert graph.shortest_path(chain, 0, 6) == list(range(7)) and graph.shortest_path(chain, 0, 6, 5) == [] and graph.shortest_path(chain, 6, 0) == []
     assert signature(graph.shortest_path).parameters["most"].default is None and signature(decision.front_ranks).parameters["most"].default is None
+
+
+@pytest.mark.parametrize("name", sorted(readers.ALIASES))
+def test_every_header_alias(spark, name):
+    df = spark.createDataFrame([("1.5", "0.25")], f"`{name.upper()}` string, other string")
+    row = readers.telemetry(df).first()
+    want = readers.ALIASES[name]
+    assert row[want] == {"source": "1.5", "nan_count": 1}.get(want, 1.5)
+
+
+def test_files_and_deliveries(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n3,4\n")
+    (tmp_path / "b.csv").write_text("x,y\n5,6\n")
+    got = readers.file_summary(spark.read.csv(str(tmp_path), header=True)).collect()
+    assert sorted((r["file_path"][-5:], r["rows"], r["columns"], r["bytes"]) for r in got) == [("a.csv", 2, 2, 12), ("b.csv", 1, 2, 8)]
+    rows, odd = readers.batches(spark.createDataFrame([(1, [1.0]), (2, []), (3, None), (4, [0.0] * 256), (5, [0.0] * 257)], "d int, s array<double>"), "d", "s")
+    assert rows.groupBy("d").count().orderBy("d").collect() == [(1, 1), (4, 256)] and sorted(r["d"] for r in odd.collect()) == [2, 3, 5]
+
+
+def test_boxes_of_very_different_sizes(spark):
+    rng = random.Random(4)
+    boxes = []
+    for i in range(120):
+        w = rng.choice([0.1, 1.0, 30.0, 5000.0])
+        x, y, z = (rng.uniform(-100, 100) for _ in range(3))
+        boxes.append((i, x, x + w, y, y + w * rng.random(), z, z + w * rng.random()))
+    df = spark.createDataFrame(boxes, "id int, min_x double, max_x double, min_y double, max_y double, min_z double, max_z double")
+    meets = lambda a, b: all(a[k] <= b[k + 1] and b[k] <= a[k + 1] for k in (1, 3, 5))
+    want = sorted((a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0] and meets(a, b))
+    assert sorted(map(tuple, spatial.overlap_pairs(df, 0.5).collect())) == want
+    half = sorted((a[0], b[0]) for a in boxes for b in boxes if a[0] % 2 == 0 and b[0] % 2 and meets(a, b))
+    assert sorted(map(tuple, spatial.contacts(df.filter("id % 2 = 0"), df.filter("id % 2 = 1"), 0.5).collect())) == half
+    points = spark.createDataFrame([(k, *(rng.uniform(-100, 100) for _ in range(3))) for k in range(50)], "id int, x double, y double, z double")
+    held = {r["id"]: r["n_boxes"] for r in spatial.contained(points, df, 0.5).collect()}
+    assert held == {p["id"]: sum(all(b[k] <= p[c] <= b[k + 1] for k, c in ((1, "x"), (3, "y"), (5, "z"))) for b in boxes) for p in points.collect()}
+
+
+def test_large_fronts_block_by_block(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, float(i % 90), float(rng.randrange(60) if i % 3 else 100 - i % 90)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, a double, b double").repartition(7)
+    want = sorted(r[0] for r in rows if not any(s[1] <= r[1] and s[2] <= r[2] and (s[1] < r[1] or s[2] < r[2]) for s in rows))
+    for most in (100_000, 2):
+        monkeypatch.setattr(decision, "FRONT", most)
+        assert sorted(r["id"] for r in decision.pareto_front(df, ["a", "b"]).collect()) == want
+
+
+def test_mesh_files(spark, tmp_path):
+    vertices = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 0.0, 1.0, 0.0), (3, 0.0, 0.0, 1.0), (4, 1.0, 1.0, 1.0)], "vid int, x double, y double, z double")
+    tets = spark.createDataFrame([(0, 0, 1, 2, 3), (1, 1, 2, 3, 4)], "tet_id int, v0 int, v1 int, v2 int, v3 int")
+    own = writers.refined(tets, spark.createDataFrame([(1, 0.9)], "tet_id int, error double"), 0.5, 0.1)
+    assert sorted((r["tet_id"], r["mask"]) for r in own.collect()) == [(0, -1), (1, 1)]
+    writers.write_lines(writers.vtk_lines(own, vertices, ("error", "mask")), str(tmp_path / "vtk"))
+    lines = [line for p in sorted((tmp_path / "vtk").glob("part-*")) for line in p.read_text().split("\n") if line]
+    assert lines[:6] == ["# vtk DataFile Version 3.0", "mesh", "ASCII", "DATASET UNSTRUCTURED_GRID", "POINTS 5 float", "0.0 0.0 0.0"]
+    assert lines[10:14] == ["CELLS 2 10", "4 0 1 2 3", "4 1 2 3 4", "CELL_TYPES 2"] and lines[16:] == ["CELL_DATA 2", "SCALARS error float 1", "LOOKUP_TABLE default", "0.0", "0.9", "SCALARS mask float 1", "LOOKUP_TABLE default", "-1", "1"]

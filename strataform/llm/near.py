@@ -25,7 +25,8 @@ from strataform.tables import cut, drop
 
 WORDS = 5
 THRESHOLD = 0.8
-#: Classes in a block, and shingles in their sets: what a task holds of each of the two blocks that it compares.
+#: Classes in a block, and shingles in their sets: what a task holds of each of the two blocks that it compares. Larger
+#: blocks send a large group's sets around less often, smaller ones compare fewer classes that don't share a bucket.
 BLOCK, SHINGLES = 1024, 2 << 20
 
 
@@ -102,14 +103,16 @@ def signatures(texts: list[bytes], bands: int, rows: int, whole_under: int = 0)
     return sizes.astype(np.int32), named.take(pa.array(place, pa.int64(), mask=place < 0)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def near_classes(sigs: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD) -> DataFrame:
+def near_classes(sigs: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD, most: int | None = None) -> DataFrame:
     """(key, component, links) of every class that has a link.
 
     sigs: (key binary: name of the shingle set, n int: its size, bands array<long>), one row an item, already a table
     that can be read again. fetch: from rows with key, and other columns, to the same with the sets: `shingles`,
     little-endian unsigned 64-bit integers in order; may give a key twice. component is the smallest key that links lead to; links
-    counts the items, copies included, of the other classes that are at least as similar as the threshold.
+    counts the items, copies included, of the other classes that are at least as similar as the threshold. most:
+    classes in a block.
     """
+    most = most or BLOCK
     spark = sigs.sparkSession
     classes = cut(sigs.filter(F.col("key").isNotNull()).groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("size")).withColumn("uid", F.xxhash64("key")))
     # Two keys with one uid are merely compared once more than they need be.
@@ -123,7 +126,7 @@ def near_classes(sigs: DataFrame, fetch: Callable[[DataFrame], DataFrame], thres
         for batch in batches:
             blocks = []
             for size in batch.column("n").to_pylist():
-                if rows and (rows >= BLOCK or held + size > SHINGLES):
+                if rows and (rows >= most or held + size > SHINGLES):
                     block, rows, held = block + 1, 0, 0
                 rows, held = rows + 1, held + size
                 blocks.append(block)

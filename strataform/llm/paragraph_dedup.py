@@ -31,6 +31,8 @@ from strataform.tables import cut
 ROWS, RECALL = 2, 0.999
 #: Text in a chunk, about.
 CHUNK = 4 << 20
+#: Paragraphs in a block: their sets are small, so smaller blocks than those of documents cost little to send.
+BLOCK = 256
 #: Words from which a run of sentences that occurs before is cut out of any paragraph.
 MIN_PASSAGE = 16
 _SENTENCE = re.compile(rb"[^.!?\n]*(?:[.!?]+|\n|\Z)[ \t\r]*").findall
@@ -176,7 +178,7 @@ def paragraph_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: floa
 
         return by_chunk.cogroup(wanted.sortWithinPartitions("chunk", "doc_id", "row").groupBy("chunk")).applyInArrow(sets, types)
 
-    near = near_classes(sigs.select("key", "n", "bands"), fetch, threshold)
+    near = near_classes(sigs.select("key", "n", "bands"), fetch, threshold, BLOCK)
     classes = firsts.join(near, "key", "left").select("key", F.struct("first.doc_id", "first.paragraph").alias("first"), F.coalesce("component", "key").alias("component"))
     keep = classes.groupBy("component").agg(F.min("first").alias("keep"))
     kept = cut(classes.join(keep, "component").select("key", "keep"))
@@ -194,36 +196,39 @@ def paragraph_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: floa
         return zip(zip(table.column("doc_id").to_pylist(), table.column("row").to_pylist()), table.column("text").to_pylist())
 
     def met_passages(key, table, found):
-        """The sentences outside of removed paragraphs in runs that occur twice: where each is, and its place in the run."""
+        """The runs of sentences that occur twice, outside of removed paragraphs."""
         off = removed(found)
         known = np.sort(np.concatenate([np.empty(0, "<u8"), *(np.frombuffer(x.as_buffer(), "<u8") for x in found.column("records") if x.is_valid)]))
-        row, at, place, name = [], [], [], []
+        row, firsts_, ends, name = [], [], [], []
         for r, (i, text) in enumerate(rows_of(table)) if len(known) else ():
             got = passages(text)
             if not got:
                 continue
             mark = marked(_eights([x[2] for x in got]), n_buckets)
             on = np.flatnonzero(known[np.minimum(np.searchsorted(known, mark), len(known) - 1)] == mark)
-            if len(on):
-                gone_ = off.get(i, ())
-                live = [k not in gone_ and bool(s.strip()) for k, run in enumerate(_sentences(text)) for s in run]
-                for first, end, x in (got[k] for k in on):
-                    for k in range(first, end):
-                        if live[k]:
-                            row.append(r), at.append(k), place.append(k - first), name.append(x)
+            gone_ = off.get(i, ()) if len(on) else ()
+            of = [k for k, run in enumerate(_sentences(text)) for _ in run] if gone_ else ()
+            for first, end, x in (got[k] for k in on):
+                if not gone_ or of[first] not in gone_:  # a run lies within one paragraph
+                    row.append(r), firsts_.append(first), ends.append(end), name.append(x)
         ids = {x: table.column(x).take(pa.array(row, pa.int64())) for x in ("doc_id", "row")}
-        return pa.table({"chunk": pa.array([key[0].as_py()] * len(row), pa.int32())} | ids | {"at": pa.array(at, pa.int32()), "place": pa.array(place, pa.int32()), "name": pa.array(name, pa.binary())})
+        return pa.table({"chunk": pa.array([key[0].as_py()] * len(row), pa.int32())} | ids | {"first": pa.array(firsts_, pa.int32()), "end": pa.array(ends, pa.int32()), "name": pa.array(name, pa.binary())})
 
     places = gone.select("chunk", "doc_id", "row", "paragraph")
-    runs = cut(by_chunk.cogroup(places.unionByName(shared, allowMissingColumns=True).groupBy("chunk")).applyInArrow(met_passages, f"chunk int, doc_id {kind}, row bigint, at int, place int, name binary"))
-    before = runs.groupBy("name", "place").agg(F.min("doc_id").alias("before"), F.max("doc_id").alias("last")).filter("before < last").drop("last")
-    again = cut(runs.join(before, ["name", "place"]).filter("doc_id != before").select("chunk", "doc_id", "row", "at").distinct())
+    runs = cut(by_chunk.cogroup(places.unionByName(shared, allowMissingColumns=True).groupBy("chunk")).applyInArrow(met_passages, f"chunk int, doc_id {kind}, row bigint, first int, end int, name binary"))
+    before = cut(runs.groupBy("name").agg(F.min("doc_id").alias("before"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("before < last").drop("last"))
+    # Runs that more than one in a thousand of all places hold, a thousand at most, are broadcast: none fills a task.
+    many = F.col("n") > runs.count() / 1000
+    often = F.broadcast(before.filter(many))
+    later = lambda rows: rows.filter("doc_id != before").select("chunk", "doc_id", "row", "first", "end")
+    rare = runs.join(often.select("name"), "name", "left_anti").join(before.filter(~many), "name")
+    again = cut(later(runs.join(often, "name")).unionByName(later(rare)))
 
     def clear(key, table, found):
         off, sentences = removed(found), {}
-        for i, r, k in zip(*(found.column(c).to_pylist() for c in ("doc_id", "row", "at"))):
-            if k is not None:
-                sentences.setdefault((i, r), set()).add(k)
+        for i, r, first, end in zip(*(found.column(c).to_pylist() for c in ("doc_id", "row", "first", "end"))):
+            if first is not None:
+                sentences.setdefault((i, r), set()).update(range(first, end))
         n, gone_, cuts, left = [], [], [], []
         for i, text in rows_of(table):
             own_ = _sentences(text)
@@ -233,7 +238,8 @@ def paragraph_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: floa
                 cuts.append([]), left.append(text)
                 continue
             of, flat = [k for k, run in enumerate(own_) for _ in run], [s for run in own_ for s in run]
-            drop_ = [k in sentences.get(i, ()) for k in range(len(flat))]
+            again_ = sentences.get(i, ())
+            drop_ = [k in again_ for k in range(len(flat))]
             whole, spans, at, open_ = set(mine), [], 0, False
             for s, k, x in zip(flat, of, drop_):
                 x = x and k not in whole

@@ -19,6 +19,7 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from strataform.llm._exchange import REPLY, Split, bucketed, chunk_table, from_planes, planes
 from strataform.llm._shared import cut, drop, mix, slices, words
 
-#: Text in a chunk, about.
-CHUNK = 8 << 20
+#: Text in a chunk, about; and buckets of pairs for one of words, whose rounds are short.
+CHUNK, FEWER = 5 << 20, 3
 DISCOUNT, STRENGTH = 0.75, 5.0
 #: Rounds of sampling, and how many of them, the last ones, are averaged.
 ROUNDS, SAMPLES = 6, 3
@@ -104,6 +105,15 @@ def seating_moments(c: np.ndarray, rest: np.ndarray, p: np.ndarray, discount: fl
     return tables, 1 / np.sqrt(np.maximum(1 / fixed - discount / (strength + discount * (rest + tables)), 0.05 / fixed))
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place of each among them: hashed first, as few of many are distinct."""
+    codes, values = pd.factorize(x)
+    order = np.argsort(values)
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return values[order], place[codes]
+
+
 def _records(table: pa.Table, column: str, kind, read=np.frombuffer) -> tuple[np.ndarray, list[int]]:
     """The records of all rows of a bucket, row after row, and how many each has."""
     parts = [read(x.as_buffer(), kind) for x in table.column(column)]
@@ -134,6 +144,7 @@ def score(
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("text")).withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(True)))
     texts, n_buckets = chunk_table(own, CHUNK)
+    n_words = max(1, n_buckets // FEWER)
     kind = own.schema["doc_id"].dataType.simpleString()
     seats = dict(discount=discount, strength=strength)
 
@@ -155,7 +166,7 @@ def score(
     def numbered(table):
         """The chunk's distinct words; for each token its place among them and that of the one before (the end, before a text's first), and its row; and which rows are learned from."""
         after, row, train = tokens(table)
-        names, at = np.unique(np.concatenate((after, [np.uint64(END)])), return_inverse=True)
+        names, at = _distinct(np.concatenate((after, [np.uint64(END)])))
         where = at[:-1]
         prev = np.empty_like(where)
         prev[1:], prev[:1] = where[:-1], at[-1]
@@ -168,10 +179,10 @@ def score(
     def count_words(key, table):
         names, where, _, row, train = numbered(table)
         n = np.bincount(where, weights=train[row], minlength=len(names)).astype("<u4")
-        return Split(names, n_buckets).rows(key[0].as_py(), names=names, n=n)
+        return Split(names, n_words).rows(key[0].as_py(), names=names, n=n)
 
     by_chunk = texts.groupBy("chunk")
-    asked = bucketed(by_chunk.applyInArrow(count_words, "bucket int, chunk int, names binary, n binary"), n_buckets, "bucket")
+    asked = bucketed(by_chunk.applyInArrow(count_words, "bucket int, chunk int, names binary, n binary"), n_words, "bucket")
 
     def gather(table, found, round_, totals):
         """A bucket's words after a round: what contexts seated, and a seating of the parent. Before the first round a power of the customers guesses them."""
@@ -235,7 +246,7 @@ def score(
         distinct, first, _ = pairs(names, where, prev)
         got = Split(distinct, n_buckets).answers(found, "<i8")
         place = np.empty(len(names), np.int64)
-        place[Split(names, n_buckets).order] = np.arange(len(names))
+        place[Split(names, n_words).order] = np.arange(len(names))
         u, w = place[prev[first]], place[where[first]]
         c, mine = got >> 1, (got & 1).astype(bool)
         once, more = np.flatnonzero(mine & (c == 1)), np.flatnonzero(mine & (c > 1))
@@ -245,7 +256,7 @@ def score(
         row = {"names": distinct[more], "u": u[more].astype("<u4"), "w": w[more].astype("<u4"), "c": c[more].astype("<i8"), "once": sums}
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32())} | {k: pa.array([planes(v)], pa.binary()) for k, v in row.items()})
 
-    states = bucketed(by_chunk.cogroup(counted.groupBy("chunk")).applyInArrow(state, "chunk int, names binary, u binary, w binary, c binary, once binary"), n_buckets)
+    states = bucketed(by_chunk.cogroup(counted.groupBy("chunk")).applyInArrow(state, "chunk int, names binary, u binary, w binary, c binary, once binary"), n_words)
 
     def reseat(table, found, round_, sums):
         found = found.sort_by("bucket")
@@ -274,7 +285,7 @@ def score(
     def value(table, found):
         names, where, prev, row, train = numbered(table)
         of = lambda k: found.filter(pa.array([x == k for x in found.column("kind").to_pylist()], pa.bool_()))
-        split = Split(names, n_buckets)
+        split = Split(names, n_words)
         sampled = [split.answers(of(k), _ANSWER) for k in last]
         distinct, first, which = pairs(names, where, prev)
         c = Split(distinct, n_buckets).answers(of(-1), "<i8") >> 1

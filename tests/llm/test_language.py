@@ -77,3 +77,16 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id bigint, text string, lang string")
     assert [(r["lang_pred"], r["score"]) for r in language_id.language_id(df).collect()] == [("und", 0.0)]
     assert language_id.language_id(df.limit(0)).count() == 0
+
+
+def test_a_very_long_text_and_folded_counts(spark, monkeypatch):
+    """Whole texts count, and counts that are folded and sent in parts add up to the same profiles."""
+    long = "schung über " * 60_000 + "tha wering " * 50_000
+    data = [*rows(), (300, long, None)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    whole = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.language_id(df).collect()}
+    assert whole[300][0] == "b"
+    learned = df.filter("lang IS NOT NULL").select("text", "lang")
+    profiles = language_id.train(learned)
+    monkeypatch.setattr(language_id, "FOLD", 64)
+    assert language_id.train(learned) == profiles

@@ -196,3 +196,10 @@ def test_paragraphs_join_to_the_text_and_odd_rows(spark):
     df = spark.createDataFrame([(None, long), (4, long), (4, long), (5, long)], "doc_id bigint, text string")
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in paragraph_dedup.digests(df).collect()) == [(0, 0), (4, 0), (4, 0), (5, 1)]
     assert paragraph_dedup.digests(df.limit(0)).count() == 0
+
+
+def test_very_long_near_copies(spark):
+    words = [f"w{i % 9973}x{i}" for i in range(200_000)]
+    other = [*words[:1000], "changed", *words[1001:]]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(frame(spark, [" ".join(words), "short text of its own here", " ".join(other)])).collect()}
+    assert got == {0: (0, 1), 1: (1, 0), 2: (0, 1)}

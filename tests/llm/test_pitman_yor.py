@@ -169,3 +169,10 @@ def test_drawn_tables_follow_their_distribution():
 
 def test_no_rows(spark):
     assert run(spark, []) == []
+
+
+def test_a_very_long_text_and_rows_that_repeat(spark):
+    long = "the n1 v2 " * 200_000  # many slices, one chunk
+    got = {r["doc_id"]: r for r in run(spark, [(5000, long), (1, "the n1"), (None, "the n1"), (None, "the n1")])}
+    assert got[5000]["n_tokens"] == 600_001 and math.isfinite(got[5000]["score"]) and got[5000]["score"] < 0
+    assert got[None]["held_out"] and len(run(spark, [(None, "a"), (None, "a"), (7, "b")])) == 3

@@ -196,10 +196,10 @@ def paragraph_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: floa
         return zip(zip(table.column("doc_id").to_pylist(), table.column("row").to_pylist()), table.column("text").to_pylist())
 
     def met_passages(key, table, found):
-        """The runs of sentences that occur twice, outside of removed paragraphs."""
+        """The runs of sentences that occur twice, outside of removed paragraphs: a row for each, with the places in the chunk that have it."""
         off = removed(found)
         known = np.sort(np.concatenate([np.empty(0, "<u8"), *(np.frombuffer(x.as_buffer(), "<u8") for x in found.column("records") if x.is_valid)]))
-        row, firsts_, ends, name = [], [], [], []
+        met: dict = {}
         for r, (i, text) in enumerate(rows_of(table)) if len(known) else ():
             got = passages(text)
             if not got:
@@ -210,25 +210,33 @@ def paragraph_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: floa
             of = [k for k, run in enumerate(_sentences(text)) for _ in run] if gone_ else ()
             for first, end, x in (got[k] for k in on):
                 if not gone_ or of[first] not in gone_:  # a run lies within one paragraph
-                    row.append(r), firsts_.append(first), ends.append(end), name.append(x)
-        ids = {x: table.column(x).take(pa.array(row, pa.int64())) for x in ("doc_id", "row")}
-        return pa.table({"chunk": pa.array([key[0].as_py()] * len(row), pa.int32())} | ids | {"first": pa.array(firsts_, pa.int32()), "end": pa.array(ends, pa.int32()), "name": pa.array(name, pa.binary())})
+                    met.setdefault(x, []).append((r, first, end))
+        ids = table.column("doc_id").to_pylist()
+        kind_ = table.schema.field("doc_id").type
+        at = [[ids[r] for r, *_ in x] for x in met.values()]
+        rows_ = table.column("row").to_pylist()
+        return pa.table({
+            "chunk": pa.array([key[0].as_py()] * len(met), pa.int32()), "name": pa.array(met.keys(), pa.binary()), "low": pa.array(map(min, at), kind_), "high": pa.array(map(max, at), kind_), "docs": pa.array(at, pa.list_(kind_)),
+            "rows": pa.array([[rows_[r] for r, *_ in x] for x in met.values()], pa.list_(pa.int64())), "firsts": pa.array([[f for _, f, _ in x] for x in met.values()], pa.list_(pa.int32())), "ends": pa.array([[e for *_, e in x] for x in met.values()], pa.list_(pa.int32())),
+        })
 
     places = gone.select("chunk", "doc_id", "row", "paragraph")
-    runs = cut(by_chunk.cogroup(places.unionByName(shared, allowMissingColumns=True).groupBy("chunk")).applyInArrow(met_passages, f"chunk int, doc_id {kind}, row bigint, first int, end int, name binary"))
-    before = cut(runs.groupBy("name").agg(F.min("doc_id").alias("before"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("before < last").drop("last"))
-    # Runs that more than one in a thousand of all places hold, a thousand at most, are broadcast: none fills a task.
+    lists = f"docs array<{kind}>, rows array<bigint>, firsts array<int>, ends array<int>"
+    runs = cut(by_chunk.cogroup(places.unionByName(shared, allowMissingColumns=True).groupBy("chunk")).applyInArrow(met_passages, f"chunk int, name binary, low {kind}, high {kind}, {lists}"))
+    before = cut(runs.groupBy("name").agg(F.min("low").alias("before"), F.max("high").alias("last"), F.count(F.lit(1)).alias("n")).filter("before < last").drop("last"))
+    # Runs that more than one in a thousand of all rows hold, a thousand at most, are broadcast: none fills a task.
     many = F.col("n") > runs.count() / 1000
     often = F.broadcast(before.filter(many))
-    later = lambda rows: rows.filter("doc_id != before").select("chunk", "doc_id", "row", "first", "end")
+    later = lambda rows: rows.filter("high != before").select("chunk", "before", "docs", "rows", "firsts", "ends")
     rare = runs.join(often.select("name"), "name", "left_anti").join(before.filter(~many), "name")
     again = cut(later(runs.join(often, "name")).unionByName(later(rare)))
 
     def clear(key, table, found):
         off, sentences = removed(found), {}
-        for i, r, first, end in zip(*(found.column(c).to_pylist() for c in ("doc_id", "row", "first", "end"))):
-            if first is not None:
-                sentences.setdefault((i, r), set()).update(range(first, end))
+        for one, *lists_ in zip(*(found.column(c).to_pylist() for c in ("before", "docs", "rows", "firsts", "ends"))):
+            for i, r, first, end in zip(*lists_) if one is not None else ():
+                if i != one:
+                    sentences.setdefault((i, r), set()).update(range(first, end))
         n, gone_, cuts, left = [], [], [], []
         for i, text in rows_of(table):
             own_ = _sentences(text)

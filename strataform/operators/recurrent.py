@@ -129,7 +129,7 @@ def guard_steps(base_dt: float = 1 / 60, limits: dict | None = None) -> Steps:
             base = e or 1.0
         broken = next((i for i, p in enumerate(ps) if not math.isfinite(p)), None)
         if broken is not None:
-            report("nan", "critical", math.nan, 0.0, broken, "rollback")
+            report("nan", "critical", None, 0.0, broken, "rollback")
             return (past[: max(0, len(past) - 5)], base, dt, isolated | {broken}), out
         drift = abs(e - base) / max(base, 1e-9) * 100
         if drift > lim["drift"]:

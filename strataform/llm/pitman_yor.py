@@ -35,6 +35,8 @@ ROUNDS, SAMPLES = 6, 3
 END = int(mix(np.array([1], dtype=np.uint64))[0])
 #: Customers of a dish up to which the distribution of their tables is tabulated; beyond, its saddle point gives mean and variance.
 TABULATED = 100
+#: Customers up to which weights are multiplied as they are, without logarithms.
+PLAIN = 16
 _ANSWER = np.dtype([("n", "<i8"), ("customers", "<i8"), ("own", "<i8"), ("tables", "<i8")])
 _SUMS = np.dtype([("customers", "<i8"), ("tables", "<i8")])
 _DEALT = "bucket int, chunk int, values binary"
@@ -70,9 +72,12 @@ def draw_tables(names: np.ndarray, round_: int, c: np.ndarray, rest: np.ndarray,
         k = int(c[small[a]])
         for at in range(a, b, max(1, (1 << 18) // k)):
             on = small[at : min(b, at + max(1, (1 << 18) // k))]
-            steps = np.log((strength + discount * (rest[on][:, None] + np.arange(k))) * p[on][:, None])
-            weight = np.cumsum(steps, axis=1) + seatings[k, 1 : k + 1]
-            weight = np.cumsum(np.exp(weight - weight.max(axis=1)[:, None]), axis=1)
+            steps = (strength + discount * (rest[on][:, None] + np.arange(k))) * p[on][:, None]
+            if k <= PLAIN:  # products of so few factors stay within range
+                weight = np.cumsum(np.cumprod(steps * np.exp(np.diff(seatings[k, 1 : k + 1], prepend=seatings[k, 1])), axis=1), axis=1)
+            else:
+                weight = np.cumsum(np.log(steps), axis=1) + seatings[k, 1 : k + 1]
+                weight = np.cumsum(np.exp(weight - weight.max(axis=1)[:, None]), axis=1)
             out[on] = np.minimum(1 + (weight < u[on][:, None] * weight[:, -1:]).sum(axis=1), k)
     big = np.flatnonzero(c > TABULATED)
     if len(big):

@@ -15,6 +15,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out over the cluster's cores where it is read in fewer parts than there are: for costly Python steps."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 #: A-Z to a-z, byte by byte.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataform.llm import ann, bpe, exact_dedup, language_id, ngram_join, packing, paragraph_dedup, pitman_yor, suffix_dedup, url_filter
+from strataform.llm import ann, bpe, exact_dedup, language_id, ngram_join, packing, paragraph_dedup, periodic_runs, pitman_yor, suffix_dedup, url_filter
+from strataform.llm._shared import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,5 +55,9 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_url_filter, op4_best_fit_packing, op5_nearest_neighbours, op6_language_id, op7_byte_bpe, op8_paragraph_dedup, op9_pitman_yor, op10_ngram_join)}
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(spread(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_url_filter, op4_best_fit_packing, op5_nearest_neighbours, op6_language_id, op7_byte_bpe, op8_paragraph_dedup, op9_pitman_yor, op10_ngram_join, op13_periodic_runs)}
 ORACLE = {"op1_exact_dedup": exact_dedup.ORACLE}

@@ -41,7 +41,7 @@ def order_numbers(ids: DataFrame) -> DataFrame:
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 #: Powers that a worker keeps.
 KEPT = 1 << 21
@@ -100,7 +100,23 @@ def words(data: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarra
     start, end = edges[::2], edges[1::2]
     sums = np.zeros(len(joined) + 1, dtype=np.uint64)
     np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * powers(len(joined)), out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * powers(len(joined), _INVERSE)[start])
+    hashes = mix((sums[end] - sums[start]) * powers(len(joined), INVERSE)[start])
     firsts = np.zeros(len(data) + 1, dtype=np.int64)
     np.cumsum([len(x) + 1 for x in data], out=firsts[1:])
     return hashes, np.searchsorted(start, firsts)
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str, hot: int = 1000) -> DataFrame:
+    """left with the columns of right, which has one row a key at most; null where there is none. left is a written table, as it is read several times.
+
+    Rows whose key more than one in `hot` of all rows has, which are `hot` keys at most, meet a broadcast copy of
+    right's rows for these and stay where they are; rows without a key aren't dealt out by it either.
+    """
+    sizes = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    most = max(1, left.count() // hot)
+    wide = cut(sizes.filter(F.col("_n") > most).select(key))
+    none = left.filter(F.col(key).isNull()).select("*", *(F.lit(None).cast(right.schema[x].dataType).alias(x) for x in right.columns if x != key))
+    many = left.join(F.broadcast(wide.withColumn("_on", F.lit(True)).join(right, key, "left")), key).drop("_on")
+    rest = left.join(F.broadcast(wide), key, "left_anti").filter(F.col(key).isNotNull()).join(right, key, "left")
+    names = none.columns
+    return none.unionByName(many.select(*names)).unionByName(rest.select(*names))

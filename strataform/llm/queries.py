@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataform.llm import ann, bpe, exact_dedup, importance, language_id, ngram_join, packing, paragraph_dedup, periodic_runs, pitman_yor, suffix_dedup, url_filter
+from strataform.llm import ann, bpe, exact_dedup, importance, language_id, ngram_join, packing, paragraph_dedup, periodic_runs, pitman_yor, sanitisation, suffix_dedup, url_filter
 from strataform.llm._shared import spread
 
 
@@ -55,6 +55,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitisation.digests(spread(table(spark, sf_dir, "documents")))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
@@ -63,5 +67,5 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(spread(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_url_filter, op4_best_fit_packing, op5_nearest_neighbours, op6_language_id, op7_byte_bpe, op8_paragraph_dedup, op9_pitman_yor, op10_ngram_join, op12_importance_resampling, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_url_filter, op4_best_fit_packing, op5_nearest_neighbours, op6_language_id, op7_byte_bpe, op8_paragraph_dedup, op9_pitman_yor, op10_ngram_join, op11_personal_data, op12_importance_resampling, op13_periodic_runs)}
 ORACLE = {"op1_exact_dedup": exact_dedup.ORACLE, "op12_importance_resampling": importance.ORACLE}

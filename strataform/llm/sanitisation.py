@@ -18,7 +18,7 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW = 5
 #: Different surroundings in which a word must accompany a value, and the share of the value's information that the word
 #: must give away to be generalised, or removed.
-SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
+SUPPORT, GENERALISE, REMOVE = 3, 0.9, 0.98
 #: Bits of the filter that tells which words may matter, for each of them, and at most.
 BITS, MOST_BITS = 16, 1 << 27
 

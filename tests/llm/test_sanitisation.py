@@ -70,7 +70,7 @@ def plain(rows, window, support, share):
 def check(spark, rows, **how):
     table = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, base int").repartition(3)
     got = sanitisation.sanitisation(table, **how).collect()
-    want, told = plain(rows, how.get("window", 5), how.get("support", 3), how.get("share", 0.8))
+    want, told = plain(rows, how.get("window", 5), how.get("support", 3), how.get("share", 0.9))
     a = sorted((str(r["doc_id"]), [tuple(x) for x in r["base"]], [tuple(x)[:2] for x in r["terms"]]) for r in got)
     assert a == sorted((str(i), b, t) for (i, _), (b, t) in zip(rows, want))
     return told
@@ -123,7 +123,7 @@ def test_nulls_repeats_and_empty_tables(spark):
 
 def test_digests(spark, rows):
     got = {r["doc_id"]: r for r in sanitisation.digests(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    want, _ = plain(rows, 5, 3, 0.8)
+    want, _ = plain(rows, 5, 3, 0.9)
     for (i, _), (base, terms) in zip(rows, want):
         r, own = got[i], [f"{KINDS[k]}:{s}:{e}" for k, s, e in base]
         assert r["base_sha256"] == hashlib.sha256(",".join(own).encode()).hexdigest()

@@ -106,6 +106,11 @@ def words(data: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarra
     return hashes, np.searchsorted(start, firsts)
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def looked_up(left: DataFrame, right: DataFrame, key: str, hot: int = 1000) -> DataFrame:
     """left with the columns of right, which has one row a key at most; null where there is none. left is a written table, as it is read several times.
 

@@ -100,7 +100,7 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return hit.groupBy("key").agg(F.max("confidence").alias("confidence"))
 
 
-def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", **mining) -> DataFrame:
+def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", hot: int = 1000, **mining) -> DataFrame:
     """page_id, host, path, rule, verdict and confidence for every page.
 
     A label is bad if its quality is 0 or it is toxic; it belongs to the page of the same id. Where no given rule
@@ -114,10 +114,16 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str = "
     own = own.withColumn("tokens", tokens_of(F.col("host"), F.col("path"))).withColumn("key", F.md5(F.array_join("tokens", "\n")))
     bad = labels.filter(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("page_id")).agg(F.max((F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)).alias("bad"))
     mined = cut(mine_rules(own.join(bad, "page_id").select("tokens", "bad"), **mining))
-    shapes = own.groupBy("key").agg(F.first("tokens").alias("tokens"))
+    shapes = cut(own.groupBy("key").agg(F.any_value("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")))
     matched = cut(match_rules(shapes, mined))
+    # Shapes of more than one in `hot` pages, of which there can't be more than `hot`, are broadcast; their pages are dealt by id.
+    most = max(1, (shapes.agg(F.sum("n")).first()[0] or 0) // hot)
+    wide = F.broadcast(shapes.filter(F.col("n") > most).join(matched, "key", "left").select("key", F.struct(F.col("confidence").alias("c")).alias("_wide")))
+    deal = F.when(F.col("_wide").isNull(), F.col("key")).otherwise(F.concat(F.lit("id "), F.xxhash64("page_id", "host", "path").cast("string")))
+    each = own.drop("tokens").join(wide, "key", "left").withColumn("_deal", deal)
+    found = each.join(matched.select(F.col("key").alias("_deal"), F.col("confidence").alias("_narrow")), "_deal", "left").withColumn("confidence", F.coalesce("_wide.c", "_narrow"))
     given = by_rule(F.col("host"), F.col("path"), rules)
-    return own.join(matched, "key", "left").select(
+    return found.select(
         "page_id", "host", "path", given["rule"].alias("rule"),
         F.coalesce(given["verdict"], F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")).alias("verdict"), "confidence",
     )

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataform.llm._shared import cut, text_slices
+from strataform.llm._shared import cut, looked_up, text_slices
 from strataform.llm.near import THRESHOLD, band_plan, near_classes, set_name, shingles, signatures
 
 #: Hashes in a band, and the share of pairs at the threshold that must meet in a bucket.
@@ -53,7 +53,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     classes = firsts.join(near, "key", "left")
     lowest = classes.groupBy(F.coalesce("component", "key").alias("component")).agg(F.min("copy_id").alias("class_id"))
     classes = cut(classes.withColumn("component", F.coalesce("component", "key")).join(lowest, "component").select("key", "class_id", "copy_id", "n_copies", F.coalesce("links", F.lit(0)).alias("links")))
-    return sigs.join(classes, "key", "left").select(
+    return looked_up(sigs.select("doc_id", "key", "n"), classes, "key").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"), (F.coalesce("links", F.lit(0)) + F.coalesce("n_copies", F.lit(1)) - 1).alias("n_links"), F.col("n").cast("long").alias("n_ngrams"),
     )

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataform.llm._exchange import BACK, DEALT, chunk_table, deal, marked, met_twice, short
-from strataform.llm._shared import mix, slices
+from strataform.llm._shared import looked_up, mix, slices
 from strataform.llm.near import THRESHOLD, WORDS, band_plan, near_classes, set_name, shingles, signatures
 from strataform.tables import cut
 
@@ -182,7 +182,8 @@ def paragraph_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: floa
     classes = firsts.join(near, "key", "left").select("key", F.struct("first.doc_id", "first.paragraph").alias("first"), F.coalesce("component", "key").alias("component"))
     keep = classes.groupBy("component").agg(F.min("first").alias("keep"))
     kept = cut(classes.join(keep, "component").select("key", "keep"))
-    gone = cut(sigs.select("chunk", "doc_id", "row", "paragraph", "key").join(kept, "key").filter(F.col("doc_id") != F.col("keep.doc_id")).select("chunk", "doc_id", "row", "paragraph", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.paragraph").alias("keep_paragraph")))
+    placed = looked_up(sigs.select("chunk", "doc_id", "row", "paragraph", "key"), kept, "key")  # a class may be a line of every other document
+    gone = cut(placed.filter(F.col("doc_id") != F.col("keep.doc_id")).select("chunk", "doc_id", "row", "paragraph", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.paragraph").alias("keep_paragraph")))
 
     def removed(found) -> dict:
         """The numbers of each row's removed paragraphs."""

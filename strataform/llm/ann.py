@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strataform.llm._shared import cut
+from strataform.llm._shared import cut, partitions
 
 #: Vectors that the list centres are fitted on, at most, and numbers in them (so few long vectors are drawn); all are indexed.
 SAMPLE, NUMBERS = 20_000, 8 << 20
@@ -26,8 +26,8 @@ SAMPLE, NUMBERS = 20_000, 8 << 20
 TRIED = 256
 #: Columns in a block; how many standard errors a partial distance must lie beyond the threshold to be abandoned.
 COLUMNS, ERRORS = 16, 2.1
-#: Vectors and queries that a task compares at once.
-TILE, QUERIES = 2048, 512
+#: Vectors and queries that a task compares at once, and bundles of queries that it compares with the same vectors.
+TILE, QUERIES, BUNDLES = 2048, 512, 64
 
 
 def _centres(x: np.ndarray, n: int, seed: int = 7, rounds: int = 8) -> np.ndarray:
@@ -175,7 +175,9 @@ def _nearest_of(fine: DataFrame, d: int, total: int, largest: float, queries, k:
     indexed = cut(fine.mapInArrow(assign, f"vec_id {kind}, v array<double>, list int"))
     asked = cut(fine.filter(queries(F.col("vec_id"))).mapInArrow(probe, f"vec_id {kind}, v array<double>, lists array<int>"))
     tiles = {r["list"]: -(-r["count"] // TILE) for r in indexed.groupBy("list").count().collect()}  # n_lists rows
-    tile_of = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.element_at(F.lit(None).cast("map<int,bigint>") if not tiles else F.create_map(*(F.lit(x).cast(t) for p in tiles.items() for x, t in zip(p, ("int", "bigint")))), F.col("list")))
+    n_tiles = F.element_at(F.lit(None).cast("map<int,bigint>") if not tiles else F.create_map(*(F.lit(x).cast(t) for p in tiles.items() for x, t in zip(p, ("int", "bigint")))), F.col("list"))
+    tile_of = F.pmod(F.xxhash64("vec_id", F.lit(3)), n_tiles)
+    n_parts = partitions(fine.sparkSession)
 
     def as_pack(names):
         def run(table: pa.Table) -> pa.Table:
@@ -192,7 +194,11 @@ def _nearest_of(fine: DataFrame, d: int, total: int, largest: float, queries, k:
     def ask(rows: DataFrame) -> DataFrame:
         """Candidates of (vec_id, v, limit, list): the k best of every tile."""
         bundles = rows.withColumn("bundle", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(n_bundles))).groupBy("list", "bundle").applyInArrow(as_pack(["list", "bundle"]), f"list int, bundle bigint, ids array<{kind}>, vectors binary, limits binary")
-        pairs = bundles.withColumnsRenamed({"ids": "q_ids", "vectors": "q"}).join(packed, "list")
+        # A tile of a list and a share of the bundles meet in a task of their own, however many vectors the list has.
+        asking = bundles.withColumnsRenamed({"ids": "q_ids", "vectors": "q"}).withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), n_tiles - 1))).withColumn("share", F.pmod("bundle", F.lit(n_shares)))
+        tiles_ = packed.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shares - 1).cast("long"))))
+        keys = ["list", "tile", "share"]
+        pairs = asking.repartition(n_parts, *keys).join(tiles_.repartition(n_parts, *keys), keys)
 
         def run(batches):
             for batch in batches:
@@ -207,6 +213,7 @@ def _nearest_of(fine: DataFrame, d: int, total: int, largest: float, queries, k:
 
     n_queries = asked.count()
     n_bundles = max(1, -(-n_queries // QUERIES))
+    n_shares = -(-n_bundles // BUNDLES)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     n_first = max(1, n_probes // 10)
     first = cut(ask(asked.select("vec_id", "v", F.lit(float("inf")).alias("limit"), F.explode(F.slice("lists", 1, n_first)).alias("list"))))

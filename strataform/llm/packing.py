@@ -153,7 +153,7 @@ def best_fit(bins: dict[int, int], items: dict[int, int]) -> tuple[list[tuple[in
 
 
 def _numbered(df: DataFrame, by: str, order: list[str]) -> DataFrame:
-    """df with `at`: each row's number among those of its `by`, from 0. Rows are numbered within shares of a bounded part of a `by`, then shares are added up, so no value of `by` meets in one task."""
+    """df with `at`: each row's number among those of its `by`, from 0. Rows are numbered within shares of a bounded part of a `by`, then shares are added up, so no value of `by` meets in one task if rows differ in the order's columns."""
     df = df.withColumn("_share", F.pmod(F.xxhash64(*order), F.lit(partitions(df.sparkSession))))
     before = Window.partitionBy(by).orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
     shares = df.groupBy(by, "_share").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
@@ -180,12 +180,12 @@ def _place(df: DataFrame, segments: list[tuple], name: str) -> DataFrame:
 
 
 def pack(table: DataFrame, length: int = LENGTH, groups: int = GROUPS, small: int = SMALL) -> DataFrame:
-    """table's columns, sequence_id and offset; table: (doc_id, piece, start, length, ids_crc32), each length from 1 to `length`, one that can be read again.
+    """table's columns, sequence_id and offset; table: (doc_id, piece, start, length, ids_crc32), each length from 1 to `length`, one that can be read again. _row, a number that each row has alone, tells equal rows apart if it is there, and is left out.
 
     Full pieces have a sequence each (negative ids). The others are planned from counts of lengths: at most `length`
     of them reach the driver, and the plan it sends back has a few segments a length.
     """
-    columns, order = table.columns, ["doc_id", "piece", "ids_crc32"]
+    columns, order = [x for x in table.columns if x != "_row"], ["doc_id", "piece", "ids_crc32", *(["_row"] if "_row" in table.columns else [])]
     full = table.filter(F.col("length") == length).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     part = table.filter(F.col("length") < length)
     counts = {r["length"]: r["count"] for r in part.groupBy("length").count().collect()}
@@ -266,4 +266,4 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, length: int = LE
     A null text counts as empty: a piece of the end token alone. Rows that repeat a doc_id are packed each; a table
     without rows gives none; other columns are ignored.
     """
-    return pack(cut(pieces(docs, path, end_id, length, **columns)), length)
+    return pack(cut(pieces(docs, path, end_id, length, **columns).withColumn("_row", F.monotonically_increasing_id())), length)

@@ -161,10 +161,10 @@ def with_language(docs: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
 def identified(docs: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
     """The rows of docs (doc_id, text, lang, ...) in which a language can be told, as they are, whatever other columns are called."""
     names = docs.columns
-    plain = docs.select(*(F.col(x).alias(x if x == "text" else f"_{k}") for k, x in enumerate(names)))
+    plain = docs.toDF(*(x if x == "text" else f"_{k}" for k, x in enumerate(names)))
     learned = docs.filter(~in_fold(F.col("doc_id"), folds, held)).select("text", "lang")
     told = predict(plain, train(learned), keep_text=True).filter(F.col("lang_pred") != "und")
-    return told.select(*(F.col(x if x == "text" else f"_{k}").alias(x) for k, x in enumerate(names)))
+    return told.select(*(x if x == "text" else f"_{k}" for k, x in enumerate(names))).toDF(*names)
 
 
 def language_id(docs: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id") -> DataFrame:

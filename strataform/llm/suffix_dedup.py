@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataform.llm._exchange import BACK, DEALT, back, chunk_table, deal, marked, met_twice, read, runs, short
-from strataform.llm._shared import cut, mix, order_numbers, slices
+from strataform.llm._shared import cut, mix, order_numbers, quoted, slices
 
 LENGTH = 50
 #: Text in a chunk, about.
@@ -128,7 +128,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
     """
     kind = docs.schema[id_col].dataType.simpleString()
     numbers = None if isinstance(docs.schema[id_col].dataType, T.IntegralType) else cut(order_numbers(docs.select(F.col(id_col).alias("doc_id"))))
-    own = docs.select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("text"), *([F.struct(*carry).alias("rest")] if carry else []))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("text"), *([F.struct(*(F.col(quoted(x)).alias(f"c{k}") for k, x in enumerate(carry))).alias("rest")] if carry else []))
     some = own.filter(F.col("doc_id").isNotNull())
     some = some.withColumn("place", F.col("doc_id").cast("long")) if numbers is None else some.join(numbers, "doc_id")
     texts, n_buckets = chunk_table(some, CHUNK)
@@ -264,4 +264,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
     front = {"doc_id": kind} | ({"rest": own.schema["rest"].dataType.simpleString()} if carry else {})
     cleared = by_chunk.cogroup(found.groupBy("chunk")).applyInArrow(remove, f"{', '.join(f'{k} {v}' for k, v in front.items())}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     aside = own.filter(F.col("doc_id").isNull()).select(*front, F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").alias("kept"))
-    return cleared.unionByName(aside)
+    both = cleared.unionByName(aside)
+    return both.withColumn("rest", F.struct(*(F.col(f"rest.c{k}").alias(x) for k, x in enumerate(carry)))) if carry else both

@@ -76,9 +76,9 @@ def test_null_and_repeated_ids_keep_one_row_of_each_group(spark):
 
 
 def test_columns_with_the_names_that_stages_use(spark):
-    names = ["score", "lang_pred", "text_sha256", "kept", "rest", "_key", "_row", "key", "n", "place", "row", "chunk"]
+    names = ["a.b", "`", "a`.b", "_1", "score", "lang_pred", "text_sha256", "kept", "rest", "_key", "_row", "key", "n", "place", "row", "chunk"]
     w = " ".join(f"word{i}" for i in range(60))
-    docs = spark.createDataFrame([(1, w, "en", "s", len(w), *names), (2, w + " ", "en", "s", 1, *names), (3, None, "en", "s", 0, *names)], ", ".join(["doc_id bigint, text string, lang string, source string, n_chars bigint", *(f"{x} string" for x in names)]))
+    docs = spark.createDataFrame([(1, w, "en", "s", len(w), *names), (2, w + " ", "en", "s", 1, *names), (3, None, "en", "s", 0, *names)], ", ".join(["doc_id bigint, text string, lang string, source string, n_chars bigint", *(f"`{x.replace('`', '``')}` string" for x in names)]))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         got = stage(spark, docs, "")
         assert got.columns == docs.columns

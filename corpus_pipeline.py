@@ -6,6 +6,8 @@ places in sequences). A stage is written as Parquet and read again before the ne
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,22 @@ from pyspark.sql import functions as F
 from strataform.llm import exact_dedup, language_id, ngram_join, packing, suffix_dedup
 from strataform.llm._shared import cut
 
+#: The columns that stages read.
+DOCUMENTS = ("doc_id", "text", "lang", "n_chars")
+
+
+def _named(stage):
+    """The stage over columns that have plain names meanwhile, all but those of documents: any name passes through."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = docs.toDF(*(x if x in DOCUMENTS else f"_{k}" for k, x in enumerate(docs.columns)))
+        return stage(spark, own, sf_dir).select(*own.columns).toDF(*docs.columns)
+
+    return run
+
 
+@_named
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language can be told; those without a letter, with an empty or null text go.
 
@@ -31,6 +48,7 @@ def _one_each(docs: DataFrame, key: Column, stay: DataFrame) -> DataFrame:
     return one.select(*(F.col("_row.text" if x == "text" else f"_row.rest.`{x}`").alias(x) for x in docs.columns))
 
 
+@_named
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for white space, the longest stays, then the one with the smallest doc_id; one row of each group, with a null doc_id only if no other is as long. Rows that repeat a doc_id are rows like others; of repeated rows the first by their columns stays. Null and empty texts are one group; no rows give none; other columns pass through, whatever they are called."""
     key = lambda sha: F.struct(sha.alias("sha"), F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"))
@@ -38,6 +56,7 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _one_each(docs, key(F.sha2(exact_dedup.squeeze(F.col("text")).cast("binary"), 256)), stay)
 
 
+@_named
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that similar n-gram sets link, the one with the smallest doc_id stays; one row of each group, with a null doc_id only if all are null. Rows that repeat a doc_id are told apart by their text, and of equal ones the first by their columns stays. Texts without a word are a group each by doc_id; no rows give none; other columns pass through, whatever they are called. A text of any length is compared whole."""
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text"))
@@ -45,6 +64,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _one_each(docs, key, stay)
 
 
+@_named
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes that an earlier document has are cut out; a document of which nothing is left goes.
 

@@ -35,7 +35,7 @@ ROUNDS, SAMPLES = 6, 3
 END = int(mix(np.array([1], dtype=np.uint64))[0])
 #: Customers of a dish up to which the distribution of their tables is tabulated; beyond, its saddle point gives mean and variance.
 TABULATED = 100
-#: Customers up to which weights are multiplied as they are, without logarithms.
+#: Numbers of tables whose weights are multiplied before they are scaled.
 PLAIN = 16
 _ANSWER = np.dtype([("n", "<i8"), ("customers", "<i8"), ("own", "<i8"), ("tables", "<i8")])
 _SUMS = np.dtype([("customers", "<i8"), ("tables", "<i8")])
@@ -72,13 +72,7 @@ def draw_tables(names: np.ndarray, round_: int, c: np.ndarray, rest: np.ndarray,
         k = int(c[small[a]])
         for at in range(a, b, max(1, (1 << 18) // k)):
             on = small[at : min(b, at + max(1, (1 << 18) // k))]
-            steps = (strength + discount * (rest[on][:, None] + np.arange(k))) * p[on][:, None]
-            if k <= PLAIN:  # products of so few factors stay within range
-                weight = np.cumsum(np.cumprod(steps * np.exp(np.diff(seatings[k, 1 : k + 1], prepend=seatings[k, 1])), axis=1), axis=1)
-            else:
-                weight = np.cumsum(np.log(steps), axis=1) + seatings[k, 1 : k + 1]
-                weight = np.cumsum(np.exp(weight - weight.max(axis=1)[:, None]), axis=1)
-            out[on] = np.minimum(1 + (weight < u[on][:, None] * weight[:, -1:]).sum(axis=1), k)
+            out[on] = _tabulated(u[on], rest[on], p[on], np.exp(np.diff(seatings[k, 1 : k + 1])), discount, strength)
     big = np.flatnonzero(c > TABULATED)
     if len(big):
         mean, deviation = seating_moments(c[big], rest[big], p[big], discount, strength)
@@ -87,6 +81,29 @@ def draw_tables(names: np.ndarray, round_: int, c: np.ndarray, rest: np.ndarray,
     return out
 
 
+def _tabulated(u: np.ndarray, rest: np.ndarray, p: np.ndarray, ratios: np.ndarray, discount: float, strength: float) -> np.ndarray:
+    """Tables of as many customers each: a column for each number of tables, its weight made from the one before. Weights are divided by their sum every PLAIN columns, as products of so few factors stay within range."""
+    step, grow = (strength + discount * rest) * p, discount * p
+    weight = total = np.ones(len(p))
+    sums, scales = [[]], []
+    for k, ratio in enumerate(ratios, 1):
+        sums[-1].append(total)
+        if k % PLAIN == 0:
+            weight, total = weight / total, np.ones(len(p))
+            scales.append(sums[-1][-1])
+            sums.append([])
+        step = step + grow
+        weight = weight * step * ratio
+        total = total + weight
+    want, out = u * total, np.ones(len(p), dtype=np.int64)
+    for part, scale in zip(reversed(sums), [*reversed(scales), 1.0]):
+        for x in part:
+            out += x < want
+        with np.errstate(over="ignore"):
+            want = want * scale
+    return out
+
+
 def seating_moments(c: np.ndarray, rest: np.ndarray, p: np.ndarray, discount: float, strength: float) -> tuple[np.ndarray, np.ndarray]:
     """Mean and standard deviation of the tables of many customers of one dish.
 

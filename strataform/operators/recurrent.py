@@ -107,7 +107,7 @@ REMEMBERED = 240
 def guard_steps(base_dt: float = 1 / 60, limits: dict | None = None) -> Steps:
     """Of (energy, parts): seq, guard, severity, value, threshold, part, mitigation and dt of what a watchdog reports, in order.
 
-    parts: an array of the parts' energies, energy: their sum. The first energy is the baseline (1 for 0). A part that
+    parts: an array of the parts' energies, energy: their sum. The first energy is the baseline (1 for 0 and for what isn't a number). A part that
     isn't finite takes back five samples and is isolated; nothing else is checked then. A drift beyond the limit
     shrinks the step to three quarters, twice the limit takes back eight samples and halves it, down to an eighth;
     under two fifths of the limit it recovers by a twentieth. A part far from the mean is isolated, once. The
@@ -126,7 +126,7 @@ def guard_steps(base_dt: float = 1 / 60, limits: dict | None = None) -> Steps:
 
         past = [*past, e][-REMEMBERED:]
         if len(past) == 1:
-            base = e or 1.0
+            base = 1.0 if e == 0 or math.isnan(e) else e
         broken = next((i for i, p in enumerate(ps) if not math.isfinite(p)), None)
         if broken is not None:
             report("nan", "critical", None, 0.0, broken, "rollback")

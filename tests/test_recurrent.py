@@ -21,7 +21,7 @@ class PlainGuard:
         self.past.append(energy)
         self.past = self.past[-240:]
         if len(self.past) == 1:
-            self.base = energy or 1.0
+            self.base = 1.0 if energy == 0 or math.isnan(energy) else energy
         for i, p in enumerate(parts):
             if not math.isfinite(p):
                 self.log.append((t, "nan", i))

@@ -29,7 +29,7 @@ def checked(df: DataFrame, text: str, kinds: tuple[type, ...]) -> Column:
         raise RuleError(f"{text!r}: {str(e).splitlines()[0]}") from None
     if not isinstance(kind, kinds):
         raise RuleError(f"{text!r} is {kind.simpleString()}")
-    return F.expr(text)
+    return F.expr(text).cast("double") if isinstance(kind, T.DecimalType) else F.expr(text)  # so that 0.5 and 0.50 are one value
 
 
 def fired(df: DataFrame, rules: Iterable[dict], enabled: dict[str, bool] | None = None, most: int | None = None) -> DataFrame:

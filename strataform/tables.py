@@ -30,6 +30,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, by: str, buckets: int | None = None) -> tuple[DataFrame, int]:
+    """(df written as a table bucketed by a column, which later groupings and joins by it don't shuffle; its buckets). The catalogue doesn't keep its name; its files stay."""
+    spark, name = df.sparkSession, f"strataform_{uuid.uuid4().hex}"
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, by).write.option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").bucketBy(n, by).saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # noqa: B018  resolved before the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return table, n
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table that cut() wrote and that nothing reads any more."""
     spark = df.sparkSession

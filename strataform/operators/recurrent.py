@@ -7,10 +7,13 @@ import operator
 from collections.abc import Callable
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from strataform.operators.stats import Sketch, effective_dimension
+
 
 class Steps(NamedTuple):
     """A recurrence: the first state, step(state, order, values...) to the next state and the rows that a sample makes, and their columns. Batches fold it, streams follow it (streaming.live)."""
@@ -217,3 +220,24 @@ def change_steps(columns: list[str]) -> Steps:
         return values, [(changed,)] if changed else []
 
     return Steps(lambda: None, step, "changed array<string>")
+
+
+def manifold_steps(k: int, rank: int) -> Steps:
+    """Of a vector: latent (its place on the k strongest directions of all so far, itself included), residual (its distance from them) and dimension (how many directions carry the variance). Vectors that are null, or hold a value that is null or not finite, change nothing."""
+
+    def step(state, _, vector):
+        if vector is None or any(x is None or not math.isfinite(x) for x in vector):
+            return state, []
+        x = np.array(vector, float)
+        state = state.add(x[None, :])
+        directions, variances = state.directions(k)
+        off = x - state.mean
+        latent = directions @ off
+        return state, [(latent.tolist(), float(np.linalg.norm(off - latent @ directions)), effective_dimension(variances))]
+
+    return Steps(lambda: Sketch(rank), step, "latent array<double>, residual double, dimension double")
+
+
+def manifold_series(df: DataFrame, key: str, t: str, vector: str, k: int = 2, rank: int = 8) -> DataFrame:
+    """(key, t, latent, residual, dimension) of manifold_steps()."""
+    return fold(df, key, t, [vector], manifold_steps(k, rank))

@@ -6,10 +6,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataform.functions.scalars import ratio
+from strataform.tables import cut
 
 RIDGE = 1e-3
 
@@ -186,3 +188,80 @@ def kmeans(df: DataFrame, names: list[str], centres: list[list[float]], rounds:
             break
         centres = new
     return centres, near(centres)
+
+
+class Sketch:
+    """Count, mean and the `rank` strongest directions of rows seen, scaled by their strength: (n, mean, rows of the sketch). Merges with others in any order."""
+
+    def __init__(self, rank: int, n: float = 0.0, mean: np.ndarray | None = None, rows: np.ndarray | None = None):
+        self.rank, self.n, self.mean, self.rows = rank, n, mean, rows
+
+    def add(self, x: np.ndarray) -> Sketch:
+        """The sketch with the rows of x taken in; rows that aren't finite are left out."""
+        x = x[np.isfinite(x).all(axis=1)]
+        if not len(x):
+            return self
+        mean = x.mean(axis=0)
+        return self.merge(Sketch(self.rank, float(len(x)), mean, x - mean))
+
+    def merge(self, other: Sketch) -> Sketch:
+        """What both have seen: their directions and the one between their means, cut to the strongest by a singular value decomposition."""
+        if not other.n or not self.n:
+            return other.cut() if other.n else self
+        n, apart = self.n + other.n, other.mean - self.mean
+        between = np.sqrt(self.n * other.n / n) * apart[None, :]
+        return Sketch(self.rank, n, self.mean + apart * (other.n / n), np.concatenate((self.rows, other.rows, between))).cut()
+
+    def cut(self) -> Sketch:
+        _, strength, directions = np.linalg.svd(self.rows, full_matrices=False)
+        return Sketch(self.rank, self.n, self.mean, strength[: self.rank, None] * directions[: self.rank])
+
+    def directions(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(k unit directions, their variances), strongest first; the largest part of each is positive."""
+        if self.rows is None:
+            return np.empty((0, 0)), np.empty(0)
+        strength = np.linalg.norm(self.rows, axis=1)[:k]
+        unit = self.rows[:k] / np.maximum(strength, 1e-300)[:, None]
+        return unit * np.where(unit[np.arange(len(unit)), np.abs(unit).argmax(axis=1)] < 0, -1, 1)[:, None], strength**2 / max(1.0, self.n - 1)
+
+
+def effective_dimension(variances: np.ndarray) -> float:
+    """The participation ratio of a spectrum: how many directions carry it; 0 if none does."""
+    square = float((variances**2).sum())
+    return float(variances.sum()) ** 2 / square if square >= 1e-12 else 0.0
+
+
+_SKETCH = "n double, mean array<double>, rows array<double>"
+
+
+def manifold(df: DataFrame, names: list[str], k: int, rank: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, k directions, their variances) of df's columns in one pass: each task folds its rows into a sketch of `rank` rows
+    (four times k, by default), and sketches merge by groups until one is left. Memory doesn't follow the rows, and exact
+    if rank is the number of columns. Rows with a value that is null or not finite are left out; none give none."""
+    rank = min(len(names), rank or 4 * k)
+
+    def row(s: Sketch, group: int):
+        return pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([s.n]), pa.array([s.mean.tolist()], pa.list_(pa.float64())), pa.array([s.rows.ravel().tolist()], pa.list_(pa.float64()))], ["group", "n", "mean", "rows"])
+
+    def fold(batches):
+        own = Sketch(rank)
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names])
+            for at in range(0, len(x), 4096):
+                own = own.add(x[at : at + 4096])
+        if own.n:
+            yield row(own, TaskContext.get().partitionId())
+
+    def merge(table: pa.Table) -> pa.Table:
+        own = Sketch(rank)
+        for n, mean, rows in sorted(zip(*(table.column(c).to_pylist() for c in ("n", "mean", "rows")))):
+            own = own.merge(Sketch(rank, n, np.array(mean), np.array(rows).reshape(-1, len(names))))
+        return pa.Table.from_batches([row(own, table.column("group")[0].as_py())])
+
+    parts = cut(df.select(*(F.col(c).cast("double").alias(c) for c in names)).mapInArrow(fold, f"group long, {_SKETCH}"))
+    while (left := parts.count()) > 64:
+        parts = cut(parts.withColumn("group", F.col("group") % (left // 16)).groupBy("group").applyInArrow(merge, f"group long, {_SKETCH}"))
+    own = Sketch(rank)
+    for r in parts.orderBy("n", "mean").collect():  # 64 sketches at most
+        own = own.merge(Sketch(rank, r["n"], np.array(r["mean"]), np.array(r["rows"]).reshape(-1, len(names))))
+    return (own.mean if own.n else np.zeros(len(names)), *own.directions(k))

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from strataform.functions.scalars import morton30, rounded_key
 from strataform.operators import graph
 from strataform.operators.ordered import numbered
-from strataform.tables import cut
+from strataform.tables import bucketed, cut, drop
 
 AXES = ("x", "y", "z")
 
@@ -170,3 +170,90 @@ def send_rounds(messages: DataFrame) -> DataFrame:
         busy[a].add(k), busy[b].add(k)
         out.append((a, b, n, k))
     return messages.sparkSession.createDataFrame(out, messages.select("a", "b", "n").schema.add("round", "integer"))
+
+
+#: Hops from the boundary within which a cell can be reached, and neighbours on it that make it dense.
+IN_REACH, DENSE = 3, 4
+
+
+def fabrication(cells: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, class, dense, pocket) of every cell (id, z, boundary boolean); links: (a, b), in either direction.
+
+    A boundary cell is `overhang` without a neighbour that lies lower, else `boundary`, and dense if four neighbours or
+    more are on the boundary. Other cells are `trapped` if no way through such cells leads to the boundary (pocket: the
+    smallest id of those it is trapped with), `deep` if more than three hops from it, else `interior`.
+    """
+    own = cut(cells.select("id", "z", F.coalesce("boundary", F.lit(False)).alias("boundary")))
+    side = lambda n: own.select(F.col("id").alias(n), F.struct("z", "boundary").alias(f"_{n}"))
+    both = cut(graph.both_ways(links).filter("a <> b").distinct().join(side("a"), "a").join(side("b"), "b"))
+    lower = F.max(F.col("_b.z") < F.col("_a.z") - 1e-9)
+    around = both.groupBy(F.col("a").alias("id")).agg(lower.alias("held"), F.count_if("_b.boundary").alias("n_boundary"))
+    inside = both.filter("NOT _a.boundary AND NOT _b.boundary AND a < b").select("a", "b")
+    pockets = own.filter("NOT boundary").select("id").join(graph.components(inside).withColumnRenamed("key", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("pocket"))
+    open_ = pockets.join(around.filter("n_boundary > 0").select("id"), "id", "left_semi").select("pocket").distinct()
+    shut = pockets.join(open_, "pocket", "left_anti")
+    reached = graph.depths(both, own.filter("boundary").select(F.col("id").alias("key")), IN_REACH).select(F.col("key").alias("id"), "depth")
+    told = own.join(around, "id", "left").join(shut, "id", "left").join(reached, "id", "left")
+    kind = F.when(F.col("boundary"), F.when(F.coalesce("held", F.lit(False)), "boundary").otherwise("overhang")).when(F.col("pocket").isNotNull(), "trapped").when(F.col("depth").isNull(), "deep").otherwise("interior")
+    return told.select("id", kind.alias("class"), ((kind == "boundary") & (F.coalesce("n_boundary", F.lit(0)) >= DENSE)).alias("dense"), "pocket")
+
+
+def second_vector(edges: DataFrame, rounds: int = 60, seed: int = 1) -> DataFrame:
+    """(key, value): what is left of a random start after lazy steps of a random walk over edges (a, b), its degree-weighted mean taken out: close to the second eigenvector, which changes slowly along edges.
+
+    Edges are bucketed once; a step shuffles a value a key. Every eighth step is written, centred and scaled.
+    """
+    both, _ = bucketed(graph.both_ways(edges).filter("a <> b").distinct(), "b")
+    degrees = cut(both.groupBy(F.col("a").alias("key")).agg(F.count(F.lit(1)).cast("double").alias("degree")))
+    x = degrees.select("key", "degree", ((F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 20))) / float(1 << 19) - 1).alias("value"))
+    before = None
+    for k in range(rounds):
+        heard = both.join(x.select(F.col("key").alias("b"), "value"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("value").alias("heard"))
+        x = x.join(heard, "key").select("key", "degree", ((F.col("value") + F.col("heard") / F.col("degree")) / 2).alias("value"))
+        if k % 8 == 7 or k == rounds - 1:
+            now = cut(x)
+            if before is not None:
+                drop(before)
+            s = now.agg((F.sum(F.col("degree") * F.col("value")) / F.sum("degree")).alias("mean"), F.max(F.abs("value")).alias("most")).first()
+            mean, scale = s["mean"] or 0.0, max((s["most"] or 0.0) - abs(s["mean"] or 0.0), 1e-300)
+            before, x = now, now.select("key", "degree", ((F.col("value") - mean) / scale).alias("value"))
+    return x.select("key", "value")
+
+
+def spectral_partition(edges: DataFrame, parts: int, rounds: int = 60, most: float = 1.05, refine: int = 8) -> DataFrame:
+    """(key, owner): keys in the order of second_vector(), cut into parts of equal number, and refined()."""
+    vector = cut(second_vector(edges, rounds))
+    owners = numbered(vector, "value", "key").select("key", graph.block_owner(F.col("_n"), F.lit(vector.count()), parts).alias("owner"))
+    return refined(edges, owners, refine, most)
+
+
+def refined(edges: DataFrame, owners: DataFrame, rounds: int = 8, most: float = 1.05) -> DataFrame:
+    """(key, owner): owners after rounds of moves that lessen the edges (a, b) cut between parts, the best first, with no part above `most` times the mean or below its mirror image.
+
+    Moves go to parts of higher number in one round and of lower number in the next, so that two neighbours don't change
+    places; a round that would cut more edges (neighbours moving at once) is taken back, and the rounds end.
+    """
+    both, _ = bucketed(graph.both_ways(edges).filter("a <> b").distinct(), "b")
+    now = best = cut(owners.select("key", "owner"))
+    fewest, idle = None, 0
+    for k in range(rounds + 1):
+        o = now.select(F.col("key").alias("b"), F.col("owner").alias("part"))
+        near = cut(both.join(o, "b").groupBy(F.col("a").alias("key"), "part").agg(F.count(F.lit(1)).alias("n")).join(now, "key"))
+        crossing = near.filter("part <> owner").agg(F.sum("n")).first()[0] or 0
+        if fewest is not None and crossing > fewest:
+            break
+        best, fewest = now, crossing
+        if idle == 2 or k == rounds:
+            break
+        own = near.filter("part = owner").select("key", F.col("n").alias("held"))
+        gains = near.filter("part > owner" if k % 2 == 0 else "part < owner").join(own, "key", "left").withColumn("gain", F.col("n") - F.coalesce("held", F.lit(0))).filter("gain > 0")
+        wish = gains.groupBy("key", "owner").agg(F.max_by(F.struct("part", "gain"), F.struct("gain", -F.col("part"))).alias("to")).select("key", "owner", "to.*")
+        sizes = now.groupBy("owner").agg(F.count(F.lit(1)).alias("size"))
+        mean = now.count() / max(1, sizes.count())
+        room, spare = (sizes.select(F.col("owner").alias("part"), F.floor(most * mean - F.col("size")).alias("room")), sizes.select("owner", F.floor(F.col("size") - (2 - most) * mean).alias("spare")))
+        out, into = Window.partitionBy("owner").orderBy(F.desc("gain"), "key"), Window.partitionBy("part").orderBy(F.desc("gain"), "key")
+        ranked = wish.join(room, "part").join(spare, "owner").withColumn("_o", F.row_number().over(out)).filter("_o <= spare").withColumn("_i", F.row_number().over(into)).filter("_i <= room")
+        moved = cut(ranked.select("key", "part"))
+        idle = idle + 1 if moved.isEmpty() else 0
+        now = cut(now.join(moved, "key", "left").select("key", F.coalesce("part", "owner").alias("owner")))
+    return best

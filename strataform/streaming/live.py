@@ -61,6 +61,11 @@ def live_risk(samples: DataFrame, asset: str, t: str, vector: str, **steps) -> D
     return follow(own, asset, t, ["_name", vector], maintenance.risk_steps(**steps)).withColumn("priority", maintenance.priority(F.col("risk")))
 
 
+def live_manifold(samples: DataFrame, key: str, t: str, vector: str, k: int = 2, rank: int = 8) -> DataFrame:
+    """recurrent.manifold_series over a stream: the sketch of all that a key has sent is its state."""
+    return follow(samples, key, t, [vector], recurrent.manifold_steps(k, rank))
+
+
 def live_fusion(samples: DataFrame, key: str, t: str, value: str, truth: str | None = None, **steps) -> DataFrame:
     """recurrent.alpha_beta over a stream."""
     own = samples.select(key, t, F.col(value).cast("double").alias("_v"), F.col(truth or value).cast("double").alias("_exact"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from itertools import count
 
 import numpy as np
@@ -40,12 +41,15 @@ FRONT = 100_000
 def _front(x: np.ndarray) -> np.ndarray:
     """Which rows nothing dominates, least is best: in order of their sums, each against the front so far. Equal rows stay."""
     order = np.lexsort((*x.T[::-1], x.sum(axis=1)))
-    front, keep = np.empty((0, x.shape[1])), np.zeros(len(x), dtype=bool)
+    held, n, keep = np.empty((64, x.shape[1])), 0, np.zeros(len(x), dtype=bool)
     for i in order:
-        worse = ((front <= x[i]).all(axis=1) & (front < x[i]).any(axis=1)).any()
-        if not worse:
+        front = held[:n]
+        if not ((front <= x[i]).all(axis=1) & (front < x[i]).any(axis=1)).any():
             keep[i] = True
-            front = np.vstack((front, x[i]))
+            if n == len(held):
+                held = np.concatenate((held, np.empty_like(held)))
+            held[n] = x[i]
+            n += 1
     return keep
 
 
@@ -93,8 +97,55 @@ def _undominated(rows: DataFrame, objectives: list[str], n: int) -> DataFrame:
     return own.join(gone, "_row", "left_anti").drop("_row")
 
 
+#: Points that one step of a sweep takes in.
+SWEEP = 1 << 21
+
+
+def _swept(points: DataFrame) -> DataFrame:
+    """(a, b, front) of distinct points (a, b): their fronts, in one pass over ranges of the order by a, then b.
+
+    What comes before a point in that order dominates it if its b isn't larger, so the point is in the first front whose
+    least b so far is larger. The fronts' least b are all that a range hands on to the next one, as a table; they and
+    the range's points are what a task holds.
+    """
+    placed = numbered(points, "a", "b").withColumn("_step", F.floor(F.col("_n") / SWEEP).cast("int"))
+    folder = cut(placed.repartition("_step"), "_step")
+    steps = -(-folder.count() // SWEEP)
+    kind = "a double, b double, front int, told boolean"
+
+    def sweep(left: pa.Table, right: pa.Table) -> pa.Table:
+        least = right.sort_by("front").column("b").to_pylist()
+        left = left.sort_by([("a", "ascending"), ("b", "ascending")])
+        fronts = []
+        for b in left.column("b").to_pylist():
+            k = bisect.bisect_right(least, b)
+            if k == len(least):
+                least.append(b)
+            else:
+                least[k] = b
+            fronts.append(k)
+        n = len(fronts)
+        return pa.table({"a": pa.concat_arrays([left.column("a").combine_chunks(), pa.nulls(len(least), pa.float64())]), "b": pa.concat_arrays([left.column("b").combine_chunks(), pa.array(least, pa.float64())]), "front": pa.array([*fronts, *range(len(least))], pa.int32()), "told": pa.array([True] * n + [False] * len(least))})
+
+    out, stairs = None, points.sparkSession.createDataFrame([], kind)
+    for k in range(steps):
+        own = folder.filter(F.col("_step") == k).select(F.lit(0).alias("_k"), "a", "b")
+        done = cut(own.groupBy("_k").cogroup(stairs.withColumn("_k", F.lit(0)).groupBy("_k")).applyInArrow(sweep, kind))
+        stairs, told = done.filter("NOT told"), done.filter("told").select("a", "b", "front")
+        out = told if out is None else out.unionByName(told)
+    return out if out is not None else stairs.select("a", "b", "front")
+
+
 def front_ranks(df: DataFrame, row_id: str, objectives: list[str], most: int | None = None) -> DataFrame:
-    """(row_id, front): fronts peeled off one after another, from 0; rows beyond `most` fronts, if given, have -1. Each round writes what is left."""
+    """(row_id, front): the front that each row is in once those before it are taken away, from 0; rows beyond `most` fronts, if given, have -1.
+
+    Two objectives are swept in order, each distinct point once, in as many steps as there are ranges of points. Of
+    more objectives one front after another is peeled off, and each round writes what is left.
+    """
+    if len(objectives) == 2:
+        own = df.dropna(subset=objectives).select(row_id, *(F.col(c).cast("double").alias(n) for c, n in zip(objectives, "ab")))
+        front = F.col("front") if most is None else F.when(F.col("front") < most, F.col("front")).otherwise(-1)
+        return own.join(_swept(own.select("a", "b").distinct()), ["a", "b"]).select(row_id, front.cast("int").alias("front"))
     left, out = cut(df.dropna(subset=objectives).select(row_id, *objectives)), None
     for n in count() if most is None else range(most):
         front = cut(pareto_front(left, objectives).select(row_id))

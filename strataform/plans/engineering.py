@@ -178,13 +178,13 @@ def design_advice(spark, d):
 
 
 @query("""
-WITH RECURSIVE p AS (SELECT p_partkey, p_size::DOUBLE AS a, -p_retailprice AS b FROM part WHERE p_size <= 4),
-r AS (SELECT p_partkey, (SELECT count(*) FROM p y WHERE y.a <= x.a AND y.b <= x.b AND (y.a < x.a OR y.b < x.b)) AS beaten FROM p x)
-SELECT p_partkey, beaten = 0 AS first FROM r
+WITH RECURSIVE p AS (SELECT p_partkey AS id, p_size::DOUBLE AS a, -p_retailprice AS b FROM part),
+r(level, id, a, b) AS (SELECT 0, id, a, b FROM p UNION ALL SELECT l.level + 1, y.id, y.a, y.b FROM p y, (SELECT max(level) AS level FROM r) l WHERE l.level IS NOT NULL AND EXISTS (SELECT 1 FROM r WHERE r.a <= y.a AND r.b <= y.b AND (r.a < y.a OR r.b < y.b)))
+SELECT id AS p_partkey, max(level)::INT AS front FROM r GROUP BY id
 """)
 def front_ranks(spark, d):
-    own = table(spark, d, "part").filter("p_size <= 4").select("p_partkey", F.col("p_size").cast("double").alias("a"), (-F.col("p_retailprice")).alias("b"))
-    return decision.front_ranks(own, "p_partkey", ["a", "b"]).select("p_partkey", (F.col("front") == 0).alias("first"))
+    own = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("a"), (-F.col("p_retailprice")).alias("b"))
+    return decision.front_ranks(own, "p_partkey", ["a", "b"])
 
 
 @query("""

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataform.operators import recurrent, stats, topology
+from strataform.operators import decision, recurrent, stats, topology
 from strataform.streaming import live
 from tests.test_recurrent import streamed
 
@@ -130,3 +130,21 @@ def test_first_energies_that_are_no_numbers(spark, tmp_path):
     for got in (batch, stream):
         drifts = sorted((r["k"], r["t"], r["severity"], r["value"]) for r in got.collect() if r["guard"] == "energy_drift" and r["t"] > 0)
         assert drifts == [(1, 1.0, "critical", 9900.0), (2, 1.0, "critical", 9900.0), (3, 2.0, "critical", 900.0)]  # a history that is taken back whole begins anew
+
+
+@pytest.mark.parametrize(("objectives", "n"), [("ab", 400), ("abc", 60)])
+def test_fronts_equal_plain_peeling(spark, monkeypatch, objectives, n):
+    monkeypatch.setattr(decision, "SWEEP", 90)
+    rng = random.Random(len(objectives))
+    rows = [(i, *(float(rng.randrange(25)) for _ in range(3))) for i in range(n)] + [(n, None, 1.0, 1.0), (n + 1, 1.0, float("nan"), 1.0)]
+    pts = {i: x[: len(objectives)] for i, *x in rows[:n]}
+    left, want, k = dict(pts), {}, 0
+    while left:
+        first = [i for i, x in left.items() if not any(y != x and all(a <= b for a, b in zip(y, x)) for y in left.values())]
+        want |= dict.fromkeys(first, k)
+        left = {i: x for i, x in left.items() if i not in want}
+        k += 1
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double").repartition(3)
+    assert {r["id"]: r["front"] for r in decision.front_ranks(df, "id", list(objectives)).collect()} == want
+    assert {r["id"]: r["front"] for r in decision.front_ranks(df, "id", list(objectives), 2).collect()} == {i: f if f < 2 else -1 for i, f in want.items()}
+    assert decision.front_ranks(df.limit(0), "id", list(objectives)).count() == 0

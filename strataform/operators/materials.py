@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strataform.functions.scalars import l2, ratio
+from strataform.functions.scalars import ratio
+from strataform.operators.similarity import apart, best_between
 
 #: What a row that doesn't say has, by column; a share of the yield strength where named so.
 DEFAULTS = {"thermal_conductivity": 30.0, "thermal_expansion": 12.0, "max_service_temp": 300.0, "cost": 5.0, "co2": 4.0, "corrosion": 0.6, "weather": 0.6}
@@ -40,17 +42,19 @@ def union_of(*corpora: DataFrame) -> DataFrame:
 def substitutes(corpus: DataFrame, queries: DataFrame, row_id: str, axes: list[str], k: int = 5) -> DataFrame:
     """(query_id, row_id, feasible, similarity, rank) of the k best stand-ins for each query: feasible ones first, then by seven tenths similarity and three tenths score.
 
-    corpus: row_id, axes scaled to 0..1, feasible, score; queries: rows of the same kind, few against the corpus (a
-    user's choices), of which the corpus meets a thousand at a time. similarity: 1 / (1 + distance).
+    corpus: row_id (whole numbers), axes scaled to 0..1, feasible, score; queries: rows of the same kind. similarity:
+    1 / (1 + distance). Blocks of queries meet blocks of the corpus; no row is made for each pair.
     """
-    q = queries.select(F.col(row_id).alias("query_id"), F.array(*axes).alias("_q"))
-    n = max(1, -(-q.count() // 1000))
-    q = q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int"))
-    x = corpus.select(row_id, "feasible", "score", F.array(*axes).alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_block"))
-    pairs = x.join(q, "_block")
-    near = pairs.filter(F.col(row_id) != F.col("query_id")).withColumn("similarity", 1 / (1 + l2(F.col("_q"), F.col("_x"))))
-    w = Window.partitionBy("query_id").orderBy(F.desc("feasible"), F.desc(0.7 * F.col("similarity") + 0.3 * F.col("score")), row_id)
-    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", row_id, "feasible", "similarity", "rank")
+    n = len(axes)
+    vector = F.array(*(F.col(a).cast("double") for a in axes), F.col("feasible").cast("double"), F.col("score").cast("double"))
+    sides = [df.select(row_id, vector.alias("_v")) for df in (queries, corpus)]
+
+    def keys(q, x):
+        like = 1 / (1 + apart(q[:, :n], x[:, :n]))
+        return [np.broadcast_to(-x[:, -2], like.shape), -(0.7 * like + 0.3 * x[:, -1][None, :]), like]
+
+    found = best_between(*sides, k, None, row_id, "_v", keys, 2, others=True)
+    return found.select("query_id", F.col("row_id").alias(row_id), (F.col("k0") < 0).alias("feasible"), F.col("k2").alias("similarity"), "rank")
 
 
 def gate(ranked: DataFrame, scenario: str, rank: str = "rank", k: int = 5, least: int = 8) -> DataFrame:

@@ -79,6 +79,45 @@ def top_between(queries: DataFrame, rows: DataFrame, k: int, row_id: str, vector
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "row_id", "score")
 
 
+def apart(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The distance of each row of q to each row of x, by differences, column after column."""
+    out = np.zeros((len(q), len(x)))
+    for c in range(q.shape[1]):
+        out += (q[:, c][:, None] - x[:, c][None, :]) ** 2
+    return np.sqrt(out)
+
+
+def best_between(queries: DataFrame, rows: DataFrame, k: int, group: str | None, row_id: str, vector: str, keys, by: int, others: bool = False) -> DataFrame:
+    """(query_id, row_id, k0, k1, ..., rank) of each query's k best rows of its group; with `others` of those of another id.
+
+    keys(q, x): matrices (queries by rows), of which the first `by` order the rows, least first; then the smaller id. Blocks of
+    queries meet blocks of rows of their group; a task gives the k best of a block for each query.
+    """
+    at = lambda df: F.col(group) if group else F.lit(0)
+    held = packed(rows, at(rows), row_id, vector)
+    asked = packed(queries, at(queries), row_id, vector, 512).withColumnsRenamed({"ids": "q_ids", "vectors": "q", "block": "q_block"})
+
+    def best(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                (q_ids, q), (ids, x) = _matrix(r["q_ids"], r["q"]), _matrix(r["ids"], r["vectors"])
+                for a in range(0, len(q), 64):
+                    values = keys(q[a : a + 64], x)
+                    far = np.zeros(values[0].shape, bool) if not others else q_ids[a : a + 64, None] == ids[None, :]
+                    order = np.array([np.lexsort((ids, *(v[i] for v in reversed(values[:by])), far[i]))[:k] for i in range(len(far))]).reshape(len(far), -1)
+                    keep = ~np.take_along_axis(far, order, axis=1).ravel()
+                    columns = [np.repeat(q_ids[a : a + 64], order.shape[1]), ids[order].ravel(), *(np.take_along_axis(v, order, axis=1).ravel() for v in values)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["query_id", "row_id", *(f"k{i}" for i in range(len(values)))])
+
+    n = held.groupBy("grp").agg((F.max("block") + 1).alias("n"))
+    pairs = asked.join(n, "grp").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).join(held, ["grp", "block"]).select("q_ids", "q", "ids", "vectors")
+    width = len(keys(np.zeros((1, 64)), np.zeros((1, 64))))
+    names = [f"k{i}" for i in range(width)]
+    found = pairs.mapInArrow(best, ", ".join(["query_id bigint, row_id bigint", *(f"{c} double" for c in names)]))
+    w = Window.partitionBy("query_id").orderBy(*names[:by], "row_id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def top_k(df: DataFrame, asked: Column, k: int, row_id: str, vector: str, measure: str = "cosine") -> DataFrame:
     """top_between() of the rows that `asked` holds for and all rows."""
     return top_between(df.filter(asked), df, k, row_id, vector, measure)

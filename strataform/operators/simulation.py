@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataform.functions.scalars import clamp, l2
+from strataform.functions.scalars import clamp
+from strataform.operators.similarity import apart, best_between
 
 #: Operations a particle and substep, by integrator.
 INTEGRATORS = {"euler": 12, "semi-euler": 14, "verlet": 22}
@@ -31,12 +32,12 @@ def mesh_score(aspect: Column, skew: Column, size_ratio: Column, inverted: Colum
 def route(asked: DataFrame, solved: DataFrame, cache_radius: float = 0.35, rom_radius: float = 1.2, most_error: float = 0.05, least_quality: float = 0.4) -> DataFrame:
     """(id, stage, nearest_id, distance, error) of each request: the result of its nearest solved problem if it is close, of the same domain and regime, and within the error; a reduced model if the domain is the same and the problem mild; else a full solve.
 
-    Both sides: id, domain, regime, latent; asked also spd, nonlinearity, mesh_score. The nearest is sought within the
-    domain (neither reuse crosses it): an equi-join on domain.
+    Both sides: id (a whole number, once), domain, regime, latent; asked also spd, nonlinearity, mesh_score. The nearest is
+    sought within the domain (neither reuse crosses it), block by block.
     """
-    s = solved.select("domain", F.col("id").alias("nearest_id"), F.col("regime").alias("_regime"), F.col("latent").alias("_latent"))
-    near = asked.join(s, "domain").withColumn("distance", l2(F.col("latent"), F.col("_latent")))
-    best = near.groupBy("id").agg(F.min(F.struct("distance", "nearest_id", "_regime")).alias("b")).select("id", "b.*")
+    near = best_between(asked, solved, 1, "domain", "id", "latent", lambda q, x: [apart(q, x)], 1)
+    regimes = solved.select(F.col("id").alias("nearest_id"), F.col("regime").alias("_regime"))
+    best = near.select(F.col("query_id").alias("id"), F.col("k0").alias("distance"), F.col("row_id").alias("nearest_id")).join(regimes, "nearest_id").select("id", "distance", "nearest_id", "_regime")
     own = asked.join(best, "id", "left")
     d = F.col("distance")
     error = lambda r: 0.005 + 0.06 * (d / r) * (d / r)

@@ -15,8 +15,6 @@ from pyspark.sql.window import Window
 from strataform.functions.scalars import unit
 
 BLOCK = 2048
-#: Tokens that can count as frequent, and the parts that the rows of such a token are dealt into.
-OFTEN, SALTS = 1000, 32
 
 
 def packed(df: DataFrame, group: Column, row_id: str, vector: str, size: int = BLOCK) -> DataFrame:
@@ -185,27 +183,69 @@ def similar_links(df: DataFrame, group: str, row_id: str, vector: str, threshold
     return _block_pairs(df, group, row_id, vector).mapInArrow(link, "a bigint, b bigint")
 
 
-def set_overlaps(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """(query_id, row_id, common, score) of all pairs that share a token; both sides: (query_id or row_id, tokens), sets. Jaccard by an inverted index: equal tokens are joined, shared ones counted.
+def _packed_sets(df: DataFrame, row_id: str, size: int) -> DataFrame:
+    """(block, ids, ends, names): sets of tokens, about `size` to a block, by 64-bit names; ends: where each set's names end."""
+    own = df.filter(F.col(row_id).isNotNull() & F.col("tokens").isNotNull()).select(F.col(row_id).cast("long").alias("id"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("names"))
+    n = F.broadcast(own.agg(F.ceil((F.count(F.lit(1)) + 1) / size).alias("_n")))  # one row
+    dealt = own.crossJoin(n).select("id", "names", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int").alias("block"))
 
-    A token that more than one in OFTEN of all places hold (there are at most OFTEN such) is dealt out by row as well,
-    so no stop word fills a task.
+    def pack(table: pa.Table) -> pa.Table:
+        names = table.column("names").combine_chunks()
+        ends = np.diff(names.offsets.to_numpy()).cumsum()
+        return pa.table({"block": table.column("block").slice(0, 1), "ids": [table.column("id").to_numpy().astype("<i8").tobytes()], "ends": [ends.astype("<i8").tobytes()], "names": [names.flatten().to_numpy().astype("<i8").tobytes()]})
+
+    return dealt.groupBy("block").applyInArrow(pack, "block int, ids binary, ends binary, names binary")
+
+
+def set_overlaps(queries: DataFrame, rows: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, row_id, common, score) of all pairs that share a token, or of the k best rows of each query by score, then row_id: the Jaccard similarity of sets.
+
+    Both sides: (query_id or row_id, whole numbers, and tokens, sets). A block of queries becomes a matrix of tokens by queries, and
+    a row's common tokens are the sum of the lines that its tokens have there: no row is made for each shared token, and
+    a token that all rows have is a line like others. Tokens are told apart by 64-bit names.
     """
-    q = queries.select("query_id", F.size("tokens").alias("q_n"), F.explode("tokens").alias("token"))
-    r = rows.select("row_id", F.size("tokens").alias("r_n"), F.explode("tokens").alias("token"))
-    n = r.groupBy("token").count()
-    total = F.broadcast(n.agg(F.sum("count").alias("total")))  # one row
-    often = F.broadcast(n.crossJoin(total).filter(F.col("count") * OFTEN > F.col("total")).select("token", F.lit(True).alias("often")))
-    salt = F.when(F.col("often"), F.pmod(F.xxhash64("row_id"), F.lit(SALTS))).otherwise(0)
-    r = r.join(often, "token", "left").withColumn("salt", salt).drop("often")
-    q = q.join(often, "token", "left").withColumn("salt", F.explode(F.when(F.col("often"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("often")
-    common = q.join(r, ["token", "salt"]).groupBy("query_id", "row_id", "q_n", "r_n").agg(F.count(F.lit(1)).alias("common"))
-    return common.select("query_id", "row_id", "common", (F.col("common") / (F.col("q_n") + F.col("r_n") - F.col("common"))).alias("score"))
+    asked = _packed_sets(queries, "query_id", 256).withColumnsRenamed({"ids": "q_ids", "ends": "q_ends", "names": "q_names", "block": "q_block"})
+    held = _packed_sets(rows, "row_id", BLOCK)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = F.lit(0).alias("_on")
+    n = F.broadcast(held.agg(F.max("block").alias("last")).withColumn("_on", F.lit(0)))  # one row
+    pairs = asked.select("*", one).join(n, "_on").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("_on", "last").repartition(parts, "block").join(held, "block")
+
+    def count(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                get = lambda c: np.frombuffer(r[c], "<i8")  # noqa: E731, B023
+                q_ids, q_ends, q_names, ids, ends, names = map(get, ("q_ids", "q_ends", "q_names", "ids", "ends", "names"))
+                known, line = np.unique(q_names, return_inverse=True)
+                matrix = np.zeros((len(known) + 1, len(q_ids)), np.float32)  # the last line: no query has the token
+                q_sizes, sizes = np.diff(q_ends, prepend=0), np.diff(ends, prepend=0)
+                matrix[line, np.repeat(np.arange(len(q_ids)), q_sizes)] = 1
+                at = np.minimum(np.searchsorted(known, names), max(0, len(known) - 1))
+                at = np.where(known[at] == names, at, len(known)) if len(known) else np.zeros(len(names), np.int64)
+                owner = np.repeat(np.arange(len(ids)), sizes)
+                on = np.flatnonzero(at < len(known))
+                owner, at = owner[on], at[on]
+                common = np.zeros((len(ids), len(q_ids)))
+                for low in range(0, len(at), 1 << 14):
+                    high = min(len(at), low + (1 << 14))
+                    starts = np.flatnonzero(np.diff(owner[low:high], prepend=-1))
+                    common[owner[low:high][starts]] += np.add.reduceat(matrix[at[low:high]], starts, axis=0)
+                score = common / np.maximum(sizes[:, None] + q_sizes[None, :] - common, 1)
+                if k is None:
+                    i, j = np.nonzero(common)
+                else:
+                    best = [np.lexsort((ids, -score[:, j]))[:k] for j in range(len(q_ids))]
+                    i, j = np.concatenate(best or [np.empty(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(q_ids)), [len(b) for b in best])
+                    i, j = i[common[i, j] > 0], j[common[i, j] > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[j]), pa.array(ids[i]), pa.array(common[i, j].astype(np.int64)), pa.array(score[i, j])], ["query_id", "row_id", "common", "score"])
+
+    return pairs.select("q_ids", "q_ends", "q_names", "ids", "ends", "names").mapInArrow(count, "query_id bigint, row_id bigint, common bigint, score double")
 
 
 def top_sets(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, row_id, common, score, rank) of the k rows whose sets are most like each query's."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
-    return set_overlaps(queries, rows).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return set_overlaps(queries, rows, k).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def fused(parts: list[tuple[DataFrame, float]], k: int) -> DataFrame:

@@ -23,7 +23,7 @@ from strataform.llm._shared import text_slices
 #: The pattern that splits a text before merging: a fixed value of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of encoded words that a worker keeps, about, twice at most; and pairs of tokens whose border it remembers.
-CACHED, PAIRS = 16 << 20, 300_000
+CACHED, PAIRS = 96 << 20, 600_000
 
 
 class Vocabulary:

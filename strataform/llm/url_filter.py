@@ -14,7 +14,7 @@ from strataform.llm._shared import cut, partitions
 RULES = (
     ("block", "com/en/"),
     ("allow", "example.com/en/7"),
-    ("block", "net/de/"),
+    ("allow", "net/de/"),
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )

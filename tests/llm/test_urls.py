@@ -61,6 +61,20 @@ def test_url_parts_and_rules(spark, pages):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+#: The contract's list, word by word, and not the operator's own.
+CONTRACT = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+
+
+def test_each_rule_has_the_verdict_of_the_contract(spark):
+    urls = {"http://a.com/en/x": "com/en/", "http://m.example.com/en/71": "example.com/en/7", "http://NET/de/": "net/de/", "https://www.example.net/de/1": "net/de/", "http://example.net/de/81?q": "example.net/de/8", "http://b.example.org/es/1#t": "org/es/"}
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    # The labels are the other way round: a mined rule has no say where a given one fits.
+    labels = spark.createDataFrame([(i, int(CONTRACT[r] == "block"), 0) for i, r in enumerate(urls.values())], "doc_id bigint, quality int, toxic int")
+    got = [(r["rule"], r["verdict"]) for r in url_filter.url_filter(pages, labels, min_pages=1).orderBy("page_id").collect()]
+    assert got == [(r, CONTRACT[r]) for r in urls.values()]
+    assert {r: v for v, r in url_filter.RULES} == CONTRACT
+
+
 def test_mined_rules_equal_all_combinations(spark, pages):
     rng = random.Random(9)
     rows = [(i, u) for i, u in enumerate(pages)]

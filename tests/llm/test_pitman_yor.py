@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from strataform.llm import pitman_yor
+from strataform.llm._exchange import from_small, small
 
 
 def tokens(t):
@@ -176,3 +177,41 @@ def test_a_very_long_text_and_rows_that_repeat(spark):
     got = {r["doc_id"]: r for r in run(spark, [(5000, long), (1, "the n1"), (None, "the n1"), (None, "the n1")])}
     assert got[5000]["n_tokens"] == 600_001 and math.isfinite(got[5000]["score"]) and got[5000]["score"] < 0
     assert got[None]["held_out"] and len(run(spark, [(None, "a"), (None, "a"), (7, "b")])) == 3
+
+
+def test_texts_are_read_once(spark, monkeypatch, tmp_path, rows):
+    """Counting words and pairs, the state and the scores rest on one reading of each text."""
+    monkeypatch.setattr(pitman_yor, "CHUNK", 20_000)
+    plain, folder = pitman_yor.words, str(tmp_path)
+
+    def counted(data, lower=False):
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(len(data)))
+        return plain(data, lower)
+
+    monkeypatch.setattr(pitman_yor, "words", counted)
+    assert len(run(spark, rows)) == len(rows)
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == len(rows)
+
+
+def test_drawn_tables_equal_all_weights_summed():
+    """Dishes of all sizes in any order: the draw is where the summed weights pass the random number, though small ones aren't summed."""
+    rng = np.random.default_rng(5)
+    n, d, s = 3000, pitman_yor.DISCOUNT, pitman_yor.STRENGTH
+    c, rest, p = rng.integers(1, pitman_yor.TABULATED + 1, n), rng.integers(0, 3000, n).astype(float), 10 ** rng.uniform(-6, 0, n)
+    names = rng.integers(0, 1 << 63, n).astype(np.uint64)
+    got, u, seatings = pitman_yor.draw_tables(names, 3, c, rest, p), pitman_yor._noise(names, 3, 1), pitman_yor._log_seatings(d)
+    for i in range(n):
+        t = np.arange(1, c[i] + 1)
+        logs = seatings[c[i], 1 : c[i] + 1] + np.cumsum(np.log((s + d * (rest[i] + t - 1)) * p[i]))
+        share = np.cumsum(np.exp(logs - logs.max()))
+        assert got[i] == 1 + np.searchsorted(share / share[-1], u[i])
+    one = [pitman_yor.draw_tables(names[i : i + 1], 3, c[i : i + 1], rest[i : i + 1], p[i : i + 1])[0] for i in range(0, n, 7)]
+    assert (got[::7] == one).all()
+
+
+def test_small_numbers_of_any_size():
+    for x in ([], [0, 65534, 65535, 65536, 1 << 40, 7], [3] * 10):
+        assert from_small(small(np.array(x, dtype=np.int64))).tolist() == x

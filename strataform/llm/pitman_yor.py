@@ -62,7 +62,7 @@ def _log_seatings(discount: float, most: int = TABULATED) -> np.ndarray:
 
 @cache
 def _ratios(discount: float) -> np.ndarray:
-    """[t - 1, c]: how much more t + 1 tables of c customers weigh than t; 0 where there can't be so many. They fall with t."""
+    """[t - 1, c]: how much more t + 1 tables of c customers weigh than t; 0 where there can't be so many."""
     seatings, out = _log_seatings(discount), np.zeros((TABULATED - 1, TABULATED + 1))
     for c in range(2, TABULATED + 1):
         out[: c - 1, c] = np.exp(np.diff(seatings[c, 1 : c + 1]))
@@ -122,8 +122,8 @@ def _tabulated(u: np.ndarray, rest: np.ndarray, p: np.ndarray, ratios: np.ndarra
         ratios = ratios[PLAIN:]
         if len(ratios):
             weight /= sums[-1]
-            # Ratios fall with the tables, so all that is left is less than the last weight, if the next factor is at most a half.
-            left = np.flatnonzero((last * ratios[0] > 0.5) | (weight > _NONE))
+            # If all factors that are left are at most a half, all weights that are left are less than the last one.
+            left = np.flatnonzero((last * ratios.max(axis=0) > 0.5) | (weight > _NONE))
             if not len(left):
                 break
             on = left if isinstance(on, slice) else on[left]

@@ -196,19 +196,20 @@ def test_texts_are_read_once(spark, monkeypatch, tmp_path, rows):
     assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == len(rows)
 
 
-def test_drawn_tables_equal_all_weights_summed():
+@pytest.mark.parametrize("d", [pitman_yor.DISCOUNT, 0.95])
+def test_drawn_tables_equal_all_weights_summed(d):
     """Dishes of all sizes in any order: the draw is where the summed weights pass the random number, though small ones aren't summed."""
     rng = np.random.default_rng(5)
-    n, d, s = 3000, pitman_yor.DISCOUNT, pitman_yor.STRENGTH
+    n, s = 3000, pitman_yor.STRENGTH
     c, rest, p = rng.integers(1, pitman_yor.TABULATED + 1, n), rng.integers(0, 3000, n).astype(float), 10 ** rng.uniform(-6, 0, n)
     names = rng.integers(0, 1 << 63, n).astype(np.uint64)
-    got, u, seatings = pitman_yor.draw_tables(names, 3, c, rest, p), pitman_yor._noise(names, 3, 1), pitman_yor._log_seatings(d)
+    got, u, seatings = pitman_yor.draw_tables(names, 3, c, rest, p, d), pitman_yor._noise(names, 3, 1), pitman_yor._log_seatings(d)
     for i in range(n):
         t = np.arange(1, c[i] + 1)
         logs = seatings[c[i], 1 : c[i] + 1] + np.cumsum(np.log((s + d * (rest[i] + t - 1)) * p[i]))
         share = np.cumsum(np.exp(logs - logs.max()))
         assert got[i] == 1 + np.searchsorted(share / share[-1], u[i])
-    one = [pitman_yor.draw_tables(names[i : i + 1], 3, c[i : i + 1], rest[i : i + 1], p[i : i + 1])[0] for i in range(0, n, 7)]
+    one = [pitman_yor.draw_tables(names[i : i + 1], 3, c[i : i + 1], rest[i : i + 1], p[i : i + 1], d)[0] for i in range(0, n, 7)]
     assert (got[::7] == one).all()
 
 

@@ -14,8 +14,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window
 
-from strataform.tables import bucketed, cut, drop
+from strataform.operators.ordered import ranged
+from strataform.tables import bucketed, cut, drop, large
 
 #: kernel(round, part, fixed, state, inbox, totals) -> (state, messages with `to`, values for the totals)
 Kernel = Callable[[int, object, pa.Table, pa.Table, pa.Table, dict], tuple[pa.Table, pa.Table, dict[str, float]]]
@@ -75,14 +77,35 @@ def supersteps(fixed: DataFrame, state: DataFrame, messages: str, kernel: Kernel
     return held.filter("s IS NOT NULL").select("part", "s.*"), log
 
 
+#: Keys and edges of parts that one task of a traversal takes in, about.
+TOGETHER = 1 << 20
+
+
+def _together(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """parts (key, part) with parts that follow each other in their order made one up to TOGETHER keys and edges; a larger part stays."""
+    spark = parts.sparkSession
+    rows = parts.select("part", F.lit(1).alias("n")).unionByName(edges.groupBy(F.col("a").alias("key")).agg(F.count(F.lit(1)).alias("n")).join(large(parts), "key").select("part", "n"))
+    sizes = ranged(rows.groupBy("part").agg(F.sum("n").alias("n")), "part")
+    base, starts = 0, []
+    for r in sizes.groupBy("_part").agg(F.sum("n").alias("n")).orderBy("_part").collect():  # a row a range
+        starts.append((r["_part"], base))
+        base += r["n"]
+    before = F.sum("n").over(Window.partitionBy("_part").orderBy("part")) - F.col("n") + F.col("_base")
+    dealt = sizes.join(F.broadcast(spark.createDataFrame(starts, "_part int, _base bigint")), "_part").select("part", F.floor(before / TOGETHER).alias("_to"))
+    return cut(parts.join(dealt, "part").select("key", F.col("_to").alias("part")))
+
+
 def traversal(edges: DataFrame, parts: DataFrame, roots: DataFrame, most: int = 1_000_000) -> tuple[DataFrame, list[dict]]:
     """((key, depth) of all that roots (key) reach along edges a -> b, at the fewest steps; totals of every round).
 
-    parts: (key, part) of every key. Inside a part a round goes as many steps as there are, and only depths of keys
-    beyond its border are sent on: there are as many rounds as a shortest path crosses borders, and one or two more.
+    parts: (key, part) of every key. Small parts that follow each other count as one, as much as a task takes in. Inside
+    it a round goes as many steps as there are, and only depths of keys beyond its border are sent on: there are as many
+    rounds as a shortest path crosses borders, and one or two more.
     """
+    edges = cut(edges.select("a", "b").distinct())
+    parts = large(_together(edges, parts.select("key", "part")))
     side = parts.select(F.col("key").alias("b"), F.col("part").alias("to"))
-    fixed = edges.select("a", "b").distinct().join(parts.select(F.col("key").alias("a"), "part"), "a").join(side, "b").select("part", "a", "b", "to")
+    fixed = edges.join(parts.select(F.col("key").alias("a"), "part"), "a").join(side, "b").select("part", "a", "b", "to")
     kind = dict(parts.dtypes)
     began = roots.select("key").distinct().join(parts, "key").select(F.col("part").alias("to"), "key", F.lit(0).alias("depth"))
     # A part without edges has no row in fixed, but keeps what comes to it.

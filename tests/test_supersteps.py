@@ -54,6 +54,16 @@ def test_traversal_equals_hops(spark):
         assert len(log) < max(found.values()) / 3
 
 
+def test_small_parts_go_together(spark, monkeypatch):
+    e = spark.range(240).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    parts = spark.range(241).select(F.col("id").alias("key"), F.floor(F.col("id") / 6).alias("part"))
+    for size, rounds in ((1 << 20, 2), (100, 8)):
+        monkeypatch.setattr(supersteps, "TOGETHER", size)
+        got, log = supersteps.traversal(e, parts, spark.createDataFrame([(0,)], "key bigint"))
+        assert {r["key"]: r["depth"] for r in got.collect()} == {i: i for i in range(241)}
+        assert len(log) <= rounds
+
+
 def test_no_roots_and_parts_without_edges(spark):
     e = spark.createDataFrame([(1, 2)], "a bigint, b bigint")
     parts = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "key bigint, part string")

@@ -2,6 +2,7 @@
 
 import duckdb
 
+from strataform.operators import spatial
 from strataform.plans import catalogue
 
 PART = "SELECT i::BIGINT AS p_partkey, 'Brand#' || (i % 25) AS p_brand, 'LARGE' AS p_type, (i * 7 % 50 + 1)::INT AS p_size, 900 + (i % 1000) / 10 AS p_retailprice FROM range({0}, {1}) r(i)"
@@ -21,3 +22,20 @@ def both(spark, path, name, **tables):
 def test_codes_of_keys_beyond_20_bits(spark, tmp_path):
     got, want = both(spark, tmp_path, "morton_keys", part=PART.format(2**20 - 30, 2**20 + 30))
     assert got == want
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_boxes_are_not_broadcast(spark, tmp_path):
+    """A file of boxes is far smaller than their rows in cells."""
+    got, want = both(spark, tmp_path, "grid_overlap_pairs", part=PART.format(0, 400))
+    assert got == want and "Broadcast" not in plan(catalogue.QUERIES["grid_overlap_pairs"](spark, str(tmp_path)))
+
+
+def test_boxes_that_touch_a_third_cell_by_rounding(spark):
+    boxes = spark.createDataFrame([(i, 0.05 * (i / 7), 0.05 * (i / 7) + w) for i in range(200) for w in ((0.05, 0.1, 0.2)[i % 3],)], "id int, min_x double, max_x double")
+    rows = [tuple(r) for r in boxes.collect()]
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] <= b[2] and b[1] <= a[2])
+    assert sorted(map(tuple, spatial.overlap_pairs(boxes, 0.05, ("x",)).collect())) == want

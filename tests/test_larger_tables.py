@@ -39,6 +39,11 @@ def test_points_and_boxes_are_not_broadcast(spark, tmp_path):
     assert got == want and "Broadcast" not in plan(catalogue.QUERIES["point_in_solid"](spark, str(tmp_path)))
 
 
+def test_boxes_of_two_sets_are_not_broadcast(spark, tmp_path):
+    got, want = both(spark, tmp_path, "two_set_contacts", part=PART.format(0, 400))
+    assert got == want and "Broadcast" not in plan(catalogue.QUERIES["two_set_contacts"](spark, str(tmp_path)))
+
+
 def test_boxes_that_touch_a_third_cell_by_rounding(spark):
     boxes = spark.createDataFrame([(i, 0.05 * (i / 7), 0.05 * (i / 7) + w) for i in range(200) for w in ((0.05, 0.1, 0.2)[i % 3],)], "id int, min_x double, max_x double")
     rows = [tuple(r) for r in boxes.collect()]

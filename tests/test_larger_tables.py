@@ -44,6 +44,12 @@ def test_boxes_of_two_sets_are_not_broadcast(spark, tmp_path):
     assert got == want and "Broadcast" not in plan(catalogue.QUERIES["two_set_contacts"](spark, str(tmp_path)))
 
 
+def test_points_of_a_radius_are_dealt_by_cell(spark, tmp_path):
+    got, want = both(spark, tmp_path, "radius_join", part=PART.format(0, 400))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(got, want))
+    assert "Broadcast" not in plan(catalogue.QUERIES["radius_join"](spark, str(tmp_path)))
+
+
 def test_boxes_that_touch_a_third_cell_by_rounding(spark):
     boxes = spark.createDataFrame([(i, 0.05 * (i / 7), 0.05 * (i / 7) + w) for i in range(200) for w in ((0.05, 0.1, 0.2)[i % 3],)], "id int, min_x double, max_x double")
     rows = [tuple(r) for r in boxes.collect()]

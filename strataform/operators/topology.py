@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from strataform.functions.scalars import morton30, rounded_key
 from strataform.operators import graph
 from strataform.operators.ordered import numbered
-from strataform.tables import bucketed, cut, drop
+from strataform.tables import bucketed, cut, drop, large
 
 AXES = ("x", "y", "z")
 
@@ -56,10 +56,10 @@ def wall_thickness(edges: DataFrame, boundary: DataFrame, most: int = 6) -> Data
 
 def cavities(nodes: DataFrame, edges: DataFrame, outside: DataFrame) -> DataFrame:
     """(key, component) of the nodes that no path of edges (a, b) joins with an outside node: enclosed pockets, each named after its smallest node."""
-    parts = graph.components(edges)
-    named = nodes.select("key").join(parts, "key", "left").select("key", F.coalesce("component", "key").alias("component"))
-    open_ = named.join(outside.select("key"), "key", "left_semi").select("component").distinct()
-    return named.join(open_, "component", "left_anti").select("key", "component")
+    parts = graph.components(edges, sort=True)
+    named = cut(nodes.select("key").join(large(parts), "key", "left").select("key", F.coalesce("component", "key").alias("component")))
+    open_ = named.join(large(outside.select("key")), "key", "left_semi").select("component").distinct()
+    return named.join(large(open_), "component", "left_anti").select("key", "component")
 
 
 def corner_angles(triangles: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Queries against their SQL on tables with keys and groups as larger ones have them."""
 
 import duckdb
+import pytest
 
-from strataform.operators import spatial
+from strataform.operators import graph, spatial, topology
 from strataform.plans import catalogue
 
 PART = "SELECT i::BIGINT AS p_partkey, 'Brand#' || (i % 25) AS p_brand, 'LARGE' AS p_type, (i * 7 % 50 + 1)::INT AS p_size, 900 + (i % 1000) / 10 AS p_retailprice FROM range({0}, {1}) r(i)"
@@ -50,6 +51,22 @@ def test_points_of_a_radius_are_dealt_by_cell(spark, tmp_path):
     assert "Broadcast" not in plan(catalogue.QUERIES["radius_join"](spark, str(tmp_path)))
 
 
+@pytest.fixture
+def plans(monkeypatch):
+    """Plans of the tables that graphs and cells are written to."""
+    seen = []
+    for module in (graph, topology):
+        monkeypatch.setattr(module, "cut", lambda df, *a, f=module.cut: seen.append(plan(df)) or f(df, *a))
+    return seen
+
+
+def test_pockets_are_not_broadcast(spark, tmp_path, plans):
+    got, want = both(spark, tmp_path, "sealed_pockets", part=PART.format(0, 700))
+    assert got == want
+    plans.append(plan(catalogue.QUERIES["sealed_pockets"](spark, str(tmp_path))))
+    assert len(plans) > 5 and not any("Broadcast" in x for x in plans)
+
+
 def test_boxes_that_touch_a_third_cell_by_rounding(spark):
     boxes = spark.createDataFrame([(i, 0.05 * (i / 7), 0.05 * (i / 7) + w) for i in range(200) for w in ((0.05, 0.1, 0.2)[i % 3],)], "id int, min_x double, max_x double")
     rows = [tuple(r) for r in boxes.collect()]

@@ -185,15 +185,16 @@ def fabrication(cells: DataFrame, links: DataFrame) -> DataFrame:
     """
     own = cut(cells.select("id", "z", F.coalesce("boundary", F.lit(False)).alias("boundary")))
     side = lambda n: own.select(F.col("id").alias(n), F.struct("z", "boundary").alias(f"_{n}"))
-    both = cut(graph.both_ways(links).filter("a <> b").distinct().join(side("a"), "a").join(side("b"), "b"))
+    both = cut(graph.both_ways(links).filter("a <> b").distinct().join(large(side("a")), "a").join(large(side("b")), "b"))
     lower = F.max(F.col("_b.z") < F.col("_a.z") - 1e-9)
     around = both.groupBy(F.col("a").alias("id")).agg(lower.alias("held"), F.count_if("_b.boundary").alias("n_boundary"))
     inside = both.filter("NOT _a.boundary AND NOT _b.boundary AND a < b").select("a", "b")
-    pockets = own.filter("NOT boundary").select("id").join(graph.components(inside).withColumnRenamed("key", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("pocket"))
-    open_ = pockets.join(around.filter("n_boundary > 0").select("id"), "id", "left_semi").select("pocket").distinct()
-    shut = pockets.join(open_, "pocket", "left_anti")
-    reached = graph.depths(both, own.filter("boundary").select(F.col("id").alias("key")), IN_REACH).select(F.col("key").alias("id"), "depth")
-    told = own.join(around, "id", "left").join(shut, "id", "left").join(reached, "id", "left")
+    pockets = own.filter("NOT boundary").select("id").join(large(graph.components(inside, sort=True)).withColumnRenamed("key", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("pocket"))
+    pockets = cut(pockets)
+    open_ = pockets.join(large(around.filter("n_boundary > 0").select("id")), "id", "left_semi").select("pocket").distinct()
+    shut = pockets.join(large(open_), "pocket", "left_anti")
+    reached = graph.depths(both, own.filter("boundary").select(F.col("id").alias("key")), IN_REACH, sort=True).select(F.col("key").alias("id"), "depth")
+    told = own.join(large(around), "id", "left").join(large(shut), "id", "left").join(large(reached), "id", "left")
     kind = F.when(F.col("boundary"), F.when(F.coalesce("held", F.lit(False)), "boundary").otherwise("overhang")).when(F.col("pocket").isNotNull(), "trapped").when(F.col("depth").isNull(), "deep").otherwise("interior")
     return told.select("id", kind.alias("class"), ((kind == "boundary") & (F.coalesce("n_boundary", F.lit(0)) >= DENSE)).alias("dense"), "pocket")
 

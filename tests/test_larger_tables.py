@@ -67,6 +67,13 @@ def test_pockets_are_not_broadcast(spark, tmp_path, plans):
     assert len(plans) > 5 and not any("Broadcast" in x for x in plans)
 
 
+def test_fabrication_is_not_broadcast(spark, tmp_path, plans):
+    got, want = both(spark, tmp_path, "fabrication_classes", part=PART.format(0, 700))
+    assert got == want
+    plans.append(plan(catalogue.QUERIES["fabrication_classes"](spark, str(tmp_path))))
+    assert len(plans) > 8 and not any("Broadcast" in x for x in plans)
+
+
 def test_boxes_that_touch_a_third_cell_by_rounding(spark):
     boxes = spark.createDataFrame([(i, 0.05 * (i / 7), 0.05 * (i / 7) + w) for i in range(200) for w in ((0.05, 0.1, 0.2)[i % 3],)], "id int, min_x double, max_x double")
     rows = [tuple(r) for r in boxes.collect()]

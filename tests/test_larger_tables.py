@@ -1,9 +1,10 @@
 """Queries against their SQL on tables with keys and groups as larger ones have them."""
 
 import duckdb
+import numpy as np
 import pytest
 
-from strataform.operators import graph, spatial, topology
+from strataform.operators import graph, similarity, spatial, topology
 from strataform.plans import catalogue
 
 PART = "SELECT i::BIGINT AS p_partkey, 'Brand#' || (i % 25) AS p_brand, 'LARGE' AS p_type, (i * 7 % 50 + 1)::INT AS p_size, 900 + (i % 1000) / 10 AS p_retailprice FROM range({0}, {1}) r(i)"
@@ -74,6 +75,25 @@ def test_fabrication_is_not_broadcast(spark, tmp_path, plans):
     assert len(plans) > 8 and not any("Broadcast" in x for x in plans)
 
 
+def test_blocks_of_parts_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Packed rows look like a hundred bytes a block."""
+    monkeypatch.setattr(similarity, "WIDE", 64)
+    got, want = both(spark, tmp_path, "substitute_rank", part=PART.format(0, 700))
+    assert [r[:3] for r in got] == [r[:3] for r in want] and all(abs(a[3] - b[3]) < 1e-8 for a, b in zip(got, want))
+    found = plan(catalogue.QUERIES["substitute_rank"](spark, str(tmp_path)))
+    assert "Join [grp" in found and not any("Broadcast" in x and "block" in x for x in found.split("\n"))
+
+
+def test_best_of_ties_and_no_numbers():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n, k = int(rng.integers(1, 40)), int(rng.integers(1, 8))
+        values = [np.where(rng.random(n) < 0.1, np.nan, rng.integers(0, 4, n).astype(float)) for _ in range(2)]
+        ids, on = rng.permutation(n), np.flatnonzero(rng.random(n) < 0.9)
+        want = on[np.lexsort((ids[on], values[1][on], values[0][on]))[:k]]
+        assert similarity._best(values, ids, on, k).tolist() == want.tolist()
+
+
 def test_boxes_that_touch_a_third_cell_by_rounding(spark):
     boxes = spark.createDataFrame([(i, 0.05 * (i / 7), 0.05 * (i / 7) + w) for i in range(200) for w in ((0.05, 0.1, 0.2)[i % 3],)], "id int, min_x double, max_x double")
     rows = [tuple(r) for r in boxes.collect()]
